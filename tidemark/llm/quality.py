@@ -28,8 +28,9 @@ MIN_DOCS = 100
 RULES = {
     "word_length": (True, 1500),
     "symbols": (False, 20),
-    "dup_lines": (False, 150),
-    "repeats": (False, 100),
+    "dup_lines": (False, 400),
+    "repeats": (False, 250),
+    "stutter": (False, 200),
 }
 #: Fences lie this many spreads (median to quartile) beyond the quartiles.
 SPREADS = 4
@@ -64,7 +65,7 @@ def measures(text: Column) -> Column:
         symbols = F.length(t) - F.length(F.regexp_replace(t, "[#*$%&|<>]", ""))
         dup = F.size(lines) - F.size(F.array_distinct(lines))
         return let(
-            F.struct(n.alias("n"), chars.alias("c"), symbols.alias("s"), dup.alias("d"), _repeat_words(w).alias("r"), F.size(lines).alias("l")),
+            F.struct(n.alias("n"), chars.alias("c"), symbols.alias("s"), dup.alias("d"), _repeat_words(w).alias("r"), F.size(lines).alias("l"), F.size(F.filter(w, lambda a, i: F.coalesce(F.get(w, i - 1) == a, F.lit(False)))).alias("e")),
             lambda x: F.struct(
                 x["n"].cast("long").alias("n_words"),
                 x["c"].cast("long").alias("word_chars"),
@@ -75,6 +76,7 @@ def measures(text: Column) -> Column:
                 _thousandths(x["s"], x["c"]).alias("symbols"),
                 _thousandths(x["d"], x["l"]).alias("dup_lines"),
                 _thousandths(x["r"], x["n"]).alias("repeats"),
+                _thousandths(x["e"], x["n"]).alias("stutter"),
             ),
         )
 
@@ -194,6 +196,7 @@ with d as materialized (
 ), m0 as (
   select doc_id, lang, source, len(w) as n_words, coalesce(length(array_to_string(w, '')), 0) as word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) as n_stutter,
     len(l) - len(list_distinct(l)) as n_dup_lines, len(l) as n_lines,
     coalesce(n_repeat_words, 0)::bigint as n_repeat_words
   from d left join r using (rid)
@@ -202,7 +205,8 @@ with d as materialized (
     case when n_words > 0 then word_chars * 1000 // n_words else 0 end as word_length,
     case when word_chars > 0 then n_symbols * 1000 // word_chars else 0 end as symbols,
     case when n_lines > 0 then n_dup_lines * 1000 // n_lines else 0 end as dup_lines,
-    case when n_words > 0 then n_repeat_words * 1000 // n_words else 0 end as repeats
+    case when n_words > 0 then n_repeat_words * 1000 // n_words else 0 end as repeats,
+    case when n_words > 0 then n_stutter * 1000 // n_words else 0 end as stutter
   from m0
 ), v as ({stack}
 ), sk as (
@@ -222,7 +226,7 @@ u as (
 ), fw as (select lang, source, {fence} from f group by lang, source)
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words,
   base_failed, not base_failed and coalesce({within}, false) as kept,
-  word_length::bigint as word_length, symbols::bigint as symbols, dup_lines::bigint as dup_lines, repeats::bigint as repeats
+  word_length::bigint as word_length, symbols::bigint as symbols, dup_lines::bigint as dup_lines, repeats::bigint as repeats, stutter::bigint as stutter
 from m left join fw on m.lang is not distinct from fw.lang and m.source is not distinct from fw.source
 """
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import quality
+from tidemark.llm import quality, sharding
 
-MODULES = [quality]
+MODULES = [quality, sharding]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
