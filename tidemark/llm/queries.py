@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, quality, sharding
+from tidemark.llm import mixing, pii, quality, sharding
 
-MODULES = [quality, sharding, mixing]
+MODULES = [quality, sharding, mixing, pii]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
