@@ -23,3 +23,29 @@ def pii(text: str) -> dict:
     spans.sort()
     out = {f"n_{k}": sum(s[2] == k for s in spans) for k in kinds}
     return out | {"base_sha256": hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in spans).encode()).hexdigest()}
+
+
+def lowered(text: str | None) -> list[str]:
+    t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
+
+
+def decontamination(docs: list[tuple], items: list[tuple]) -> dict:
+    windows: dict[tuple, set] = {}
+    for item, text in items:
+        w = lowered(text)
+        n = min(10, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[k : k + n]), set()).add(str(item))
+    sizes = {len(k) for k in windows}
+    out = {}
+    for doc, text in docs:
+        w = lowered(text)
+        hit, found = set(), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                if (x := tuple(w[k : k + n])) in windows:
+                    hit.update(range(k, k + n))
+                    found |= windows[x]
+        out[doc] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
+    return out
