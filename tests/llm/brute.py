@@ -49,3 +49,21 @@ def decontamination(docs: list[tuple], items: list[tuple]) -> dict:
                     found |= windows[x]
         out[doc] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
     return out
+
+
+def substring_dedup(docs: list[tuple]) -> dict:
+    """doc_id -> (n_words, n_removed, sha256), for distinct ids."""
+    said = {d: WORD.findall(t or "") for d, t in docs}
+    first: dict[tuple, int] = {}
+    for d in sorted(said):
+        for k in range(len(said[d]) - 12):
+            first.setdefault(tuple(said[d][k : k + 13]), d)
+    out = {}
+    for d, w in said.items():
+        hit = set()
+        for k in range(len(w) - 12):
+            if first[tuple(w[k : k + 13])] < d:
+                hit.update(range(k, k + 13))
+        kept = " ".join(x for i, x in enumerate(w) if i not in hit)
+        out[d] = (len(w), len(hit), hashlib.sha256(kept.encode()).hexdigest())
+    return out

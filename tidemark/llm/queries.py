@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, mixing, pii, quality, sharding
+from tidemark.llm import decontamination, mixing, pii, quality, sharding, substrings
 
-MODULES = [quality, sharding, mixing, pii, decontamination]
+MODULES = [quality, sharding, mixing, pii, decontamination, substrings]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
