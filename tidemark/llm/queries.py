@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, mixing, nearcopies, pii, quality, sharding, substrings
+from tidemark.llm import decontamination, mixing, nearcopies, pii, quality, sharding, substrings, toxicity
 
-MODULES = [quality, sharding, mixing, pii, decontamination, substrings, nearcopies]
+MODULES = [quality, sharding, mixing, pii, decontamination, substrings, nearcopies, toxicity]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}

@@ -130,13 +130,13 @@ def split(texts: pa.Array, table: np.ndarray = PLAIN, fold: np.ndarray | None =
     return Words(data, start, end, hashes, np.searchsorted(start, at))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about CHUNK bytes of text, each of at least one row."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of text, each of at least one row."""
     for batch in batches:
         sizes = np.diff(raw(batch.column(text))[1])
         begin, total = 0, 0
         for i, size in enumerate(sizes):
-            if i > begin and total + size > CHUNK:
+            if i > begin and total + size > most:
                 yield batch.slice(begin, i - begin)
                 begin, total = i, 0
             total += int(size)
