@@ -150,7 +150,7 @@ def _windows(cells_twice, width: int, window: int):
             first = np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))  # the first row of each group
             decided = ids > ids[first]
             texts = np.asarray(batch.column("text_hash").fill_null(0))[of]
-            h1 = np.where(decided, texts, h1)
+            h1 = np.where(decided, tokens.scramble(ids.view(np.uint64) * np.uint64(tokens.GOLDEN) + at.astype(np.uint64)).view(np.int64), h1)  # anywhere
             h2 = np.where(decided, np.int32(-1), h2)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int32()), pa.array((at - w.first[of]).astype(np.int32))],
