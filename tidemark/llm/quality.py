@@ -155,14 +155,15 @@ def judge(measured: DataFrame, thresholds: DataFrame) -> DataFrame:
     t = thresholds.select(F.struct(*thresholds.columns).alias("__t"))
     joined = measured.join(t, F.col("lang").eqNullSafe(F.col("__t.lang")) & F.col("source").eqNullSafe(F.col("__t.source")), "left")
     within = reduce(lambda a, b: a & b, [F.col(r).between(F.col(f"__t.{r}_low"), F.col(f"__t.{r}_high")) for r in RULES])
-    return joined.withColumns({"base_failed": _base_failed(), "kept": ~_base_failed() & F.coalesce(within, F.lit(False))}).drop("__t")
+    return joined.withColumns({"base_failed": _base_failed(), "kept": F.coalesce(~_base_failed() & within, F.lit(False))}).drop("__t")
 
 
 def quality_filter(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``df`` that the rules keep, with its own columns."""
     fields = [*BASE, *RULES]
     flat = with_measures(df, text).select("__row", F.col(f"__row.`{lang}`").alias("lang"), F.col(f"__row.`{source}`").alias("source"), *[F.col(f"m.{c}").alias(c) for c in fields])
-    thresholds = fit_thresholds(flat.drop("__row"))
+    # written, as filters pushed into the projection would compute the measures again and again
+    thresholds = fit_thresholds(materialize(flat.drop("__row"), "measures"))
     return unboxed(judge(flat, thresholds).where("kept").select("__row"))
 
 
