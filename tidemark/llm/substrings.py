@@ -1,11 +1,11 @@
 """Removal of word windows that a document with a smaller id holds too, behind a count-min sketch.
 
 A window's anchor is the least hash among its pieces of ``PIECE`` words, so equal windows have equal anchors.
-First pass: each partition counts its documents' anchors in a count-min sketch, up to 2, and sends it in packed
-blocks; blocks merge by adding. The merged sketch says of each cell whether it was counted twice. As sketches only
-overestimate, a window whose anchor has a cell counted once is not repeated. Second pass: the other windows are
-hashed whole and grouped exactly; no repeated window is lost, and windows let through in error are found alone.
-The sketch's width follows the size of the input up to ``WIDEST`` cells a row; a wider input only lets more through.
+First pass: each partition counts its documents' anchors in a count-min sketch and sends it in packed blocks;
+blocks merge by adding. As sketches only overestimate, a window whose anchor has a cell counted once is not
+repeated. Second pass: the other windows are hashed whole and grouped exactly; no repeated window is lost, and
+windows let through in error are found alone. The sketch's width follows the size of the input up to a bound; an
+input too large for it only lets more through.
 
 Within a chunk of documents only the first holder of a window goes to the shuffle, later ones are decided there,
 so a window that a third of all documents hold makes a row a chunk, not a row a document.
@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,16 +27,12 @@ from pyspark.sql.window import Window
 
 from tidemark.llm import tokens
 from tidemark.llm.common import materialize, table
+from tidemark.llm.countmin import bitmaps, reached, width_for
 
 WINDOW = 13
 PIECE = 5
-ROWS = 2
-#: Cells of a row of the sketch for each byte of text, and bounds of the row's width.
-CELLS_A_BYTE, NARROWEST, WIDEST = 0.075, 1 << 16, 1 << 27
-#: Cells of a block of the sketch.
-BLOCK = 1 << 20
-#: Sketches of a block that meet in one task are those of one of so many parts, then one from each part.
-PARTS = 32
+#: Cells of a row of the sketch for each byte of text.
+CELLS_A_BYTE = 0.075
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -58,85 +53,28 @@ def anchors(w: tokens.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return inside, sliding_min(tokens.roll(w.hash, PIECE), window - PIECE + 1)[inside]
 
 
-def cells(anchor: np.ndarray, width: int) -> list[np.ndarray]:
-    """The cell of each anchor in each row of a sketch of ``width`` cells a row."""
-    return [(tokens.scramble(anchor + np.uint64(tokens.GOLDEN * (r + 1) % (1 << 64))) & np.uint64(width - 1)).astype(np.int64) for r in range(ROWS)]
+def _counted(window: int):
+    """The anchors to count in a batch: one shared by neighbouring windows counts once."""
 
+    def items(batch: pa.RecordBatch) -> np.ndarray:
+        w = tokens.split(batch.column("text"))
+        at, a = anchors(w, window)
+        of = w.of[at]
+        return a[np.r_[True, (a[1:] != a[:-1]) | (of[1:] != of[:-1])]] if len(a) else a
 
-def _pack(flags: np.ndarray) -> bytes:
-    return pa.compress(np.packbits(flags).tobytes(), codec="zstd", asbytes=True)
+    return items
 
 
-def _unpack(packed: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(pa.decompress(packed, decompressed_size=n // 8, codec="zstd", asbytes=True), dtype=np.uint8)).astype(bool)
-
-
-def _sketch(width: int, window: int):
-    """Blocks of one partition's sketch: cells counted at least once, and at least twice."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((ROWS, width), dtype=np.uint8)
-        some = False
-        for batch in tokens.chunks(batches, "text"):
-            w = tokens.split(batch.column("text"))
-            at, a = anchors(w, window)
-            if not len(at):
-                continue
-            some = True
-            of = w.of[at]
-            once = np.r_[True, (a[1:] != a[:-1]) | (of[1:] != of[:-1])]  # an anchor shared by neighbouring windows counts once
-            for r, c in enumerate(cells(a[once], width)):
-                more, n = np.unique(c, return_counts=True)
-                counts[r, more] = np.minimum(counts[r, more] + np.minimum(n, 2), 2)
-        if not some:
-            return
-        size = min(BLOCK, width)
-        for r in range(ROWS):
-            for b in range(width // size):
-                part = counts[r, b * size : (b + 1) * size]
-                if part.any():
-                    yield pa.RecordBatch.from_pydict({"row": pa.array([r], pa.int32()), "block": pa.array([b], pa.int32()), "once": [_pack(part >= 1)], "twice": [_pack(part >= 2)]})
-
-    return run
-
-
-def _merge(size: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        once, twice = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
-        for a, b in zip(frame["once"], frame["twice"], strict=True):
-            more = _unpack(a, size)
-            twice |= (once & more) | _unpack(b, size)
-            once |= more
-        return pd.DataFrame({"row": frame["row"].iloc[:1], "block": frame["block"].iloc[:1], "once": [_pack(once)], "twice": [_pack(twice)]})
-
-    return run
-
-
-def repeated_cells(docs: DataFrame, width: int, window: int = WINDOW) -> np.ndarray:
-    """Packed bits: whether each cell of the merged sketch was counted twice; ROWS * width bits, bounded by WIDEST."""
-    kind = "row int, block int, once binary, twice binary"
-    parts = docs.select("text").mapInArrow(_sketch(width, window), kind).withColumn("part", F.spark_partition_id() % PARTS)
-    merge = _merge(min(BLOCK, width))
-    merged = parts.groupBy("row", "block", "part").applyInPandas(merge, kind).groupBy("row", "block").applyInPandas(merge, kind)
-    size = min(BLOCK, width) // 8
-    out = np.zeros((ROWS, width // 8), dtype=np.uint8)
-    for r in merged.select("row", "block", "twice").toLocalIterator():
-        out[r["row"], r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(pa.decompress(r["twice"], decompressed_size=size, codec="zstd", asbytes=True), dtype=np.uint8)
-    return out
-
-
-def _windows(cells_twice, width: int, window: int):
+def _windows(twice, window: int):
     """doc_id, text_hash, h1, h2, pos: windows that may be repeated; h2 is -1 for those decided to be."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = cells_twice.value
+        bits = twice.value
         for batch in tokens.chunks(batches, "text"):
             w = tokens.split(batch.column("text"))
             at, a = anchors(w, window)
             known = np.asarray(batch.column("doc_id").is_valid())
-            may = known[w.of[at]]
-            for r, c in enumerate(cells(a, width)):
-                may &= (twice[r][c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
+            may = known[w.of[at]] & reached(bits, a)
             at = at[may]
             if not len(at):
                 continue
@@ -167,10 +105,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = 1 << max(NARROWEST.bit_length() - 1, min(WIDEST.bit_length() - 1, int(size * CELLS_A_BYTE).bit_length()))
-    twice = spark.sparkContext.broadcast(repeated_cells(docs, width, window))
+    twice = spark.sparkContext.broadcast(bitmaps(docs, _counted(window), width_for(size * CELLS_A_BYTE), (2,))[0])  # bounded by the widest sketch
     kind = "doc_id long, text_hash long, h1 long, h2 int, pos int"
-    found = docs.select("doc_id", "text_hash", "text").mapInArrow(_windows(twice, width, window), kind)
+    found = docs.select("doc_id", "text_hash", "text").mapInArrow(_windows(twice, window), kind)
     first = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
     repeated = found.withColumn("first", first).where((F.col("h2") < 0) | (F.col("doc_id") > F.col("first")))
     return repeated.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("at"))
