@@ -67,3 +67,23 @@ def substring_dedup(docs: list[tuple]) -> dict:
         kept = " ".join(x for i, x in enumerate(w) if i not in hit)
         out[d] = (len(w), len(hit), hashlib.sha256(kept.encode()).hexdigest())
     return out
+
+
+def suffix_dedup(docs: list[tuple], n: int = 400) -> list[tuple]:
+    """(doc_id, n_bytes, n_removed, n_spans, sha256) of each row."""
+    data = [(t or "").encode() for _, t in docs]
+    seen: dict[bytes, int] = {}
+    for b in data:
+        for k in range(len(b) - n + 1):
+            h = hashlib.blake2b(b[k : k + n], digest_size=12).digest()
+            seen[h] = seen.get(h, 0) + 1
+    out = []
+    for (d, _), b in zip(docs, data, strict=True):
+        gone = bytearray(len(b))
+        for k in range(len(b) - n + 1):
+            if seen[hashlib.blake2b(b[k : k + n], digest_size=12).digest()] > 1:
+                gone[k : k + n] = b"\1" * n
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        runs = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
+        out.append((d, len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
+    return out
