@@ -45,10 +45,13 @@ def _template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
 
 
-def bigrams(text: Column) -> Column:
-    """The distinct word bigrams of a text that isn't null."""
-    w = F.filter(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")), " "), lambda x: x != "")
-    return let(w, lambda w: F.when(F.size(w) > 1, F.array_distinct(F.transform(F.slice(w, 2, F.size(w)), lambda x, i: F.concat(F.get(w, i), F.lit(" "), x)))).otherwise(F.array().cast("array<string>")))
+def word_list(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")), " "), lambda x: x != "")
+
+
+def bigrams(w: Column) -> Column:
+    """The distinct bigrams of two words or more."""
+    return F.array_distinct(F.transform(F.slice(w, 2, F.size(w)), lambda x, i: F.concat(F.get(w, i), F.lit(" "), x)))
 
 
 def matches(text: Column, templates: dict[str, str] | None = None, threshold: int = THRESHOLD) -> Column:
@@ -59,14 +62,20 @@ def matches(text: Column, templates: dict[str, str] | None = None, threshold: in
     sets = [(name, _template_bigrams(t)) for name, t in sorted(templates.items())]
     known = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("b")) for name, b in sets if b])
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[A-Za-z0-9]"))
-    units = let(lines, lambda x: F.when(F.size(x) > 1, F.concat(x, F.array(text))).otherwise(x))
+    # newlines separate words, so the whole text's words are those of its lines
+    units = let(F.transform(lines, word_list), lambda x: F.when(F.size(x) > 1, F.concat(x, F.array(F.flatten(x)))).otherwise(x))
+    least = min(len(b) for _, b in sets if b) * threshold / (2000 - threshold)
+    most = max(len(b) for _, b in sets) * (2000 - threshold) / threshold
+    # n words have n - 1 bigrams at most, d distinct words d - 1 distinct bigrams at least
+    sized = lambda w: F.when(F.size(w) - 1 < least, False).otherwise(F.size(F.array_distinct(w)) - 1 <= most)
+    units = F.filter(units, sized)
 
     def of(a: Column) -> Column:
         near = F.filter(known, lambda t: (F.size(a) * (2000 - threshold) >= threshold * t["n"]) & (t["n"] * (2000 - threshold) >= threshold * F.size(a)))
         scored = F.transform(near, lambda t: F.struct(F.floor(2000 * F.size(F.array_intersect(t["b"], a)) / (F.size(a) + t["n"])).cast("int").alias("dice"), t["name"].alias("license")))
         return F.filter(scored, lambda m: m["dice"] >= threshold)
 
-    found = F.flatten(F.transform(units, lambda u: let(bigrams(u), of)))
+    found = F.flatten(F.transform(units, lambda w: let(bigrams(w), of)))
     return F.array_sort(found, lambda x, y: F.when(x["dice"] > y["dice"], -1).when(x["dice"] < y["dice"], 1).when(x["license"] < y["license"], -1).when(x["license"] > y["license"], 1).otherwise(0))
 
 
