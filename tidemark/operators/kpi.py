@@ -203,17 +203,17 @@ def acl_docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where(F.arrays_overlap(tags, F.array(F.lit("rsm"), F.lit("intern")))).select("doc_id", "source")
 
 
-@query("segs_intersect", "select p_type, p_brand from part where p_size <= 10 intersect select p_type, p_brand from part where p_retailprice >= 1500")
+@query("segs_intersect", "select p_type, p_brand from part where p_size <= 10 intersect select p_type, p_brand from part where p_retailprice >= 950")
 def segs_intersect(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
-    return p.where("p_size <= 10").select("p_type", "p_brand").intersect(p.where("p_retailprice >= 1500").select("p_type", "p_brand"))
+    return p.where("p_size <= 10").select("p_type", "p_brand").intersect(p.where("p_retailprice >= 950").select("p_type", "p_brand"))
 
 
-@query("evidence_gap", "select distinct cast(ts as date) as d, event_type from events where event_type = 'error' except select distinct cast(ts as date), 'error' from events where event_type = 'signup' and value > 20")
+@query("evidence_gap", "select distinct cast(ts as date) as d, user_id from events where event_type = 'error' except select distinct cast(ts as date), user_id from events where event_type = 'signup'")
 def evidence_gap(spark: SparkSession, sf: str) -> DataFrame:
-    """Days with errors for which nothing of the other kind was recorded."""
+    """Users and days with errors for which nothing of the other kind was recorded."""
     e = table(spark, sf, "events").withColumn("d", F.to_date("ts"))
-    return e.where("event_type = 'error'").select("d", "event_type").subtract(e.where("event_type = 'signup' and value > 20").select("d", F.lit("error").alias("event_type")))
+    return e.where("event_type = 'error'").select("d", "user_id").subtract(e.where("event_type = 'signup'").select("d", "user_id"))
 
 
 @query(
