@@ -25,3 +25,93 @@ def mahalanobis(frame: pd.DataFrame) -> pd.DataFrame:
     d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
     d *= 2.366 / np.median(d)  # the median of chi-square with three degrees of freedom
     return pd.DataFrame({"month": frame["month"], "d": frame["d"], "distance": np.round(d, 6)})
+
+
+#: How strongly spend follows revenue; days of cover and of delivery of the stock rule.
+KAPPA, COVER, LEAD = 0.3, 10, 3
+
+
+def endogenous_spend(frame: pd.DataFrame) -> pd.DataFrame:
+    """Planned spend moved by last week's revenue against its target (the mean so far), and by noise."""
+    f = frame.sort_values("week").reset_index(drop=True)
+    revenue, spend = f["revenue"].to_numpy(float), []
+    planned = 0.05 * revenue.mean()
+    for w in range(len(f)):
+        gap = revenue[w - 1] / revenue[:w].mean() - 1 if w else 0.0
+        spend.append(round(planned * (1 + KAPPA * gap) * float(np.exp(0.05 * f["z"][w])), 4))
+    return pd.DataFrame({"channel": f["channel"], "week": f["week"], "spend": spend})
+
+
+def inventory(frame: pd.DataFrame) -> pd.DataFrame:
+    """Orders fill stock up to COVER days of the mean and arrive after LEAD days."""
+    f = frame.sort_values("t").reset_index(drop=True)
+    need = f["units"].to_numpy(np.int64)
+    target = int(np.ceil(need.mean() * COVER))
+    stock, coming, rows = target, [0] * LEAD, []
+    for units in need.tolist():
+        stock += coming.pop(0)
+        sold = min(stock, units)
+        stock -= sold
+        rows.append((stock, sold, units - sold))
+        coming.append(max(0, target - stock - sum(coming)))
+    out = pd.DataFrame(rows, columns=["stock", "sold", "short"])
+    return pd.concat([f[["sku", "region", "t"]], out], axis=1)
+
+
+def discover_periods(y: np.ndarray, longest: int | None = None) -> list[int]:
+    """Periods at peaks of the periodogram that autocorrelation confirms; none is assumed."""
+    n = len(y)
+    x = y - np.polyval(np.polyfit(np.arange(n), y, 1), np.arange(n))
+    power = np.abs(np.fft.rfft(x)) ** 2
+    longest = min(longest or n // 3, n // 3)
+    found: list[int] = []
+    for k in np.argsort(-power)[:10]:
+        if k == 0 or power[k] < 6 * np.median(power[1:]):
+            continue
+        p = round(n / k)
+        if not 2 <= p <= longest or any(abs(p - q) <= 1 for q in found):
+            continue
+        acf = float((x[p:] * x[:-p]).sum() / (x * x).sum())
+        if acf > 2 / np.sqrt(n):
+            found.append(p)
+    return sorted(p for p in found if not any(q != p and q % p == 0 and q < p for q in found))
+
+
+def _moving(y: np.ndarray, n: int) -> np.ndarray:
+    kernel = np.ones(n) / n if n % 2 else np.r_[0.5, np.ones(n - 1), 0.5] / n
+    half = len(kernel) // 2
+    return np.convolve(np.r_[np.full(half, y[:n].mean()), y, np.full(half, y[-n:].mean())], kernel, "valid")
+
+
+def mstl(frame: pd.DataFrame) -> pd.DataFrame:
+    """Trend, sum of seasonal parts and remainder, by turns over the discovered periods."""
+    f = frame.sort_values("t").reset_index(drop=True)
+    y = f["y"].to_numpy(float)
+    periods = discover_periods(y)
+    seasonal = {p: np.zeros(len(y)) for p in periods}
+    trend = _moving(y, max(periods, default=7))
+    for _ in range(3):
+        for p in periods:
+            rest = y - trend - sum(s for q, s in seasonal.items() if q != p)
+            index = np.array([rest[k::p].mean() for k in range(p)])
+            seasonal[p] = (index - index.mean())[np.arange(len(y)) % p]
+        trend = _moving(y - sum(seasonal.values()), max(periods, default=7))
+    total = sum(seasonal.values()) if seasonal else np.zeros(len(y))
+    return pd.DataFrame({"region": f["region"], "t": f["t"], "trend": np.round(trend, 6), "seasonal": np.round(total, 6), "remainder": np.round(y - trend - total, 6)})
+
+
+def cochrane_orcutt(frame: pd.DataFrame) -> pd.DataFrame:
+    """A slope with AR(1) errors within each series, by turns until the error's coefficient settles."""
+    f = frame.sort_values(["sku", "channel", "t"])
+    x, y, t = f["x"].to_numpy(float), f["y"].to_numpy(float), f["t"].to_numpy()
+    follows = np.r_[False, (t[1:] == t[:-1] + 1)]
+    beta, rho = float((x * y).sum() / (x * x).sum()), 0.0
+    for _ in range(50):
+        u = y - beta * x
+        new = float((u[1:] * u[:-1])[follows[1:]].sum() / (u[:-1] ** 2)[follows[1:]].sum())
+        xs, ys = (x[1:] - new * x[:-1])[follows[1:]], (y[1:] - new * y[:-1])[follows[1:]]
+        beta = float((xs * ys).sum() / (xs * xs).sum())
+        if abs(new - rho) < 1e-9:
+            break
+        rho = new
+    return pd.DataFrame({"region": [frame["region"].iloc[0]], "beta": [round(beta, 6)], "rho": [round(rho, 6)], "n": [len(f)]})
