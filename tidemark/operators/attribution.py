@@ -16,7 +16,6 @@ from tidemark.sources.tables import FACTS, daily_events, sales, table
 #: The periods that the queries compare.
 BASE, NOW = 1997, 1998
 DIMS = ("region", "category", "segment", "sales_channel")
-_ALL = Window.partitionBy()
 
 
 def actual_and_forecast(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,7 +127,7 @@ def bennet_pvm(spark: SparkSession, sf: str) -> DataFrame:
     at = lambda y, c: F.sum(F.when(F.year("d") == y, F.col(c)).otherwise(0))
     g = sales(spark, sf).groupBy("category").agg(at(BASE, "units").alias("q0"), at(NOW, "units").alias("q1"), at(BASE, "net_e4").alias("v0"), at(NOW, "net_e4").alias("v1"))
     own = lambda v, q: F.col(v) / F.nullif(F.col(q), F.lit(0))
-    p = g.withColumns({"p0": F.coalesce(own("v0", "q0"), own("v1", "q1")), "p1": F.coalesce(own("v1", "q1"), own("v0", "q0")), "t0": F.sum("q0").over(_ALL), "t1": F.sum("q1").over(_ALL)})
+    p = g.withColumns({"p0": F.coalesce(own("v0", "q0"), own("v1", "q1")), "p1": F.coalesce(own("v1", "q1"), own("v0", "q0")), "t0": F.sum("q0").over(Window.partitionBy()), "t1": F.sum("q1").over(Window.partitionBy())})
     mean = F.expr("(p0 + p1) / 2")
     return p.agg(
         F.round(F.sum(F.expr("(p1 - p0) * (q0 + q1) / 2")) / 10000, 4).alias("price"),
@@ -152,9 +151,9 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
     e = daily_events(spark, sf)
     pick = lambda s: F.max(F.when(F.col("series") == s, F.col("y")))
     w = e.groupBy("d").agg(pick("purchase").alias("y"), pick("click").alias("x"))
-    c = w.select("d", (F.col("y") - F.avg("y").over(_ALL)).alias("y"), (F.col("x") - F.avg("x").over(_ALL)).alias("x"))
-    c = c.withColumns({"sxx": F.sum(F.col("x") * F.col("x")).over(_ALL), "n": F.count(F.lit(1)).over(_ALL)})
-    return c.withColumn("beta", F.sum(F.col("x") * F.col("y")).over(_ALL) / F.col("sxx")).withColumn("u", F.col("y") - F.col("beta") * F.col("x"))
+    c = w.select("d", (F.col("y") - F.avg("y").over(Window.partitionBy())).alias("y"), (F.col("x") - F.avg("x").over(Window.partitionBy())).alias("x"))
+    c = c.withColumns({"sxx": F.sum(F.col("x") * F.col("x")).over(Window.partitionBy()), "n": F.count(F.lit(1)).over(Window.partitionBy())})
+    return c.withColumn("beta", F.sum(F.col("x") * F.col("y")).over(Window.partitionBy()) / F.col("sxx")).withColumn("u", F.col("y") - F.col("beta") * F.col("x"))
 
 
 @query("hac_se", f"{_PANEL}, h as (select *, x * u as g, lag(x * u, 1) over (order by d) as g1, lag(x * u, 2) over (order by d) as g2, lag(x * u, 3) over (order by d) as g3 from u) select round(max(beta), 6) as beta, round(sqrt(sum(g * g) + 2 * (0.75 * sum(g * g1) + 0.5 * sum(g * g2) + 0.25 * sum(g * g3))) / max(sxx), 6) as hac_se, max(n)::int as n from h")

@@ -10,10 +10,10 @@ from pyspark.sql.window import Window
 from tidemark.registry import query
 from tidemark.sources.tables import FACTS, fulfilment, iso_week, marketing, sales, table
 
-EVENT_SCHEMA = T.StructType.fromDDL("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def load(spark: SparkSession, path: str, schema: T.StructType, source_format: str = "parquet", **options: str) -> DataFrame:
+def load(spark: SparkSession, path: str, schema: T.StructType | str, source_format: str = "parquet", **options: str) -> DataFrame:
     """A source by its contract: declared schema, nothing inferred."""
     return spark.read.format(source_format).schema(schema).options(**options).load(path)
 

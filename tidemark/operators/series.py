@@ -10,28 +10,40 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from tidemark.registry import query
 from tidemark.sources.tables import FACTS, daily_events, daily_sales, sales, table
 
-BY = Window.partitionBy("series")
-ORDERED = BY.orderBy("t")
-PAST = ORDERED.rowsBetween(Window.unboundedPreceding, -1)
-UPTO = ORDERED.rowsBetween(Window.unboundedPreceding, 0)
+
+def by_series() -> WindowSpec:
+    return Window.partitionBy("series")
+
+
+def ordered() -> WindowSpec:
+    return by_series().orderBy("t")
+
+
+def past() -> WindowSpec:
+    return ordered().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def upto() -> WindowSpec:
+    return ordered().rowsBetween(Window.unboundedPreceding, 0)
+
 
 #: z-scores by series, as the following queries' SQL begins.
 _Z = f"{FACTS}, z as (select series, t, d, y, (y - avg(y) over (partition by series)) / stddev(y) over (partition by series) as z from daily_events)"
 
 
 def z_scores(series: DataFrame) -> DataFrame:
-    return series.withColumn("z", (F.col("y") - F.avg("y").over(BY)) / F.stddev("y").over(BY))
+    return series.withColumn("z", (F.col("y") - F.avg("y").over(by_series())) / F.stddev("y").over(by_series()))
 
 
 def with_cusum(df: DataFrame, z: str = "z", k: float = 0.5) -> DataFrame:
     """``df`` with c_plus and c_minus, by series in the order of t."""
-    out = df.withColumns({"__p": F.sum(F.col(z) - k).over(UPTO), "__m": F.sum(-F.col(z) - k).over(UPTO)})
-    return out.withColumns({"c_plus": F.col("__p") - F.least(F.lit(0.0), F.min("__p").over(UPTO)), "c_minus": F.col("__m") - F.least(F.lit(0.0), F.min("__m").over(UPTO))}).drop("__p", "__m")
+    out = df.withColumns({"__p": F.sum(F.col(z) - k).over(upto()), "__m": F.sum(-F.col(z) - k).over(upto())})
+    return out.withColumns({"c_plus": F.col("__p") - F.least(F.lit(0.0), F.min("__p").over(upto())), "c_minus": F.col("__m") - F.least(F.lit(0.0), F.min("__m").over(upto()))}).drop("__p", "__m")
 
 
 @query("cusum", f"{_Z}, s as (select *, sum(z - 0.5) over w as p, sum(-z - 0.5) over w as m from z window w as (partition by series order by t)) select series, t, round(p - least(0, min(p) over w), 6) + 0 as c_plus, round(m - least(0, min(m) over w), 6) + 0 as c_minus from s window w as (partition by series order by t)")
@@ -42,8 +54,8 @@ def cusum_query(spark: SparkSession, sf: str) -> DataFrame:
 
 def with_ar1(df: DataFrame, y: str = "y") -> DataFrame:
     """``df`` with phi, the slope of y on its lag, and e, the one-step innovation of the centred series."""
-    r = df.withColumn("__r", F.col(y) - F.avg(y).over(BY)).withColumn("__l", F.lag("__r").over(ORDERED))
-    r = r.withColumn("phi", F.regr_slope("__r", "__l").over(BY))
+    r = df.withColumn("__r", F.col(y) - F.avg(y).over(by_series())).withColumn("__l", F.lag("__r").over(ordered()))
+    r = r.withColumn("phi", F.regr_slope("__r", "__l").over(by_series()))
     return r.withColumn("e", F.col("__r") - F.col("phi") * F.col("__l")).drop("__r", "__l")
 
 
@@ -56,14 +68,14 @@ def ar1_innov(spark: SparkSession, sf: str) -> DataFrame:
 def ewma_scale(spark: SparkSession, sf: str) -> DataFrame:
     """sigma_t^2 = .94 sigma_{t-1}^2 + .06 e_{t-1}^2 as a weighted running sum of the strict past."""
     z = z_scores(daily_events(spark, sf))
-    total = F.sum(0.06 * F.col("z") * F.col("z") * F.pow(F.lit(0.94), -F.col("t"))).over(PAST)
+    total = F.sum(0.06 * F.col("z") * F.col("z") * F.pow(F.lit(0.94), -F.col("t"))).over(past())
     return z.select("series", "t", F.round(F.sqrt(total * F.pow(F.lit(0.94), F.col("t") - 1)), 6).alias("sigma"))
 
 
 @query("adstock", f"{FACTS} select series, t, round(sum(y * pow(0.5, -t / 3.0)) over (partition by series order by t) * pow(0.5, t / 3.0), 4) as adstock from daily_events")
 def adstock(spark: SparkSession, sf: str) -> DataFrame:
     """Geometric carry-over with a half-life of three days."""
-    total = F.sum(F.col("y") * F.pow(F.lit(0.5), -F.col("t") / 3.0)).over(UPTO)
+    total = F.sum(F.col("y") * F.pow(F.lit(0.5), -F.col("t") / 3.0)).over(upto())
     return daily_events(spark, sf).select("series", "t", F.round(total * F.pow(F.lit(0.5), F.col("t") / 3.0), 4).alias("adstock"))
 
 
@@ -77,7 +89,7 @@ def robust_mad(spark: SparkSession, sf: str) -> DataFrame:
 
 def with_conformal(df: DataFrame, score: str = "s", window: int = 250) -> DataFrame:
     """``df`` with n_cal and p = (1 + #{past scores at least as large}) / (n + 1), over the ``window`` rows before."""
-    past = F.collect_list(score).over(ORDERED.rowsBetween(-window, -1))
+    past = F.collect_list(score).over(ordered().rowsBetween(-window, -1))
     out = df.withColumn("__past", past).withColumn("n_cal", F.size("__past"))
     return out.withColumn("p", (1 + F.size(F.filter("__past", lambda x: x >= F.col(score)))) / (F.col("n_cal") + 1)).drop("__past")
 
@@ -127,10 +139,10 @@ def range_frame(spark: SparkSession, sf: str) -> DataFrame:
 @query("stl_classical", f"{FACTS}, tr as (select series, t, d, y, avg(y) over w as trend, count(*) over w as n from daily_events window w as (partition by series order by t rows between 3 preceding and 3 following)), k as (select * from tr where n = 7), se as (select series, isodow(d) as dow, avg(y - trend) as s from k group by all), c as (select series, avg(s) as m from se group by 1) select k.series, t, round(trend, 6) as trend, round(s - m, 6) as seasonal, round(y - trend - (s - m), 6) as remainder from k join se on k.series = se.series and isodow(k.d) = dow join c on c.series = k.series")
 def stl_classical(spark: SparkSession, sf: str) -> DataFrame:
     """Centred moving average, weekday index, remainder."""
-    frame = ORDERED.rowsBetween(-3, 3)
+    frame = ordered().rowsBetween(-3, 3)
     k = daily_events(spark, sf).withColumns({"trend": F.avg("y").over(frame), "n": F.count("y").over(frame), "dow": F.weekday("d")}).where("n = 7")
     se = k.groupBy("series", "dow").agg(F.avg(F.col("y") - F.col("trend")).alias("s"))
-    se = se.withColumn("seasonal", F.col("s") - F.avg("s").over(BY)).drop("s")
+    se = se.withColumn("seasonal", F.col("s") - F.avg("s").over(by_series())).drop("s")
     out = k.join(se, ["series", "dow"])
     return out.select("series", "t", F.round("trend", 6).alias("trend"), F.round("seasonal", 6).alias("seasonal"), F.round(F.col("y") - F.col("trend") - F.col("seasonal"), 6).alias("remainder"))
 
@@ -138,15 +150,15 @@ def stl_classical(spark: SparkSession, sf: str) -> DataFrame:
 @query("changepoint", f"{FACTS}, s as (select series, t, d, sum(y - m) over (partition by series order by t) as c, m from (select *, avg(y) over (partition by series) as m from daily_events)) select series, arg_max(d, (round(abs(c), 6), -t)) as changepoint_date, round(max(abs(c)), 4) as deviation from s group by series")
 def changepoint(spark: SparkSession, sf: str) -> DataFrame:
     """Where the running deviation from the mean is largest: the level's most likely shift."""
-    s = daily_events(spark, sf).withColumn("x", F.col("y") - F.avg("y").over(BY)).withColumn("c", F.sum("x").over(UPTO))
+    s = daily_events(spark, sf).withColumn("x", F.col("y") - F.avg("y").over(by_series())).withColumn("c", F.sum("x").over(upto()))
     return s.groupBy("series").agg(F.max_by("d", F.struct(F.round(F.abs("c"), 6), -F.col("t"))).alias("changepoint_date"), F.round(F.max(F.abs("c")), 4).alias("deviation"))
 
 
 @query("acf_lags", f"{FACTS}, c as (select series, t, y - avg(y) over (partition by series) as x from daily_events), l as (select a.series, k, sum(a.x * b.x) as num from c a join (select unnest(range(1, 11))::int as k) on true join c b on a.series = b.series and b.t = a.t - k group by all) select l.series, k, round(num / v, 6) as acf from l join (select series, sum(x * x) as v from c group by 1) v using (series)")
 def acf_lags(spark: SparkSession, sf: str) -> DataFrame:
     """Autocorrelation at lags 1 to 10, from lags side by side in one pass."""
-    c = daily_events(spark, sf).withColumn("x", F.col("y") - F.avg("y").over(BY))
-    lagged = c.select("series", "x", *[F.lag("x", k).over(ORDERED).alias(f"l{k}") for k in range(1, 11)])
+    c = daily_events(spark, sf).withColumn("x", F.col("y") - F.avg("y").over(by_series()))
+    lagged = c.select("series", "x", *[F.lag("x", k).over(ordered()).alias(f"l{k}") for k in range(1, 11)])
     sums = lagged.groupBy("series").agg(F.sum(F.col("x") * F.col("x")).alias("v"), *[F.sum(F.col("x") * F.col(f"l{k}")).alias(f"c{k}") for k in range(1, 11)])
     return sums.select("series", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.round(F.col(f"c{k}") / F.col("v"), 6).alias("acf")) for k in range(1, 11)])).alias("a")).select("series", "a.k", "a.acf")
 
@@ -161,7 +173,7 @@ def fourier_terms(spark: SparkSession, sf: str) -> DataFrame:
 @query("periodogram", f"{FACTS}, c as (select series, t, y - avg(y) over (partition by series) as x, count(*) over (partition by series) as n from daily_events), f as (select series, k, sum(x * cos(2 * pi() * k * t / n)) as a, sum(x * sin(2 * pi() * k * t / n)) as b, max(n) as n from c, (select unnest(range(1, 16))::int as k) group by all) select series, k, round((a * a + b * b) / n, 3) as power from f")
 def periodogram(spark: SparkSession, sf: str) -> DataFrame:
     """Power at each whole frequency, all frequencies of a series in one pass over its rows."""
-    c = daily_events(spark, sf).withColumns({"x": F.col("y") - F.avg("y").over(BY), "n": F.count("y").over(BY)})
+    c = daily_events(spark, sf).withColumns({"x": F.col("y") - F.avg("y").over(by_series()), "n": F.count("y").over(by_series())})
     angle = lambda k: 2 * math.pi * k * F.col("t") / F.col("n")
     sums = c.groupBy("series").agg(F.max("n").alias("n"), *[g for k in range(1, 16) for g in (F.sum(F.col("x") * F.cos(angle(k))).alias(f"a{k}"), F.sum(F.col("x") * F.sin(angle(k))).alias(f"b{k}"))])
     power = [F.struct(F.lit(k).alias("k"), F.round((F.col(f"a{k}") * F.col(f"a{k}") + F.col(f"b{k}") * F.col(f"b{k}")) / F.col("n"), 3).alias("power")) for k in range(1, 16)]
@@ -193,7 +205,7 @@ def benford(spark: SparkSession, sf: str) -> DataFrame:
 def ks_uniform(spark: SparkSession, sf: str) -> DataFrame:
     """Largest gap between the p-values' distribution and the uniform one."""
     p = conformal_p(spark, sf).where("t >= 10")
-    r = p.withColumns({"k": F.row_number().over(BY.orderBy("p", "t")), "n": F.count(F.lit(1)).over(BY)})
+    r = p.withColumns({"k": F.row_number().over(by_series().orderBy("p", "t")), "n": F.count(F.lit(1)).over(by_series())})
     return r.groupBy("series").agg(F.round(F.max(F.greatest(F.col("k") / F.col("n") - F.col("p"), F.col("p") - (F.col("k") - 1) / F.col("n"))), 8).alias("ks"))
 
 
