@@ -87,3 +87,22 @@ def suffix_dedup(docs: list[tuple], n: int = 400) -> list[tuple]:
         runs = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
         out.append((d, len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def distance(a: list, b: list) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def edits(a: list, b: list, share: float) -> int | None:
+    """Edits between two word lists, or None above ``share`` of the longer one."""
+    most = int(share * max(len(a), len(b), 1) + 1e-9)
+    if abs(len(a) - len(b)) > most or len(set(a) ^ set(b)) > 2 * most:
+        return None
+    d = distance(a, b)
+    return d if d <= most else None

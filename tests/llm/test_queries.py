@@ -1,0 +1,243 @@
+"""The queries of the operators, and the pipeline, over whole small tables against brute force or SQL."""
+
+import hashlib
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+
+from tests.llm import brute
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+
+
+@pytest.fixture(scope="module")
+def queries():
+    from tidemark.llm.queries import QUERIES
+
+    return QUERIES
+
+
+def rows(df):
+    return {r["doc_id"]: r.asDict() for r in df.collect()}
+
+
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op3_license_scan"])
+def test_sql(spark, sf, queries, name):
+    from tidemark.llm.queries import ORACLES
+
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = c.sql(ORACLES[name])
+    got = queries[name](spark, sf)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(str, (tuple(r[c] for c in sorted(got.columns)) for r in got.collect()))) == sorted(map(str, want.select(*[duckdb.ColumnExpression(c) for c in sorted(got.columns)]).fetchall()))
+
+
+def test_op2_held_out_accuracy(spark):
+    from tidemark.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.1"
+    out = QUERIES["op2_toxicity"](spark, sf)
+    x = out.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").select("doc_id", "predicted", "toxic", "score").collect()
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in x)
+    hit = sum(r["predicted"] and r["toxic"] for r in x)
+    assert hit / sum(r["toxic"] for r in x) > 0.75 and hit / sum(r["predicted"] for r in x) > 0.9
+
+
+def test_op4(spark, sf, queries, docs):
+    got = rows(queries["op4_pii_spans"](spark, sf))
+    for d, t, *_ in docs:
+        want = brute.pii(t)
+        assert {k: got[d][k] for k in want} == want
+
+
+def test_op5(spark, sf, queries, docs):
+    got = rows(queries["op5_histogram_sharding"](spark, sf))
+    size = {d: len(t.encode()) + 16 for d, t, *_ in docs}
+    assert {d: (r["size"], r["text_crc32"]) for d, r in got.items()} == {d: (size[d], zlib.crc32(t.encode())) for d, t, *_ in docs}
+    bytes_of = [sum(r["size"] for r in got.values() if r["shard"] == s) for s in range(40)]
+    assert max(abs(b - np.mean(bytes_of)) for b in bytes_of) <= max(size.values())
+    for s in range(40):
+        slots = sorted(r["slot"] for r in got.values() if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+
+
+def test_op6(spark, sf, queries, docs):
+    got = {d: (r["n_words"], r["n_removed"], r["kept_sha256"]) for d, r in rows(queries["op6_substring_dedup"](spark, sf)).items()}
+    assert got == brute.substring_dedup([x[:2] for x in docs])
+
+
+def test_op7(spark, sf, queries, docs):
+    """Classes are the components of all pairs of edit similarity 0.8 or more that share a shingle."""
+    got = rows(queries["op7_order_minhash"](spark, sf))
+    said = {d: brute.WORD.findall(t) for d, t, *_ in docs}
+    pieces = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for d, w in said.items()}
+    root = {d: d for d in said}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sorted(said):
+        for b in sorted(said):
+            if a < b and pieces[a] & pieces[b] and brute.edits(said[a], said[b], 0.2) is not None:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert {d: r["class_id"] for d, r in got.items()} == {d: find(d) for d in said}
+
+
+def test_op8(spark, sf, queries, docs):
+    got = rows(queries["op8_source_mixing"](spark, sf))
+    size = {d: len(brute.WORD.findall(t)) for d, t, *_ in docs}
+    sources = sorted({s for *_, s in docs})
+    total = {s: sum(size[d] for d, _, _, x in docs if x == s) for s in sources}
+    target, weight = {s: 0.0 for s in sources}, {s: (3, 1, 2)[i % 3] for i, s in enumerate(sources)}
+    left, free = 1.5 * sum(size.values()), set(sources)
+    while left > 1e-6 and free:
+        w = sum(weight[s] for s in free)
+        add = {s: left * weight[s] / w for s in free}
+        left = 0.0
+        for s, x in add.items():
+            target[s] += x
+            if target[s] >= 2 * total[s]:
+                left += target[s] - 2 * total[s]
+                target[s] = 2.0 * total[s]
+                free.discard(s)
+    for d, _, _, s in docs:
+        r = got[d]
+        assert (r["size"], r["source_size"]) == (size[d], total[s]) and r["target"] == pytest.approx(target[s]) and 0 <= r["taken"] <= 2 * size[d]
+    for s in sources:
+        own = [size[d] for d, _, _, x in docs if x == s]
+        whole = int(target[s] // max(1, total[s]))
+        sums = {0}
+        for n in own if whole < 2 else []:
+            sums |= {x + n for x in sums}
+        best = min(abs(whole * total[s] + x - target[s]) for x in sums)
+        assert abs(sum(got[d]["taken"] for d, _, _, x in docs if x == s) - target[s]) <= best + 1
+
+
+def test_op9(spark, sf, queries, docs):
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in queries["op9_suffix_dedup"](spark, sf).collect())
+    assert got == sorted(brute.suffix_dedup([x[:2] for x in docs]))
+
+
+def test_op10(spark, sf, queries, docs):
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    got = {d: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for d, r in rows(queries["op10_decontamination"](spark, sf)).items()}
+    assert got == brute.decontamination([x[:2] for x in docs], items)
+
+
+def test_pipeline(spark, sf, queries):
+    """Each stage against its own input."""
+    import corpus_pipeline as cp
+
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, seen = docs.columns, []
+    for k, (_, stage) in enumerate(cp.STAGES):
+        docs = stage(spark, docs, sf)
+        rows = docs.collect()
+        seen.append([(r["doc_id"], r["text"], r["source"]) for r in rows])
+        docs = spark.createDataFrame(rows, docs.schema)
+        assert k + 1 == len(cp.STAGES) or docs.columns == columns
+    source = spark.read.parquet(f"{sf}/documents.parquet")
+    quality, near, clean, mixed, shards = seen
+    kept = {r["doc_id"] for r in queries["op1_quality_rules"](spark, sf).where("kept").collect()}
+    assert {d for d, *_ in quality} == kept and len(kept) < source.count()
+    from tidemark.llm.nearcopies import near_copies
+
+    classes = near_copies(spark.createDataFrame(quality, "doc_id long, text string, source string")).collect()
+    assert sorted(d for d, *_ in near) == sorted({r["class_id"] for r in classes})
+    hit = brute.decontamination([x[:2] for x in near], items)
+    assert sorted(d for d, *_ in clean) == sorted(d for d, v in hit.items() if not v[4])
+    assert {d for d, *_ in mixed} <= {d for d, *_ in clean} and sorted(mixed) == sorted(shards)
+    assert len(rows) == len(mixed) and len({(r["shard"], r["slot"]) for r in rows}) == len(rows)
+
+
+def test_components(spark):
+    from tidemark.llm.graphs import components
+
+    links = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (201, 200), (202, 201)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    want = {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 160)} | {201: 200, 202: 200}
+    assert got == want
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_alignment():
+    from tidemark.llm.nearcopies import edits_within
+
+    rng = np.random.default_rng(2)
+    pairs = []
+    for _ in range(200):
+        a = rng.integers(0, 9, rng.integers(0, 50)).astype(np.int32)
+        b = np.delete(a, rng.integers(0, max(1, len(a)), 3)) if len(a) > 3 else a
+        pairs.append((a, np.insert(b, rng.integers(0, len(b) + 1, 4), 99).astype(np.int32)))
+    most = np.full(len(pairs), 8)
+    want = [brute.distance(list(a), list(b)) for a, b in pairs]
+    assert edits_within(pairs, most).tolist() == [d if d <= 8 else -1 for d in want]
+
+
+def test_knapsack():
+    from tidemark.llm.mixing import fit
+
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        lengths = np.unique(rng.integers(1, 60, 6))
+        counts = rng.integers(1, 5, len(lengths))
+        for budget in (0, 1, 17, int((lengths * counts).sum() // 2), int((lengths * counts).sum()) + 5):
+            take = fit(lengths, counts, budget, fill=10**6)
+            sums = {0}
+            for n, c in zip(lengths.tolist(), counts.tolist(), strict=True):
+                sums = {x + k * n for x in sums for k in range(c + 1)}
+            taken = int((lengths * take).sum())
+            assert ((take >= 0) & (take <= counts)).all() and abs(taken - budget) == min(abs(x - budget) for x in sums)
+
+
+def test_merged_transforms():
+    from tidemark.llm import bwt
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(97, 100, 2000).astype(np.uint8).tobytes()
+    strings = [base[i : i + int(rng.integers(400, 900))] for i in rng.integers(0, 1100, 9)] + [b"a" * 1000]
+    weights = np.ones(len(strings), dtype=int)
+    weights[0] = 2
+    seen: dict[bytes, int] = {}
+    for s, w in zip(strings, weights, strict=True):
+        for k in range(len(s) - 399):
+            seen[s[k : k + 400]] = seen.get(s[k : k + 400], 0) + w
+    for shard in (600, 2500, 10**6):
+        got = bwt.repeated(strings, weights, 400, shard)
+        assert all(g.tolist() == [seen[s[k : k + 400]] > 1 for k in range(len(s) - 399)] for s, g in zip(strings, got, strict=True))
+
+
+def test_sketch_never_underestimates(spark):
+    import pyarrow as pa
+
+    from tidemark.llm import countmin
+
+    items = np.random.default_rng(6).integers(0, 3000, 9000).astype(np.uint64)
+    docs = spark.createDataFrame([(str(x),) for x in items.tolist()], "text string").repartition(3)
+    two, five = countmin.bitmaps(docs, lambda b: np.array(b.column("text").to_pylist(), dtype=np.uint64) if isinstance(b, pa.RecordBatch) else b, 1 << 16, (2, 5))
+    values, counts = np.unique(items, return_counts=True)
+    assert countmin.reached(two, values)[counts >= 2].all() and countmin.reached(five, values)[counts >= 5].all()
+    assert countmin.reached(two, np.arange(10**6, 10**6 + 2000, dtype=np.uint64)).mean() < 0.05
+
+
+def test_sharding_moves_little_and_splits_evenly(spark):
+    from tidemark.llm.sharding import find_splitters
+
+    rng = np.random.default_rng(8)
+    data = [(int(k), int(s)) for k, s in zip(rng.integers(0, 1 << 62, 5000), rng.integers(16, 500, 5000), strict=True)]
+    keys = np.array([k for k, _ in data])
+    sizes = np.array([s for _, s in data])
+    points = find_splitters(spark.createDataFrame(data, "key long, size long"), 8)
+    parts = np.bincount(np.searchsorted(points, keys, side="right"), weights=sizes, minlength=8)
+    assert points == sorted(points) and np.abs(parts - sizes.sum() / 8).max() <= 0.002 * sizes.sum() / 8 + 500
+    assert hashlib.sha256(str(points).encode()).hexdigest()

@@ -62,10 +62,10 @@ def boxed(df: DataFrame) -> DataFrame:
 
 
 def unboxed(df: DataFrame, *more: Column) -> DataFrame:
-    """The columns that ``boxed`` put away; columns of the same name in ``more`` replace them."""
-    fields = df.schema["__row"].dataType.names
-    taken = {c.lower() for c in df.select(*more).columns} if more else set()
-    return df.select(*[F.col(f"__row.`{c}`").alias(c) for c in fields if c.lower() not in taken], *more)
+    """The columns that ``boxed`` put away, then ``more``; where names are equal, the latter take the former's place."""
+    made = {name.lower(): column for name, column in zip(df.select(*more).columns, more, strict=True)} if more else {}
+    own = [made.pop(c.lower(), F.col(f"__row.`{c}`").alias(c)) for c in df.schema["__row"].dataType.names]
+    return df.select(*own, *made.values())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

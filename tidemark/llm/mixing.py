@@ -50,9 +50,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, fill: int = FILL) -> np.ndarray:
-    """How many documents of each length to take, so that their words come as near below ``budget`` as they can.
+    """How many documents of each length to take, so that their words come near ``budget``: exactly, where the
+    lengths that are left allow it, and else on the nearer side.
 
-    lengths: distinct, above 0. The sum never exceeds the budget.
+    lengths: distinct, above 0.
     """
     total = int((lengths * counts).sum())
     if budget >= total:
@@ -66,19 +67,28 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, fill: int = FILL)
         take[i] += more
         left -= more * int(lengths[i])
     if left > 0:
-        take += _knapsack(lengths, counts - take, left)
+        take = take + _nearest(lengths, counts - take, left)
+    if (lengths * take).sum() != budget and budget <= 16 * fill:  # too few documents to keep their shares by length
+        again = _nearest(lengths, counts, budget)
+        take = min(take, again, key=lambda t: abs(int((lengths * t).sum()) - budget))
     return take
 
 
-def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """The same for a small budget, exactly: the largest reachable sum. Counts are split into powers of two."""
+def _nearest(lengths: np.ndarray, counts: np.ndarray, goal: int) -> np.ndarray:
+    found = _knapsack(lengths, counts, goal, goal)
+    gap = goal - int((lengths * found).sum())
+    return _knapsack(lengths, counts, goal + gap - 1, goal) if gap > 1 else found  # a sum above may be nearer
+
+
+def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int, goal: int) -> np.ndarray:
+    """The reachable sum of at most ``budget`` that is nearest to ``goal``. Counts are split into powers of two."""
     reached = np.zeros(budget + 1, dtype=bool)
     reached[0] = True
     by = np.full(budget + 1, -1, dtype=np.int64)
     pieces: list[tuple[int, int]] = []
     for i in np.argsort(-lengths, kind="stable"):
         length, n, k = int(lengths[i]), int(min(counts[i], budget // max(1, lengths[i]))), 1
-        while n > 0 and not reached[budget]:
+        while n > 0 and not reached[goal]:
             k = min(k, n)
             step = k * length
             if step > budget:
@@ -92,7 +102,8 @@ def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarra
             n -= k
             k *= 2
     take = np.zeros(len(lengths), dtype=np.int64)
-    at = int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    at = int(sums[np.abs(sums - goal).argmin()])
     while at > 0:
         i, k = pieces[by[at]]
         take[i] += k
@@ -108,8 +119,8 @@ def _fit_source(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"rank": group["rank"], "size": group["size"], "whole": whole, "take": more})
 
 
-def mix(df: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
-    """``df`` with size, source_size, target, taken: the words that the mix takes of each document."""
+def _mixed(df: DataFrame, ident: str, text: str, source: str, seed: int) -> DataFrame:
+    """__row, size, source_size, target, taken."""
     sized = boxed(df).select(
         "__row",
         F.col(f"__row.`{source}`").alias("__source"),
@@ -117,10 +128,7 @@ def mix(df: DataFrame, ident: str = "doc_id", text: str = "text", source: str =
         F.xxhash64(F.lit(seed), F.col(f"__row.`{ident}`")).alias("__h"),
         F.xxhash64(F.col(f"__row.`{text}`")).alias("__t"),
     )
-    return _mixed(sized, sized.select(F.col("__source").alias("source"), "size", F.pmod("__h", F.lit(BUCKETS)).alias("bucket")))
-
-
-def _mixed(sized: DataFrame, slim: DataFrame) -> DataFrame:
+    slim = sized.select(F.col("__source").alias("source"), "size", F.pmod("__h", F.lit(BUCKETS)).alias("bucket"))
     buckets = materialize(slim.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")), "lengths")
     sources = materialize(targets(buckets.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))), "targets")
     named = buckets.join(sources.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
@@ -138,14 +146,19 @@ def _mixed(sized: DataFrame, slim: DataFrame) -> DataFrame:
     joined = keyed.join(dealt, (F.col("__rank") == F.col("__k.rank")) & (F.col("size") == F.col("__k.size")) & (F.col("__bucket") == F.col("__k.bucket")))
     nth = F.row_number().over(Window.partitionBy("__rank", "size", "__bucket").orderBy("__h", "__t"))
     taken = F.col("size") * (F.col("__d.whole") + F.when(nth <= F.col("__d.take"), 1).otherwise(0))
-    return unboxed(joined.withColumn("__taken", taken.cast("long")), F.col("size"), F.col("__d.source_size").alias("source_size"), F.col("__d.target").alias("target"), F.col("__taken").alias("taken"))
+    return joined.select("__row", "size", F.col("__d.source_size").alias("source_size"), F.col("__d.target").alias("target"), taken.cast("long").alias("taken"))
+
+
+def mix(df: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
+    """``df`` with size, source_size, target, taken: the words that the mix takes of each document."""
+    return unboxed(_mixed(df, ident, text, source, seed), *[F.col(c) for c in ("size", "source_size", "target", "taken")])
 
 
 def sample_mix(df: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
     """The rows that a mix makes of ``df``, with its own columns: a document taken twice is there twice."""
-    mixed = mix(df, ident, text, source, seed)
-    box = mixed.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("__times"))
-    return unboxed(box.where("__times > 0").withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__row"))
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    box = _mixed(df, ident, text, source, seed).select("__row", times.alias("__times")).where("__times > 0")
+    return unboxed(box.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__row"))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
