@@ -1,6 +1,6 @@
 """All queries of the engine: importing this module registers them."""
 
-from tidemark.operators import attribution, confidence, evidence, ingestion, kpi, series  # noqa: F401
+from tidemark.operators import attribution, confidence, decisions, evidence, ingestion, kpi, series  # noqa: F401
 from tidemark.registry import ORACLES, QUERIES  # noqa: F401
 from tidemark.sources import simulator  # noqa: F401
 from tidemark.streaming import arrivals  # noqa: F401

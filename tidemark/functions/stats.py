@@ -115,3 +115,21 @@ def cochrane_orcutt(frame: pd.DataFrame) -> pd.DataFrame:
             break
         rho = new
     return pd.DataFrame({"region": [frame["region"].iloc[0]], "beta": [round(beta, 6)], "rho": [round(rho, 6)], "n": [len(f)]})
+
+
+#: Smoothing of the chance of a sale and of its size.
+CHANCE, SIZE = 0.2, 0.2
+
+
+def tsb(frame: pd.DataFrame) -> pd.DataFrame:
+    """Chance and size of demand after the last month, as of the first month to the last of the product."""
+    seen = dict(zip(frame["t"].tolist(), frame["units"].tolist(), strict=True))
+    first, last = min(seen), max(seen)
+    chance, size = len(seen) / (last - first + 1), float(np.mean(list(seen.values())))
+    for t in range(first, last + 1):
+        if t in seen:
+            chance += CHANCE * (1 - chance)
+            size += SIZE * (seen[t] - size)
+        else:
+            chance -= CHANCE * chance
+    return pd.DataFrame({"sku": [frame["sku"].iloc[0]], "chance": [round(chance, 6)], "size": [round(size, 6)], "forecast": [round(chance * size, 6)]})

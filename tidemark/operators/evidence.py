@@ -91,7 +91,8 @@ _QUERY_TERMS = ("license", "token", "the", "rights")
 def bm25(docs: DataFrame, terms: tuple[str, ...], top: int = TOP) -> DataFrame:
     """doc_id, score of the best documents: postings of the query's terms alone, with corpus totals beside them."""
     words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " "), lambda x: x != "")
-    d = docs.select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("dl"), *[F.size(F.filter("w", lambda x: x == t)).alias(f"t{i}") for i, t in enumerate(terms)])
+    d = docs.select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("dl"), F.filter("w", lambda x: x.isin(*terms)).alias("hits"))
+    d = d.select("doc_id", "dl", *[F.size(F.filter("hits", lambda x: x == t)).alias(f"t{i}") for i, t in enumerate(terms)])
     totals = d.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"n{i}") for i in range(len(terms))])  # one row
     s = d.where(sum((F.col(f"t{i}") for i in range(len(terms))), F.lit(0)) > 0).crossJoin(F.broadcast(totals))
     part = lambda i: F.log(1 + (F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)) * F.col(f"t{i}") * (K1 + 1) / (F.col(f"t{i}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
