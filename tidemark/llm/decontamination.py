@@ -152,4 +152,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_decontamination": op10_decontamination}
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_ORACLE = f"""
+with d as materialized (select doc_id, {_WORDS} as w from documents),
+b as (select item_id::varchar as item_id, {_WORDS} as w from benchmark),
+i as (select item_id, w, least({WINDOW}, len(w)) as n from b where len(w) > 0),
+v as (select distinct item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) as win from i),
+s as (select distinct n from v),
+p as (select doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) as win, unnest(range(1, len(w) - n + 2)) as pos from d, s where len(w) >= n),
+h as (select p.doc_id, p.n, p.pos, p.win from p where (n, win) in (select n, win from v)),
+c as (select doc_id, count(*) as n_hit from (select distinct doc_id, pos + k as at from h, range({WINDOW}) r(k) where k < n) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items from (select distinct h.doc_id, v.item_id from h join v on h.n = v.n and h.win = v.win) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join c on d.doc_id = c.doc_id left join t on d.doc_id = t.doc_id
+"""
+ORACLES = {"op10_decontamination": _ORACLE}

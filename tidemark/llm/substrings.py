@@ -155,4 +155,14 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_substring_dedup": op6_substring_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op6_substring_dedup": rf"""
+with d as materialized (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+p as (select doc_id, unnest(list_transform(range(1, len(w) - {WINDOW - 2}), lambda i: array_to_string(w[i:i + {WINDOW - 1}], ' '))) as win, unnest(range(1, len(w) - {WINDOW - 2})) as i from d where len(w) >= {WINDOW}),
+g as (select doc_id, i, min(doc_id) over (partition by win) as first_id from p),
+gone as (select distinct doc_id, i + k as pos from g, range({WINDOW}) r(k) where first_id < doc_id),
+a as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as pos from d),
+k as (select a.doc_id, string_agg(word, ' ' order by a.pos) filter (gone.pos is null) as kept, count(gone.pos) as n_removed from a left join gone on a.doc_id = gone.doc_id and a.pos = gone.pos group by a.doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k on d.doc_id = k.doc_id
+"""
+}
