@@ -166,3 +166,18 @@ def test_decontamination(spark, docs, empty):
     assert clean.count() == sum(not v[4] for v in want.values())
     assert clean_documents(docs, bench.where("false")).count() == len(ROWS)
     assert clean_documents(empty, bench).count() == 0
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_stages(spark, sf, docs, empty, stage):
+    """Each stage alone: columns of all but the last stay, and an empty table is no failure."""
+    import corpus_pipeline as cp
+
+    out = cp.STAGES[stage][1](spark, docs, sf)
+    assert out.columns[: len(docs.columns)] == docs.columns
+    if stage < 4:
+        own_columns(docs, out)
+        assert {str(r["text"]) for r in out.select("text").collect()} <= {str(t) for _, t, *_ in ROWS}
+    else:
+        assert out.count() == len(ROWS) and {"text_crc32"} <= set(out.columns)
+    assert cp.STAGES[stage][1](spark, empty, sf).count() == 0

@@ -26,12 +26,13 @@ def rows(df):
     return {r["doc_id"]: r.asDict() for r in df.collect()}
 
 
-@pytest.mark.parametrize("name", ["op1_quality_rules", "op3_license_scan"])
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op3_license_scan", "op6_substring_dedup", "op10_decontamination"])
 def test_sql(spark, sf, queries, name):
     from tidemark.llm.queries import ORACLES
 
     c = duckdb.connect()
-    c.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    for t in ("documents", "benchmark"):
+        c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = c.sql(ORACLES[name])
     got = queries[name](spark, sf)
     assert sorted(got.columns) == sorted(want.columns)
