@@ -29,6 +29,7 @@ def test_works_without_the_corpus_operators(tmp_path):
 
     shutil.copytree(ROOT / "tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    (tmp_path / "tidemark" / "llm" / "__pycache__").mkdir(parents=True)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*e.queries())"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
     assert "kpi_net_revenue" in out.stdout and "op1_" not in out.stdout and "pipeline" not in out.stdout
 
