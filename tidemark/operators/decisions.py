@@ -139,3 +139,22 @@ def false_positive_rate(spark: SparkSession, sf: str) -> DataFrame:
     """Alarms in a period without events."""
     alarm = F.count_if(F.abs("z") > 3)
     return z_scores(daily_events(spark, sf)).where("t between 5 and 20").agg(F.count(F.lit(1)).alias("n"), alarm.alias("alarms"), F.round(alarm / F.count(F.lit(1)), 8).alias("rate"))
+
+
+_ORDER = ("insufficient", "low", "moderate", "high")
+
+
+@query("entailment_cap", f"{_DECIDE}, d as (select *, round({_SOFT}, 6) as raw, least({', '.join(SIGNALS)}) < {GATE} as gated from s) select case when gated then 'abstain' when raw >= 0.5 then 'moderate' when raw >= 0.3 then 'low' else 'insufficient' end as verdict, count(*) as n from d group by 1")
+def entailment_cap(spark: SparkSession, sf: str) -> DataFrame:
+    """Without a model that judges entailment only numbers are checked, and no tier goes above moderate."""
+    d = decide(spark, sf)
+    capped = F.when(F.col("verdict") == _ORDER[3], _ORDER[2]).otherwise(F.col("verdict"))
+    return d.groupBy(capped.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("adaptation_route", f"{FACTS}, s as (select sku, count(distinct d) as n_days, count(distinct region) as regions, stddev(units) / avg(units) as cv from sales group by 1) select sku, case when n_days < 28 then 'pooled_launch' when n_days / 2405 < 0.02 then 'croston_tsb' when regions < 2 then 'correlated_kpis' when cv > 0.6 then 'poisson_bands' else 'mstl' end as operator from s")
+def adaptation_route(spark: SparkSession, sf: str) -> DataFrame:
+    """Which baseline a product's data can bear."""
+    s = sales(spark, sf).groupBy("sku").agg(F.count_distinct("d").alias("n"), F.count_distinct("region").alias("regions"), (F.stddev("units") / F.avg("units")).alias("cv"))
+    operator = F.when(F.col("n") < 28, "pooled_launch").when(F.col("n") / 2405 < 0.02, "croston_tsb").when(F.col("regions") < 2, "correlated_kpis").when(F.col("cv") > 0.6, "poisson_bands").otherwise("mstl")
+    return s.select("sku", operator.alias("operator"))

@@ -241,10 +241,16 @@ def fmt_inr(spark: SparkSession, sf: str) -> DataFrame:
     union all select 'wms', count(*), sum(ordered)::bigint from (select d, warehouse, sku, sum(ordered)::bigint as ordered from fulfilment group by all)
     union all select 'martech', count(*), sum(spend_e2)::bigint from marketing
     union all select 'tickets', count(*), sum(length(text))::bigint from conversations where role = 'user'
-    union all select 'pim', count(*), count(distinct p_type) from part""",
+    union all select 'pim', count(*), count(distinct p_type) from part
+    union all select 'inventory', count(*), sum(stock)::bigint from (select warehouse, sku, (sum(ordered) - sum(shipped_ok))::bigint as stock from fulfilment group by all)
+    union all select 'promo_notes', count(*), sum(discount_e4)::bigint from (select distinct sku, region, date_trunc('month', d) as m, discount_e4 from sales where discount_e4 >= 900)
+    union all select 'competitor_prices', count(*), sum(cast(round(p_retailprice * 102) as bigint))::bigint from part where p_partkey % 10 < 6
+    union all select 'market_panel', count(*), sum(units)::bigint from (select category, region, date_trunc('month', d) as m, sum(units)::bigint as units from sales group by all)
+    union all select 'news', count(*), count(distinct source) from documents
+    union all select 'reviews', count(*), count(distinct conv_id) from conversations where role <> 'user'""",
 )
 def project_sources(spark: SparkSession, sf: str) -> DataFrame:
-    """One truth seen through the lossy views of five sources."""
+    """One truth seen through the lossy views of eleven sources."""
     summary = lambda df, name, amount: df.agg(F.count(F.lit(1)).alias("n_rows"), amount.alias("amount")).select(F.lit(name).alias("source"), "n_rows", F.col("amount").cast("long").alias("amount"))
     views = [
         summary(sales(spark, sf).groupBy("d", "sku", "region", "sales_channel").agg(F.sum("net_e4").alias("x")), "oms", F.sum("x")),
@@ -252,6 +258,12 @@ def project_sources(spark: SparkSession, sf: str) -> DataFrame:
         summary(marketing(spark, sf), "martech", F.sum("spend_e2")),
         summary(table(spark, sf, "conversations").where("role = 'user'"), "tickets", F.sum(F.length("text"))),
         summary(table(spark, sf, "part"), "pim", F.count_distinct("p_type")),
+        summary(fulfilment(spark, sf).groupBy("warehouse", "sku").agg((F.sum("ordered") - F.sum("shipped_ok")).alias("x")), "inventory", F.sum("x")),
+        summary(sales(spark, sf).where("discount_e4 >= 900").select("sku", "region", F.trunc("d", "month").alias("m"), "discount_e4").distinct(), "promo_notes", F.sum("discount_e4")),
+        summary(table(spark, sf, "part").where("p_partkey % 10 < 6"), "competitor_prices", F.sum(F.round(F.col("p_retailprice") * 102).cast("long"))),
+        summary(sales(spark, sf).groupBy("category", "region", F.trunc("d", "month").alias("m")).agg(F.sum("units").alias("x")), "market_panel", F.sum("x")),
+        summary(table(spark, sf, "documents"), "news", F.count_distinct("source")),
+        summary(table(spark, sf, "conversations").where("role <> 'user'"), "reviews", F.count_distinct("conv_id")),
     ]
     out = views[0]
     for v in views[1:]:
