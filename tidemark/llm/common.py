@@ -35,12 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, rebalance: bool = False) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
-    It cuts the lineage at files that survive the loss of executors, and gives the planner true sizes.
+    It cuts the lineage at files that survive the loss of executors, and gives the planner true sizes. ``rebalance``
+    is for small rows made of large ones: they are put together into files of the advisory size, not one a task.
     """
     spark = df.sparkSession
+    df = df.hint("rebalance") if rebalance else df
     path = f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -112,7 +112,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """
     raw = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = materialize(raw.mapInPandas(_item_windows(window, shingle), _WINDOWS), "item-windows")
-    base = materialize(_hits(docs, items, window).withColumn("__rid", F.monotonically_increasing_id()), "document-hits")
+    base = materialize(_hits(docs, items, window).withColumn("__rid", F.monotonically_increasing_id()), "document-hits", rebalance=True)
     hits = base.select("__rid", "n_words", "regions", F.explode("hits").alias("x")).select("__rid", "n_words", "regions", "x.*")
     shingles = items.select("win", "len", "place", "s", "h").distinct()
     seen = base.select(F.explode("hits").alias("x")).groupBy("x.s", "x.h").agg(F.count(F.lit(1)).alias("n"))

@@ -163,13 +163,13 @@ def quality_filter(df: DataFrame, text: str = "text", lang: str = "lang", source
     fields = [*BASE, *RULES]
     flat = with_measures(df, text).select("__row", F.col(f"__row.`{lang}`").alias("lang"), F.col(f"__row.`{source}`").alias("source"), *[F.col(f"m.{c}").alias(c) for c in fields])
     # written, as filters pushed into the projection would compute the measures again and again
-    thresholds = fit_thresholds(materialize(flat.drop("__row"), "measures"))
+    thresholds = fit_thresholds(materialize(flat.drop("__row"), "measures", rebalance=True))
     return unboxed(judge(flat, thresholds).where("kept").select("__row"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", measures(F.col("text")).alias("m"))
-    measured = materialize(docs.select("doc_id", "lang", "source", *[F.col(f"m.{c}").alias(c) for c in [*BASE, *RULES]]), "measures")
+    measured = materialize(docs.select("doc_id", "lang", "source", *[F.col(f"m.{c}").alias(c) for c in [*BASE, *RULES]]), "measures", rebalance=True)
     return judge(measured, fit_thresholds(measured)).select("doc_id", *BASE, "base_failed", "kept", *RULES)
 
 
