@@ -214,4 +214,16 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_suffix_dedup": op9_suffix_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op9_suffix_dedup": f"""
+with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+p as (select doc_id, i, md5(substr(h, 2 * i + 1, {2 * WINDOW})) as m from (select doc_id, h, unnest(range(0, length(h) // 2 - {WINDOW - 1})) as i from d where length(h) >= {2 * WINDOW})),
+r as (select m from p group by m having count(*) > 1),
+f as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= {WINDOW} then 0 else 1 end as fresh from p where m in (select m from r)),
+k as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as run from f),
+s as (select doc_id, run, min(i) as a, max(i) + {WINDOW} as b from k group by doc_id, run),
+q as (select *, lag(b, 1, 0) over (partition by doc_id order by a) as prev from s),
+o as (select q.doc_id, count(*) as n_spans, sum(b - a)::bigint as n_removed, string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) as kept from q join d on q.doc_id = d.doc_id group by q.doc_id)
+select d.doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from d left join o on d.doc_id = o.doc_id
+"""
+}
