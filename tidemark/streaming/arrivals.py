@@ -50,7 +50,7 @@ def run_to_table(stream: DataFrame, mode: str = "append", each: Callable[[DataFr
     return spark.read.schema(T.StructType([*schema.fields, T.StructField("epoch", T.IntegerType())])).parquet(f"{out}/data")
 
 
-@query("stream_ingest")
+@query("stream_ingest", "select distinct event_id, ts, event_type, value from events")
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Files to bronze: duplicates within the watermark go, rows carry their batch."""
     s = event_stream(spark, sf).withWatermark("ts", "40 days").dropDuplicatesWithinWatermark(["event_id"])
@@ -98,7 +98,7 @@ def _freshness(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd
     yield pd.DataFrame({"event_type": [key[0]], "last_at": [last], "breaches": [gaps], "seen": [n]})
 
 
-@query("freshness_state")
+@query("freshness_state", "with e as (select event_type, floor(epoch(ts))::bigint as sec from events), l as (select *, sec - lag(sec) over (partition by event_type order by sec) > 5400 as gap from e) select event_type, max(sec) as last_at, count(*) filter (gap) as breaches, count(*) as seen from l group by event_type")
 def freshness_state(spark: SparkSession, sf: str) -> DataFrame:
     """Per source: newest event, how often it went stale, and events seen, kept as state across batches."""
     s = event_stream(spark, sf).select("event_type", F.col("ts").cast("long").alias("at"))
