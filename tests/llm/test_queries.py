@@ -242,3 +242,15 @@ def test_sharding_moves_little_and_splits_evenly(spark):
     parts = np.bincount(np.searchsorted(points, keys, side="right"), weights=sizes, minlength=8)
     assert points == sorted(points) and np.abs(parts - sizes.sum() / 8).max() <= 0.002 * sizes.sum() / 8 + 500
     assert hashlib.sha256(str(points).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("n", [6, 60])
+def test_near_copies_are_found_among_texts_with_one_passage(spark, n):
+    """70 % of each text is one passage; near copies share no shingle of their own, as every other own word is changed."""
+    from tidemark.llm.nearcopies import near_copies
+
+    passage = [f"p{i}" for i in range(140)]
+    own = lambda k, changed: [f"c{k}w{i}" if changed and i % 2 else f"o{k}w{i}" for i in range(60)]
+    texts = [(i, " ".join(passage + own(i % n, i >= n))) for i in range(2 * n)]
+    got = {r["doc_id"]: r["class_id"] for r in near_copies(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {i: i % n for i in range(2 * n)}

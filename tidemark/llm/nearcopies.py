@@ -3,10 +3,13 @@
 A sketch has ``TABLES`` entries. For each, the ``CHOSEN`` least of a text's shingles of ``SHINGLE`` words, each
 labelled with how often it occurred before, are kept in the order of the text and hashed together: texts agree
 in an entry if they share these shingles and their order, so agreement follows edit similarity. Equal texts are
-one class from the start. Classes that share an entry are paired with the first class of that entry, and with a
-neighbour that shares the next entry too, never all with all; pairs are aligned word by word in a band that is widened up to the most edits that
-similarity ``SIMILARITY`` (1 - edits / words of the longer text) allows. Linked classes are joined by connected
-components.
+one class from the start. Classes that share an entry are paired first with the first class of that entry, and with a
+neighbour that shares the next entry too; pairs are aligned word by word in a band that is widened up to the most edits
+that similarity ``SIMILARITY`` (1 - edits / words of the longer text) allows. Entries whose classes are all linked by
+then are settled. In the others, all classes that aren't linked are paired where an entry has ``FEW`` classes or fewer;
+classes of larger entries (a passage that many texts share) are paired where they have one of their rarest words in
+common. That loses no pair: similar texts share all but a fifth of the longer one's words, so in any order of words
+the first fifth of one and of the other, and one word more, meet. Linked classes are joined by connected components.
 
 Defined cases: a null text equals an empty one; texts without words are copies only of equal texts; a text shorter
 than a shingle is one shingle; null ids come after all others; of repeated rows one stays; an empty table gives an
@@ -34,6 +37,8 @@ PLACE_BITS, ALL = 28, np.uint64(2**64 - 1)
 BITS = 1 << 24
 #: Pairs that are aligned together, and the first half width of the band.
 BATCH, BAND = 128, 16
+#: Up to so many classes of an entry are paired one by one, more of them by their rarest words.
+FEW = 32
 _SEEDS = tokens.scramble(np.arange(1, TABLES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -102,18 +107,56 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(t).alias("t1"), F.xxhash64(F.lit(1), t).alias("t2")]
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """a, b: classes that share an entry, each with the first of it and with one neighbour."""
+def _members(classes: DataFrame) -> DataFrame:
+    """cid, entry, next, first, n: classes by entries that they share, with the first class of each and their number."""
     each = classes.select("cid", "entries", F.posexplode("entries").alias("t", "entry"))
     rows = each.select("cid", "entry", F.get("entries", F.pmod(F.col("t") + 1, F.lit(TABLES))).alias("next"))
-    shared = rows.groupBy("entry").agg(F.min("cid").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = materialize(rows.join(shared, "entry"), "members")
+    shared = rows.groupBy("entry").agg(F.min("cid").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return materialize(rows.join(shared, "entry"), "members")
+
+
+def _candidates(members: DataFrame) -> DataFrame:
+    """a, b: classes that share an entry, each with the first of it and with one neighbour."""
     star = members.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b"))
     near = Window.partitionBy("entry", "next").orderBy("cid")  # in one order for all entries, so most neighbours recur
     chain = members.select("cid", F.lag("cid").over(near).alias("before")).where("before is not null").select(F.least("before", "cid").alias("a"), F.greatest("before", "cid").alias("b"))
     return star.union(chain).distinct()
 
 
+def _similar_lengths(na: str, nb: str) -> Column:
+    longest = F.greatest(na, nb)
+    return longest - F.least(na, nb) <= F.floor(longest * (1 - SIMILARITY) + 1e-9)
+
+
+def _by_rare_words(words: DataFrame) -> DataFrame:
+    """cid, root, n_words, words -> a, b: classes of unlike roots and like lengths that share one of their rarest words.
+
+    Words are labelled with how often they occurred before, and ordered by the number of roots that have them.
+    """
+    each = materialize(words.mapInArrow(_labelled, "cid long, root long, n_words int, words array<long>").select("cid", "root", "n_words", F.explode("words").alias("word")), "labelled")
+    spread = materialize(each.select("word", "root").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("roots")), "spread")
+    rank = F.row_number().over(Window.partitionBy("cid").orderBy("roots", "word"))
+    rarest = each.join(spread, "word").withColumn("rank", rank).where(F.col("rank") <= F.floor(F.col("n_words") * (1 - SIMILARITY) + 1e-9) + 1)
+    rarest = materialize(rarest.where("roots > 1").select("cid", "root", "n_words", "word"), "rarest")
+    one, other = (rarest.select("word", F.col("cid").alias(x), F.col("root").alias(f"r{x}"), F.col("n_words").alias(f"n{x}")) for x in "ab")
+    return one.join(other, "word").where("a < b and ra <> rb").where(_similar_lengths("na", "nb")).select("a", "b").distinct()
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = []
+        for x in batch.column("words"):
+            w = x.values.to_numpy().astype(np.int64)
+            order = np.argsort(w, kind="stable")
+            index = np.arange(len(w))
+            new = np.r_[True, w[order][1:] != w[order][:-1]] if len(w) else np.zeros(0, dtype=bool)
+            label = index - np.maximum.accumulate(np.where(new, index, 0))
+            lists.append(pa.array(w[order] << 32 | label, pa.int64()))
+        first = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
+        out = pa.ListArray.from_arrays(pa.array(first), pa.concat_arrays(lists) if lists else pa.array([], pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("root"), batch.column("n_words"), out], ["cid", "root", "n_words", "words"])
+
+
 def _word_lists(bits: bytes):
     """t1, t2, words: 31-bit hashes of the words of the texts that the bitmap may know."""
 
@@ -226,24 +269,44 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep)), pa.array(1 - edits[keep] / longer[keep])], ["u", "v", "similarity"])
 
 
-def near_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """u, v, similarity: classes whose texts are near copies.
-
-    docs: text, t1, t2; classes: cid, t1, t2, n_words, entries, for each distinct text.
-    """
-    pairs = _candidates(classes)
-    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n_words").alias(f"n{x}"))
-    longest = F.greatest("na", "nb")
-    pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(longest - F.least("na", "nb") <= F.floor(longest * (1 - SIMILARITY) + 1e-9)).select("a", "b"), "pairs")
-    wanted = classes.join(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "cid").select("cid", "t1", "t2")
+def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cid, words of the classes ``wanted`` (cid, t1, t2)."""
     marks = wanted.select(F.col("t1").bitwiseAND(F.lit(BITS - 1)).cast("int").alias("b")).distinct()
     known = np.zeros(BITS, dtype=bool)
     known[marks.toPandas()["b"].to_numpy().astype(np.int64)] = True  # BITS rows at most
     lists = docs.select("t1", "t2", "text").mapInArrow(_word_lists(np.packbits(known).tobytes()), "t1 long, t2 long, words array<int>")
     # of equal texts one list: they have the same class
-    words = materialize(wanted.join(lists, ["t1", "t2"]).groupBy("cid").agg(F.first("words").alias("words")), "words")
+    return materialize(wanted.join(lists, ["t1", "t2"]).groupBy("cid").agg(F.first("words").alias("words")), "words")
+
+
+def _near(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """u, v, similarity: those of ``pairs`` (a, b) that are near copies."""
+    wanted = classes.join(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "cid").select("cid", "t1", "t2")
+    words = _words_of(docs, wanted)
     full = pairs.join(words.select(F.col("cid").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("cid").alias("b"), F.col("words").alias("wb")), "b")
-    return full.mapInArrow(_aligned, "u long, v long, similarity double")
+    return materialize(full.mapInArrow(_aligned, "u long, v long, similarity double"), "near")
+
+
+def near_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """u, v, similarity: classes whose texts are near copies; those that share an entry are linked or joined by links.
+
+    docs: text, t1, t2; classes: cid, t1, t2, n_words, entries, for each distinct text.
+    """
+    members = _members(classes)
+    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n_words").alias(f"n{x}"))
+    alike = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(_similar_lengths("na", "nb")).select("a", "b")
+    pairs = materialize(alike(_candidates(members)), "pairs")
+    links = _near(docs, classes, pairs)
+    roots = components(links.select("u", "v")).withColumnRenamed("node", "cid")
+    rooted = materialize(members.select("entry", "cid", "n").join(roots, "cid", "left").select("entry", "cid", "n", F.coalesce("root", "cid").alias("root")), "rooted")
+    unsettled = rooted.groupBy("entry").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("entry")
+    rest = materialize(rooted.join(unsettled, "entry"), "rest")
+    one, other = (rest.where(F.col("n") <= FEW).select("entry", F.col("cid").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    few = alike(one.join(other, "entry").where("a < b and ra <> rb").select("a", "b").distinct())
+    hot = materialize(rest.where(F.col("n") > FEW).select("cid", "root").distinct().join(classes.select("cid", "t1", "t2", "n_words"), "cid"), "hot")
+    many = _by_rare_words(_words_of(docs, hot.select("cid", "t1", "t2")).join(hot.select("cid", "root", "n_words"), "cid").select("cid", "root", "n_words", "words"))
+    more = materialize(few.union(many).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    return links.union(_near(docs, classes, more))
 
 
 def near_copies(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
