@@ -25,10 +25,22 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
 
 
+def text_key(text: Column) -> list[Column]:
+    """Two 64-bit hashes that tell texts apart; null equals the empty text."""
+    t = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(t).alias("t1"), F.xxhash64(F.lit(1), t).alias("t2")]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session, as in tests, gets a temporary folder; a cluster is refused, as its executors
+    would write to their own disks.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
