@@ -5,13 +5,17 @@ pieces between matches give the positions. Patterns are possessive, so no text m
 deeply. Where a pattern begins with a run of characters, a match may only start at the run's start or where the
 last match ended, as any later start would be preceded by an earlier one.
 
-Base kinds are email, ip, card (12 to 19 digits, Luhn) and phone (9 to 15 digits). The method adds iban (mod-97)
-and secret (a long hexadecimal or base-64 word). A span's score is its kind's prior, plus ``CONTEXT`` where a
-context word of its kind occurs within ``NEAR`` code points before it. Added kinds are kept from ``THRESHOLD`` on;
-base kinds are kept whatever their score.
-
-Defined cases: a null text is empty; an empty text has no spans and the hash of the empty string; repeated rows
-are treated alike; an empty table gives an empty result.
+Base kinds are email, ip, card (12 to 19 digits, Luhn) and phone (9 to 15 digits). The method adds iban (mod-97),
+secret (a long hexadecimal word, or one that begins like a known provider's key) and account (8 to 18 digits in a row
+that no other kind takes, told from other numbers by its context alone). A span's score is its kind's prior, plus
+``CONTEXT`` where a word that speaks for its kind occurs within ``NEAR`` code points before it, less ``CONTEXT`` where
+one does that speaks against it (samples, checksums, order numbers), within 0 and 1. Added kinds are kept from
+``THRESHOLD`` on. Base kinds are kept whatever their score, as the contract has it; their score says how sure they are,
+and ``with_spans`` and ``redact`` leave out those below ``least``.
+
+Defined cases: a null text is empty; an empty text has no spans and the hash of the empty string; a very long text is
+searched whole, without recursion; spans of one start are ordered by kind as listed; repeated rows are treated alike;
+columns of the input named like a result give way to it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,12 +33,15 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
 SECRET = r"(?<![A-Za-z0-9+/_])(?:[A-Fa-f0-9]{32,128}|(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36,255}|sk-[A-Za-z0-9_-]{20,200})(?![A-Za-z0-9+/_])"
-#: Score of a span without context.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.7, "secret": 0.4}
-CONTEXT = 0.3
-THRESHOLD = 0.6
+ACCOUNT = r"(?<![A-Za-z0-9.+-])[0-9]{8,18}(?![A-Za-z0-9.-])"
+#: Score of a span without context, in thousandths.
+PRIOR = {"email": 900, "ip": 600, "card": 800, "phone": 700, "iban": 700, "secret": 400, "account": 300}
+#: Score of a secret that begins like a provider's key.
+MARKED = 700
+CONTEXT = 300
+THRESHOLD = 600
 NEAR = 40
-#: Context words by kind.
+#: Words that speak for a kind, and against it.
 NEARBY = {
     "email": r"(?i)\b(?:e-?mail|contact|write|mailto)\b",
     "ip": r"(?i)\b(?:ip|host|server|address)\b",
@@ -42,10 +49,20 @@ NEARBY = {
     "phone": r"(?i)\b(?:tel|phone|call|mobile|fax)\b",
     "iban": r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b",
     "secret": r"(?i)\b(?:token|secret|key|password|passwd|bearer|api)\b",
+    "account": r"(?i)\b(?:account|acct|konto|compte|cuenta|passport|ssn|social security)\b",
+}
+AGAINST = {
+    "email": r"(?i)\b(?:example|sample|noreply)\b",
+    "ip": r"(?i)\b(?:version|release|section|chapter)\b",
+    "card": r"(?i)\b(?:order|isbn|tracking|invoice)\b",
+    "phone": r"(?i)\b(?:order|isbn|example)\b",
+    "iban": r"(?i)\b(?:example|sample|specimen)\b",
+    "secret": r"(?i)\b(?:sha1|sha256|md5|checksum|digest|commit|revision|etag)\b",
+    "account": r"(?i)\b(?:order|isbn|population|views|bytes)\b",
 }
 #: Base kinds, in the order that breaks ties of spans with one start.
 KINDS = ("email", "ip", "card", "phone")
-ADDED = ("iban", "secret")
+ADDED = ("iban", "secret", "account")
 
 
 def luhn(number: Column) -> Column:
@@ -79,7 +96,7 @@ def _confirmed(kind: str, m: Column) -> Column:
 def _spans(text: Column, kind: str, pattern: str, needs: Column) -> Column:
     """array<struct<start, kind rank, kind, end, score>> of the confirmed spans; ``needs`` is false where there can be none."""
     rank = (*KINDS, *ADDED).index(kind)
-    empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,score:double>>")
+    empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,score:int>>")
     between = lambda pieces, found: F.aggregate(
         F.arrays_zip(F.slice(F.transform(pieces, F.length), 1, F.size(found)).alias("gap"), found.alias("m")),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("out")),
@@ -90,15 +107,18 @@ def _spans(text: Column, kind: str, pattern: str, needs: Column) -> Column:
         lambda a: a["out"],
     )
     near = lambda x: F.substring(text, F.greatest(x["start"] - NEAR, F.lit(0)) + 1, F.least(x["start"], F.lit(NEAR)))
+    prior = lambda m: F.when(m.rlike(r"^(?:AKIA|ASIA|gh[opsu]_|sk-)"), MARKED).otherwise(PRIOR[kind]) if kind == "secret" else F.lit(PRIOR[kind])
+    context = lambda said: F.when(said.rlike(NEARBY[kind]), CONTEXT).otherwise(0) - F.when(said.rlike(AGAINST[kind]), CONTEXT).otherwise(0)
+    score = lambda x: F.greatest(F.lit(0), F.least(F.lit(1000), prior(x["m"]) + let(near(x), context)))
     scored = lambda found: F.transform(
         F.filter(between(F.split(text, pattern), found), lambda x: _confirmed(kind, x["m"])),
-        lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["end"].alias("end"), (F.lit(PRIOR[kind]) + F.when(near(x).rlike(NEARBY[kind]), CONTEXT).otherwise(0.0)).alias("score")),
+        lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["end"].alias("end"), score(x).alias("score")),
     )
     return F.when(needs, let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, scored(found)).otherwise(empty))).otherwise(empty)
 
 
-def find_spans(text: Column) -> Column:
-    """All spans of a text that isn't null, in the order of start and kind."""
+def find_spans(text: Column, least: int = 0) -> Column:
+    """All spans of a text that isn't null, in the order of start and kind, with scores in thousandths from ``least`` on."""
     number = text.rlike("[0-9][0-9 -]{10}")
     of = {
         "email": _spans(text, "email", EMAIL, F.contains(text, F.lit("@"))),
@@ -107,21 +127,24 @@ def find_spans(text: Column) -> Column:
         "phone": _spans(text, "phone", PHONE, text.rlike(r"\+[0-9]")),
         "iban": _spans(text, "iban", IBAN, text.rlike("[A-Z]{2}[0-9]{2}")),
         "secret": _spans(text, "secret", SECRET, text.rlike("[A-Fa-f0-9]{32}|A[KS]IA[A-Z0-9]|gh[opsu]_|sk-")),
+        "account": _spans(text, "account", ACCOUNT, text.rlike("[0-9]{8}") & text.rlike(NEARBY["account"])),
     }
-    kept = F.filter(F.concat(*[of[k] for k in (*KINDS, *ADDED)]), lambda s: (s["rank"] < len(KINDS)) | (s["score"] >= THRESHOLD))
-    return F.array_sort(kept)
+    sure = F.filter(F.concat(*[of[k] for k in (*KINDS, "iban", "secret")]), lambda s: (s["rank"] < len(KINDS)) | (s["score"] >= THRESHOLD))
+    alone = lambda taken: F.filter(of["account"], lambda s: (s["score"] >= THRESHOLD) & ~F.exists(taken, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])))
+    kept = let(sure, lambda taken: F.concat(taken, alone(taken)))
+    return F.array_sort(F.filter(kept, lambda s: s["score"] >= least) if least else kept)
 
 
-def with_spans(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` and pii, its spans with scores."""
-    return unboxed(boxed(df).withColumn("__s", find_spans(F.coalesce(F.col(f"__row.`{text}`"), F.lit("")))), F.col("__s").alias("pii"))
+def with_spans(df: DataFrame, text: str = "text", least: int = 0) -> DataFrame:
+    """``df`` and pii, its spans with scores of ``least`` thousandths or more."""
+    return unboxed(boxed(df).withColumn("__s", find_spans(F.coalesce(F.col(f"__row.`{text}`"), F.lit("")), least)), F.col("__s").alias("pii"))
 
 
-def redact(df: DataFrame, text: str = "text") -> DataFrame:
+def redact(df: DataFrame, text: str = "text", least: int = 0) -> DataFrame:
     """``df`` with each span of its text replaced by its kind in angle brackets; of overlapping ones the first."""
     box = boxed(df).withColumn("__t", F.coalesce(F.col(f"__row.`{text}`"), F.lit("")))
     cut = F.aggregate(
-        find_spans(F.col("__t")),
+        find_spans(F.col("__t"), least),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, s: F.when(
             s["start"] >= a["at"],
@@ -140,7 +163,10 @@ def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", find_spans(F.coalesce(F.col("text"), F.lit(""))).alias("pii"))
     count = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("pii", lambda s: s["rank"] < len(KINDS))
-    return docs.select("doc_id", *[count(k) for k in KINDS], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"))
+    return docs.select(
+        "doc_id", *[count(k) for k in KINDS], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"), *[count(k) for k in ADDED], F.size("pii").cast("long").alias("n_spans"),
+        F.array_join(F.transform("pii", lambda s: s["score"].cast("string")), ",").alias("scores"),
+    )
 
 
 QUERIES = {"op4_pii_spans": op4_pii_spans}
