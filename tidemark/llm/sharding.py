@@ -1,15 +1,19 @@
 """Sharding by histogram sort: splitters are found by counting, then rows move once.
 
-Rows are ordered by a seeded hash of their id, so shards are also a global shuffle. Boundaries between shards are
-refined round by round: candidate keys split each open interval, one aggregation counts the exact bytes below all
-of them, and the interval that holds the target shrinks, until the bytes below the boundary are within tolerance
-of the target or the boundary lies between neighbouring keys. Only counts at probes reach the driver, at most
-``PROBES`` for each open boundary, whatever the input. The known cells of the last histogram then give each row
+Rows are ordered by a seeded hash of their id and text, so shards are also a global shuffle. Boundaries between
+shards are refined round by round: candidate keys split each open interval, one aggregation counts the exact bytes
+below all of them, and the interval that holds the target shrinks, until the bytes below the boundary are within
+tolerance of the target or the boundary lies between neighbouring keys. Only counts at probes reach the driver, at
+most ``PROBES`` for each open boundary, whatever the input. The known cells of the last histogram then give each row
 its shard and each cell its first slot, so the one exchange goes by cell, not by shard.
 
-Defined cases: a null text has no bytes and CRC 0; null ids share one key; rows with the same id, repeated rows
-included, have the same key and stay in one shard, in an order given by their CRC and size; an empty table gives
-an empty result.
+Where rows that are equal in id and text weigh more than the tolerance and hold a boundary, no key can part them.
+Then rows are written once with a number, which joins the key, and the boundaries are found among those keys.
+
+Defined cases: a null text has no bytes and CRC 0, like an empty one; a very long text moves as one row, so shards
+differ by no more than it; null ids are ids like others; rows that share an id, or a text, are dealt out like any
+rows; rows equal in id and text are put next to each other, or dealt out as said above; ties of keys are ordered by id,
+CRC and size; columns of the input named like a result give way to it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import boxed, table, unboxed
+from tidemark.llm.common import boxed, materialize, table, unboxed
 
 SHARDS = 40
 #: Bytes of a row beside its text.
@@ -29,15 +33,15 @@ ROW_BYTES = 16
 PROBES = 1024
 #: A boundary is good when the bytes below it are within this share of one shard's bytes of its target.
 TOLERANCE = 0.001
-#: Cells that order rows within shards, a power of two.
-CELLS = 4096
+#: Cells that order rows within shards: at least and at most so many, and about so many bytes in each.
+CELLS, MOST_CELLS, CELL_BYTES = 1 << 12, 1 << 24, 64 << 20
 #: Keys are whole numbers below this.
 KEY_BITS = 62
 
 
-def sort_key(ident: Column, seed: int = 0) -> Column:
+def sort_key(seed: int, *columns: Column) -> Column:
     """A whole number below 2**KEY_BITS."""
-    return F.call_function("shiftrightunsigned", F.xxhash64(F.lit(seed), ident), F.lit(64 - KEY_BITS))
+    return F.call_function("shiftrightunsigned", F.xxhash64(F.lit(seed), *columns), F.lit(64 - KEY_BITS))
 
 
 def text_bytes(text: Column) -> Column:
@@ -60,16 +64,17 @@ def _bytes_by_probe(keyed: DataFrame, intervals: list[tuple[int, int]]) -> dict[
     return {(r["__i"], r["__p"]): r["b"] for r in counted.collect()}  # at most PROBES rows an interval
 
 
-def find_splitters(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[int]:
-    """shards - 1 ascending keys; shard k holds the keys from the k-th of them, as Python counts, up to the next.
+def find_splitters(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE) -> tuple[list[int], int, bool]:
+    """shards - 1 ascending keys, the bytes of all rows, and whether all boundaries are within tolerance.
 
-    keyed: key (long, below 2**KEY_BITS) and size (long).
+    Shard k holds the keys from the k-th of them, as Python counts, up to the next. keyed: key (long, below
+    2**KEY_BITS) and size (long).
     """
     top = 1 << KEY_BITS
     first = _bytes_by_probe(keyed, [(0, top)])
     total = sum(first.values())
     if not total:
-        return [top] * (shards - 1)
+        return [top] * (shards - 1), 0, True
     goals = [total * (k + 1) / shards for k in range(shards - 1)]
     allowed = tolerance * total / shards
     best: list[tuple[float, int] | None] = [None] * (shards - 1)
@@ -103,34 +108,44 @@ def find_splitters(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE)
     out: list[int] = []
     for b in best:
         out.append(max(b[1], out[-1] if out else 0))
-    return out
+    return out, total, all(b[0] <= allowed for b in best)
+
+
+def _repeated(keyed: DataFrame, most: float) -> bool:
+    """Whether rows of one key weigh more than ``most`` bytes."""
+    heaviest = keyed.groupBy("__key").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.max("b")).first()[0]
+    return (heaviest or 0) > most
 
 
-def histogram_sort(df: DataFrame, ident: str = "doc_id", text: str = "text", shards: int = SHARDS, seed: int = 0) -> DataFrame:
+def histogram_sort(df: DataFrame, ident: str = "doc_id", text: str = "text", shards: int = SHARDS, seed: int = 0, tolerance: float = TOLERANCE) -> DataFrame:
     """``df`` with size, text_crc32, shard and slot: shards of near equal bytes, in the order of the sort key.
 
-    The input is read once for each round of probes, without its text where only ids and sizes are stored, and
-    once for the exchange.
+    The input is read once for each round of probes and once for the exchange.
     """
-    t = F.col(f"__row.`{text}`")
-    keyed = boxed(df).select(
-        "__row",
-        sort_key(F.col(f"__row.`{ident}`"), seed).alias("__key"),
-        text_bytes(t).alias("size"),
-        F.coalesce(F.crc32(t.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-    )
-    splitters = find_splitters(keyed.select(F.col("__key").alias("key"), "size"), shards)
+    t, i = F.col(f"__row.`{text}`"), F.col(f"__row.`{ident}`")
+
+    def keyed_by(box: DataFrame, *more: Column) -> DataFrame:
+        crc = F.coalesce(F.crc32(t.cast("binary")), F.lit(0)).cast("long")
+        return box.select("__row", sort_key(seed, i, t, *more).alias("__key"), text_bytes(t).alias("size"), crc.alias("text_crc32"))
+
+    keyed = keyed_by(boxed(df))
+    splitters, total, good = find_splitters(keyed.select(F.col("__key").alias("key"), "size"), shards, tolerance)
+    if not good and _repeated(keyed, tolerance * total / shards):
+        keyed = keyed_by(materialize(boxed(df).withColumn("__nth", F.monotonically_increasing_id()), "numbered"), F.col("__nth"))
+        splitters, total, _ = find_splitters(keyed.select(F.col("__key").alias("key"), "size"), shards, tolerance)
     points = F.array(*[F.lit(s).cast("long") for s in splitters]) if splitters else F.array().cast("array<bigint>")
+    cells = max(CELLS, min(MOST_CELLS, 1 << (total // CELL_BYTES).bit_length()))
     placed = keyed.withColumns(
         {
             "shard": F.size(F.filter(points, lambda s: s <= F.col("__key"))),
-            "__cell": F.call_function("shiftright", F.col("__key"), F.lit(KEY_BITS - (CELLS.bit_length() - 1))).cast("int"),
+            "__cell": F.call_function("shiftright", F.col("__key"), F.lit(KEY_BITS - (cells.bit_length() - 1))).cast("int"),
         }
     )
-    counts = placed.groupBy("shard", "__cell").agg(F.count(F.lit(1)).alias("__n"))  # CELLS + shards rows at most
+    counts = placed.groupBy("shard", "__cell").agg(F.count(F.lit(1)).alias("__n"))
     starts = counts.select("shard", "__cell", (F.sum("__n").over(Window.partitionBy("shard").orderBy("__cell")) - F.col("__n")).alias("__start"))
-    ranked = placed.withColumn("__rank", F.row_number().over(Window.partitionBy("shard", "__cell").orderBy("__key", F.col(f"__row.`{ident}`"), "text_crc32", "size")))
-    slotted = ranked.join(F.broadcast(starts), ["shard", "__cell"])  # bounded by CELLS + shards rows
+    starts = materialize(starts, "cell-starts", rebalance=True)  # written, so that the planner knows its size
+    ranked = placed.withColumn("__rank", F.row_number().over(Window.partitionBy("shard", "__cell").orderBy("__key", i, "text_crc32", "size")))
+    slotted = ranked.join(starts, ["shard", "__cell"])
     return unboxed(slotted, F.col("size"), F.col("text_crc32"), F.col("shard"), (F.col("__start") + F.col("__rank") - 1).cast("long").alias("slot"))
 
 
