@@ -9,9 +9,14 @@ window would begin and end, which bounds candidates by position and length; the
 Documents are read once. A bitmap of fixed size lets through what may be an item's shingle, and errs on the side
 of letting through; the joins that follow are exact, and Spark broadcasts their sides by measured size or shuffles.
 
-Defined cases: a null or empty text has no words and isn't hit; items without words are ignored; equal items are
-all counted; repeated document rows are judged one by one; an empty benchmark leaves all documents clean; an empty
-table gives an empty result.
+Words for the check are kept in pieces of ``PIECE`` words, and the window's length more, around each shingle that the
+bitmap lets through, so a very long text that is an item throughout makes rows in proportion to its length.
+
+Defined cases: a null or empty text has no words and isn't hit; a very long text is read whole; items without words
+are ignored; equal items are all counted; repeated document rows are judged one by one; of equally rare shingles the
+one with the least hash, then the first in the window, is the prefix; columns of the input are kept apart from
+computed names by ``clean_documents``; an empty benchmark leaves all documents clean; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -33,7 +38,9 @@ WINDOW = 10
 SHINGLE = 5
 #: Bits of the bitmap, a power of two.
 BITS = 1 << 22
-_HITS = "n_words long, hits array<struct<pos:int,s:int,h:long>>, regions array<struct<start:int,words:array<string>>>"
+#: Words whose windows begin in one piece.
+PIECE = 64
+_HITS = "n_words long, hits array<struct<pos:int,s:int,h:long>>, pieces array<struct<piece:int,words:array<string>>>"
 _WINDOWS = "item_id string, win string, len int, place int, s int, h long"
 
 
@@ -60,7 +67,7 @@ def _item_windows(window: int, shingle: int):
 def _scan(bits: bytes, sizes: list[int], window: int):
     """One row a document: what ``hits`` says below."""
     hit_type = pa.list_(pa.struct([("pos", pa.int32()), ("s", pa.int32()), ("h", pa.int64())]))
-    region_type = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.list_(pa.string()))]))
+    piece_type = pa.list_(pa.struct([("piece", pa.int32()), ("words", pa.list_(pa.string()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool)
@@ -76,25 +83,25 @@ def _scan(bits: bytes, sizes: list[int], window: int):
             pos, size, h = pos[order], size[order], h[order]
             text = np.searchsorted(w.first, pos, side="right") - 1
             hits: list = [[] for _ in range(batch.num_rows)]
-            regions: list = [[] for _ in range(batch.num_rows)]
+            pieces: list = [[] for _ in range(batch.num_rows)]
             for d in np.unique(text):
                 first, last = int(w.first[d]), int(w.first[d + 1])
                 a, b = np.searchsorted(text, [d, d + 1])
                 hits[d] = [{"pos": int(p) - first, "s": int(s), "h": int(x)} for p, s, x in zip(pos[a:b], size[a:b], h[a:b], strict=True)]
-                low, high = np.maximum(pos[a:b] - window, first), np.minimum(pos[a:b] + 2 * window, last)
-                new = np.flatnonzero(np.r_[True, low[1:] > np.maximum.accumulate(high)[:-1]])
-                for i, k in enumerate(new):
-                    end = int(high[k : new[i + 1] if i + 1 < len(new) else None].max())
-                    regions[d].append({"start": int(low[k]) - first, "words": [w.word(j).decode("utf-8", "replace") for j in range(int(low[k]), end)]})
+                low, high = np.maximum(pos[a:b] - window, first) - first, pos[a:b] - first
+                for k in np.unique(np.concatenate([low // PIECE, high // PIECE])).tolist():  # a window is shorter than a piece
+                    begin = first + k * PIECE
+                    said = [w.word(j).decode("utf-8", "replace") for j in range(begin, min(begin + PIECE + window, last))]
+                    pieces[d].append({"piece": k, "words": said})
             kept = [batch.column(c) for c in batch.schema.names if c != "text"]
             names = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(w.counts, pa.int64()), pa.array(hits, hit_type), pa.array(regions, region_type)], [*names, "n_words", "hits", "regions"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(w.counts, pa.int64()), pa.array(hits, hit_type), pa.array(pieces, piece_type)], [*names, "n_words", "hits", "pieces"])
 
     return run
 
 
 def _hits(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """A row for each document: its other columns, n_words, hits (shingles that may be an item's) and the words around them."""
+    """A row for each document: its other columns, n_words, hits (shingles that may be an item's) and pieces of words around them."""
     marks = items.select((F.col("h").bitwiseAND(F.lit(BITS - 1))).alias("b")).distinct().toPandas()["b"].to_numpy()  # BITS rows at most
     known = np.zeros(BITS, dtype=bool)
     known[marks.astype(np.int64)] = True
@@ -110,19 +117,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     docs: text and any others; benchmark: item_id, text.
     """
+    if window > PIECE:
+        raise ValueError(f"a window of {window} words is longer than a piece of {PIECE}")
     raw = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = materialize(raw.mapInPandas(_item_windows(window, shingle), _WINDOWS), "item-windows")
     base = materialize(_hits(docs, items, window).withColumn("__rid", F.monotonically_increasing_id()), "document-hits", rebalance=True)
-    hits = base.select("__rid", "n_words", "regions", F.explode("hits").alias("x")).select("__rid", "n_words", "regions", "x.*")
+    hits = base.select("__rid", "n_words", F.explode("hits").alias("x")).select("__rid", "n_words", "x.*")
+    pieces = base.select("__rid", F.explode("pieces").alias("x")).select("__rid", "x.*")
     shingles = items.select("win", "len", "place", "s", "h").distinct()
     seen = base.select(F.explode("hits").alias("x")).groupBy("x.s", "x.h").agg(F.count(F.lit(1)).alias("n"))
     rarest = Window.partitionBy("win", "len").orderBy(F.coalesce("n", F.lit(0)), "h", "place")
     prefix = materialize(shingles.join(seen, ["s", "h"], "left").withColumn("__r", F.row_number().over(rarest)).where("__r = 1 and n > 0").select("win", "len", "place", "s", "h"), "prefixes")
     start = F.col("pos") - F.col("place")
     bounded = hits.join(prefix, ["s", "h"]).withColumn("start", start).where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n_words")))
-    region = F.filter("regions", lambda r: (r["start"] <= F.col("start")) & (F.col("start") < r["start"] + F.size(r["words"]))).getItem(0)
-    there = F.array_join(F.slice(region["words"], F.col("start") - region["start"] + 1, F.col("len")), " ")
-    true = bounded.where(there == F.col("win")).select("__rid", "start", "len", "win")
+    held = bounded.withColumn("piece", F.floor(F.col("start") / PIECE).cast("int")).join(pieces, ["__rid", "piece"])
+    there = F.array_join(F.slice("words", F.col("start") - F.col("piece") * PIECE + 1, F.col("len")), " ")
+    true = held.where(there == F.col("win")).select("__rid", "start", "len", "win")
     runs = F.array_sort(F.collect_set(F.struct("start", "len")))
     covered = F.aggregate(
         runs,
@@ -133,7 +143,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     words_hit = true.groupBy("__rid").agg(covered.alias("n_hit"))
     ids = items.select("win", "item_id").distinct()
     of = true.select("__rid", "win").distinct().join(ids, "win").groupBy("__rid").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    out = base.drop("hits", "regions").join(words_hit.join(of, "__rid", "left"), "__rid", "left").drop("__rid")
+    out = base.drop("hits", "pieces").join(words_hit.join(of, "__rid", "left"), "__rid", "left").drop("__rid")
     return out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>"))})
 
 
