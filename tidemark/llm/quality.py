@@ -6,8 +6,10 @@ sketches merge by adding counts, in any order, with the same result. Sketches ar
 those of small sources are replaced by the merged sketch of their language, and those of small languages by the
 merged sketch of all. Fences drawn from the quartiles replace fixed cutoffs.
 
-Defined cases: a null text has no words; null languages and sources form groups of their own; empty tables give
-empty results; repeated rows are judged one by one and count as often as they occur.
+Defined cases: a null text has no words; a very long text is judged whole, by counts that grow with its words; null
+languages and sources form groups of their own; a value equal to a fence is kept; empty tables give empty results;
+repeated rows are judged one by one and count as often as they occur; columns of the input named like a measure stay
+as they are in ``quality_filter``.
 """
 
 from __future__ import annotations
@@ -162,9 +164,9 @@ def quality_filter(df: DataFrame, text: str = "text", lang: str = "lang", source
     """The rows of ``df`` that the rules keep, with its own columns."""
     fields = [*BASE, *RULES]
     flat = with_measures(df, text).select("__row", F.col(f"__row.`{lang}`").alias("lang"), F.col(f"__row.`{source}`").alias("source"), *[F.col(f"m.{c}").alias(c) for c in fields])
-    # written, as filters pushed into the projection would compute the measures again and again
-    thresholds = fit_thresholds(materialize(flat.drop("__row"), "measures", rebalance=True))
-    return unboxed(judge(flat, thresholds).where("kept").select("__row"))
+    # rows are written with their measures, so that these are computed once; the sketches read their columns alone
+    flat = materialize(flat, "measured")
+    return unboxed(judge(flat, fit_thresholds(flat)).where("kept").select("__row"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
