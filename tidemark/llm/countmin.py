@@ -17,8 +17,8 @@ ROWS = 2
 BLOCK = 1 << 20
 #: Bounds of a row's width.
 NARROWEST, WIDEST = 1 << 16, 1 << 27
-#: Sketches of a block that meet in one task are those of one of so many parts, then one from each part.
-PARTS = 32
+#: So many sketches of a block meet in one task, level by level of a tree.
+FAN_IN = 32
 #: Counts stop here.
 MOST = 255
 
@@ -65,7 +65,7 @@ def _merge(size: int):
         for packed in frame["counts"]:
             total += _unpack(packed, size)
             np.minimum(total, MOST, out=total)
-        return pd.DataFrame({"row": frame["row"].iloc[:1], "block": frame["block"].iloc[:1], "counts": [_pack(total.astype(np.uint8))]})
+        return frame.iloc[:1].assign(counts=[_pack(total.astype(np.uint8))])
 
     return run
 
@@ -73,12 +73,20 @@ def _merge(size: int):
 def bitmaps(docs: DataFrame, items: Callable[[pa.RecordBatch], np.ndarray], width: int, levels: tuple[int, ...], chunk: int = tokens.CHUNK) -> list[np.ndarray]:
     """For each level a packed bitmap, one row for each row of the sketch, of the cells counted at least so often.
 
-    docs: text. ``items`` gives the 64-bit items of a batch. The merged sketch passes the driver block by block.
+    docs: text. ``items`` gives the 64-bit items of a batch. Partitions' sketches are merged in a tree, so no task takes
+    more than ``FAN_IN`` blocks however many partitions there are. The merged sketch passes the driver block by block.
     """
     kind = "row int, block int, counts binary"
     size = min(BLOCK, width)
-    parts = docs.select("text").mapInArrow(_count(items, width, chunk), kind).withColumn("part", F.spark_partition_id() % PARTS)
-    merged = parts.groupBy("row", "block", "part").applyInPandas(_merge(size), kind).groupBy("row", "block").applyInPandas(_merge(size), kind)
+    rows = docs.select("text")
+    merged = rows.mapInArrow(_count(items, width, chunk), kind).withColumn("part", F.spark_partition_id())
+    parts = rows.rdd.getNumPartitions()
+    while True:
+        parts = -(-parts // FAN_IN)
+        merged = merged.withColumn("part", (F.col("part") / FAN_IN).cast("int") if parts > 1 else F.lit(0))
+        merged = merged.groupBy("row", "block", "part").applyInPandas(_merge(size), f"{kind}, part int")
+        if parts <= 1:
+            break
     out = [np.zeros((ROWS, width // 8), dtype=np.uint8) for _ in levels]
     for r in merged.toLocalIterator():
         counts = _unpack(bytes(r["counts"]), size)

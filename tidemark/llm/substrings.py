@@ -8,11 +8,14 @@ windows let through in error are found alone. The sketch's width follows the siz
 input too large for it only lets more through.
 
 Within a chunk of documents only the first holder of a window goes to the shuffle, later ones are decided there,
-so a window that a third of all documents hold makes a row a chunk, not a row a document.
+so a window that a third of all documents hold makes a row a chunk, not a row a document. Windows whose anchor the
+sketch has seen ``HOT`` times or more are compared in two steps: in groups of documents, as many as the root of the
+number of chunks, then the first holders of each group, so no task takes all rows of a window.
 
 Defined cases: a null text has no words; a document with a null id is left whole and is no other's original; rows
-that share an id don't remove from each other; documents of fewer words than a window are left whole; an empty
-table gives an empty result.
+that share an id don't remove from each other; documents of fewer words than a window are left whole; a very long text
+is one chunk by itself, read whole; the result has its own columns alone, so none clash; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ WINDOW = 13
 PIECE = 5
 #: Cells of a row of the sketch for each byte of text.
 CELLS_A_BYTE = 0.075
+#: Anchors counted so often are compared in two steps.
+HOT = 128
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -65,17 +70,17 @@ def _counted(window: int):
     return items
 
 
-def _windows(twice, window: int):
-    """doc_id, text_hash, h1, h2, pos: windows that may be repeated; h2 is -1 for those decided to be."""
+def _windows(shared, window: int, groups: int):
+    """doc_id, text_hash, h1, h2, pos, grp: windows that may be repeated; h2 is -1 for those decided to be, grp where not hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = twice.value
+        bits, hot_bits = shared.value
         for batch in tokens.chunks(batches, "text"):
             w = tokens.split(batch.column("text"))
             at, a = anchors(w, window)
             known = np.asarray(batch.column("doc_id").is_valid())
             may = known[w.of[at]] & reached(bits, a)
-            at = at[may]
+            at, hot = at[may], reached(hot_bits, a[may])
             if not len(at):
                 continue
             of = w.of[at]
@@ -83,16 +88,18 @@ def _windows(twice, window: int):
             h1 = tokens.roll(w.hash, window)[at].view(np.int64)
             h2 = (tokens.roll(tokens.scramble(w.hash ^ np.uint64(tokens.MULTIPLIER)), window)[at] >> np.uint64(33)).astype(np.int32)
             order = np.lexsort((ids, h2, h1))
-            h1, h2, ids, of, at = h1[order], h2[order], ids[order], of[order], at[order]
+            h1, h2, ids, of, at, hot = h1[order], h2[order], ids[order], of[order], at[order], hot[order]
             same = np.r_[False, (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])]
             first = np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))  # the first row of each group
             decided = ids > ids[first]
             texts = np.asarray(batch.column("text_hash").fill_null(0))[of]
             h1 = np.where(decided, tokens.scramble(ids.view(np.uint64) * np.uint64(tokens.GOLDEN) + at.astype(np.uint64)).view(np.int64), h1)  # anywhere
             h2 = np.where(decided, np.int32(-1), h2)
+            grp = np.where(hot & ~decided, tokens.scramble(ids.view(np.uint64)) % np.uint64(groups), np.uint64(1 << 31)).astype(np.int64)
+            grp = np.where(grp < groups, grp, -1).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int32()), pa.array((at - w.first[of]).astype(np.int32))],
-                ["doc_id", "text_hash", "h1", "h2", "pos"],
+                [pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int32()), pa.array((at - w.first[of]).astype(np.int32)), pa.array(grp)],
+                ["doc_id", "text_hash", "h1", "h2", "pos", "grp"],
             )
 
     return run
@@ -105,12 +112,19 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    twice = spark.sparkContext.broadcast(bitmaps(docs, _counted(window), width_for(size * CELLS_A_BYTE), (2,))[0])  # bounded by the widest sketch
-    kind = "doc_id long, text_hash long, h1 long, h2 int, pos int"
-    found = docs.select("doc_id", "text_hash", "text").mapInArrow(_windows(twice, window), kind)
-    first = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
-    repeated = found.withColumn("first", first).where((F.col("h2") < 0) | (F.col("doc_id") > F.col("first")))
-    return repeated.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("at"))
+    shared = spark.sparkContext.broadcast(bitmaps(docs, _counted(window), width_for(size * CELLS_A_BYTE), (2, HOT)))  # bounded by the widest sketch
+    groups = max(1, min(1 << 20, int((size / tokens.CHUNK) ** 0.5)))
+    found = docs.select("doc_id", "text_hash", "text").mapInArrow(_windows(shared, window, groups), "doc_id long, text_hash long, h1 long, h2 int, pos int, grp int")
+    first = F.min("doc_id").over(Window.partitionBy("h1", "h2", "grp"))
+    later = (F.col("h2") < 0) | (F.col("doc_id") > F.col("first"))
+    near = found.withColumn("first", first).where(later | (F.col("grp") >= 0))
+    near = near.groupBy("doc_id", "text_hash").agg(F.collect_set(F.when(later, F.col("pos"))).alias("at"), F.collect_set(F.when(~later, F.struct("h1", "h2", "pos"))).alias("open"))
+    near = materialize(near, "windows-settled")
+    # the first holders of each group
+    left = near.select("doc_id", "text_hash", F.explode("open").alias("x")).select("doc_id", "text_hash", "x.*")
+    far = left.withColumn("first", F.min("doc_id").over(Window.partitionBy("h1", "h2"))).where("doc_id > first").groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("at"))
+    both = near.where(F.size("at") > 0).select("doc_id", "text_hash", "at").union(far)
+    return both.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("at")).alias("at"))
 
 
 def _cut(window: int):
