@@ -5,21 +5,24 @@ there twice; a segment is a run of windows with one anchor, and at most ``WINDOW
 windows have equal anchors, so windows of different anchors need not meet.
 
 First pass: a count-min sketch counts segments by anchor. Second pass: segments whose anchor the sketch has seen
-twice or more go, by anchor, to buckets; equal segments travel once from each chunk, with the list of their places.
-Anchors that the sketch has seen ``HEAVY`` times or more are split: their windows go by the block of the anchor's
-offset in the window and by the hash of the bytes that all windows of the block share, so a passage in a third of
-all documents is dealt out over many keys. In a bucket, equal segments are one string with a weight. Keys with
-several different strings are where windows may be shared in part: shards of them are transformed and merged, and
-the intervals of rows that share WINDOW bytes and weigh two or more are the repeated windows. A key with one string
-has nothing to merge: its windows repeat if its weight is two or more.
-
-Defined cases: a null or shorter text has no windows and is kept; rows that share id and text are copies of each
-other; null ids are ids like others; an empty table gives an empty result.
+twice or more are written with their text; equal segments of a chunk make one row, with the list of their places. They
+go, by anchor, to buckets, where equal segments are one string with a weight. Keys with several different strings are
+where windows may be shared in part: shards of them are transformed and merged, and the intervals of rows that share
+WINDOW bytes and weigh two or more are the repeated windows. A key with one string has nothing to merge: its windows
+repeat if its weight is two or more.
+
+Anchors of ``HEAVY`` segments or more are counted exactly and dealt out over groups of a few chunks each, so a passage
+in a third of all documents, with its many different surroundings, never meets in one task. Windows that repeat within
+a group are settled there. Each group also gives every distinct window of such anchors once, as a hash with a weight;
+hashes are added up, with partial sums, and joined with the windows that are still open, a join that Spark may split.
+
+Defined cases: a null or shorter text has no windows and is kept; a very long text is cut into segments like any other,
+whole; rows that share id and text are copies of each other; of pieces with one hash the leftmost is the anchor; null
+ids are ids like others; the result has its own columns alone, so none clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +39,14 @@ from tidemark.llm.substrings import sliding_min
 WINDOW, PIECE = 400, 32
 #: Cells of a row of the sketch for each byte of text.
 CELLS_A_BYTE = 0.015
-#: An anchor seen so often is split, by blocks of so many offsets.
-HEAVY, OFFSETS = 64, 48
+#: Segments of an anchor that is dealt out, and chunks of a group of it.
+HEAVY, GROUP = 64, 4
 #: Bytes of text for each bucket, and of a shard in a bucket.
 BUCKET_BYTES, SHARD_BYTES = 2 << 20, 1 << 18
 CHUNK = 1 << 20
 _POSITION = 28
+#: Bytes in another order, for a second hash of a window.
+_OTHER = np.random.default_rng(tokens.SEED + 1).permutation(256).astype(np.uint8)
 
 
 def segments(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -72,88 +77,106 @@ def _segments(shared, id_type: pa.DataType):
     place_type = pa.list_(pa.struct([("doc_id", id_type), ("t1", pa.int64()), ("start", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice, heavy = shared.value
+        twice = shared.value
         for batch in tokens.chunks(batches, "text", CHUNK):
             data, first = tokens.raw(batch.column("text"))
-            a, b, place, anchor = segments(data, first)
+            a, b, _, anchor = segments(data, first)
             may = np.flatnonzero(reached(twice, anchor))
             if not len(may):
                 continue
-            a, b, place, anchor = a[may], b[may], place[may], anchor[may]
+            a, b, anchor = a[may], b[may], anchor[may]
             of = np.searchsorted(first, a, side="right") - 1
-            split = reached(heavy, anchor)
             text = data.tobytes()
             found: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-            for s, e, p, key, d, parts in zip(a.tolist(), b.tolist(), place.tolist(), anchor.tolist(), of.tolist(), split.tolist(), strict=True):
-                if not parts:
-                    found.setdefault((key, text[s : e + WINDOW]), []).append((d, s))
-                    continue
-                for block in range((p - e) // OFFSETS, (p - s) // OFFSETS + 1):
-                    last = min(e, p - OFFSETS * block)
-                    begin = max(s, p - OFFSETS * block - OFFSETS + 1)
-                    shared_bytes = text[p - OFFSETS * block : p - OFFSETS * block - OFFSETS + 1 + WINDOW]
-                    name = hashlib.blake2b(shared_bytes + block.to_bytes(4, "little"), digest_size=8).digest()
-                    found.setdefault((int.from_bytes(name, "little"), text[begin : last + WINDOW]), []).append((d, begin))
+            for s, e, key, d in zip(a.tolist(), b.tolist(), anchor.tolist(), of.tolist(), strict=True):
+                found.setdefault((key, text[s : e + WINDOW]), []).append((d, s))
             ids, t1 = batch.column("doc_id").to_pylist(), batch.column("t1").to_pylist()
             at = first.tolist()
             keys = np.array([k for k, _ in found], dtype=np.uint64).view(np.int64)
-            sizes = np.array([len(v) for v in found.values()])
+            sizes = np.array([len(v) for v in found.values()], dtype=np.int32)
             flat = [x for v in found.values() for x in v]
             places = pa.StructArray.from_arrays(
                 [pa.array([ids[d] for d, _ in flat], id_type), pa.array([t1[d] for d, _ in flat], pa.int64()), pa.array([s - at[d] for d, s in flat], pa.int32())], ["doc_id", "t1", "start"]
             )
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), places)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([s for _, s in found], pa.binary()), lists.cast(place_type)], ["key", "data", "places"])
+            chunk = pa.array(np.full(len(keys), t1[0] or 0), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sizes), chunk, pa.array([s for _, s in found], pa.binary()), lists.cast(place_type)], ["key", "n", "chunk", "data", "places"])
 
     return run
 
 
+def _window_hashes(s: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(s, dtype=np.uint8)
+    return bwt.gram_hash(data, WINDOW).view(np.int64), (bwt.gram_hash(_OTHER[data], WINDOW) >> np.uint64(33)).astype(np.int32)
+
+
 def _repeats(id_type: pa.DataType):
-    """One bucket: doc_id, t1, low, high: bytes covered by repeated windows."""
+    """One bucket: bytes [low, high) of repeated windows (weight 0); of dealt anchors each distinct window with its hash,
+    with its place if it is there once (weight 1), without if it repeats (weight 2)."""
 
     def run(bucket: pa.Table) -> pa.Table:
-        keys = bucket.column("key").combine_chunks().to_numpy()
+        keys, groups = (bucket.column(c).combine_chunks().to_numpy() for c in ("key", "group"))
         strings = bucket.column("data").to_pylist()
         places = bucket.column("places").combine_chunks()
         counts = np.diff(places.offsets.to_numpy())
         where = places.flatten()
-        rows: dict[tuple[int, bytes], list[int]] = {}
-        for i, (k, s) in enumerate(zip(keys.tolist(), strings, strict=True)):
-            rows.setdefault((k, s), []).append(i)
-        several: dict[int, int] = {}
-        weight: dict[int, int] = {}
-        for (k, _), at in rows.items():
-            several[k] = several.get(k, 0) + 1
-            weight[k] = weight.get(k, 0) + int(counts[at].sum())
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rows: dict[tuple[int, int, bytes], list[int]] = {}
+        for i, (k, g, s) in enumerate(zip(keys.tolist(), groups.tolist(), strings, strict=True)):
+            rows.setdefault((k, g, s), []).append(i)
+        several: dict[tuple[int, int], int] = {}
+        weight: dict[tuple[int, int], int] = {}
+        for (k, g, _), at in rows.items():
+            several[k, g] = several.get((k, g), 0) + 1
+            weight[k, g] = weight.get((k, g), 0) + int(counts[at].sum())
         first = np.r_[0, np.cumsum(counts)]
+        out: list[tuple[np.ndarray, ...]] = []  # place, low, high, h1, h2, weight
+        zero = lambda n: np.zeros(n, dtype=np.int64)
 
-        def add(at: list[int], windows: np.ndarray) -> None:
+        def add(g: int, s: bytes, at: list[int], windows: np.ndarray) -> None:
             edges = np.flatnonzero(np.diff(np.r_[0, windows.astype(np.int8), 0]))
             who = np.concatenate([np.arange(first[i], first[i + 1]) for i in at])
             for low, high in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                out.append((who, np.full(len(who), low), np.full(len(who), high - 1 + WINDOW)))
+                out.append((who, zero(len(who)) + low, zero(len(who)) + high - 1 + WINDOW, zero(len(who)), zero(len(who)), zero(len(who))))
+            if g >= 0:
+                n = len(windows)
+                h1, h2 = _window_hashes(s)
+                at_window = np.arange(n)
+                out.append((np.where(windows, -1, who[0]), at_window, at_window + WINDOW, h1, h2.astype(np.int64), np.where(windows, 2, 1)))
 
         merging = []
-        for (k, s), at in rows.items():
-            if weight[k] < 2:
-                continue
-            if several[k] == 1:
-                add(at, np.ones(len(s) - WINDOW + 1, dtype=bool))
+        for (k, g, s), at in rows.items():
+            if several[k, g] == 1:
+                repeat = weight[k, g] > 1
+                if repeat or g >= 0:
+                    add(g, s, at, np.full(len(s) - WINDOW + 1, repeat))
             else:
-                merging.append((s, at))
+                merging.append((g, s, at))
         if merging:
-            weights = np.array([counts[at].sum() for _, at in merging])
-            for (_, at), windows in zip(merging, bwt.repeated([s for s, _ in merging], weights, WINDOW, SHARD_BYTES), strict=True):
-                add(at, windows)
-        who, low, high = (np.concatenate(x).astype(np.int64) if out else np.zeros(0, dtype=np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, dtype=np.int64),) * 3
-        start = where.field("start").to_numpy(zero_copy_only=False).astype(np.int64)[who]
-        take = pa.array(who)
-        return pa.table({"doc_id": where.field("doc_id").take(take).cast(id_type), "t1": where.field("t1").take(take), "low": pa.array((start + low).astype(np.int32)), "high": pa.array((start + high).astype(np.int32))})
+            weights = np.array([counts[at].sum() for _, _, at in merging])
+            for (g, s, at), windows in zip(merging, bwt.repeated([s for _, s, _ in merging], weights, WINDOW, SHARD_BYTES), strict=True):
+                add(g, s, at, windows)
+        who, low, high, h1, h2, w = (np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True)) if out else (zero(0),) * 6
+        once = np.r_[np.flatnonzero(w < 2), _distinct(h1, h2, w)]
+        who, low, high, h1, h2, w = (x[once] for x in (who, low, high, h1, h2, w))
+        take = pa.array(who, mask=who < 0)
+        start = where.field("start").to_numpy(zero_copy_only=False).astype(np.int64)[np.maximum(who, 0)]
+        return pa.table(
+            {
+                "doc_id": where.field("doc_id").take(take).cast(id_type), "t1": where.field("t1").take(take), "low": pa.array((start + low).astype(np.int32)), "high": pa.array((start + high).astype(np.int32)),
+                "h1": pa.array(h1), "h2": pa.array(h2.astype(np.int32)), "weight": pa.array(w.astype(np.int32)),
+            }
+        )
 
     return run
 
 
+def _distinct(h1: np.ndarray, h2: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Of windows known to repeat, one row for each hash."""
+    at = np.flatnonzero(weight == 2)
+    order = at[np.lexsort((h2[at], h1[at]))]
+    return order[np.r_[True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])]] if len(order) else order
+
+
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """doc_id, t1, spans: for each text with repeats, the bytes [low, high) that repeated windows cover.
 
@@ -162,12 +185,18 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_type = pa.string() if kind == "string" else pa.int64()
-    bits = bitmaps(docs, _anchors, width_for(size * CELLS_A_BYTE), (2, HEAVY), CHUNK)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)  # bounded by the widest sketch
-    found = docs.select("doc_id", "t1", "text").mapInArrow(_segments(shared, id_type), f"key long, data binary, places array<struct<doc_id:{kind},t1:long,start:int>>")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmaps(docs, _anchors, width_for(size * CELLS_A_BYTE), (2,), CHUNK)[0])  # bounded by the widest sketch
+    found = docs.select("doc_id", "t1", "text").mapInArrow(_segments(shared, id_type), f"key long, n int, chunk long, data binary, places array<struct<doc_id:{kind},t1:long,start:int>>")
+    found = materialize(found, "segments")
+    hot = materialize(found.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY).select(F.col("key").alias("hot")), "heavy-anchors", rebalance=True)
+    group = F.when(F.col("hot").isNotNull(), F.pmod("chunk", F.lit(max(1, size // (GROUP * CHUNK))))).otherwise(-1)
     buckets = max(8, size // BUCKET_BYTES)
-    dealt = found.withColumn("bucket", F.pmod(F.col("key"), F.lit(buckets)))
-    spans = dealt.groupBy("bucket").applyInArrow(_repeats(id_type), f"doc_id {kind}, t1 long, low int, high int")
+    dealt = found.join(hot, F.col("key") == F.col("hot"), "left").select("key", group.alias("group"), "data", "places")
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("key", "group"), F.lit(buckets)))
+    settled = materialize(dealt.groupBy("bucket").applyInArrow(_repeats(id_type), f"doc_id {kind}, t1 long, low int, high int, h1 long, h2 int, weight int"), "byte-windows")
+    twice = settled.where("weight > 0").groupBy("h1", "h2").agg(F.sum("weight").alias("n")).where("n > 1").select("h1", "h2")
+    late = settled.where("weight = 1").join(twice, ["h1", "h2"])
+    spans = settled.where("weight = 0").select("doc_id", "t1", "low", "high").union(late.select("doc_id", "t1", "low", "high"))
     return spans.groupBy("doc_id", "t1").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
 
 
