@@ -11,13 +11,19 @@ classes of larger entries (a passage that many texts share) are paired where the
 common. That loses no pair: similar texts share all but a fifth of the longer one's words, so in any order of words
 the first fifth of one and of the other, and one word more, meet. Linked classes are joined by connected components.
 
+Very long pairs are first aligned at the runs of ``RUN`` words that are once in each of them and in one order in both,
+with exact alignments between these, which bounds their edits from above. Where the bound is small enough the pair is
+near; only otherwise is the band widened over the whole of it, in memory that grows with the band.
+
 Defined cases: a null text equals an empty one; texts without words are copies only of equal texts; a text shorter
-than a shingle is one shingle; null ids come after all others; of repeated rows one stays; an empty table gives an
-empty result.
+than a shingle is one shingle; a very long text is sketched and aligned whole; null ids come after all others; a class
+is named by its least id, and of rows that share it the equal ones count as one; of repeated rows one stays; columns of
+the input stay as they are in ``drop_near_copies``, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,16 +33,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm import tokens
-from tidemark.llm.common import boxed, materialize, table, unboxed
+from tidemark.llm.common import boxed, materialize, table, text_key, unboxed
 from tidemark.llm.graphs import components
 
-SHINGLE, TABLES, CHOSEN, SIMILARITY = 5, 48, 2, 0.8
+SHINGLE, TABLES, CHOSEN, SIMILARITY = 5, 72, 2, 0.8
 #: Bits of a shingle's place among those of a batch, and a value that no shingle has.
 PLACE_BITS, ALL = 28, np.uint64(2**64 - 1)
 #: Bits of the bitmap that says which texts are to be aligned, a power of two.
 BITS = 1 << 24
-#: Pairs that are aligned together, and the first half width of the band.
-BATCH, BAND = 128, 16
+#: Pairs that are aligned together, numbers held for them at once, and the first half width of the band.
+BATCH, HELD, BAND = 128, 1 << 22, 16
+#: Pairs with so many words are bounded from above first, by runs of so many words.
+LONG, RUN = 4096, 4
+#: Neighbours are sought among so many classes of an entry at once.
+CHAIN = 1024
 #: Up to so many classes of an entry are paired one by one, more of them by their rarest words.
 FEW = 32
 _SEEDS = tokens.scramble(np.arange(1, TABLES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -101,12 +111,6 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t1"), batch.column("t2"), pa.array(w.counts.astype(np.int32)), lists], ["doc_id", "t1", "t2", "n_words", "entries"])
 
 
-def text_key(text: Column) -> list[Column]:
-    """Two 64-bit hashes that tell texts apart."""
-    t = F.coalesce(text, F.lit(""))
-    return [F.xxhash64(t).alias("t1"), F.xxhash64(F.lit(1), t).alias("t2")]
-
-
 def _members(classes: DataFrame) -> DataFrame:
     """cid, entry, next, first, n: classes by entries that they share, with the first class of each and their number."""
     each = classes.select("cid", "entries", F.posexplode("entries").alias("t", "entry"))
@@ -118,7 +122,8 @@ def _members(classes: DataFrame) -> DataFrame:
 def _candidates(members: DataFrame) -> DataFrame:
     """a, b: classes that share an entry, each with the first of it and with one neighbour."""
     star = members.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b"))
-    near = Window.partitionBy("entry", "next").orderBy("cid")  # in one order for all entries, so most neighbours recur
+    piece = F.pmod(F.xxhash64("cid"), F.ceil(F.col("n") / CHAIN))  # an entry that many classes have is dealt out
+    near = Window.partitionBy("entry", "next", piece).orderBy("cid")  # in one order for all entries, so most neighbours recur
     chain = members.select("cid", F.lag("cid").over(near).alias("before")).where("before is not null").select(F.least("before", "cid").alias("a"), F.greatest("before", "cid").alias("b"))
     return star.union(chain).distinct()
 
@@ -214,7 +219,7 @@ def banded(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
 
 
 def edits_within(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray) -> np.ndarray:
-    """Edits of each pair, or -1 where they are more than ``most``."""
+    """Edits of each pair, or -1 where they are more than ``most``; of long pairs a bound that is no more than it will do."""
     out = np.full(len(pairs), -1, dtype=np.int64)
     left = []
     for i, (a, b) in enumerate(pairs):
@@ -240,13 +245,19 @@ def edits_within(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray) -
         common = int(np.minimum(na, np.where(y[at] == x, nb[at], 0)).sum())
         if len(b) - common > most[i]:  # each word of the longer one that the other lacks is an edit
             continue
+        if len(b) >= LONG and (bound := _at_most(a, b)) <= most[i]:
+            out[i] = bound
+            continue
         left.append((i, a, b, len(b) - common))
     band = BAND
     while left:
         left.sort(key=lambda x: len(x[1]))
         wait = []
-        for k in range(0, len(left), BATCH):
-            part = left[k : k + BATCH]
+        k = 0
+        while k < len(left):
+            n = next((n for n in range(1, min(BATCH, len(left) - k)) if (n + 1) * (len(left[k + n][1]) + 3 * band) > HELD), min(BATCH, len(left) - k))
+            part = left[k : k + n]
+            k += n
             fits = [x for x in part if x[3] <= band]  # the bound on edits says which bands can't do
             wait += [x for x in part if x[3] > band]
             if fits:
@@ -259,6 +270,38 @@ def edits_within(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray) -
     return out
 
 
+def _at_most(a: np.ndarray, b: np.ndarray) -> int:
+    """An upper bound of the edits between two sequences, near to them where edits are scattered."""
+    runs = []
+    for x in (a, b):
+        h = tokens.roll(tokens.scramble(x.astype(np.int64).view(np.uint64)), RUN)
+        values, at, counts = np.unique(h, return_index=True, return_counts=True)
+        runs.append((values[counts == 1], at[counts == 1]))
+    _, in_a, in_b = np.intersect1d(runs[0][0], runs[1][0], assume_unique=True, return_indices=True)
+    i, j = runs[0][1][in_a], runs[1][1][in_b]
+    order = np.argsort(i)
+    i, j = i[order], j[order]
+    tops, tails, back = [], [], np.full(len(j), -1, dtype=np.int64)  # the longest run of places that rise in both
+    for k, y in enumerate(j.tolist()):
+        p = bisect_left(tops, y)
+        back[k] = tails[p - 1] if p else -1
+        tops[p : p + 1], tails[p : p + 1] = [y], [k]
+    chain, k = [], tails[-1] if tails else -1
+    while k >= 0:
+        chain.append(k)
+        k = int(back[k])
+    chain = np.array(chain[::-1], dtype=np.int64)
+    x, y = ((v[chain][:, None] + np.arange(RUN)).ravel() for v in (i, j))
+    x, at = np.unique(x, return_index=True)  # words in two runs are there twice
+    y = y[at]
+    rises = y > np.r_[-1, np.maximum.accumulate(y)[:-1]] if len(y) else np.zeros(0, dtype=bool)
+    x, y = np.r_[-1, x[rises], len(a)], np.r_[-1, y[rises], len(b)]
+    gaps = [(a[p + 1 : q], b[r + 1 : s]) for p, q, r, s in zip(x[:-1].tolist(), x[1:].tolist(), y[:-1].tolist(), y[1:].tolist(), strict=True) if q - p > 1 or s - r > 1]
+    total = sum(max(len(c), len(d)) for c, d in gaps if max(len(c), len(d)) >= LONG)
+    small = [(c, d) for c, d in gaps if max(len(c), len(d)) < LONG]
+    return total + int(edits_within(small, np.array([max(len(c), len(d)) for c, d in small], dtype=np.int64)).sum())
+
+
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column("wa"), batch.column("wb")
