@@ -25,6 +25,36 @@ def pii(text: str) -> dict:
     return out | {"base_sha256": hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in spans).encode()).hexdigest()}
 
 
+def all_spans(text: str) -> tuple[str, str]:
+    """Spans and scores of all kinds, as op4 returns them."""
+    from tidemark.llm import pii as P
+
+    t = text or ""
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    checks = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+        "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9])", lambda m: int("".join(str(int(c, 36)) for c in (lambda x: x[4:] + x[:4])(m.replace(" ", "")))) % 97 == 1),
+        "secret": (P.SECRET, lambda m: True),
+        "account": (P.ACCOUNT, lambda m: True),
+    }
+    found = []
+    for rank, (kind, (pattern, ok)) in enumerate(checks.items()):
+        for m in re.finditer(pattern, t):
+            if not ok(m[0]):
+                continue
+            near = t[max(0, m.start() - 40) : m.start()]
+            marked = kind == "secret" and re.match("AKIA|ASIA|gh[opsu]_|sk-", m[0])
+            score = (700 if marked else P.PRIOR[kind]) + 300 * bool(re.search(P.NEARBY[kind], near)) - 300 * bool(re.search(P.AGAINST[kind], near))
+            found.append((m.start(), rank, kind, m.end(), max(0, min(1000, score))))
+    kept = [x for x in found if x[1] < 4 or (x[2] != "account" and x[4] >= 600)]
+    kept += [x for x in found if x[2] == "account" and x[4] >= 600 and not any(y[0] < x[3] and x[0] < y[3] for y in kept)]
+    kept.sort()
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b, _ in kept), ",".join(str(x[4]) for x in kept)
+
+
 def lowered(text: str | None) -> list[str]:
     t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)

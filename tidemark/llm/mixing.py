@@ -7,8 +7,10 @@ one row for each length of a source, meet in a task. Which documents of a length
 each length is dealt into ``BUCKETS`` hash buckets, counts tell how many are needed of each, and rows are ranked
 within a bucket, so a length that holds a third of all rows is ranked in pieces.
 
-Defined cases: a null text has size 0; the null source comes last and is a source like others; a source of size 0
-has target 0; rows that share an id are ranked by hash and text hash; an empty table gives an empty result.
+Defined cases: a null text has size 0; a very long text counts whole, and is one length like others; the null source comes last and is a source like others; a source of size 0
+has target 0; rows that share an id are ranked by hash and text hash, and of rows equal in both any may be the ones taken; of sums
+equally near to a budget the lower counts; columns of the input named like a result give way to it; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

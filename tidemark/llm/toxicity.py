@@ -6,7 +6,9 @@ It is trained on a bounded sample of labelled documents outside the held-out fol
 agree. Part of the sample is kept aside to scale scores, so that 0.5 divides the classes, and to set a threshold
 for each language, which doesn't enter the score.
 
-Defined cases: a null text is empty; a text without words gets the score of the empty text; if the sample lacks a
+Defined cases: a null text is empty; a very long text is scored whole, as a batch by itself; of the training sample
+those are left out with which its texts, in the order of the hash of their ids, would exceed ``SAMPLE_BYTES``; a score
+of exactly 0.5 is toxic; the result has its own columns alone, so none clash; a text without words gets the score of the empty text; if the sample lacks a
 class, all scores are 0; labels that are null are ignored, of several labels of a document the highest counts;
 repeated rows are scored alike; an empty table gives an empty result.
 """
@@ -20,12 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm import tokens
 from tidemark.llm.common import table
 
-#: Most labelled documents of each class that are trained on: toxic, others.
+#: Most labelled documents of each class that are trained on: toxic, others; and most bytes of their texts in all.
 SAMPLE = (2000, 4000)
+SAMPLE_BYTES = 64 << 20
 FOLDS = 5
 DIM, FILTERS, WIDTHS = 16, 12, (1, 2, 3)
 #: Rows of the embeddings of words, and of beginnings of four and of six bytes; powers of two.
@@ -240,6 +244,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
     least = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, sample[0]), (0, sample[1]))]
     chosen = F.broadcast(least[0].union(least[1]))  # bounded by the sample
     rows = docs.join(chosen, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max(F.struct("text", "lang")).alias("x"))
+    upto = F.sum(F.coalesce(F.octet_length("x.text"), F.lit(0))).over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rows = rows.withColumn("bytes", upto).where(F.col("bytes") <= SAMPLE_BYTES // 2)  # two groups, bounded by the sample
     found = sorted(rows.select("doc_id", "toxic", "x.text", "x.lang").collect(), key=lambda r: (hash_of(r["doc_id"]), str(r["doc_id"])))
     texts = []
     for batch in tokens.chunks(iter([pa.RecordBatch.from_pydict({"text": pa.array([r["text"] for r in found], pa.string())})]), "text", 1 << 18):
