@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that its predecesso
 return the columns of documents; the last adds size, text_crc32, shard and slot.
 
 Defined cases: extra columns pass through whatever their names, and where the last stage's names are taken, its
-values take their place; null texts and texts of fewer than 20 words fail the quality rules; of repeated rows one
-stays; null languages and sources form groups of their own; an empty table passes all stages.
+values take their place; null texts and texts of fewer than 20 words fail the quality rules; very long texts pass like others, whole; of repeated rows one
+stays, and of near copies the one with the least id; null languages and sources form groups of their own; an empty table passes all stages.
 """
 
 from __future__ import annotations
