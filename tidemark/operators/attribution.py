@@ -101,11 +101,11 @@ def simpson_check(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "bootstrap_stability",
-    f"""{_CUBE}, b as (select *, (select unnest(range(0, 100))) as draw0 from (select 1)), r as (select unnest(range(0, 100))::int as draw),
+    f"""{_CUBE}, r as (select unnest(range(0, 100))::int as draw),
     w as (select draw, region, a, f, floor(-ln(1 - {uniform_sql('boot', 'draw', 'region', 'category', 'segment', 'sales_channel')}) * 1000000)::bigint as wt from cube0, r),
     s as (select draw, region, sum(wt * ((a - f) // 10000))::hugeint as gap from w group by all),
     k as (select *, row_number() over (partition by draw order by gap desc, region) as rk from s)
-    select region, count(*) filter (rk = 1) as wins, round(count(*) filter (rk = 1) / 100, 4) as win_rate from k group by region""".replace("b as (select *, (select unnest(range(0, 100))) as draw0 from (select 1)), ", ""),
+    select region, count(*) filter (rk = 1) as wins, round(count(*) filter (rk = 1) / 100, 4) as win_rate from k group by region""",
 )
 def bootstrap_stability(spark: SparkSession, sf: str) -> DataFrame:
     """How often a region leads when the leaves are weighted anew; weights depend on keys and draw alone."""

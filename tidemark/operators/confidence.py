@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.rng import uniform, uniform_sql
+from tidemark.operators.signals import SIGNALS, SIGNALS_SQL, six_signals
 from tidemark.registry import query
+from tidemark.session import written
 from tidemark.sources.tables import FACTS, sales, table
 
 _ALL = Window.partitionBy
-SIGNALS = tuple(f"c{k}" for k in range(1, 7))
 GATE = 0.3
 #: Lowest calibrated probability of each tier.
 TIERS = (("high", 0.75), ("moderate", 0.5), ("low", 0.3), ("insufficient", 0.0))
@@ -27,28 +28,22 @@ def geometric_mean(*x: Column) -> Column:
     return F.when(F.least(*x) <= 0, 0.0).otherwise(F.exp(sum((F.log(v) for v in x), F.lit(0.0)) / len(x)))
 
 
-def signals(spark: SparkSession, sf: str) -> DataFrame:
-    """event_id and six signals in [0, 1] of each insight (one for each event)."""
-    return table(spark, sf, "events").select("event_id", "event_type", *[F.round(F.pow(uniform(c, "event_id"), F.lit(0.4)), 6).alias(c) for c in SIGNALS])
-
-
-_SIGNALS = "with s as (select event_id, event_type, " + ", ".join(f"round(pow({uniform_sql(c, 'event_id')}, 0.4), 6) as {c}" for c in SIGNALS) + " from events)"
 _LEAST = f"least({', '.join(SIGNALS)})"
 _SOFT = f"case when {_LEAST} <= 0 then 0 else pow(({' + '.join(f'pow({c}, -4)' for c in SIGNALS)}) / 6, -0.25) end"
 
 
-@query("softmin_conf", f"{_SIGNALS} select event_id, round({_SOFT}, 6) as softmin, round(case when {_LEAST} <= 0 then 0 else exp(({' + '.join(f'ln({c})' for c in SIGNALS)}) / 6) end, 6) as geometric from s")
+@query("softmin_conf", f"{SIGNALS_SQL} select region, month, round({_SOFT}, 6) as softmin, round(case when {_LEAST} <= 0 then 0 else exp(({' + '.join(f'ln({c})' for c in SIGNALS)}) / 6) end, 6) as geometric from s")
 def softmin_conf(spark: SparkSession, sf: str) -> DataFrame:
     x = [F.col(c) for c in SIGNALS]
-    return signals(spark, sf).select("event_id", F.round(softmin(*x), 6).alias("softmin"), F.round(geometric_mean(*x), 6).alias("geometric"))
+    return six_signals(spark, sf).select("region", "month", F.round(softmin(*x), 6).alias("softmin"), F.round(geometric_mean(*x), 6).alias("geometric"))
 
 
-@query("hard_gates", f"{_SIGNALS} select event_id, concat_ws(',', {', '.join(f'case when {c} < {GATE} then ' + chr(39) + c + chr(39) + ' end' for c in SIGNALS)}, case when event_type = 'error' and event_id % 3 = 0 then 'freshness' end, case when event_id % 7 = 0 then 'reconciliation' end) as failed from s")
+@query("hard_gates", f"{SIGNALS_SQL} select region, month, concat_ws(',', {', '.join(f'case when {c} < {GATE} then ' + chr(39) + c + chr(39) + ' end' for c in SIGNALS)}, case when not reconciled then 'reconciliation' end, case when stories < 2 then 'single_source' end) as failed from s")
 def hard_gates(spark: SparkSession, sf: str) -> DataFrame:
     """All gates that fail, not only the first."""
     gates = [F.when(F.col(c) < GATE, F.lit(c)) for c in SIGNALS]
-    gates += [F.when((F.col("event_type") == "error") & (F.col("event_id") % 3 == 0), F.lit("freshness")), F.when(F.col("event_id") % 7 == 0, F.lit("reconciliation"))]
-    return signals(spark, sf).select("event_id", F.concat_ws(",", *gates).alias("failed"))
+    gates += [F.when(~F.col("reconciled"), F.lit("reconciliation")), F.when(F.col("stories") < 2, F.lit("single_source"))]
+    return six_signals(spark, sf).select("region", "month", F.concat_ws(",", *gates).alias("failed"))
 
 
 def tier(p: Column) -> Column:
@@ -58,11 +53,11 @@ def tier(p: Column) -> Column:
     return out.otherwise(TIERS[-1][0])
 
 
-@query("tiering", f"{_SIGNALS}, p as (select event_type, round({_SOFT}, 6) as p, {_LEAST} < {GATE} as gated from s) select event_type, case when gated then 'abstain' when p >= 0.75 then 'high' when p >= 0.5 then 'moderate' when p >= 0.3 then 'low' else 'insufficient' end as tier, count(*) as n from p group by all")
+@query("tiering", f"{SIGNALS_SQL}, p as (select region, round({_SOFT}, 6) as p, {_LEAST} < {GATE} as gated from s) select region, case when gated then 'abstain' when p >= 0.75 then 'high' when p >= 0.5 then 'moderate' when p >= 0.3 then 'low' else 'insufficient' end as tier, count(*) as n from p group by all")
 def tiering(spark: SparkSession, sf: str) -> DataFrame:
     x = [F.col(c) for c in SIGNALS]
-    s = signals(spark, sf).withColumn("p", F.round(softmin(*x), 6))
-    return s.groupBy("event_type", F.when(F.least(*x) < GATE, "abstain").otherwise(tier(F.col("p"))).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+    s = six_signals(spark, sf).withColumn("p", F.round(softmin(*x), 6))
+    return s.groupBy("region", F.when(F.least(*x) < GATE, "abstain").otherwise(tier(F.col("p"))).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,17 +102,18 @@ def platt_map(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("priority_ranker")
 def priority_ranker(spark: SparkSession, sf: str) -> DataFrame:
-    """Boosted trees over an insight's signals, once there are enough verdicts; their order until then."""
+    """Boosted trees over a movement's signals that foretell whether it holds, once there are enough verdicts; their order until then."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    s = signals(spark, sf).withColumn("label", (F.col("c1") + F.col("c5") > 1.4).cast("double"))
-    if s.count() < 200:
-        return s.select("event_id", F.col("c1").alias("rank_score"))
-    data = VectorAssembler(inputCols=list(SIGNALS), outputCol="features").transform(s)
-    model = GBTClassifier(maxIter=5, maxDepth=3, seed=7).fit(data)
-    return model.transform(data).select("event_id", F.round(vector_to_array("probability")[1], 6).alias("rank_score"))
+    s = written(six_signals(spark, sf).withColumn("label", F.col("held").cast("double")), "verdicts")
+    known = s.where("label is not null")
+    if known.count() < 100 or known.select("label").distinct().count() < 2:
+        return s.select("region", "month", F.col("c1").alias("rank_score"))
+    data = VectorAssembler(inputCols=list(SIGNALS), outputCol="features")
+    model = GBTClassifier(maxIter=5, maxDepth=3, seed=7).fit(data.transform(known))
+    return model.transform(data.transform(s)).select("region", "month", F.round(vector_to_array("probability")[1], 6).alias("rank_score"))
 
 
 @query("eval_detection", "select event_type, count(*) filter (flag and truth) as hits, round(count(*) filter (flag and truth) / nullif(count(*) filter (flag), 0), 8) as precision, round(count(*) filter (flag and truth) / nullif(count(*) filter (truth), 0), 8) as recall from (select event_type, value > 120 as flag, value > 100 and event_id % 13 <> 0 as truth from events) group by 1")

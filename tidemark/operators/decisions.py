@@ -2,83 +2,126 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import stats
 from tidemark.functions.rng import uniform, uniform_sql
-from tidemark.operators.attribution import _MOVES, moves
-from tidemark.operators.confidence import GATE, SIGNALS, softmin, tier
+from tidemark.operators.confidence import GATE, softmin, tier
 from tidemark.operators.series import z_scores
+from tidemark.operators.signals import ALPHA, SIGNALS, SIGNALS_SQL, claim, six_signals
 from tidemark.registry import query
+from tidemark.session import written
 from tidemark.sources.tables import FACTS, daily_events, sales, table
 
-ALPHA = 0.05
 
+_SOFT = f"case when least({', '.join(SIGNALS)}) <= 0 then 0 else pow(({' + '.join(f'pow({c}, -4)' for c in SIGNALS)}) / 6, -0.25) end"
+_FAILED = "concat_ws(',', " + ", ".join(f"case when {c} < {GATE} then '{c}' end" for c in SIGNALS) + ")"
+#: Bins of the raw confidence that is calibrated.
+BINS = 20
+_BELIEF = f"""{SIGNALS_SQL}, r as (select *, round({_SOFT}, 6) as raw, {_FAILED} as failed from s),
+  rb as (select *, least(floor(raw * {BINS}), {BINS - 1})::int as bin from r),
+  bn as (select bin, count(*) as n, sum(held::int) as y from rb where held is not null group by bin),
+  pr as (select a.bin as lo, b.bin as hi, sum(c.y) / sum(c.n) as m from bn a join bn b on a.bin <= b.bin join bn c on c.bin between a.bin and b.bin group by all),
+  lw as (select i.bin, lo, min(m) as m from bn i join pr on lo <= i.bin and hi >= i.bin group by all),
+  im as (select bin, round(max(m), 6) as probability from lw group by bin),
+  d as (select rb.*, coalesce(probability, raw) as probability, case when failed <> '' then 'abstain' when coalesce(probability, raw) >= 0.75 then 'high' when coalesce(probability, raw) >= 0.5 then 'moderate' when coalesce(probability, raw) >= 0.3 then 'low' else 'insufficient' end as verdict from rb left join im using (bin))"""
+
+
+@query("signals_c1_c6", f"{SIGNALS_SQL} select * from s")
+def signals_query(spark: SparkSession, sf: str) -> DataFrame:
+    return six_signals(spark, sf)
 
-def clip(x):
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
+def isotonic(pairs: DataFrame, score: str = "raw", outcome: str = "held", bins: int = BINS) -> DataFrame:
+    """bin, n, probability: the rising curve nearest to the outcomes' shares by bin of score, weighted by their number.
 
-_P = uniform_sql("p", "region", "month")
-_W = uniform_sql("win", "region", "month")
-_DECIDE = f"""{_MOVES}, g as (select *, round(0.06::double * {_P}, 6) as p, round(0.6::double + 0.4::double * {_W}, 6) as win, {uniform_sql('fresh', 'region', 'month')} as f, {uniform_sql('docs', 'region', 'month')} as e from moves),
-  s as (select region, month, impact, pct, z,
-    round(greatest(0.0, least(1.0, 1 - p / {ALPHA})), 6) as c1, round(win * least(1.0, abs(pct) * 2), 6) as c2,
-    round(least(1.0, 0.05::double / greatest(p, 0.001)) * least(1.0, 12 / 28.0::double), 6) as c3,
-    case when f < 0.8 then 1.0::double when f < 0.95 then 0.6::double else 0.0::double end as c4, round(1 - exp(ln(1 - least(0.3::double + 0.7::double * e, 1 - 1e-9)) * 2), 6) as c5, 1.0::double as c6 from g)"""
-_SOFT = f"case when least({', '.join(SIGNALS)}) <= 0 then 0 else pow(({' + '.join(f'pow({c}, -4)' for c in SIGNALS)}) / 6, -0.25) end"
+    Its value at a bin is the greatest, over the runs' beginnings up to it, of the least mean of runs that end at or after
+    it: joins over at most ``bins`` rows, whatever the input.
+    """
+    bin_of = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
+    b = written(pairs.where(F.col(outcome).isNotNull()).groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(outcome).cast("int")).alias("y")), "bins")
+    runs = b.select(F.col("bin").alias("lo")).join(b.select(F.col("bin").alias("hi")), F.col("lo") <= F.col("hi"))
+    means = runs.join(b, F.col("bin").between(F.col("lo"), F.col("hi"))).groupBy("lo", "hi").agg((F.sum("y") / F.sum("n")).alias("m"))
+    least = b.join(means, (F.col("lo") <= F.col("bin")) & (F.col("hi") >= F.col("bin"))).groupBy("bin", "n", "lo").agg(F.min("m").alias("m"))
+    return least.groupBy("bin", "n").agg(F.round(F.max("m"), 6).alias("probability"))
 
 
-def six_signals(spark: SparkSession, sf: str) -> DataFrame:
-    """Detection, attribution, estimation, data, evidence and narrative, each in [0, 1], of every monthly movement."""
-    u = lambda seed: uniform(seed, "region", "month")
-    g = moves(spark, sf).withColumns({"p": F.round(0.06 * u("p"), 6), "win": F.round(0.6 + 0.4 * u("win"), 6), "f": u("fresh"), "e": u("docs")})
-    return g.select(
-        "region", "month", "impact", "pct", "z",
-        F.round(clip(1 - F.col("p") / ALPHA), 6).alias("c1"),
-        F.round(F.col("win") * F.least(F.lit(1.0), F.abs("pct") * 2), 6).alias("c2"),
-        F.round(F.least(F.lit(1.0), 0.05 / F.greatest("p", F.lit(0.001))) * min(1.0, 12 / 28), 6).alias("c3"),
-        F.when(F.col("f") < 0.8, 1.0).when(F.col("f") < 0.95, 0.6).otherwise(0.0).alias("c4"),
-        F.round(1 - F.exp(F.log(1 - F.least(0.3 + 0.7 * F.col("e"), F.lit(1 - 1e-9))) * 2), 6).alias("c5"),
-        F.lit(1.0).alias("c6"),
-    )
+def beliefs(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals, raw, failed, probability, verdict of each movement: a calibrated tier, or an abstention that names every signal below its gate."""
+    x = [F.col(c) for c in SIGNALS]
+    failed = F.concat_ws(",", *[F.when(c < GATE, F.lit(n)) for c, n in zip(x, SIGNALS, strict=True)])
+    r = written(six_signals(spark, sf).withColumns({"raw": F.round(softmin(*x), 6), "failed": failed}), "raw-beliefs")
+    curve = isotonic(r).select("bin", "probability")
+    r = r.withColumn("bin", F.least(F.floor(F.col("raw") * BINS), F.lit(BINS - 1)).cast("int")).join(curve, "bin", "left")
+    r = r.withColumn("probability", F.coalesce("probability", "raw"))
+    return r.withColumn("verdict", F.when(F.col("failed") != "", "abstain").otherwise(tier(F.col("probability"))))
 
 
-@query("signals_c1_c6", f"{_DECIDE} select * from s")
-def signals_query(spark: SparkSession, sf: str) -> DataFrame:
-    return six_signals(spark, sf)
+@query("calibration_curve", f"{_BELIEF} select im.bin, n, probability from im join bn using (bin)")
+def calibration_curve(spark: SparkSession, sf: str) -> DataFrame:
+    """From raw confidence to the share of movements that held, rising."""
+    x = [F.col(c) for c in SIGNALS]
+    return isotonic(six_signals(spark, sf).withColumn("raw", F.round(softmin(*x), 6)))
 
 
-@query("decide_abstain", f"{_DECIDE}, d as (select *, round({_SOFT}, 6) as raw, concat_ws(',', {', '.join(f'case when {c} < {GATE} then ' + chr(39) + c + chr(39) + ' end' for c in SIGNALS)}) as failed from s) select region, month, raw, failed, case when failed <> '' then 'abstain' when raw >= 0.75 then 'high' when raw >= 0.5 then 'moderate' when raw >= 0.3 then 'low' else 'insufficient' end as verdict from d")
+@query("decide_abstain", f"{_BELIEF} select region, month, raw, failed, probability, verdict from d")
 def decide(spark: SparkSession, sf: str) -> DataFrame:
-    """A tier, or an abstention that names every signal below its gate."""
-    x = [F.col(c) for c in SIGNALS]
-    failed = F.concat_ws(",", *[F.when(c < GATE, F.lit(n)) for c, n in zip(x, SIGNALS, strict=True)])
-    d = six_signals(spark, sf).withColumns({"raw": F.round(softmin(*x), 6), "failed": failed})
-    return d.select("region", "month", "raw", "failed", F.when(F.col("failed") != "", "abstain").otherwise(tier(F.col("raw"))).alias("verdict"))
+    return beliefs(spark, sf).select("region", "month", "raw", "failed", "probability", "verdict")
+
 
+@query("abstention_report", f"{_BELIEF}, u as (select unnest(string_split(failed, ',')) as signal from d where failed <> '') select signal, count(*) as n, case signal when 'c1' then 'wait for more history or a larger movement' when 'c2' then 'split by another dimension' when 'c3' then 'refit the baseline' when 'c4' then 'ask the owner of the feed for the missing days' when 'c5' then 'ask for documents on the month' else 'tell by template' end as next_step from u group by signal")
+def abstention_report(spark: SparkSession, sf: str) -> DataFrame:
+    """What would have to change before a claim could be made, by how often it stood in the way."""
+    steps = dict(zip(SIGNALS, ("wait for more history or a larger movement", "split by another dimension", "refit the baseline", "ask the owner of the feed for the missing days", "ask for documents on the month", "tell by template"), strict=True))
+    u = beliefs(spark, sf).where("failed <> ''").select(F.explode(F.split("failed", ",")).alias("signal"))
+    said = F.coalesce(*[F.when(F.col("signal") == k, F.lit(v)) for k, v in steps.items()])
+    return u.groupBy("signal").agg(F.count(F.lit(1)).alias("n")).withColumn("next_step", said)
 
-@query("evidence_bundle", f"{_DECIDE}, d as (select *, concat_ws(',', {', '.join(f'case when {c} < {GATE} then ' + chr(39) + c + chr(39) + ' end' for c in SIGNALS)}) as failed from s) select region, count(*) as n_bundles, count(*) filter (failed <> '') as n_abstained, round(sum(abs(impact)), 2) as impact from d group by region")
+
+@query("evidence_bundle", f"{_BELIEF} select region, count(*) as n_bundles, count(*) filter (verdict = 'abstain') as n_abstained, round(sum(abs(impact)), 2) as impact, count(distinct lead) as leads from d group by region")
 def evidence_bundle(spark: SparkSession, sf: str) -> DataFrame:
     """Bundles as nested values, written to JSON and read again: what is told later comes from them alone."""
-    d = decide(spark, sf).join(six_signals(spark, sf).select("region", "month", "impact", F.struct(*SIGNALS).alias("signals")), ["region", "month"])
-    bundle = F.struct(F.struct("region", F.col("month").cast("string").alias("month")).alias("scope"), F.col("impact").alias("gap_abs"), "signals", F.split("failed", ",").alias("failed"), F.col("verdict").alias("tier"))
-    text = d.select(F.to_json(bundle).alias("j"))
-    schema = "scope struct<region:string,month:string>, gap_abs double, signals struct<c1:double,c2:double,c3:double,c4:double,c5:double,c6:double>, failed array<string>, tier string"
+    scope = F.struct("region", F.col("month").cast("string").alias("month"))
+    bundle = F.struct(scope.alias("scope"), F.col("impact").alias("gap_abs"), "lead", F.struct(*SIGNALS).alias("signals"), F.split("failed", ",").alias("failed"), F.col("verdict").alias("tier"))
+    text = beliefs(spark, sf).select(F.to_json(bundle).alias("j"))
+    schema = "scope struct<region:string,month:string>, gap_abs double, lead string, signals struct<c1:double,c2:double,c3:double,c4:double,c5:double,c6:double>, failed array<string>, tier string"
     b = text.select(F.from_json("j", schema).alias("b")).select("b.*")
-    return b.groupBy(F.col("scope.region").alias("region")).agg(F.count(F.lit(1)).alias("n_bundles"), F.count_if(F.col("tier") == "abstain").alias("n_abstained"), F.round(F.sum(F.abs("gap_abs")), 2).alias("impact"))
+    return b.groupBy(F.col("scope.region").alias("region")).agg(F.count(F.lit(1)).alias("n_bundles"), F.count_if(F.col("tier") == "abstain").alias("n_abstained"), F.round(F.sum(F.abs("gap_abs")), 2).alias("impact"), F.count_distinct("lead").alias("leads"))
+
 
+_PERSONAS = {"executive": "{region} {claim} in {month}.", "analyst": "{region} {claim} in {month}, led by {lead}; p = {p}, {stories} stories, confidence {tier}.", "operator": "{month}: check {lead} in {region}."}
+_SAID = {
+    "executive": "region || ' ' || claim || ' in ' || month || '.'",
+    "analyst": "region || ' ' || claim || ' in ' || month || ', led by ' || lead || '; p = ' || printf('%.4f', p) || ', ' || stories || ' stories, confidence ' || verdict || '.'",
+    "operator": "month || ': check ' || lead || ' in ' || region || '.'",
+}
 
-@query("narrative_template", f"{_DECIDE}, d as (select *, round({_SOFT}, 6) as raw, least({', '.join(SIGNALS)}) < {GATE} as gated from s) select region, month, case when gated then 'No claim about ' || region || ' in ' || month || ': the data cannot support one.' else region || ' moved by ' || printf('%.2f', floor(pct * 10000 + 0.5) / 100) || ' percent in ' || month || '.' end as said from d")
+
+@query("narrative_template", f"{_BELIEF}, c as (select *, 'moved by ' || printf('%.2f', floor(pct * 10000 + 0.5) / 100) || '%' as claim from d), n as ({' union all '.join(f'select region, month, verdict, {chr(39)}{k}{chr(39)} as persona, {v} as told from c' for k, v in _SAID.items())}) select region, month, persona, case when verdict = 'abstain' then 'No claim about ' || region || ' in ' || month || ': the data cannot support one.' else told end as said from n")
 def narrative_template(spark: SparkSession, sf: str) -> DataFrame:
-    """Sentences from a template; an abstention says so and tells no number."""
-    d = six_signals(spark, sf).withColumn("gated", F.least(*SIGNALS) < GATE)
-    month = F.col("month").cast("string")
-    none = F.concat(F.lit("No claim about "), "region", F.lit(" in "), month, F.lit(": the data cannot support one."))
-    said = F.concat("region", F.lit(" moved by "), F.format_string("%.2f", F.floor(F.col("pct") * 10000 + 0.5) / 100), F.lit(" percent in "), month, F.lit("."))
-    return d.select("region", "month", F.when(F.col("gated"), none).otherwise(said).alias("said"))
+    """A sentence for each persona from the bundle alone; an abstention says so and tells no number."""
+    d = beliefs(spark, sf)
+    values = {"region": F.col("region"), "month": F.col("month").cast("string"), "claim": claim(F.col("pct")), "lead": F.col("lead"), "p": F.format_string("%.4f", "p"), "stories": F.col("stories").cast("string"), "tier": F.col("verdict")}
+
+    def filled(template: str) -> Column:
+        pieces = re.split(r"\{(\w+)\}", template)
+        return F.concat(*[values[x] if k % 2 else F.lit(x) for k, x in enumerate(pieces)])
+
+    told = F.explode(F.array(*[F.struct(F.lit(k).alias("persona"), filled(v).alias("told")) for k, v in _PERSONAS.items()]))
+    none = F.concat(F.lit("No claim about "), "region", F.lit(" in "), F.col("month").cast("string"), F.lit(": the data cannot support one."))
+    n = d.select("region", "month", "verdict", told.alias("x"))
+    return n.select("region", "month", "x.persona", F.when(F.col("verdict") == "abstain", none).otherwise(F.col("x.told")).alias("said"))
+
+
+@query("golden_path", f"{_BELIEF}, g as (select region, month, verdict, abs(z) >= 1.5 and abs(pct) >= 0.1 as material, p <= {ALPHA} as detected from d) select detected, material, verdict, count(*) as n from g group by all")
+def golden_path(spark: SparkSession, sf: str) -> DataFrame:
+    """From detection over materiality to the verdict: how many movements take each path."""
+    g = beliefs(spark, sf)
+    return g.groupBy((F.col("p") <= ALPHA).alias("detected"), ((F.abs("z") >= 1.5) & (F.abs("pct") >= 0.1)).alias("material"), "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("evidence_conf", f"select doc_id, round(0.25 * {uniform_sql('rerank', 'doc_id')} + 0.25 * (1 - (doc_id % 4) / 4.0::double) + 0.25 * least(1.0, n_chars / 2000.0::double) + 0.25 * {uniform_sql('extract', 'doc_id')}, 6) as conf, (doc_id % 4)::int as source_tier from documents")
@@ -144,7 +187,7 @@ def false_positive_rate(spark: SparkSession, sf: str) -> DataFrame:
 _ORDER = ("insufficient", "low", "moderate", "high")
 
 
-@query("entailment_cap", f"{_DECIDE}, d as (select *, round({_SOFT}, 6) as raw, least({', '.join(SIGNALS)}) < {GATE} as gated from s) select case when gated then 'abstain' when raw >= 0.5 then 'moderate' when raw >= 0.3 then 'low' else 'insufficient' end as verdict, count(*) as n from d group by 1")
+@query("entailment_cap", f"{_BELIEF} select case when verdict = 'high' then 'moderate' else verdict end as verdict, count(*) as n from d group by 1")
 def entailment_cap(spark: SparkSession, sf: str) -> DataFrame:
     """Without a model that judges entailment only numbers are checked, and no tier goes above moderate."""
     d = decide(spark, sf)
@@ -152,9 +195,10 @@ def entailment_cap(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy(capped.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("adaptation_route", f"{FACTS}, s as (select sku, count(distinct d) as n_days, count(distinct region) as regions, stddev(units) / avg(units) as cv from sales group by 1) select sku, case when n_days < 28 then 'pooled_launch' when n_days / 2405 < 0.02 then 'croston_tsb' when regions < 2 then 'correlated_kpis' when cv > 0.6 then 'poisson_bands' else 'mstl' end as operator from s")
+@query("adaptation_route", f"{FACTS}, s as (select sku, count(distinct d) as n_days, count(distinct region) as regions, stddev(units) / avg(units) as cv from sales group by 1), l as (select date_diff('day', min(d), max(d)) + 1 as len from sales) select sku, case when n_days < 28 then 'pooled_launch' when n_days / len < 0.02 then 'croston_tsb' when regions < 2 then 'correlated_kpis' when cv > 0.6 then 'poisson_bands' else 'mstl' end as operator from s, l")
 def adaptation_route(spark: SparkSession, sf: str) -> DataFrame:
     """Which baseline a product's data can bear."""
     s = sales(spark, sf).groupBy("sku").agg(F.count_distinct("d").alias("n"), F.count_distinct("region").alias("regions"), (F.stddev("units") / F.avg("units")).alias("cv"))
-    operator = F.when(F.col("n") < 28, "pooled_launch").when(F.col("n") / 2405 < 0.02, "croston_tsb").when(F.col("regions") < 2, "correlated_kpis").when(F.col("cv") > 0.6, "poisson_bands").otherwise("mstl")
+    s = s.crossJoin(sales(spark, sf).agg((F.datediff(F.max("d"), F.min("d")) + 1).alias("len")))  # one row
+    operator = F.when(F.col("n") < 28, "pooled_launch").when(F.col("n") / F.col("len") < 0.02, "croston_tsb").when(F.col("regions") < 2, "correlated_kpis").when(F.col("cv") > 0.6, "poisson_bands").otherwise("mstl")
     return s.select("sku", operator.alias("operator"))

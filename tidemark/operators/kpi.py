@@ -142,11 +142,12 @@ def top3_skus(spark: SparkSession, sf: str) -> DataFrame:
     return s.withColumn("rk", F.row_number().over(Window.partitionBy("region").orderBy(F.desc("net_e4"), "sku")).cast("long")).where("rk <= 3")
 
 
-@query("unknown_member", "select coalesce(p_brand, 'UNKNOWN') as brand, p_brand is null as unknown, count(*) as n from lineitem left join (select * from part where p_size <= 25) on l_partkey = p_partkey group by all")
+@query("unknown_member", "select coalesce(n_name, 'UNKNOWN') as nation, n_name is null as unknown, count(*) as n from customer left join (select s_suppkey, n_name from supplier join nation on s_nationkey = n_nationkey) on c_custkey = s_suppkey group by all")
 def unknown_member(spark: SparkSession, sf: str) -> DataFrame:
-    parts = table(spark, sf, "part").where("p_size <= 25")
-    joined = table(spark, sf, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
-    return joined.groupBy(F.coalesce("p_brand", F.lit("UNKNOWN")).alias("brand"), F.col("p_brand").isNull().alias("unknown")).agg(F.count(F.lit(1)).alias("n"))
+    """Rows whose member the dimension doesn't know fall to UNKNOWN: most customers have no supplier of their number."""
+    s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+    joined = table(spark, sf, "customer").join(s, F.col("c_custkey") == F.col("s_suppkey"), "left")
+    return joined.groupBy(F.coalesce("n_name", F.lit("UNKNOWN")).alias("nation"), F.col("n_name").isNull().alias("unknown")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _EDGES = sorted((c.kpi, s) for c in CONTRACTS.values() for s in c.sources)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from tidemark.registry import query
+from tidemark.session import written
 from tidemark.sources.tables import FACTS, daily_events, daily_sales, sales, table
 
 
@@ -64,19 +65,41 @@ def ar1_innov(spark: SparkSession, sf: str) -> DataFrame:
     return with_ar1(daily_events(spark, sf)).select("series", "t", F.round("phi", 6).alias("phi"), F.round("e", 4).alias("e"))
 
 
-@query("ewma_scale", f"{_Z} select series, t, round(sqrt(sum(0.06 * z * z * pow(0.94, -t)) over (partition by series order by t rows between unbounded preceding and 1 preceding) * pow(0.94, t - 1)), 6) as sigma from z")
+#: Days of a block of a decayed sum, and blocks before it that still count.
+BLOCK, BLOCKS = 128, 8
+
+
+def decayed_sum(df: DataFrame, x: str, decay: float, out: str, strict: bool = False) -> DataFrame:
+    """``df`` with ``out``: the sum of decay^(t - u) x_u over u up to t (before t, if strict), by series.
+
+    Weights are taken from the beginning of each block, so no power grows with t; the totals of ``BLOCKS`` blocks before
+    are carried in, beyond which a decay of 0.97 or less leaves nothing that a double could hold beside the rest.
+    """
+    own = Window.partitionBy("series", "__b").orderBy("t").rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    before = lambda m: F.sum("__x").over(by_series().orderBy("__b").rangeBetween(-m, -m))
+    b = df.withColumn("__b", F.floor(F.col("t") / BLOCK)).withColumn("__x", F.col(x) * F.pow(F.lit(decay), -(F.col("t") - F.col("__b") * BLOCK)))
+    carried = sum((F.coalesce(before(m), F.lit(0.0)) * decay ** (m * BLOCK) for m in range(1, BLOCKS + 1)), F.lit(0.0))
+    b = b.withColumns({"__own": F.coalesce(F.sum("__x").over(own), F.lit(0.0)), "__far": carried})
+    return b.withColumn(out, (F.col("__own") + F.col("__far")) * F.pow(F.lit(decay), F.col("t") - F.col("__b") * BLOCK)).drop("__b", "__x", "__own", "__far")
+
+
+#: A scale is no less than this share of the series' MAD.
+FLOOR = 0.25
+
+
+@query("ewma_scale", f"{_Z}, m as (select series, 1.4826 * median(abs(z)) as mad from z group by 1), s as (select a.series, a.t, sum(0.06 * b.z * b.z * pow(0.94, a.t - 1 - b.t)) as v from z a left join z b on a.series = b.series and b.t < a.t group by a.series, a.t) select s.series, t, round(greatest(sqrt(coalesce(v, 0)), {FLOOR} * mad), 6) as sigma from s join m using (series)")
 def ewma_scale(spark: SparkSession, sf: str) -> DataFrame:
-    """sigma_t^2 = .94 sigma_{t-1}^2 + .06 e_{t-1}^2 as a weighted running sum of the strict past."""
-    z = z_scores(daily_events(spark, sf))
-    total = F.sum(0.06 * F.col("z") * F.col("z") * F.pow(F.lit(0.94), -F.col("t"))).over(past())
-    return z.select("series", "t", F.round(F.sqrt(total * F.pow(F.lit(0.94), F.col("t") - 1)), 6).alias("sigma"))
+    """sigma_t^2 = .94 sigma_{t-1}^2 + .06 e_{t-1}^2 over the strict past, and never below a share of the MAD."""
+    z = z_scores(daily_events(spark, sf)).withColumn("e2", 0.06 * F.col("z") * F.col("z") / 0.94)
+    mad = z.groupBy("series").agg((1.4826 * F.median(F.abs("z"))).alias("mad"))
+    s = decayed_sum(z, "e2", 0.94, "v", strict=True).join(mad, "series")
+    return s.select("series", "t", F.round(F.greatest(F.sqrt("v"), FLOOR * F.col("mad")), 6).alias("sigma"))
 
 
-@query("adstock", f"{FACTS} select series, t, round(sum(y * pow(0.5, -t / 3.0)) over (partition by series order by t) * pow(0.5, t / 3.0), 4) as adstock from daily_events")
+@query("adstock", f"{FACTS} select a.series, a.t, round(sum(b.y * pow(0.5, (a.t - b.t) / 3.0)), 4) as adstock from daily_events a join daily_events b on a.series = b.series and b.t <= a.t group by a.series, a.t")
 def adstock(spark: SparkSession, sf: str) -> DataFrame:
     """Geometric carry-over with a half-life of three days."""
-    total = F.sum(F.col("y") * F.pow(F.lit(0.5), -F.col("t") / 3.0)).over(upto())
-    return daily_events(spark, sf).select("series", "t", F.round(total * F.pow(F.lit(0.5), F.col("t") / 3.0), 4).alias("adstock"))
+    return decayed_sum(daily_events(spark, sf), "y", 0.5 ** (1 / 3), "adstock").select("series", "t", F.round("adstock", 4).alias("adstock"))
 
 
 @query("robust_mad", f"{FACTS}, m as (select series, isodow(d) as dow, median(y) as m from daily_events group by all) select series, dow, round(m, 6) as med, round(median(abs(y - m)) * 1.4826, 6) as mad from daily_events join m using (series) where isodow(d) = dow group by series, dow, m")
@@ -87,16 +110,37 @@ def robust_mad(spark: SparkSession, sf: str) -> DataFrame:
     return e.join(m, ["series", "dow"]).groupBy("series", "dow", "m").agg((F.median(F.abs(F.col("y") - F.col("m"))) * 1.4826).alias("mad")).select("series", "dow", F.round("m", 6).alias("med"), F.round("mad", 6).alias("mad"))
 
 
-def with_conformal(df: DataFrame, score: str = "s", window: int = 250) -> DataFrame:
-    """``df`` with n_cal and p = (1 + #{past scores at least as large}) / (n + 1), over the ``window`` rows before."""
-    past = F.collect_list(score).over(ordered().rowsBetween(-window, -1))
-    out = df.withColumn("__past", past).withColumn("n_cal", F.size("__past"))
-    return out.withColumn("p", (1 + F.size(F.filter("__past", lambda x: x >= F.col(score)))) / (F.col("n_cal") + 1)).drop("__past")
+#: Days that a p-value is taken from, and MADs from the median beyond which a day is no clean one.
+CLEAN, FAR = 250, 3
+
 
+def with_conformal(df: DataFrame, score: str = "s", clean: str = "clean", window: int = CLEAN) -> DataFrame:
+    """``df`` with n_cal and p = (1 + #{past scores at least as large}) / (n + 1), over the last ``window`` clean rows before.
 
-@query("conformal_p", f"{_Z}, s as (select series, t, round(abs(z), 9) as s from z) select a.series, a.t, count(b.s) as n_cal, round((1 + count(*) filter (b.s >= a.s)) / (count(b.s) + 1), 8) as p from s a left join s b on a.series = b.series and b.t < a.t group by a.series, a.t, a.s")
+    ``clean`` says which rows may calibrate others: anomalies stay out, so one doesn't hide the next.
+    """
+    counted = df.withColumn("__c", F.coalesce(F.count(F.when(F.col(clean), 1)).over(past()), F.lit(0)))  # clean rows before this one
+    last = by_series().orderBy("__c").rangeBetween(-window, -1)
+    out = counted.withColumn("__past", F.collect_list(F.when(F.col(clean), F.col(score))).over(last)).withColumn("n_cal", F.size("__past"))
+    return out.withColumn("p", (1 + F.size(F.filter("__past", lambda x: x >= F.col(score)))) / (F.col("n_cal") + 1)).drop("__past", "__c")
+
+
+def with_clean(df: DataFrame, y: str = "y") -> DataFrame:
+    """``df`` with clean: whether a row lies within ``FAR`` MADs of its series' median."""
+    m = df.groupBy("series").agg(F.median(y).alias("__m"))
+    d = df.join(m, "series").withColumn("__d", F.round(F.abs(F.col(y) - F.col("__m")), 6))
+    mad = d.groupBy("series").agg(F.round(F.median("__d") * 1.4826 * FAR, 6).alias("__l"))
+    return d.join(mad, "series").withColumn("clean", F.col("__d") <= F.col("__l")).drop("__m", "__d", "__l")
+
+
+_P = f"""{_Z}, md as (select series, median(y) as m from daily_events group by 1), dv as (select series, t, round(abs(y - m), 6) as dv from daily_events join md using (series)), li as (select series, round(median(dv) * 1.4826 * {FAR}, 6) as l from dv group by 1),
+  s as (select series, t, d, round(abs(z), 9) as s, dv <= l as clean from z join dv using (series, t) join li using (series)), cc as (select *, count(*) filter (clean) over (partition by series order by t rows between unbounded preceding and 1 preceding) as c from s),
+  p as (select a.series, a.t, count(b.s) as n_cal, round((1 + count(*) filter (b.s >= a.s)) / (count(b.s) + 1), 8) as p from cc a left join cc b on a.series = b.series and b.clean and b.c between a.c - {CLEAN} and a.c - 1 group by a.series, a.t, a.s)"""
+
+
+@query("conformal_p", f"{_P} select * from p")
 def conformal_p(spark: SparkSession, sf: str) -> DataFrame:
-    z = z_scores(daily_events(spark, sf)).withColumn("s", F.round(F.abs("z"), 9))
+    z = with_clean(z_scores(daily_events(spark, sf))).withColumn("s", F.round(F.abs("z"), 9))
     return with_conformal(z).select("series", "t", F.col("n_cal").cast("long").alias("n_cal"), F.round("p", 8).alias("p"))
 
 
@@ -108,7 +152,7 @@ def bh_reject(df: DataFrame, p: str, by: list[str], order: list[str], q: float =
     return ranked.withColumn("__top", F.coalesce(passing, F.lit(0))).withColumn("reject", F.col("__k") <= F.col("__top")).drop("__k", "__n", "__top")
 
 
-@query("bh_fdr", f"{_Z}, s as (select series, t, d, round(abs(z), 9) as s from z), p as (select a.series, a.t, round((1 + count(*) filter (b.s >= a.s)) / (count(b.s) + 1), 8) as p from s a left join s b on a.series = b.series and b.t < a.t group by a.series, a.t, a.s), r as (select *, row_number() over (partition by t order by p, series) as k, count(*) over (partition by t) as m from p) select series, t, p, k <= coalesce(max(case when p <= 0.2 * k / m then k end) over (partition by t), 0) as reject from r")
+@query("bh_fdr", f"{_P}, r as (select series, t, p, row_number() over (partition by t order by p, series) as k, count(*) over (partition by t) as m from p) select series, t, p, k <= coalesce(max(case when p <= 0.2 * k / m then k end) over (partition by t), 0) as reject from r")
 def bh_fdr(spark: SparkSession, sf: str) -> DataFrame:
     p = conformal_p(spark, sf).drop("n_cal")
     return bh_reject(p, "p", ["t"], ["series"], 0.2)
@@ -180,12 +224,14 @@ def periodogram(spark: SparkSession, sf: str) -> DataFrame:
     return sums.select("series", F.explode(F.array(*power)).alias("p")).select("series", "p.k", "p.power")
 
 
-@query("intermittency", f"{FACTS}, s as (select sku, count(distinct d) as active from sales group by 1) select sku, round(1 - active / 2405, 8) as zero_fraction, 1 - active / 2405 > 0.4 as intermittent from s")
+@query("intermittency", f"{FACTS}, s as (select sku, count(distinct d) as active from sales group by 1), l as (select date_diff('day', min(d), max(d)) + 1 as days from sales) select sku, round(1 - active / days, 8) as zero_fraction, 1 - active / days > 0.4 as intermittent from s, l")
 def intermittency(spark: SparkSession, sf: str) -> DataFrame:
-    """Share of days of the calendar without a sale."""
-    days = 2405
-    s = sales(spark, sf).groupBy("sku").agg(F.count_distinct("d").alias("active"))
-    return s.select("sku", F.round(1 - F.col("active") / days, 8).alias("zero_fraction"), (1 - F.col("active") / days > 0.4).alias("intermittent"))
+    """Share of days, from the first to the last on which anything was sold, without a sale."""
+    s = sales(spark, sf)
+    days = s.agg((F.datediff(F.max("d"), F.min("d")) + 1).alias("days"))  # one row
+    active = s.groupBy("sku").agg(F.count_distinct("d").alias("active")).crossJoin(days)
+    none = 1 - F.col("active") / F.col("days")
+    return active.select("sku", F.round(none, 8).alias("zero_fraction"), (none > 0.4).alias("intermittent"))
 
 
 @query("realism_cv", f"{FACTS}, m as (select avg(y) as m, stddev_pop(y) as s from daily_sales) select round(max(s) / max(m), 6) as cv, round(avg(pow((y - m) / s, 3)), 4) as skew from daily_sales, m")
@@ -201,7 +247,7 @@ def benford(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("digit", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 8).alias("share"), F.round(F.log10(1 + 1 / F.col("digit")), 8).alias("expected"))
 
 
-@query("ks_uniform", f"{_Z}, s as (select series, t, round(abs(z), 9) as s from z), p as (select a.series, a.t, round((1 + count(*) filter (b.s >= a.s)) / (count(b.s) + 1), 8) as p from s a left join s b on a.series = b.series and b.t < a.t group by a.series, a.t, a.s), r as (select series, p, row_number() over (partition by series order by p, t) as k, count(*) over (partition by series) as n from p where t >= 10) select series, round(max(greatest(k / n - p, p - (k - 1) / n)), 8) as ks from r group by series")
+@query("ks_uniform", f"{_P}, r as (select series, p, row_number() over (partition by series order by p, t) as k, count(*) over (partition by series) as n from p where t >= 10) select series, round(max(greatest(k / n - p, p - (k - 1) / n)), 8) as ks from r group by series")
 def ks_uniform(spark: SparkSession, sf: str) -> DataFrame:
     """Largest gap between the p-values' distribution and the uniform one."""
     p = conformal_p(spark, sf).where("t >= 10")
@@ -213,10 +259,29 @@ def ks_uniform(spark: SparkSession, sf: str) -> DataFrame:
 def psi_drift(spark: SparkSession, sf: str) -> DataFrame:
     """Shift of each type's values over the deciles of the reference period."""
     e = table(spark, sf, "events").withColumn("late", F.to_date("ts") >= F.lit("2024-01-16").cast("date"))
-    tops = e.where("not late").withColumn("decile", F.ntile(10).over(Window.orderBy("value", "event_id"))).groupBy("decile").agg(F.max("value").alias("top")).where("decile < 10")
-    bounds = tops.agg(F.array_sort(F.collect_list("top")).alias("tops"))  # nine numbers
+    bounds = tile_tops(e.where("not late").select("value"), "value", 10).where("tile < 10").agg(F.array_sort(F.collect_list("top")).alias("tops"))  # nine numbers
     c = e.where("late").crossJoin(F.broadcast(bounds)).withColumn("decile", F.size(F.filter("tops", lambda x: x < F.col("value"))) + 1)
     counts = c.groupBy("event_type").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("decile") == k).alias(f"n{k}") for k in range(1, 11)])
     share = lambda k: F.greatest(F.col(f"n{k}") / F.col("total"), F.lit(0.0001))
     total = sum(((share(k) - 0.1) * F.log(share(k) / 0.1) for k in range(1, 11)), F.lit(0.0))
     return counts.select("event_type", F.round(total, 6).alias("psi"))
+
+
+def tile_tops(df: DataFrame, value: str, tiles: int, pieces: int = 4096) -> DataFrame:
+    """tile, top: the greatest value of each of ``tiles`` runs of equal numbers of rows in the order of ``value``.
+
+    Exact, without a sort of all rows in one task: equal values are counted, values fall into pieces of the range between
+    the least and the greatest, whose counts are few, and only within the pieces that hold a top are values ordered.
+    """
+    v = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("rows"))  # one row
+    piece = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (pieces - 1))).otherwise(0)
+    v = written(v.crossJoin(F.broadcast(ends)).withColumn("piece", piece), "counted-values")
+    by_piece = v.groupBy("piece", "rows").agg(F.sum("n").alias("m"))
+    by_piece = by_piece.withColumn("upto", F.sum("m").over(Window.partitionBy("rows").orderBy("piece")))  # a row a piece at most
+    k = F.explode(F.sequence(F.lit(1), F.lit(tiles)))
+    goal = F.col("tile") * F.floor(F.col("rows") / tiles) + F.least(F.col("tile"), F.col("rows") % tiles)
+    held = by_piece.withColumn("tile", k).withColumn("goal", goal).where("goal > upto - m and goal <= upto").select("piece", "tile", "goal", (F.col("upto") - F.col("m")).alias("below"))
+    upto = F.sum("n").over(Window.partitionBy("piece").orderBy("v"))
+    inside = v.join(held.select("piece").distinct(), "piece", "left_semi").withColumn("upto", upto)
+    return inside.join(held, "piece").where("goal - below > upto - n and goal - below <= upto").select("tile", F.col("v").alias("top"))

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,19 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.registry import query
+from tidemark.session import work_dir
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def work_dir(spark: SparkSession, label: str) -> str:
-    """A new folder under the shared one that the cluster names, or a temporary one where it names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tidemark-stream-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event files as a stream, in event time that watermarks understand."""
     s = spark.readStream.schema(EVENTS).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/events.parquet*")
@@ -47,7 +35,15 @@ def run_to_table(stream: DataFrame, mode: str = "append", each: Callable[[DataFr
 
     q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField("epoch", T.IntegerType())])).parquet(f"{out}/data")
+    told = T.StructType([*schema.fields, T.StructField("epoch", T.IntegerType())])
+    if not _exists(spark, f"{out}/data"):
+        return spark.createDataFrame([], told)  # no file, so no batch
+    return spark.read.schema(told).parquet(f"{out}/data")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 @query("stream_ingest", "select distinct event_id, ts, event_type, value from events")
