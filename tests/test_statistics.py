@@ -46,12 +46,50 @@ def test_ar1_recovers_its_coefficient(spark):
 def test_conformal_p_is_uniform_on_clean_series_and_small_on_a_jump(spark):
     rng = np.random.default_rng(3)
     y = np.r_[np.abs(rng.normal(0, 1, 400)), 12.0]
-    rows = series.with_conformal(frame(spark, {"a": y}), "y").where("t >= 100").orderBy("t").collect()
+    rows = series.with_conformal(frame(spark, {"a": y}).withColumn("clean", F.lit(True)), "y").where("t >= 100").orderBy("t").collect()
     p = np.sort([r["p"] for r in rows[:-1]])
     ks = np.max(np.abs(np.arange(1, len(p) + 1) / len(p) - p))
     assert ks < 1.63 / math.sqrt(len(p)) and rows[-1]["p"] == pytest.approx(1 / 251)
 
 
+def test_repeated_anomalies_do_not_hide_each_other(spark):
+    """Six hundred days with a jump each fifty: only the last 250 clean days calibrate, by a loop over days."""
+    rng = np.random.default_rng(31)
+    y = rng.normal(0, 1, 600)
+    y[50::50] = 15.0
+    rows = series.with_conformal(series.with_clean(frame(spark, {"a": y})), "y").orderBy("t").collect()
+    assert [r["t"] for r in rows if not r["clean"] and r["y"] == 15.0] == list(range(50, 600, 50))
+    for r in rows:
+        past = [q["y"] for q in rows[: r["t"]] if q["clean"]][-250:]
+        assert r["n_cal"] == len(past) and r["p"] == pytest.approx((1 + sum(v >= r["y"] for v in past)) / (len(past) + 1))
+    assert rows[550]["p"] == pytest.approx(1 / 251)
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_decayed_sums_hold_over_long_series(spark, strict):
+    y = np.random.default_rng(32).normal(5, 1, 20001)
+    for decay in (0.5 ** (1 / 3), 0.94):
+        got = {r["t"]: r["v"] for r in series.decayed_sum(frame(spark, {"a": y}), "y", decay, "v", strict).where("t % 1111 = 0 or t > 19990").collect()}
+        total, want = 0.0, {}
+        for t, v in enumerate(y):
+            want[t] = total * decay if strict else total * decay + v
+            total = total * decay + v
+        assert all(v == pytest.approx(want[t], rel=1e-9) for t, v in got.items()) and 20000 in got
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.integers(-50, 50), min_size=1, max_size=60), st.integers(2, 11))
+def test_tile_tops_equal_a_sort(spark, x, tiles):
+    df = spark.createDataFrame([(float(v),) for v in x], "value double")
+    got = {r["tile"]: r["top"] for r in series.tile_tops(df, "value", tiles).collect()}
+    own, cut = sorted(x), 0
+    for k in range(1, tiles + 1):
+        size = len(x) // tiles + (k <= len(x) % tiles)
+        cut += size
+        if size:
+            assert got[k] == own[cut - 1]
+
+
 def test_bh_rejects_the_step_up_set(spark):
     p = [0.001, 0.008, 0.039, 0.041, 0.042, 0.06, 0.074, 0.205, 0.212, 0.216]
     df = spark.createDataFrame([("scan", i, x) for i, x in enumerate(p)], "scan string, i int, p double")
@@ -132,3 +170,71 @@ def test_robust_distance_sees_the_outlier():
     x[:4] += 15
     out = stats.mahalanobis(pd.DataFrame({"month": 1, "d": range(40), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2]}))
     assert set(out.nlargest(4, "distance")["d"]) == {0, 1, 2, 3}
+
+
+def test_isotonic_equals_pooling_of_neighbours(spark):
+    rng = np.random.default_rng(33)
+    pairs = [(float(x), bool(rng.random() < 0.2 + 0.6 * x**2)) for x in rng.random(400)]
+    from tidemark.operators.decisions import isotonic
+
+    got = {r["bin"]: (r["n"], r["probability"]) for r in isotonic(spark.createDataFrame(pairs, "raw double, held boolean")).collect()}
+    bins = sorted({min(int(x * 20), 19) for x, _ in pairs})
+    pool = []
+    for b in bins:
+        own = [h for x, h in pairs if min(int(x * 20), 19) == b]
+        pool.append([[b], len(own), sum(own)])
+        while len(pool) > 1 and pool[-2][2] / pool[-2][1] >= pool[-1][2] / pool[-1][1]:
+            last = pool.pop()
+            pool[-1] = [pool[-1][0] + last[0], pool[-1][1] + last[1], pool[-1][2] + last[2]]
+    assert {b: round(y / n, 6) for own, n, y in pool for b in own} == {b: p for b, (_, p) in got.items()}
+
+
+def test_signals_come_from_the_data(spark):
+    """No signal is constant by construction, and a month without documents has no evidence."""
+    from tidemark.operators.signals import six_signals
+
+    rows = six_signals(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 340 and all(0 <= r[c] <= 1 for r in rows for c in ("c1", "c2", "c3", "c4", "c5", "c6"))
+    assert all(len({r[c] for r in rows}) > 3 for c in ("c1", "c2", "c3", "c5")) and all((r["c5"] == 0) == (r["stories"] == 0) for r in rows)
+    assert all(r["c6"] == 1.0 for r in rows)
+
+
+def test_memory_is_found_and_removed():
+    rng = np.random.default_rng(34)
+    y = [0.0, 0.0]
+    for e in rng.normal(0, 1, 1500):
+        y.append(0.5 * y[-1] - 0.3 * y[-2] + e)
+    out = stats.whiten(pd.DataFrame({"series": "a", "t": range(len(y)), "y": y}))
+    assert out["p"].iloc[0] in (2, 3) and out["ljung_box"].iloc[0] > 0.05
+    assert stats.whiten(pd.DataFrame({"series": "a", "t": range(500), "y": rng.normal(0, 1, 500)}))["p"].iloc[0] <= 1
+    assert stats.chi2_tail(18.307, 10) == pytest.approx(0.05, abs=1e-4)
+
+
+def test_driver_estimators_agree_on_planted_slopes_and_show_collinearity():
+    rng = np.random.default_rng(35)
+    n = 400
+    x = rng.normal(0, 1, (n, 3))
+    x[:, 2] = x[:, 1] + rng.normal(0, 0.05, n)
+    noise = np.zeros(n)
+    for t in range(1, n):
+        noise[t] = 0.4 * noise[t - 1] + rng.normal(0, 0.2)
+    f = pd.DataFrame({"region": "ASIA", "t": range(n), "y": 3 - 0.8 * x[:, 0] + 0.5 * x[:, 1] + noise, "price": x[:, 0], "discount": x[:, 1], "breadth": x[:, 2]})
+    out = stats.drivers(f).set_index("driver")
+    assert abs(out.loc["price", "beta"] + 0.8) < 0.05 and out.loc["price", "agree"] and not out.loc["price", "collinear"]
+    assert out.loc["discount", "collinear"] and out.loc["breadth", "collinear"] and abs(out.loc["price", "rho"] - 0.4) < 0.12
+
+
+def test_chance_of_a_sale_falls_without_sales():
+    out = stats.tsb(pd.DataFrame({"sku": 1, "t": [0, 1, 9], "units": [4, 6, 5]})).iloc[0]
+    chance, size = 3 / 10, 5.0
+    for t in range(10):
+        chance += 0.2 * (1 - chance) if t in (0, 1, 9) else -0.2 * chance
+        size += 0.2 * ({0: 4, 1: 6, 9: 5}[t] - size) if t in (0, 1, 9) else 0
+    assert out["chance"] == pytest.approx(chance, abs=1e-6) and out["size"] == pytest.approx(size, abs=1e-6)
+
+
+def test_calibrated_maps_rise(spark):
+    sf = "/root/testdata/sf0.01"
+    curve = [(r["boundary"], r["probability"]) for r in confidence.isotonic_map(spark, sf).collect()]
+    assert curve == sorted(curve) and all(a[1] <= b[1] for a, b in zip(curve, curve[1:], strict=False))
+    assert confidence.platt_map(spark, sf).first()["slope"] > 0

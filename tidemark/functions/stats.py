@@ -100,6 +100,91 @@ def mstl(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"region": f["region"], "t": f["t"], "trend": np.round(trend, 6), "seasonal": np.round(total, 6), "remainder": np.round(y - trend - total, 6)})
 
 
+def chi2_tail(x: float, k: int) -> float:
+    """The chance of a chi-square value above x with k degrees of freedom, k even."""
+    term = total = np.exp(-x / 2)
+    for i in range(1, k // 2):
+        term *= x / 2 / i
+        total += term
+    return float(total)
+
+
+#: Lags of the test for what correlation is left, and the longest memory that is tried.
+TESTED, MEMORY = 10, 7
+
+
+def ljung_box(e: np.ndarray, lags: int = TESTED) -> float:
+    """p of no correlation at all lags up to ``lags``."""
+    n, x = len(e), e - e.mean()
+    if n <= lags + 1 or not (x * x).sum():
+        return 1.0
+    acf = np.array([(x[k:] * x[:-k]).sum() for k in range(1, lags + 1)]) / (x * x).sum()
+    return chi2_tail(float(n * (n + 2) * (acf**2 / (n - np.arange(1, lags + 1))).sum()), lags)
+
+
+def innovations(y: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients of an autoregression of order p by least squares, and what it leaves; the first p values aren't left."""
+    x = y - y.mean()
+    if not p:
+        return np.zeros(0), x
+    lags = np.column_stack([x[p - k : len(x) - k] for k in range(1, p + 1)])
+    phi = np.linalg.lstsq(lags, x[p:], rcond=None)[0]
+    return phi, x[p:] - lags @ phi
+
+
+def whiten(frame: pd.DataFrame) -> pd.DataFrame:
+    """The shortest memory whose innovations show no correlation, or that of the least AIC if none does."""
+    f = frame.sort_values("t").reset_index(drop=True)
+    y = f["y"].to_numpy(float)
+    tried = []
+    for p in range(min(MEMORY, max(0, len(y) // 3 - 1)) + 1):
+        _, e = innovations(y, p)
+        left = ljung_box(e)
+        tried.append((len(e) * np.log(max(float((e * e).mean()), 1e-300)) + 2 * p, p, left, e))
+        if left > 0.05:
+            break
+    aic, p, left, e = tried[-1] if tried[-1][2] > 0.05 else min(tried, key=lambda x: x[:2])
+    return pd.DataFrame({"series": f["series"][p:], "t": f["t"][p:], "p": p, "ljung_box": round(left, 6), "e": np.round(e, 6)})
+
+
+DRIVERS = ("price", "discount", "breadth")
+
+
+def drivers(frame: pd.DataFrame) -> pd.DataFrame:
+    """Slopes of y on several drivers, twice: least squares with errors that allow for correlation (Newey and West), and
+    after taking first-order correlation out. They agree where signs are equal and the two lie within two such errors."""
+    f = frame.sort_values("t")
+    y = f["y"].to_numpy(float)
+    x = np.column_stack([np.ones(len(f)), f[list(DRIVERS)].to_numpy(float)])
+    inv = np.linalg.pinv(x.T @ x)
+    beta = inv @ x.T @ y
+    u = y - x @ beta
+    lags = int(4 * (len(y) / 100) ** (2 / 9))
+    xu = x * u[:, None]
+    meat = xu.T @ xu
+    for k in range(1, lags + 1):
+        g = xu[k:].T @ xu[:-k]
+        meat += (1 - k / (lags + 1)) * (g + g.T)
+    se = np.sqrt(np.clip(np.diag(inv @ meat @ inv), 0, None))
+    rho, other = 0.0, beta
+    for _ in range(50):
+        v = y - x @ other
+        new = float((v[1:] * v[:-1]).sum() / max((v[:-1] ** 2).sum(), 1e-300))
+        other = np.linalg.lstsq(x[1:] - new * x[:-1], y[1:] - new * y[:-1], rcond=None)[0]
+        if abs(new - rho) < 1e-9:
+            break
+        rho = new
+    rows = []
+    for i, name in enumerate(DRIVERS, 1):
+        rest = np.delete(x, i, axis=1)
+        left = x[:, i] - rest @ np.linalg.lstsq(rest, x[:, i], rcond=None)[0]
+        spread = ((x[:, i] - x[:, i].mean()) ** 2).sum()
+        vif = spread / max((left**2).sum(), 1e-300)
+        agree = beta[i] * other[i] > 0 and abs(beta[i] - other[i]) <= 2 * se[i]
+        rows.append((frame["region"].iloc[0], name, round(beta[i], 6), round(se[i], 6), round(other[i], 6), round(rho, 6), round(vif, 6), bool(agree), bool(vif > 5)))
+    return pd.DataFrame(rows, columns=["region", "driver", "beta", "hac_se", "gls_beta", "rho", "vif", "agree", "collinear"])
+
+
 def cochrane_orcutt(frame: pd.DataFrame) -> pd.DataFrame:
     """A slope with AR(1) errors within each series, by turns until the error's coefficient settles."""
     f = frame.sort_values(["sku", "channel", "t"])

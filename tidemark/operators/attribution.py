@@ -282,3 +282,24 @@ def mahalanobis(spark: SparkSession, sf: str) -> DataFrame:
 def feedback_rollup(spark: SparkSession, sf: str) -> DataFrame:
     g = table(spark, sf, "events").groupBy(F.col("event_type").alias("verdict"), (F.col("user_id") % 5).alias("kpi")).agg(F.count(F.lit(1)).alias("n"))
     return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("kpi")), 8))
+
+
+@query("driver_agreement")
+def driver_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """What weekly revenue of a region follows: price, discount and breadth of the range, by two estimators that must agree."""
+    week = F.floor(F.datediff("d", F.lit("1995-01-02").cast("date")) / 7).cast("int")
+    w = sales(spark, sf).groupBy("region", week.alias("t")).agg(
+        F.log(F.sum("units") + 1.0).alias("y"), F.log(F.sum("net_e4") / 10000.0 / F.greatest(F.sum("units"), F.lit(1)) + 1).alias("price"), (F.avg("discount_e4") / 10000.0).alias("discount"), F.log(F.count_distinct("sku") + 1.0).alias("breadth")
+    )
+    return w.groupBy("region").applyInPandas(stats.drivers, "region string, driver string, beta double, hac_se double, gls_beta double, rho double, vif double, agree boolean, collinear boolean")
+
+
+@query("count_bands", f"{FACTS}, c as (select category, d, count(*) as n from sales group by all), m as (select category, avg(n) as mean, var_samp(n) as v from c group by 1) select c.category, round(mean, 6) as mean, any_value(v) > 1.2 * mean as overdispersed, round(greatest(0.0, mean - 1.96 * sqrt(case when any_value(v) > 1.2 * mean then any_value(v) else mean end)), 4) as low, round(mean + 1.96 * sqrt(case when any_value(v) > 1.2 * mean then any_value(v) else mean end), 4) as high, count(*) filter (n > mean + 1.96 * sqrt(case when v > 1.2 * mean then v else mean end)) as above from c join m on c.category = m.category group by c.category, mean")
+def count_bands(spark: SparkSession, sf: str) -> DataFrame:
+    """Bands of daily counts: Poisson, or negative binomial where counts vary more than that allows; no logarithm."""
+    c = sales(spark, sf).groupBy("category", "d").agg(F.count(F.lit(1)).alias("n"))
+    m = c.groupBy("category").agg(F.avg("n").alias("mean"), F.var_samp("n").alias("v"))
+    m = m.withColumn("over", F.col("v") > 1.2 * F.col("mean")).withColumn("half", 1.96 * F.sqrt(F.when(F.col("over"), F.col("v")).otherwise(F.col("mean"))))
+    out = c.join(m, "category").groupBy("category", "mean", "over", "half").agg(F.count_if(F.col("n") > F.col("mean") + F.col("half")).alias("above"))
+    low = F.greatest(F.lit(0.0), F.col("mean") - F.col("half"))
+    return out.select("category", F.round("mean", 6).alias("mean"), F.col("over").alias("overdispersed"), F.round(low, 4).alias("low"), F.round(F.col("mean") + F.col("half"), 4).alias("high"), "above")

@@ -207,6 +207,23 @@ def nearest(queries: DataFrame, vectors: DataFrame, top: int = 5) -> DataFrame:
     return s.withColumn("rk", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")).cast("long")).where(F.col("rk") <= top)
 
 
+#: Constant of reciprocal ranks, and how deep each list goes.
+RRF, DEEP = 60, 50
+_BM_SQL = "with w as (select doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') as w from documents), d as (select doc_id, len(w) as dl, " + ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) as t{i}" for i, t in enumerate(_QUERY_TERMS)) + " from w), k as (select count(*) as n, avg(dl) as avgdl, " + ", ".join(f"count(*) filter (t{i} > 0) as n{i}" for i in range(len(_QUERY_TERMS))) + f" from d), bm as (select doc_id, round({_BM_PART}, 6) as score from d, k where {' + '.join(f't{i}' for i in range(len(_QUERY_TERMS)))} > 0 order by score desc, doc_id limit {DEEP})"
+
+
+@query("hybrid_topk", f"{_BM_SQL}, br as (select doc_id, row_number() over (order by score desc, doc_id) as rk from bm), q as (select embedding as q, vec_id as qid from embeddings where vec_id = (select vec_id from embeddings join br on vec_id = doc_id order by rk limit 1)), ds as (select vec_id as doc_id, round(list_cosine_similarity(q::double[], embedding::double[]), 6) as sim from embeddings, q where vec_id <> qid), dr as (select doc_id, row_number() over (order by sim desc, doc_id) as rk from ds qualify rk <= {DEEP}), u as (select doc_id, rk from br union all select doc_id, rk from dr) select doc_id, round(sum(1.0::double / ({RRF} + rk)), 8) as score from u group by doc_id order by score desc, doc_id limit {TOP}")
+def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Lexical and dense lists fused by reciprocal ranks; the best lexical hit that has a vector asks for its neighbours."""
+    lexical = written(bm25(table(spark, sf, "documents"), _QUERY_TERMS, DEEP), "lexical")  # DEEP rows
+    br = lexical.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).cast("long"))
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    asked = e.join(br, F.col("vec_id") == F.col("doc_id")).orderBy("rk").limit(1).select("vec_id", "v")
+    dense = nearest(asked, e, DEEP).select(F.col("vec_id").alias("doc_id"), "rk")
+    fused = br.select("doc_id", "rk").union(dense).groupBy("doc_id").agg(F.round(F.sum(1.0 / (RRF + F.col("rk"))), 8).alias("score"))
+    return fused.orderBy(F.desc("score"), "doc_id").limit(TOP)
+
+
 @query("dual_date", "with d as (select event_id, cast(ts as date) as published, case when event_id % 5 = 0 then cast(ts as date) - ((event_id % 11)::int) end as effective from events) select coalesce(effective, published) as d, count(*) as n, count(*) filter (effective <> published) as by_effective from d where coalesce(effective, published) between date '2024-01-05' and date '2024-01-20' group by 1")
 def dual_date(spark: SparkSession, sf: str) -> DataFrame:
     """Evidence is placed by the day on which it takes effect, where that is stated."""

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.registry import query
+from tidemark.session import work_dir, written
 from tidemark.sources.tables import FACTS, fulfilment, iso_week, marketing, sales, table
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -144,11 +145,45 @@ def watermark_rewind(spark: SparkSession, sf: str) -> DataFrame:
     return w.select("batch", day(F.col("high")).alias("watermark"), F.when(F.col("restated").isNotNull(), day(F.col("restated") - 1)).alias("rewound_to"), F.coalesce(F.col("high") - F.col("restated") + 1, F.lit(0)).cast("long").alias("days_again"))
 
 
-@query("late_recompute", f"{FACTS} select {'strftime(d, ' + chr(39) + '%G-W%V' + chr(39) + ')'} as iso_week, region, sum(net_e4)::bigint as net_e4 from sales where strftime(d, '%G-W%V') in (select distinct strftime(cast(o_orderdate as date), '%G-W%V') from orders where o_orderkey % 400 = 0) group by all")
+@query("late_recompute", f"{FACTS} select date_trunc('month', d)::date as month, region, sum(net_e4)::bigint as net_e4 from sales group by all")
 def late_recompute(spark: SparkSession, sf: str) -> DataFrame:
-    """Only the periods that a late batch touches are computed again."""
-    late = table(spark, sf, "orders").where("o_orderkey % 400 = 0").select(iso_week(F.to_date("o_orderdate")).alias("iso_week")).distinct()
-    return sales(spark, sf).withColumn("iso_week", iso_week(F.col("d"))).join(late, "iso_week", "left_semi").groupBy("iso_week", "region").agg(F.sum("net_e4").alias("net_e4"))
+    """Gold by month: written without the rows of a late batch, then only the months that the batch touches are written again."""
+    s = sales(spark, sf).withColumn("month", F.trunc("d", "month"))
+    gold = lambda rows: rows.groupBy("month", "region").agg(F.sum("net_e4").alias("net_e4")).repartition("month")
+    path = work_dir(spark, "gold")
+    late = F.col("order_id") % 400 == 0
+    gold(s.where(~late)).write.partitionBy("month").parquet(path)
+    touched = s.where(late).select("month").distinct()
+    gold(s.join(touched, "month", "left_semi")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    return spark.read.schema("region string, net_e4 long, month date").parquet(path).select("month", "region", "net_e4")
+
+
+@query("run_ledger", """with b as (select count(*) as n from events), s as (select count(*) as n from (select distinct event_id from events where value between 0 and 300)), g as (select count(*) as n from (select distinct event_type, cast(ts as date) from events where value between 0 and 300))
+    select 'bronze' as stage, b.n as rows_in, b.n as rows_out, 'ok' as status from b union all select 'silver', b.n, s.n, 'ok' from b, s union all select 'gold', s.n, g.n, 'ok' from s, g union all select 'publish', g.n, 0, 'failed: ValueError' from g""")
+def run_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Stages of a run, each written, with rows in and out and how it ended; a stage that fails is on record too."""
+    path = work_dir(spark, "runs")
+
+    def publish(df: DataFrame) -> DataFrame:
+        raise ValueError("no target is declared")
+
+    stages = [
+        ("bronze", lambda _: table(spark, sf, "events").select("event_id", "ts", "event_type", "value")),
+        ("silver", lambda df: df.where("value between 0 and 300").dropDuplicates(["event_id"])),
+        ("gold", lambda df: df.groupBy("event_type", F.to_date("ts").alias("d")).agg(F.sum("value").alias("v"))),
+        ("publish", publish),
+    ]
+    df, n = None, None
+    for k, (name, stage) in enumerate(stages):
+        try:
+            df = written(stage(df), f"run-{name}")
+            out, status = df.count(), "ok"
+        except ValueError as e:
+            out, status = 0, f"failed: {type(e).__name__}"
+        row = [(k, name, out if n is None else n, out, status)]
+        spark.createDataFrame(row, "k int, stage string, rows_in long, rows_out long, status string").write.mode("append").parquet(path)
+        n = out
+    return spark.read.schema("k int, stage string, rows_in long, rows_out long, status string").parquet(path).drop("k")
 
 
 @query("freshness_status", "select event_type, max(ts) as last_ts, case when date_diff('second', max(ts), timestamp '2024-01-31 00:00:00') / 3600.0 <= 0.5 then 'green' when date_diff('second', max(ts), timestamp '2024-01-31 00:00:00') / 3600.0 <= 1 then 'amber' else 'red' end as status from events group by 1")
@@ -306,3 +341,23 @@ def arrival_schedule(spark: SparkSession, sf: str) -> DataFrame:
     s = s.withColumn("u", u)
     due = F.expr("cast(d as timestamp_ntz) + make_dt_interval(0, hour, cast(floor(u * 45) as int), 0)")
     return s.select("source", "d", due.alias("due"), (F.col("u") < 0.05).alias("fails"))
+
+
+_MODE = "timestamp '2026-01-01 00:00:00'"
+
+
+@query("arrival_modes", f"""with s as (select source, hour, unnest(generate_series(timestamp '2024-01-01', timestamp '2024-03-31', interval 1 day))::date as d from (values ('oms', 2), ('wms', 5), ('martech', 6)) t(source, hour)), u as (select source, d, d + to_hours(hour) as due from s where source <> 'martech' or isodow(d) = 1),
+    m as (select *, row_number() over (partition by source order by due) as k, min(due) over (partition by source) as first_ from u)
+    select source, d, due as live, {_MODE} + to_seconds(date_diff('second', first_, due) // 43200) as replay, {_MODE} + to_seconds(k - 1) as backfill, case when source = 'wms' and due between timestamp '2024-02-01' and timestamp '2024-02-10 12:00:00' then timestamp '2024-02-10 12:00:00' else due end as paused from m""")
+def arrival_modes(spark: SparkSession, sf: str) -> DataFrame:
+    """When each file comes: live at its hour; replayed at two seconds a day; backfilled one after the other; held while a source is paused."""
+    s = spark.createDataFrame([("oms", 2), ("wms", 5), ("martech", 6)], "source string, hour int")
+    s = s.withColumn("d", F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-03-31").cast("date")))).where((F.col("source") != "martech") | (F.weekday("d") == 0))
+    s = s.withColumn("due", F.expr("cast(d as timestamp_ntz) + make_dt_interval(0, hour)"))
+    own = Window.partitionBy("source")
+    m = s.withColumns({"k": F.row_number().over(own.orderBy("due")), "first": F.min("due").over(own)})
+    begin, resumed = "timestamp_ntz'2026-01-01 00:00:00'", "timestamp_ntz'2024-02-10 12:00:00'"
+    return m.select(
+        "source", "d", F.col("due").alias("live"), F.expr(f"{begin} + make_dt_interval(0, 0, 0, timestampdiff(SECOND, first, due) div 43200)").alias("replay"),
+        F.expr(f"{begin} + make_dt_interval(0, 0, 0, k - 1)").alias("backfill"), F.expr(f"case when source = 'wms' and due between timestamp_ntz'2024-02-01 00:00:00' and {resumed} then {resumed} else due end").alias("paused"),
+    )

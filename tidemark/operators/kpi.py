@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.contracts import CONTRACTS, Session
-from tidemark.plans.compiler import compile_measure, decisions, national_total
+from tidemark.plans.compiler import AuditLog, compile_measure, Denied, national_total
 from tidemark.registry import query
 from tidemark.sources.tables import FACTS, fiscal_year, fulfilment, iso_week, marketing, sales, table
 
@@ -169,12 +169,45 @@ def contracts_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ROLES = ("cfo", "rsm", "intern", "marketing_lead", "guest")
-_REQUESTS = decisions([Session(f"u{i}", r, {"region": "ASIA"}) for i, r in enumerate(_ROLES)], ["net_revenue", "blended_roas", "order_fill_rate"])
+_ASKED = (("net_revenue", ("region",), {"region": ["ASIA", "EUROPE"]}), ("blended_roas", ("iso_week",), None), ("order_fill_rate", ("warehouse",), None))
+
+
+def audited_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Each role asks for three measures; the compiler appends what it decided to the log."""
+    log = AuditLog(spark)
+    for i, role in enumerate(_ROLES):
+        for kpi, grain, filters in _ASKED:
+            try:
+                compile_measure(spark, sf, kpi, grain, Session(f"u{i}", role, {"region": "ASIA"}), filters, log)
+            except Denied:
+                continue
+    return log.flush()
+
+
+def _expected_log() -> list[tuple]:
+    """The same from the policies alone: user, role, kpi, outcome, reason, request."""
+    out = []
+    for i, role in enumerate(_ROLES):
+        for kpi, grain, filters in _ASKED:
+            p = CONTRACTS[kpi].policy(role)
+            rows = f"{p.row_filter[0]}=ASIA" if p.row_filter else ""
+            asked = ";".join(f"{c}={','.join(v)}" for c, v in (filters or {}).items())
+            text = f"{kpi}|{','.join(grain)}|{rows}|{kpi if kpi in p.masked else ''}|{asked}"
+            out.append((f"u{i}", role, kpi, "denied", p.reason, "") if p.access == "deny" else (f"u{i}", role, kpi, "allowed", "", text))
+    return out
+
+
+_LOG = "(values " + ", ".join(str(r) for r in _expected_log()) + ") t(u, role, kpi, outcome, reason, request)"
+
+
+@query("audit_ledger", f"select u as \"user\", role, kpi, outcome, sha256(request) as plan_sha256 from {_LOG}")
+def audit_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    return audited_requests(spark, sf).select("user", "role", "kpi", "outcome", "plan_sha256")
 
 
-@query("deny_audit", f"""select role, kpi, reason from (values {', '.join(str(r) for r in _REQUESTS)}) t(u, role, kpi, outcome, reason) where outcome = 'denied'""")
+@query("deny_audit", f"select role, kpi, reason from {_LOG} where outcome = 'denied'")
 def deny_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(_REQUESTS, "user string, role string, kpi string, outcome string, reason string").where("outcome = 'denied'").select("role", "kpi", "reason")
+    return audited_requests(spark, sf).where("outcome = 'denied'").select("role", "kpi", "reason")
 
 
 @query("map_policy", f"select role, count(*) as n_kpis, count(*) filter (access = 'deny') as n_denied from (values {', '.join(str(p) for p in _POLICIES)}) t(kpi, role, access, masked) group by role")
@@ -185,10 +218,9 @@ def map_policy(spark: SparkSession, sf: str) -> DataFrame:
     return flat.groupBy("role").agg(F.count(F.lit(1)).alias("n_kpis"), F.count_if(F.col("access") == "deny").alias("n_denied"))
 
 
-@query("audit_rollup", "select role, outcome, count(*) as n, count(distinct kpi) as n_kpis from (values " + ", ".join(str(r) for r in _REQUESTS) + ") t(u, role, kpi, outcome, reason) group by all")
+@query("audit_rollup", f"select role, outcome, count(*) as n, count(distinct kpi) as n_kpis from {_LOG} group by all")
 def audit_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    log = spark.createDataFrame(_REQUESTS, "user string, role string, kpi string, outcome string, reason string")
-    return log.groupBy("role", "outcome").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("kpi").alias("n_kpis"))
+    return audited_requests(spark, sf).groupBy("role", "outcome").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("kpi").alias("n_kpis"))
 
 
 @query("audit_page", "select event_id, user_id, event_type from events where event_type = 'error' order by event_id desc limit 20 offset 40")

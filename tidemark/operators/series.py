@@ -285,3 +285,11 @@ def tile_tops(df: DataFrame, value: str, tiles: int, pieces: int = 4096) -> Data
     upto = F.sum("n").over(Window.partitionBy("piece").orderBy("v"))
     inside = v.join(held.select("piece").distinct(), "piece", "left_semi").withColumn("upto", upto)
     return inside.join(held, "piece").where("goal - below > upto - n and goal - below <= upto").select("tile", F.col("v").alias("top"))
+
+
+@query("whiten")
+def whiten(spark: SparkSession, sf: str) -> DataFrame:
+    """One-step innovations of each series, of the shortest memory up to seven days that leaves no correlation."""
+    from tidemark.functions import stats
+
+    return daily_events(spark, sf).groupBy("series").applyInPandas(stats.whiten, "series string, t int, p int, ljung_box double, e double")

@@ -6,12 +6,14 @@ The row filter is applied to the fact itself, below anything a caller asks for.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.contracts import CONTRACTS, Contract, Session
+from tidemark.session import work_dir
 from tidemark.sources import tables
 
 MASKED = "MASKED"
@@ -24,12 +26,37 @@ class Denied(Exception):
         self.row = (session.user, session.role, kpi, reason)
 
 
+class AuditLog:
+    """An append-only table of requests: who asked for what, whether it was compiled, and the hash of what was compiled."""
+
+    SCHEMA = "n int, user string, role string, kpi string, outcome string, reason string, request string, plan_sha256 string"
+
+    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
+        self.spark, self.path, self.rows = spark, path or work_dir(spark, "audit"), []
+
+    def note(self, session: Session, kpi: str, outcome: str, reason: str, request: str) -> None:
+        self.rows.append((len(self.rows), session.user, session.role, kpi, outcome, reason, request, hashlib.sha256(request.encode()).hexdigest()))
+
+    def flush(self) -> DataFrame:
+        """Append what was noted since, and read the whole log."""
+        if self.rows:
+            self.spark.createDataFrame(self.rows, self.SCHEMA).write.mode("append").partitionBy("outcome").parquet(self.path)
+            self.rows = []
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+
+
+def request_text(kpis: Sequence[str], grain: Sequence[str], rows: Sequence[tuple[str, str]], masked: Sequence[str], filters: dict[str, Sequence] | None) -> str:
+    """What is compiled, in one order: measures, grain, row filters, masks and the caller's filters."""
+    asked = ";".join(f"{c}={','.join(map(str, v))}" for c, v in sorted((filters or {}).items()))
+    return f"{','.join(kpis)}|{','.join(grain)}|{';'.join(f'{c}={v}' for c, v in sorted(rows))}|{','.join(sorted(masked))}|{asked}"
+
+
 def _fact(spark: SparkSession, sf_dir: str, contract: Contract) -> DataFrame:
     fact = FACT_TABLES[contract.fact](spark, sf_dir)
     return fact.withColumn("iso_week", tables.iso_week(F.col("d"))) if "iso_week" in contract.dimensions and "d" in fact.columns else fact
 
 
-def compile_measure(spark: SparkSession, sf_dir: str, kpi: str | Sequence[str], grain: Sequence[str], session: Session, filters: dict[str, Sequence] | None = None) -> DataFrame:
+def compile_measure(spark: SparkSession, sf_dir: str, kpi: str | Sequence[str], grain: Sequence[str], session: Session, filters: dict[str, Sequence] | None = None, log: AuditLog | None = None) -> DataFrame:
     """grain columns and one column for each KPI, which share a fact. A masked KPI is the text MASKED in each row."""
     contracts = [CONTRACTS[k] for k in ([kpi] if isinstance(kpi, str) else kpi)]
     first = contracts[0]
@@ -37,6 +64,8 @@ def compile_measure(spark: SparkSession, sf_dir: str, kpi: str | Sequence[str],
     for c in contracts:
         policy = c.policy(session.role)
         if policy.access == "deny":
+            if log:
+                log.note(session, c.kpi, "denied", policy.reason, "")
             raise Denied(session, c.kpi, policy.reason)
         if policy.row_filter:
             column, attribute = policy.row_filter
@@ -45,6 +74,10 @@ def compile_measure(spark: SparkSession, sf_dir: str, kpi: str | Sequence[str],
     unknown = [g for g in (*grain, *(filters or {})) if g not in first.dimensions]
     if unknown or any(c.fact != first.fact for c in contracts):
         raise ValueError(f"not dimensions of {first.kpi}: {unknown}")
+    if log:
+        text = request_text([c.kpi for c in contracts], grain, sorted(rows), masked & {c.kpi for c in contracts}, filters)
+        for c in contracts:
+            log.note(session, c.kpi, "allowed", "", text)
     fact = _fact(spark, sf_dir, first)
     for column, value in sorted(rows):
         fact = fact.where(F.col(column) == F.lit(value))
@@ -60,13 +93,3 @@ def national_total(spark: SparkSession, sf_dir: str, kpi: str, session: Session)
     if policy.access == "deny":
         raise Denied(session, kpi, policy.reason)
     return _fact(spark, sf_dir, CONTRACTS[kpi]).agg(CONTRACTS[kpi].measure().alias(kpi))
-
-
-def decisions(sessions: Sequence[Session], kpis: Sequence[str]) -> list[tuple]:
-    """user, role, kpi, outcome, reason of each request, as the audit log keeps them."""
-    out = []
-    for s in sessions:
-        for k in kpis:
-            p = CONTRACTS[k].policy(s.role)
-            out.append((s.user, s.role, k, "denied" if p.access == "deny" else "allowed", p.reason))
-    return out

@@ -17,13 +17,13 @@ from tidemark.registry import query
 from tidemark.sources.tables import table
 
 Transform = Callable[[DataFrame], DataFrame]
-DECLARED = ("event_id", "d", "event_type", "value", "batch_id")
+DECLARED = ("event_id", "d", "event_type", "value", "batch_id", "ts")
 
 
 def feed(spark: SparkSession, sf: str) -> DataFrame:
-    """A clean daily feed: event_id, d, event_type, value, batch_id."""
+    """A clean daily feed: event_id, d, event_type, value, batch_id, ts in local time."""
     d = F.to_date("ts")
-    return table(spark, sf, "events").select("event_id", d.alias("d"), "event_type", "value", F.date_format(d, "yyyyMMdd").alias("batch_id"))
+    return table(spark, sf, "events").select("event_id", d.alias("d"), "event_type", "value", F.date_format(d, "yyyyMMdd").alias("batch_id"), "ts")
 
 
 def _day(x: str):
@@ -80,6 +80,34 @@ def out_of_range(df: DataFrame) -> DataFrame:
     return df.withColumn("value", F.when(uniform("range", "event_id") < 0.01, -F.col("value")).otherwise(F.col("value")))
 
 
+def utc_stamps(df: DataFrame) -> DataFrame:
+    return df.withColumn("ts", F.expr("ts - interval 330 minutes"))
+
+
+def foreign_currency(df: DataFrame) -> DataFrame:
+    return df.withColumn("value", F.when(F.col("event_type") == "purchase", F.round(F.col("value") / 83, 4)).otherwise(F.col("value")))
+
+
+def changed_definition(df: DataFrame) -> DataFrame:
+    return df.withColumn("value", F.when(F.col("d") >= _day("2024-01-16"), F.round(F.col("value") * 1.18, 2)).otherwise(F.col("value")))
+
+
+def short_history(df: DataFrame) -> DataFrame:
+    return df.where((F.col("event_type") != "signup") | (F.col("d") >= _day("2024-01-25")))
+
+
+def intermittent(df: DataFrame) -> DataFrame:
+    return df.where((F.col("event_type") != "error") | (F.day("d") % 3 == 0))
+
+
+def moved_member(df: DataFrame) -> DataFrame:
+    return df.withColumn("event_type", F.when((F.col("event_type") == "view") & (F.col("d") >= _day("2024-01-21")), F.lit("click")).otherwise(F.col("event_type")))
+
+
+def partial_coverage(df: DataFrame) -> DataFrame:
+    return df.where((F.col("d") < _day("2024-01-20")) | (uniform("cover", "event_id") < 0.6))
+
+
 def _count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("found"))
 
@@ -146,6 +174,45 @@ def find_negative(df: DataFrame) -> DataFrame:
     return _count(df.where("value < 0"))
 
 
+def find_utc(df: DataFrame) -> DataFrame:
+    return _count(df.where(F.to_date("ts") < F.to_date("batch_id", "yyyyMMdd")))
+
+
+def find_foreign(df: DataFrame) -> DataFrame:
+    """Members whose mean is a small part of the others' median mean."""
+    m = df.groupBy("event_type").agg(F.avg("value").alias("m"))
+    return _count(m.crossJoin(m.agg(F.median("m").alias("mid"))).where("m < 0.1 * mid"))
+
+
+def find_definition(df: DataFrame) -> DataFrame:
+    """1 if every member's mean rose by the same share between the halves."""
+    late = F.col("d") >= _day("2024-01-16")
+    m = df.groupBy("event_type").agg((F.avg(F.when(late, F.col("value"))) / F.avg(F.when(~late, F.col("value")))).alias("r"))
+    return m.agg(((F.min("r") > 1.06) & (F.max("r") < 1.3)).cast("long").alias("found"))
+
+
+def find_short(df: DataFrame) -> DataFrame:
+    return _count(df.groupBy("event_type").agg(F.datediff(F.max("d"), F.min("d")).alias("span")).where("span < 14"))
+
+
+def find_intermittent(df: DataFrame) -> DataFrame:
+    days = df.groupBy("event_type").agg(F.count_distinct("d").alias("n"), (F.datediff(F.max("d"), F.min("d")) + 1).alias("span"))
+    return _count(days.where("1 - n / span > 0.4"))
+
+
+def find_moved(df: DataFrame) -> DataFrame:
+    """Members that end before the feed does, while it goes on."""
+    ends = df.groupBy("event_type").agg(F.max("d").alias("e"))
+    return _count(ends.crossJoin(ends.agg(F.max("e").alias("last"))).where("datediff(last, e) > 3"))
+
+
+def find_low_coverage(df: DataFrame) -> DataFrame:
+    """Days with fewer than three quarters of the median day's rows, five or more of them."""
+    n = df.groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+    low = n.crossJoin(n.agg(F.median("n").alias("m"))).agg(F.count_if(F.col("n") < 0.75 * F.col("m")).alias("k"))
+    return low.select(F.when(F.col("k") >= 5, F.col("k")).otherwise(0).alias("found"))
+
+
 CATALOGUE: dict[str, tuple[Transform, Transform]] = {
     "duplicate_batch": (duplicate_batch, find_duplicate_batches),
     "copied_rows": (copied_rows, find_copied_rows),
@@ -159,6 +226,13 @@ CATALOGUE: dict[str, tuple[Transform, Transform]] = {
     "regime_break": (regime_break, find_break),
     "bulk_order": (bulk_order, find_outliers),
     "out_of_range": (out_of_range, find_negative),
+    "utc_stamps": (utc_stamps, find_utc),
+    "foreign_currency": (foreign_currency, find_foreign),
+    "changed_definition": (changed_definition, find_definition),
+    "short_history": (short_history, find_short),
+    "intermittent": (intermittent, find_intermittent),
+    "moved_member": (moved_member, find_moved),
+    "partial_coverage": (partial_coverage, find_low_coverage),
 }
 
 

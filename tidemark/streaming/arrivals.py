@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tidemark.registry import query
 from tidemark.session import work_dir
@@ -82,22 +84,31 @@ def stream_session(spark: SparkSession, sf: str) -> DataFrame:
     return _complete(g.select("user_id", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), "n"))
 
 
+#: Seconds of a slot; slots without rows after which a source is amber, and red; slots that are remembered.
+SLOT, AMBER, RED, HORIZON = 1800, 3, 6, 48 * 60
+
+
 def _freshness(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Counts a source's turns from green to red: gaps above its limit, in event time."""
-    last, gaps, n = state.get if state.exists else (0, 0, 0)
+    """The slots in which a source was seen, as a bitmap: a late row that fills a gap takes its breach back."""
+    first, bits = state.get if state.exists else (0, b"")
+    seen = set(first + np.flatnonzero(np.unpackbits(np.frombuffer(bits, dtype=np.uint8)))) if bits else set()
     for f in frames:
-        for at in sorted(f["at"].tolist()):
-            if n and at - last > 3600 * 1.5:
-                gaps += 1
-            last, n = max(last, at), n + 1
-    state.update((last, gaps, n))
-    yield pd.DataFrame({"event_type": [key[0]], "last_at": [last], "breaches": [gaps], "seen": [n]})
+        seen |= set((f["at"] // SLOT).tolist())
+    last = max(seen)
+    at = np.array(sorted(x for x in seen if x > last - HORIZON), dtype=np.int64)
+    marks = np.zeros(int(last - at[0]) + 1, dtype=bool)
+    marks[at - at[0]] = True
+    state.update((int(at[0]), np.packbits(marks).tobytes()))
+    gaps = np.diff(at)
+    yield pd.DataFrame({"event_type": [key[0]], "last_at": [int(last) * SLOT], "amber": [int(((gaps > AMBER) & (gaps <= RED)).sum())], "red": [int((gaps > RED).sum())], "slots": [len(at)]})
 
 
-@query("freshness_state", "with e as (select event_type, floor(epoch(ts))::bigint as sec from events), l as (select *, sec - lag(sec) over (partition by event_type order by sec) > 5400 as gap from e) select event_type, max(sec) as last_at, count(*) filter (gap) as breaches, count(*) as seen from l group by event_type")
+@query("freshness_state", f"with e as (select distinct event_type, floor(epoch(ts) / {SLOT})::bigint as slot from events), l as (select *, slot - lag(slot) over (partition by event_type order by slot) as gap from e), g as (select event_type, max(slot) * {SLOT} as last_at, count(*) filter (gap > {AMBER} and gap <= {RED}) as amber, count(*) filter (gap > {RED}) as red, count(*) as slots from l group by event_type), c as (select max(slot) as now_ from e) select event_type, last_at, amber, red, slots, case when now_ - last_at / {SLOT} > {RED} then 'red' when now_ - last_at / {SLOT} > {AMBER} then 'amber' else 'green' end as status from g, c")
 def freshness_state(spark: SparkSession, sf: str) -> DataFrame:
-    """Per source: newest event, how often it went stale, and events seen, kept as state across batches."""
+    """Per source: newest slot, how often it went amber and red, and its status against the newest of all, kept as state across batches."""
     s = event_stream(spark, sf).select("event_type", F.col("ts").cast("long").alias("at"))
-    told = s.groupBy("event_type").applyInPandasWithState(_freshness, "event_type string, last_at long, breaches long, seen long", "last long, gaps long, n long", "update", "NoTimeout")
+    told = s.groupBy("event_type").applyInPandasWithState(_freshness, "event_type string, last_at long, amber long, red long, slots long", "first long, bits binary", "update", "NoTimeout")
     rows = run_to_table(told, "update")
-    return rows.groupBy("event_type").agg(F.max("last_at").alias("last_at"), F.max("breaches").alias("breaches"), F.max("seen").alias("seen"))
+    last = rows.groupBy("event_type").agg(F.max_by(F.struct("last_at", "amber", "red", "slots"), "epoch").alias("x")).select("event_type", "x.*")
+    behind = (F.max("last_at").over(Window.partitionBy()) - F.col("last_at")) / SLOT  # a row a source
+    return last.withColumn("status", F.when(behind > RED, "red").when(behind > AMBER, "amber").otherwise("green"))
