@@ -238,3 +238,13 @@ def test_calibrated_maps_rise(spark):
     curve = [(r["boundary"], r["probability"]) for r in confidence.isotonic_map(spark, sf).collect()]
     assert curve == sorted(curve) and all(a[1] <= b[1] for a, b in zip(curve, curve[1:], strict=False))
     assert confidence.platt_map(spark, sf).first()["slope"] > 0
+
+
+def test_golden_scenarios(spark):
+    from tidemark.operators.scenarios import golden_scenarios
+
+    got = {r["scenario"]: r for r in golden_scenarios(spark, "").collect()}
+    a, b, c = got["multi_factor"], got["stale_spend"], got["sparse_launch"]
+    assert (a["gap"], a["gap_pct"], a["coverage"], a["verdict"]) == (pytest.approx(-8.6), pytest.approx(-12.4), pytest.approx(0.89), "publish")
+    assert (b["failed"], b["verdict"]) == ("freshness,reconciliation,pillar", "abstain")
+    assert (c["flagged"], c["verdict"], c["tier"]) == (False, "not_flagged", "medium")
