@@ -36,7 +36,7 @@ from tidemark.llm import tokens
 from tidemark.llm.common import boxed, materialize, table, text_key, unboxed
 from tidemark.llm.graphs import components
 
-SHINGLE, TABLES, CHOSEN, SIMILARITY = 5, 72, 2, 0.8
+SHINGLE, TABLES, CHOSEN, SIMILARITY = 5, 64, 2, 0.8
 #: Bits of a shingle's place among those of a batch, and a value that no shingle has.
 PLACE_BITS, ALL = 28, np.uint64(2**64 - 1)
 #: Bits of the bitmap that says which texts are to be aligned, a power of two.
@@ -45,7 +45,7 @@ BITS = 1 << 24
 BATCH, HELD, BAND = 128, 1 << 22, 16
 #: Pairs with so many words are bounded from above first, by runs of so many words.
 LONG, RUN = 4096, 4
-#: Neighbours are sought among so many classes of an entry at once.
+#: Neighbours are sought among about so many classes of an entry at once.
 CHAIN = 1024
 #: Up to so many classes of an entry are paired one by one, more of them by their rarest words.
 FEW = 32
@@ -120,10 +120,16 @@ def _members(classes: DataFrame) -> DataFrame:
 
 
 def _candidates(members: DataFrame) -> DataFrame:
-    """a, b: classes that share an entry, each with the first of it and with one neighbour."""
+    """a, b: classes that share an entry, each with the first of it and with one neighbour.
+
+    Neighbours follow one order for all entries, so most of them recur. An entry of many classes is cut into runs of that
+    order, by the parts of the table that their numbers come from, so no task sorts all of it.
+    """
     star = members.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b"))
-    piece = F.pmod(F.xxhash64("cid"), F.ceil(F.col("n") / CHAIN))  # an entry that many classes have is dealt out
-    near = Window.partitionBy("entry", "next", piece).orderBy("cid")  # in one order for all entries, so most neighbours recur
+    part = F.call_function("shiftright", "cid", F.lit(33))  # as numbers are given out
+    parts = (members.agg(F.max(part)).first()[0] or 0) + 1
+    run = F.floor(part * F.ceil(F.col("n") / CHAIN) / parts)
+    near = Window.partitionBy("entry", "next", run).orderBy("cid")
     chain = members.select("cid", F.lag("cid").over(near).alias("before")).where("before is not null").select(F.least("before", "cid").alias("a"), F.greatest("before", "cid").alias("b"))
     return star.union(chain).distinct()
 
@@ -330,6 +336,14 @@ def _near(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(full.mapInArrow(_aligned, "u long, v long, similarity double"), "near")
 
 
+def _unsettled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """entry, next, cid, n, root: entries whose classes the links don't all join."""
+    roots = components(links.select("u", "v")).withColumnRenamed("node", "cid")
+    rooted = materialize(members.select("entry", "cid", "n").join(roots, "cid", "left").select("entry", "cid", "n", F.coalesce("root", "cid").alias("root")), "rooted")
+    apart = rooted.groupBy("entry").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("entry")
+    return materialize(rooted.join(apart, "entry"), "rest")
+
+
 def near_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """u, v, similarity: classes whose texts are near copies; those that share an entry are linked or joined by links.
 
@@ -340,10 +354,7 @@ def near_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     alike = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(_similar_lengths("na", "nb")).select("a", "b")
     pairs = materialize(alike(_candidates(members)), "pairs")
     links = _near(docs, classes, pairs)
-    roots = components(links.select("u", "v")).withColumnRenamed("node", "cid")
-    rooted = materialize(members.select("entry", "cid", "n").join(roots, "cid", "left").select("entry", "cid", "n", F.coalesce("root", "cid").alias("root")), "rooted")
-    unsettled = rooted.groupBy("entry").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("entry")
-    rest = materialize(rooted.join(unsettled, "entry"), "rest")
+    rest = _unsettled(members, links)
     one, other = (rest.where(F.col("n") <= FEW).select("entry", F.col("cid").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
     few = alike(one.join(other, "entry").where("a < b and ra <> rb").select("a", "b").distinct())
     hot = materialize(rest.where(F.col("n") > FEW).select("cid", "root").distinct().join(classes.select("cid", "t1", "t2", "n_words"), "cid"), "hot")
