@@ -7,9 +7,10 @@ coefficient of t or more needs at least t / (2 - t) of the template's bigrams an
 as many, which bounds windows from both sides and prunes templates: one that can reach t in a text shares with it one
 of any 1 - t / (2 - t) of its bigrams, and one more.
 
-So the bigrams of all texts are joined with these few of each template, the rarest among the templates and the
-longest first; only texts and templates that meet there go on, each distinct text once. Templates are a table of any
-size, which the planner broadcasts or shuffles by its written size. The result doesn't depend on the choice of bigrams.
+So the bigrams of all texts are looked up, row by row, in a set of these few of each template, the rarest among the
+templates and the longest first; only texts with one of them go on, each distinct text once, and meet their templates in
+joins. The set travels with the plan, some ten bytes for each bigram of a third of the templates' text, whatever the
+number of documents; templates are a table of any size. The result doesn't depend on the choice of bigrams.
 
 Defined cases: a null text equals an empty one; texts or templates of fewer than two words match nothing; a very long
 text is scanned whole, in time that grows with its hits times the template's size; of a template's windows the best
@@ -92,12 +93,14 @@ def license_matches(docs: DataFrame, templates: DataFrame, threshold: int = THRE
     docs: text, t1, t2; templates: as ``template_table`` makes them. Texts without a match have no row.
     """
     seeds = templates.select("license", F.explode("seeds").alias("h"))
-    met = docs.select("t1", "t2", F.explode(bigrams(F.col("text"))).alias("h")).join(seeds, "h").select("t1", "t2", "license").distinct()
-    met = materialize(met, "licenses-met", rebalance=True)
-    texts = docs.join(met.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    wanted = sorted(r["h"] for r in seeds.select("h").distinct().collect())  # of the templates, not of the texts
+    if not wanted:
+        return docs.sparkSession.createDataFrame([], f"t1 long, t2 long, matches {_MATCHES}")
+    texts = docs.where(F.exists(bigrams(F.col("text")), lambda x: x.isin(wanted))).groupBy("t1", "t2").agg(F.first("text").alias("text"))
     said = texts.select("t1", "t2", bigrams(F.col("text")).alias("said"))
-    said = materialize(said.select("t1", "t2", "said", _last_seen(F.col("said")).alias("before")), "licenses-texts")
-    tried = said.join(met, ["t1", "t2"]).join(templates.drop("seeds"), "license")
+    said = materialize(said.select("t1", "t2", "said", _last_seen(F.col("said")).alias("before"), F.array_distinct(F.filter("said", lambda x: x.isin(wanted))).alias("met")), "licenses-texts")
+    met = said.select("t1", "t2", F.explode("met").alias("h")).join(seeds, "h").select("t1", "t2", "license").distinct()
+    tried = said.drop("met").join(met, ["t1", "t2"]).join(templates.drop("seeds"), "license")
     best = tried.select("t1", "t2", "license", _best(*[F.col(c) for c in ("said", "before", "b", "n", "need", "most")]).alias("x")).where(F.col("x.dice") >= threshold)
     ordered = best.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct((-F.col("x.dice")).alias("dice"), "license", (-F.col("x.start")).alias("start"), (2 - F.col("x.end")).alias("end")))).alias("m"))
     matches = F.transform("m", lambda x: F.struct((-x["dice"]).alias("dice"), x["license"].alias("license"), x["start"].alias("start"), x["end"].alias("end")))
