@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.contracts import CONTRACTS, Session
-from tidemark.plans.compiler import MASKED, Denied, compile_measure, decisions, national_total
+from tidemark.plans.compiler import MASKED, AuditLog, Denied, compile_measure, national_total
 
 CFO = Session("ana", "cfo")
 RSM = Session("ravi", "rsm", {"region": "ASIA"})
@@ -56,6 +56,16 @@ def test_only_dimensions_are_names(spark, sf, bad):
         compile_measure(spark, sf, "unit_volume", ["region"], CFO, {bad: ["x"]})
 
 
-def test_audit_has_every_request():
-    rows = decisions([CFO, RSM, Session("g", "guest")], list(CONTRACTS))
-    assert len(rows) == 3 * len(CONTRACTS) and all(r[3] == "denied" and r[4] for r in rows if r[1] == "guest")
+def test_audit_has_every_request(spark, sf):
+    log = AuditLog(spark)
+    for n, session in enumerate((CFO, RSM, Session("g", "guest"))):
+        for kpi, c in CONTRACTS.items():
+            try:
+                compile_measure(spark, sf, kpi, [c.dimensions[0]], session, log=log)
+            except Denied:
+                pass
+        rows = log.flush().collect()  # appended, never rewritten
+        assert len(rows) == (n + 1) * len(CONTRACTS)
+    assert all(r["outcome"] == "denied" and r["reason"] for r in rows if r["role"] == "guest")
+    assert all(len(r["plan_sha256"]) == 64 and r["request"].startswith(r["kpi"]) for r in rows if r["outcome"] == "allowed")
+    assert {r["request"].split("|")[2] for r in rows if r["role"] == "rsm" and r["outcome"] == "allowed"} == {"region=ASIA"}
