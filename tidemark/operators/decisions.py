@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tidemark.functions import stats
 from tidemark.functions.rng import uniform, uniform_sql
 from tidemark.operators.confidence import GATE, softmin, tier
-from tidemark.operators.series import z_scores
+from tidemark.operators.series import decayed_sum, z_scores
 from tidemark.operators.signals import ALPHA, SIGNALS, SIGNALS_SQL, claim, six_signals
 from tidemark.registry import query
 from tidemark.session import written
@@ -150,13 +150,15 @@ def min_attainable_p(spark: SparkSession, sf: str) -> DataFrame:
 _GRID = (1.0, 2.0, 4.0, 7.0)
 
 
-@query("adstock_halflife", f"{FACTS}, w as (select t, max(case when series = 'purchase' then y end) as y, max(case when series = 'click' then y end) as x from daily_events group by t), g as (select unnest({list(_GRID)}) as h), a as (select h, t, y, sum(x * pow(0.5, -t / h)) over (partition by h order by t) * pow(0.5, t / h) as s from w, g), r as (select h, regr_r2(y, s) as r2 from a group by h) select h as half_life, round(r2, 6) as r2, row_number() over (order by round(r2, 9) desc, h) = 1 as chosen from r")
+@query("adstock_halflife", f"{FACTS}, w as (select t, max(case when series = 'purchase' then y end) as y, max(case when series = 'click' then y end) as x from daily_events group by t), g as (select unnest({list(_GRID)}) as h), a as (select h, u.t, any_value(u.y) as y, sum(w.x * pow(0.5, (u.t - w.t) / h)) as s from w u join w on w.t <= u.t, g group by h, u.t), r as (select h, regr_r2(y, s) as r2 from a group by h) select h as half_life, round(r2, 6) as r2, row_number() over (order by round(r2, 9) desc, h) = 1 as chosen from r")
 def adstock_halflife(spark: SparkSession, sf: str) -> DataFrame:
     """The half-life of carry-over whose regression fits best, all candidates in one job."""
     pick = lambda s: F.max(F.when(F.col("series") == s, F.col("y")))
-    w = daily_events(spark, sf).groupBy("t").agg(pick("purchase").alias("y"), pick("click").alias("x")).withColumn("h", F.explode(F.array(*[F.lit(h) for h in _GRID])))
-    decay = F.pow(F.lit(0.5), F.col("t") / F.col("h"))
-    a = w.withColumn("s", F.sum(F.col("x") / decay).over(Window.partitionBy("h").orderBy("t")) * decay)
+    w = written(daily_events(spark, sf).groupBy("t").agg(pick("purchase").alias("y"), pick("click").alias("x")), "two-series")
+    a = None
+    for h in _GRID:  # no power grows with t
+        one = decayed_sum(w.withColumns({"h": F.lit(h), "series": F.lit(str(h))}), "x", 0.5 ** (1 / h), "s").select("h", "t", "y", "s")
+        a = one if a is None else a.unionByName(one)
     r = a.groupBy("h").agg(F.regr_r2("y", "s").alias("r2"))
     first = F.row_number().over(Window.orderBy(F.round("r2", 9).desc(), "h")) == 1
     return r.select(F.col("h").alias("half_life"), F.round("r2", 6).alias("r2"), first.alias("chosen"))
