@@ -252,7 +252,6 @@ def noisy_or(spark: SparkSession, sf: str) -> DataFrame:
 
 _SIGNED = r"(?:fell|down|dropped|declined|decreased)?(?: by)? ?-?[0-9]+(?:\.[0-9]+)?(?: ?(?:%|pp\b|lakh\b|crore\b))?"
 _DOWN = "-|fell|down|dropped|declined|decreased"
-NUMBER_SQL = "struct(value double, unit varchar)"
 
 
 def numbers(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.rng import uniform, uniform_sql
-from tidemark.operators.evidence import NUMBER_SQL, numbers, numbers_sql, unmatched, unmatched_sql
+from tidemark.operators.evidence import numbers, numbers_sql, unmatched, unmatched_sql
 from tidemark.session import written
 from tidemark.sources.tables import FACTS, fulfilment, sales, table
 
@@ -160,4 +160,3 @@ s0 as (select m6.region, m6.k, round(gap / 120000, 6) as impact, round(gap / nul
 s1 as (select *, {numbers_sql(_SAID)} as told from s0),
 s as (select region, make_date({ORIGIN} + k // 12, k % 12 + 1, 1) as month, impact, pct, z, p, lead_ as lead, reconciled, stories, held, c1, c2, c3, c4, c5,
   round(1 - len({unmatched_sql('told', "[{'value': pct * 100, 'unit': '%'}]")}) / len(told), 6) as c6 from s1)"""
-__all__ = ["SIGNALS", "SIGNALS_SQL", "NUMBER_SQL", "claim", "month_index", "monthly_cube", "six_signals"]
