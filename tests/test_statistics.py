@@ -248,3 +248,11 @@ def test_golden_scenarios(spark):
     assert (a["gap"], a["gap_pct"], a["coverage"], a["verdict"]) == (pytest.approx(-8.6), pytest.approx(-12.4), pytest.approx(0.89), "publish")
     assert (b["failed"], b["verdict"]) == ("freshness,reconciliation,pillar", "abstain")
     assert (c["flagged"], c["verdict"], c["tier"]) == (False, "not_flagged", "medium")
+
+
+def test_spend_follows_last_weeks_revenue():
+    revenue = [100.0, 150.0, 50.0, 100.0]
+    out = stats.endogenous_spend(pd.DataFrame({"channel": 1, "week": range(4), "revenue": revenue, "z": 0.0}))
+    planned = 0.05 * 100
+    want = [planned] + [planned * (1 + stats.KAPPA * (revenue[w - 1] / np.mean(revenue[:w]) - 1)) for w in range(1, 4)]
+    assert out["spend"].tolist() == pytest.approx(want, abs=1e-4)
