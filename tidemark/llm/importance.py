@@ -2,7 +2,8 @@
 
 Features are the words of a text and its pairs of consecutive words, hashed into ``BUCKETS`` buckets. The matrix of
 counts is written once, as blocks of compressed sparse rows: one row of the table holds the documents of about ``BLOCK``
-bytes of text, with the places where each document's entries begin, the entries' buckets and their counts. Column sums
+bytes of text, with the places where each document's entries begin, the entries' buckets and their counts (both packed
+as little-endian numbers of as few bytes as do: a reader holds many rows at once). Column sums
 of the blocks give the corpus' distribution, those of the target's blocks the target's; both together give each bucket
 a gain, and the product of the matrix with the gains gives each document's weight. Texts are read once.
 
@@ -33,10 +34,10 @@ from tidemark.llm.common import boxed, materialize, table, unboxed
 
 BUCKETS, LEAST_WORDS, PERCENT, SEED = 10_000, 20, 25, 7
 #: Bytes of text whose rows make a block of the matrix; one text may be longer.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Words of more bytes are hashed one by one.
 LONG = 64
-_BLOCK_FIELDS = "n_words array<long>, begins array<long>, buckets array<int>, counts array<long>"
+_BLOCK_FIELDS = "n_words array<long>, begins array<long>, buckets binary, counts binary"
 
 
 def _crc_table() -> np.ndarray:
@@ -82,6 +83,10 @@ def feature_buckets(w: tokens.Words, buckets: int) -> tuple[np.ndarray, np.ndarr
     return np.r_[of, of[pair]].astype(np.int64), np.r_[one, two].astype(np.int64) % buckets
 
 
+def _packed(values: np.ndarray) -> bytes:
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))).newbyteorder("<")).tobytes()
+
+
 def _blocks(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.chunks(batches, "text", BLOCK):
@@ -91,8 +96,9 @@ def _blocks(buckets: int):
             begins = np.searchsorted(cell, np.arange(batch.num_rows + 1) * buckets)
             names = [c for c in batch.schema.names if c != "text"]
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            made = [pa.array(w.counts, pa.int64()), pa.array(begins, pa.int64()), pa.array(cell % buckets, pa.int32()), pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(one(batch.column(c)) for c in names), *map(one, made)], [*names, "n_words", "begins", "buckets", "counts"])
+            lists = [one(x) for x in (*(batch.column(c) for c in names), pa.array(w.counts, pa.int64()), pa.array(begins, pa.int64()))]
+            packed = [pa.array([_packed(x)], pa.binary()) for x in (cell % buckets, counts)]
+            yield pa.RecordBatch.from_arrays([*lists, *packed], [*names, "n_words", "begins", "buckets", "counts"])
 
     return run
 
@@ -107,8 +113,15 @@ def count_matrix(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return materialize(docs.mapInArrow(_blocks(buckets), schema), "count-matrix")
 
 
-def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return batch.column(name).flatten().to_numpy(zero_copy_only=False)
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each block its row, begins, buckets and counts."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            begins = row.column("begins").flatten().to_numpy()
+            entries = [row.column(c)[0].as_py() for c in ("buckets", "counts")]
+            n = max(int(begins[-1]), 1)
+            yield row, begins, *(np.frombuffer(x, dtype=f"<u{len(x) // n or 1}").astype(np.int64) for x in entries)
 
 
 def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -116,12 +129,12 @@ def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, dtype=np.int64)
-        for batch in batches:
-            np.add.at(total, _flat(batch, "buckets"), _flat(batch, "counts"))
+        for _, _, bucket, counts in _rows(batches):
+            np.add.at(total, bucket, counts)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there])], ["bucket", "n"])
 
-    return matrix.select("buckets", "counts").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return matrix.select("begins", "buckets", "counts").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -140,16 +153,13 @@ def weigh(matrix: DataFrame, gain: np.ndarray) -> DataFrame:
     schema = T.StructType([*(T.StructField(f.name, f.dataType.elementType) for f in keys), *T._parse_datatype_string("n_words long, n_features long, weight long").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                block = batch.slice(i, 1)
-                begins, counts = _flat(block, "begins"), _flat(block, "counts")
-                sums = np.r_[0, np.cumsum(gain[_flat(block, "buckets")] * counts)]
-                sizes = np.r_[0, np.cumsum(counts)]
-                n = sizes[begins[1:]] - sizes[begins[:-1]]
-                mean = (sums[begins[1:]] - sums[begins[:-1]]) // np.maximum(n, 1)
-                made = [block.column("n_words").flatten(), pa.array(n), pa.array(mean)]
-                yield pa.RecordBatch.from_arrays([*(block.column(f.name).flatten() for f in keys), *made], schema.fieldNames())
+        for block, begins, bucket, counts in _rows(batches):
+            sums = np.r_[0, np.cumsum(gain[bucket] * counts)]
+            sizes = np.r_[0, np.cumsum(counts)]
+            n = sizes[begins[1:]] - sizes[begins[:-1]]
+            mean = (sums[begins[1:]] - sums[begins[:-1]]) // np.maximum(n, 1)
+            made = [block.column("n_words").flatten(), pa.array(n), pa.array(mean)]
+            yield pa.RecordBatch.from_arrays([*(block.column(f.name).flatten() for f in keys), *made], schema.fieldNames())
 
     return matrix.mapInArrow(run, schema)
 
