@@ -197,7 +197,7 @@ def _search(block: pd.DataFrame, docs: int, total: int, k: int):
             best_item, best_score, best_doc = np.r_[best_item, i[keep]], np.r_[best_score, score[keep]], np.r_[best_doc, ids[d[keep]]]
             keep = _best(best_item, best_score, best_doc, k)
             best_item, best_score, best_doc = best_item[keep], best_score[keep], best_doc[keep]
-            full = np.flatnonzero(best_item[k - 1 :] == best_item[: len(best_item) - k + 1])  # places of the first of k
+            full = np.flatnonzero(best_item[k - 1 :] == best_item[: max(0, len(best_item) - k + 1)])  # places of the first of k
             least[best_item[full]] = np.maximum(least[best_item[full]], best_score[full + k - 1])
         known = pa.array(best_doc, mask=best_doc == _LARGEST)
         yield pa.RecordBatch.from_arrays([pa.array(items[best_item]), known, pa.array(best_score)], ["item", "doc_id", "score"])
