@@ -3,4 +3,4 @@
 from tidemark.operators import attribution, confidence, decisions, evidence, ingestion, kpi, scenarios, series  # noqa: F401
 from tidemark.registry import ORACLES, QUERIES  # noqa: F401
 from tidemark.sources import pathologies, simulator  # noqa: F401
-from tidemark.streaming import arrivals  # noqa: F401
+from tidemark.streaming import arrivals, freshness, watermarks  # noqa: F401

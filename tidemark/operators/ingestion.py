@@ -131,20 +131,6 @@ def watermark_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return run.groupBy("event_type").agg(F.max("d").alias("watermark"), F.count(F.lit(1)).alias("n_days"))
 
 
-#: A watermark's history in batches of days: the day that is complete, and days whose rows a later batch restates.
-_BATCHES = [(1, 3, None), (2, 7, None), (3, 12, 5), (4, 14, None), (5, 20, 16), (6, 25, None)]
-
-
-@query("watermark_rewind", "with b as (select * from (values " + ", ".join(f"({i}, {u}, {r if r is not None else 'null::int'})" for i, u, r in _BATCHES) + ") t(batch, upto, restated)), w as (select a.batch, max(c.upto) as high, min(case when c.batch = a.batch then c.restated end) as back from b a join b c on c.batch <= a.batch group by a.batch) select batch, date '2024-01-01' + high::int as watermark, case when back is not null then date '2024-01-01' + (back - 1)::int end as rewound_to, coalesce(high - back + 1, 0)::bigint as days_again from w")
-def watermark_rewind(spark: SparkSession, sf: str) -> DataFrame:
-    """A batch that restates days behind the watermark rewinds it to the day before, and those days are computed again."""
-    b = spark.createDataFrame(_BATCHES, "batch int, upto int, restated int")
-    high = F.max("upto").over(Window.partitionBy(F.lit(1)).orderBy("batch"))  # a row a batch
-    day = lambda x: F.date_add(F.lit("2024-01-01").cast("date"), x)
-    w = b.withColumn("high", high)
-    return w.select("batch", day(F.col("high")).alias("watermark"), F.when(F.col("restated").isNotNull(), day(F.col("restated") - 1)).alias("rewound_to"), F.coalesce(F.col("high") - F.col("restated") + 1, F.lit(0)).cast("long").alias("days_again"))
-
-
 @query("late_recompute", f"{FACTS} select date_trunc('month', d)::date as month, region, sum(net_e4)::bigint as net_e4 from sales group by all")
 def late_recompute(spark: SparkSession, sf: str) -> DataFrame:
     """Gold by month: written without the rows of a late batch, then only the months that the batch touches are written again."""

@@ -84,30 +84,42 @@ def stream_session(spark: SparkSession, sf: str) -> DataFrame:
     return _complete(g.select("user_id", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), "n"))
 
 
-#: Seconds of a slot; slots without rows after which a source is amber, and red; slots that are remembered.
+#: Seconds of a slot; slots without rows after which a source is amber, and red; slots in which late rows are still taken.
 SLOT, AMBER, RED, HORIZON = 1800, 3, 6, 48 * 60
 
 
+def _gaps(at: np.ndarray) -> tuple[int, int]:
+    gaps = np.diff(at)
+    return int(((gaps > AMBER) & (gaps <= RED)).sum()), int((gaps > RED).sum())
+
+
 def _freshness(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """The slots in which a source was seen, as a bitmap: a late row that fills a gap takes its breach back."""
-    first, bits = state.get if state.exists else (0, b"")
-    seen = set(first + np.flatnonzero(np.unpackbits(np.frombuffer(bits, dtype=np.uint8)))) if bits else set()
+    """The slots in which a source was seen, as a bitmap: a late row that fills a gap takes its breach back.
+
+    What lies more than HORIZON slots behind the newest one is settled: its gaps and slots are kept as numbers, and rows
+    that come for it afterwards change nothing.
+    """
+    first, bits, amber, red, slots = state.get if state.exists else (0, b"", 0, 0, 0)
+    seen = set((first + np.flatnonzero(np.unpackbits(np.frombuffer(bits, dtype=np.uint8)))).tolist()) if bits else set()
     for f in frames:
-        seen |= set((f["at"] // SLOT).tolist())
-    last = max(seen)
-    at = np.array(sorted(x for x in seen if x > last - HORIZON), dtype=np.int64)
-    marks = np.zeros(int(last - at[0]) + 1, dtype=bool)
+        seen |= {x for x in (f["at"] // SLOT).tolist() if not slots or x >= first}
+    at = np.array(sorted(seen), dtype=np.int64)
+    old = max(0, int((at <= at[-1] - HORIZON).sum()) - 1)  # the last of them stays, as a gap begins with it
+    if old:
+        more = _gaps(at[: old + 1])
+        amber, red, slots, at = amber + more[0], red + more[1], slots + old, at[old:]
+    marks = np.zeros(int(at[-1] - at[0]) + 1, dtype=bool)
     marks[at - at[0]] = True
-    state.update((int(at[0]), np.packbits(marks).tobytes()))
-    gaps = np.diff(at)
-    yield pd.DataFrame({"event_type": [key[0]], "last_at": [int(last) * SLOT], "amber": [int(((gaps > AMBER) & (gaps <= RED)).sum())], "red": [int((gaps > RED).sum())], "slots": [len(at)]})
+    state.update((int(at[0]), np.packbits(marks).tobytes(), amber, red, slots))
+    more = _gaps(at)
+    yield pd.DataFrame({"event_type": [key[0]], "last_at": [int(at[-1]) * SLOT], "amber": [amber + more[0]], "red": [red + more[1]], "slots": [slots + len(at)]})
 
 
 @query("freshness_state", f"with e as (select distinct event_type, floor(epoch(ts) / {SLOT})::bigint as slot from events), l as (select *, slot - lag(slot) over (partition by event_type order by slot) as gap from e), g as (select event_type, max(slot) * {SLOT} as last_at, count(*) filter (gap > {AMBER} and gap <= {RED}) as amber, count(*) filter (gap > {RED}) as red, count(*) as slots from l group by event_type), c as (select max(slot) as now_ from e) select event_type, last_at, amber, red, slots, case when now_ - last_at / {SLOT} > {RED} then 'red' when now_ - last_at / {SLOT} > {AMBER} then 'amber' else 'green' end as status from g, c")
 def freshness_state(spark: SparkSession, sf: str) -> DataFrame:
     """Per source: newest slot, how often it went amber and red, and its status against the newest of all, kept as state across batches."""
     s = event_stream(spark, sf).select("event_type", F.col("ts").cast("long").alias("at"))
-    told = s.groupBy("event_type").applyInPandasWithState(_freshness, "event_type string, last_at long, amber long, red long, slots long", "first long, bits binary", "update", "NoTimeout")
+    told = s.groupBy("event_type").applyInPandasWithState(_freshness, "event_type string, last_at long, amber long, red long, slots long", "first long, bits binary, amber long, red long, slots long", "update", "NoTimeout")
     rows = run_to_table(told, "update")
     last = rows.groupBy("event_type").agg(F.max_by(F.struct("last_at", "amber", "red", "slots"), "epoch").alias("x")).select("event_type", "x.*")
     behind = (F.max("last_at").over(Window.partitionBy()) - F.col("last_at")) / SLOT  # a row a source
