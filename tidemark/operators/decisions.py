@@ -93,10 +93,15 @@ def evidence_bundle(spark: SparkSession, sf: str) -> DataFrame:
     return b.groupBy(F.col("scope.region").alias("region")).agg(F.count(F.lit(1)).alias("n_bundles"), F.count_if(F.col("tier") == "abstain").alias("n_abstained"), F.round(F.sum(F.abs("gap_abs")), 2).alias("impact"), F.count_distinct("lead").alias("leads"))
 
 
+def chance(p: Column) -> Column:
+    """Four digits, halves up: engines print a tie differently."""
+    return F.format_string("%.4f", F.floor(p * 10000 + 0.5) / 10000)
+
+
 _PERSONAS = {"executive": "{region} {claim} in {month}.", "analyst": "{region} {claim} in {month}, led by {lead}; p = {p}, {stories} stories, confidence {tier}.", "operator": "{month}: check {lead} in {region}."}
 _SAID = {
     "executive": "region || ' ' || claim || ' in ' || month || '.'",
-    "analyst": "region || ' ' || claim || ' in ' || month || ', led by ' || lead || '; p = ' || printf('%.4f', p) || ', ' || stories || ' stories, confidence ' || verdict || '.'",
+    "analyst": "region || ' ' || claim || ' in ' || month || ', led by ' || lead || '; p = ' || printf('%.4f', floor(p * 10000 + 0.5) / 10000) || ', ' || stories || ' stories, confidence ' || verdict || '.'",
     "operator": "month || ': check ' || lead || ' in ' || region || '.'",
 }
 
@@ -105,7 +110,7 @@ _SAID = {
 def narrative_template(spark: SparkSession, sf: str) -> DataFrame:
     """A sentence for each persona from the bundle alone; an abstention says so and tells no number."""
     d = beliefs(spark, sf)
-    values = {"region": F.col("region"), "month": F.col("month").cast("string"), "claim": claim(F.col("pct")), "lead": F.col("lead"), "p": F.format_string("%.4f", "p"), "stories": F.col("stories").cast("string"), "tier": F.col("verdict")}
+    values = {"region": F.col("region"), "month": F.col("month").cast("string"), "claim": claim(F.col("pct")), "lead": F.col("lead"), "p": chance(F.col("p")), "stories": F.col("stories").cast("string"), "tier": F.col("verdict")}
 
     def filled(template: str) -> Column:
         pieces = re.split(r"\{(\w+)\}", template)
