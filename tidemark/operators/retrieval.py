@@ -1,15 +1,15 @@
 """Retrieval for any question: an inverted index in blocks by impact, a search that skips blocks, and a rerank.
 
 An index is three written tables. ``blocks`` has a term's postings cut by level of impact and, where a level has very many,
-by hash of the document: about BLOCK postings a row, with the greatest and least impact beside them, so no task holds all
+by hash of the document: about BLOCK postings a row, with the greatest impact beside them, so no task holds all
 postings of a frequent term. ``forward`` has the same impacts by document. Impacts are BM25's parts in whole millionths,
 so sums are exact in any order.
 
-A search reads blocks' heads first, without postings. The least impacts of a term's best blocks say which score k
-documents reach at least; the questions' best blocks are read and their documents scored in full, which raises that
-threshold. Then only blocks are read that could still lift a document over it: those of terms whose bounds, with all
-smaller ones, reach it, and of these the blocks whose own bound does together with all other terms'. What their documents
-may reach decides again, and the rest is scored from ``forward``. Heads, blocks and candidates are joined, never collected.
+A search reads blocks' heads first, without postings. A question's SEEDS best blocks are read, and what their postings add
+up to by document is reached by k documents at least, which is a threshold. Then only blocks are read that could still
+lift a document over it: those of terms whose bounds, with all smaller ones, reach it, and of these the blocks whose own
+bound does together with all other terms'. What their documents reach by them raises the threshold; those that can't reach
+it with the best blocks that were left out are dropped, and the few that stay are scored from ``forward``. Heads, blocks and candidates are joined, never collected.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from tidemark.session import written
 from tidemark.sources.tables import table
 
 #: Postings of a block, about; levels of impact of a term; blocks a question reads before it has a threshold.
-BLOCK, LEVELS, SEEDS = 256, 16, 8
+BLOCK, LEVELS, SEEDS = 256, 16, 48
 TOP, DEEP = 10, 50
 
 
@@ -37,7 +37,7 @@ def terms_of(text: Column) -> Column:
 
 @dataclass
 class Index:
-    """blocks: term, level, part, top, low, n, postings (doc_id, impact); forward: doc_id, postings (term, impact)."""
+    """blocks: term, level, part, top, n, postings (doc_id, impact); forward: doc_id, postings (term, impact)."""
 
     blocks: DataFrame
     forward: DataFrame
@@ -58,7 +58,7 @@ class Index:
         placed = scored.join(most, "term").withColumn("level", F.floor(F.col("impact") * LEVELS / (F.col("most") + 1)).cast("int")).drop("most")
         sizes = written(placed.groupBy("term", "level").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")), "level-sizes")
         placed = placed.join(sizes, ["term", "level"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-        ends = (F.max("impact").alias("top"), F.min("impact").alias("low"), F.count(F.lit(1)).alias("n"))
+        ends = (F.max("impact").alias("top"), F.count(F.lit(1)).alias("n"))
         blocks = placed.groupBy("term", "level", "part").agg(*ends, F.collect_list(F.struct("doc_id", "impact")).alias("postings"))
         # in the order of terms, so a reader can leave out files and row groups
         forward = scored.groupBy("doc_id").agg(F.collect_list(F.struct("term", "impact")).alias("postings"))
@@ -66,15 +66,9 @@ class Index:
 
 
 def _exact(index: Index, asked: DataFrame, candidates: DataFrame) -> DataFrame:
-    """q, doc_id, score of the candidates (q, doc_id), and read: the postings of theirs that were looked at."""
-    full = candidates.join(index.forward, "doc_id").join(asked.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("term", "times"))).alias("own")), "q")
-    parts = F.transform(F.filter("postings", lambda p: F.map_contains_key("own", p["term"])), lambda p: p["impact"] * F.element_at("own", p["term"]))
-    return full.select("q", "doc_id", F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x).alias("score"), F.size("postings").alias("read"))
-
-
-def _kth(scored: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))
-    return scored.withColumn("rank", rank).where(F.col("rank") == k).select("q", F.col("score").alias("reached"))
+    """q, doc_id, score of the candidates (q, doc_id)."""
+    rows = candidates.join(index.forward, "doc_id").select("q", "doc_id", F.explode("postings").alias("p")).select("q", "doc_id", "p.term", "p.impact")
+    return rows.join(asked, ["q", "term"]).groupBy("q", "doc_id").agg(F.sum(F.col("impact") * F.col("times")).alias("score"))
 
 
 def search(index: Index, questions: DataFrame, k: int = TOP) -> tuple[DataFrame, DataFrame]:
@@ -84,30 +78,33 @@ def search(index: Index, questions: DataFrame, k: int = TOP) -> tuple[DataFrame,
     questions: q (distinct), text.
     """
     asked = written(questions.select("q", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("times")), "asked")
-    heads = index.blocks.select("term", "level", "part", "top", "low", "n").join(asked, "term").withColumns({"bound": F.col("top") * F.col("times"), "least": F.col("low") * F.col("times")})
+    heads = index.blocks.select("term", "level", "part", "top", "n").join(asked, "term").withColumn("bound", F.col("top") * F.col("times"))
     heads = written(heads, "heads")
     own = Window.partitionBy("q")
-    # k postings of one term that all have this impact or more
-    so_far = F.sum("n").over(Window.partitionBy("q", "term").orderBy(F.desc("least"), "level", "part"))
-    floor = heads.withColumn("so_far", so_far).where(F.col("so_far") >= k).groupBy("q").agg(F.max("least").alias("floor"))
-    first = heads.withColumn("place", F.row_number().over(own.orderBy(F.desc("bound"), "term", "level", "part"))).where(F.col("place") <= SEEDS)
-    docs_of = lambda h: h.join(index.blocks.select("term", "level", "part", "postings"), ["term", "level", "part"]).select("q", "term", "times", F.explode("postings").alias("p"))
-    seeds = _exact(index, asked, docs_of(first).select("q", "p.doc_id").distinct())
-    limits = asked.select("q").distinct().join(floor, "q", "left").join(_kth(seeds, k), "q", "left")
-    limits = written(limits.select("q", F.greatest(F.coalesce("floor", F.lit(0)), F.coalesce("reached", F.lit(0))).alias("limit")), "limits")
+    body = index.blocks.select("term", "level", "part", "postings")
+    sums = lambda h, *more: h.join(body, ["term", "level", "part"]).select("*", F.explode("postings").alias("p")).groupBy("q", "p.doc_id").agg(F.sum(F.col("p.impact") * F.col("times")).alias("sure"), *more)
+    first = written(heads.withColumn("place", F.row_number().over(own.orderBy(F.desc("bound"), "term", "level", "part"))).where(F.col("place") <= SEEDS), "first-blocks")
+    # what k documents reach by these blocks alone
+    reached = sums(first).withColumn("place", F.row_number().over(own.orderBy(F.desc("sure")))).where(F.col("place") == k).select("q", F.col("sure").alias("limit"))
     terms = heads.groupBy("q", "term").agg(F.max("bound").alias("most"), F.sum("n").alias("n"))
     terms = terms.withColumns({"below": F.sum("most").over(own.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("most").over(own)})
-    needed = heads.join(terms.drop("n"), ["q", "term"]).join(limits, "q").where((F.col("below") >= F.col("limit")) & (F.col("bound") + F.col("all") - F.col("most") >= F.col("limit")))
-    needed = written(needed.select("q", "term", "times", "level", "part", "most", "all", "limit", "n"), "needed")
-    seen = docs_of(needed).groupBy("q", "p.doc_id").agg(F.sum(F.col("p.impact") * F.col("times")).alias("sure"), F.collect_set("term").alias("found"))
-    bounds = needed.select("q", "all", "limit").distinct().join(terms.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("term", "most"))).alias("most")), "q")
-    open_ = F.col("all") - F.aggregate("found", F.lit(0).cast("long"), lambda a, t: a + F.element_at("most", t))
-    candidates = seen.join(bounds, "q").where(F.col("sure") + open_ >= F.col("limit")).select("q", "doc_id")
-    scored = _exact(index, asked, candidates).where("score > 0")
+    limits = written(terms.join(reached, "q", "left").select("q", "term", "n", "most", "below", "all", F.coalesce("limit", F.lit(0)).alias("limit")), "limits")
+    wanted = (F.col("below") >= F.col("limit")) & (F.col("bound") + F.col("all") - F.col("most") >= F.col("limit"))
+    # what a term may still add to a document of which no block that is read says so
+    left = F.coalesce(F.max(F.when(~F.col("wanted"), F.col("bound"))).over(Window.partitionBy("q", "term")), F.lit(0))
+    blocks = heads.join(limits.drop("n"), ["q", "term"]).withColumn("wanted", wanted).withColumn("left", left)
+    blocks = written(blocks.select("q", "term", "times", "level", "part", "wanted", "left", "limit", "n"), "blocks-by-question")
+    needed = blocks.where("wanted")
+    seen = written(sums(needed.select("q", "term", "times", "level", "part", "left"), F.sum("left").alias("covered")), "seen")  # a document has one posting of a term
+    rest = blocks.groupBy("q", "term").agg(F.max("left").alias("left"), F.max("limit").alias("limit")).groupBy("q").agg(F.sum("left").alias("rest"), F.max("limit").alias("limit"))
+    surer = seen.withColumn("place", F.row_number().over(own.orderBy(F.desc("sure")))).where(F.col("place") == k).select("q", F.col("sure").alias("surer"))
+    rest = rest.join(surer, "q", "left").select("q", "rest", F.greatest("limit", F.coalesce("surer", F.lit(0))).alias("limit"))
+    candidates = seen.join(rest, "q").where(F.col("sure") + F.col("rest") - F.col("covered") >= F.col("limit"))
+    scored = _exact(index, asked, written(candidates.select("q", "doc_id"), "candidates")).where("score > 0")
     rank = F.row_number().over(own.orderBy(F.desc("score"), "doc_id"))
     best = scored.select("q", "doc_id", "score").withColumn("rk", rank).where(F.col("rk") <= k).select("q", F.col("rk").cast("long").alias("rk"), "doc_id", "score")
     used = first.select("q", "term", "level", "part", "n").union(needed.select("q", "term", "level", "part", "n")).distinct().groupBy("q").agg(F.sum("n").alias("read"))
-    reads = terms.groupBy("q").agg(F.sum("n").alias("postings")).join(used, "q", "left").select("q", "postings", F.coalesce("read", F.lit(0)).alias("read"))
+    reads = limits.groupBy("q").agg(F.sum("n").alias("postings")).join(used, "q", "left").select("q", "postings", F.coalesce("read", F.lit(0)).alias("read"))
     return best, reads
 
 
