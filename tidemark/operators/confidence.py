@@ -100,20 +100,62 @@ def platt_map(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(round(float(model.coefficients[0]), 6), round(float(model.intercept), 6))], "slope double, intercept double")
 
 
-@query("priority_ranker")
-def priority_ranker(spark: SparkSession, sf: str) -> DataFrame:
-    """Boosted trees over a movement's signals that foretell whether it holds, once there are enough verdicts; their order until then."""
+#: Labelled movements that a model needs, months after which its labels are stale, and the share of months it is trained on.
+LABELS, STALE, EARLIER = 100, 24, 0.8
+
+
+def ranked(signals: DataFrame, today: Column, labels: int = LABELS) -> DataFrame:
+    """region, month, label, rank_score, ranked_by for the movements from ``today`` on.
+
+    Boosted trees over the signals, trained on movements before ``today`` whose outcome is known, foretell whether one holds.
+    Where these are too few, of one kind, or older than STALE months, movements are ranked by their first signal instead.
+    signals: region, month, SIGNALS, label (null: not known yet).
+    """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    s = written(six_signals(spark, sf).withColumn("label", F.col("held").cast("double")), "verdicts")
-    known = s.where("label is not null")
-    if known.count() < 100 or known.select("label").distinct().count() < 2:
-        return s.select("region", "month", F.col("c1").alias("rank_score"))
+    s = written(signals.select("region", "month", *SIGNALS, F.col("label").cast("double").alias("label"), today.alias("today")), "verdicts")
+    # a movement's outcome is known a month later
+    known = s.where(F.col("label").isNotNull() & (F.add_months("month", 1) < F.col("today")))
+    n, kinds, age = known.agg(F.count(F.lit(1)), F.count_distinct("label"), F.min(F.months_between("today", "month"))).first()
+    later = s.where(F.col("month") >= F.col("today"))
+    if n < labels or kinds < 2 or age > STALE:
+        return later.select("region", "month", "label", F.col("c1").alias("rank_score"), F.lit("order").alias("ranked_by"))
     data = VectorAssembler(inputCols=list(SIGNALS), outputCol="features")
     model = GBTClassifier(maxIter=5, maxDepth=3, seed=7).fit(data.transform(known))
-    return model.transform(data.transform(s)).select("region", "month", F.round(vector_to_array("probability")[1], 6).alias("rank_score"))
+    return model.transform(data.transform(later)).select("region", "month", "label", F.round(vector_to_array("probability")[1], 6).alias("rank_score"), F.lit("model").alias("ranked_by"))
+
+
+def _out_of_time(spark: SparkSession, sf: str) -> DataFrame:
+    s = written(six_signals(spark, sf).withColumn("label", F.col("held").cast("double")), "signals")
+    months = s.select("month").distinct().withColumn("at", F.percent_rank().over(Window.orderBy("month")))  # a row a month
+    cut = months.where(F.col("at") >= EARLIER).agg(F.min("month")).first()[0]
+    return ranked(s, F.lit(cut).cast("date"))
+
+
+@query("priority_ranker")
+def priority_ranker(spark: SparkSession, sf: str) -> DataFrame:
+    """The last fifth of the months, ranked by what the months before have taught."""
+    return _out_of_time(spark, sf).select("region", "month", "rank_score", "ranked_by")
+
+
+def rank_quality(scored: DataFrame, score: str) -> DataFrame:
+    """auc of ``score`` for label 1 over 0: the chance that a movement that held ranks above one that did not, ties a half.
+
+    From counts by score, so no pairs are made.
+    """
+    c = scored.where("label is not null").groupBy(F.col(score).alias("x")).agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    below = F.coalesce(F.sum("neg").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))  # a row a score of the held-out months
+    return c.withColumn("won", F.col("pos") * (below + F.col("neg") / 2)).agg(F.round(F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0)), 6).alias("auc"), F.sum(F.col("pos") + F.col("neg")).cast("long").alias("n"))
+
+
+@query("ranker_holdout")
+def ranker_holdout(spark: SparkSession, sf: str) -> DataFrame:
+    """How well months that the ranker hasn't seen are ranked."""
+    r = written(_out_of_time(spark, sf), "held-out")
+    return rank_quality(r, "rank_score").crossJoin(r.agg(F.max("ranked_by").alias("ranked_by")))  # one row each
+
 
 
 @query("eval_detection", "select event_type, count(*) filter (flag and truth) as hits, round(count(*) filter (flag and truth) / nullif(count(*) filter (flag), 0), 8) as precision, round(count(*) filter (flag and truth) / nullif(count(*) filter (truth), 0), 8) as recall from (select event_type, value > 120 as flag, value > 100 and event_id % 13 <> 0 as truth from events) group by 1")

@@ -65,20 +65,23 @@ def ar1_innov(spark: SparkSession, sf: str) -> DataFrame:
     return with_ar1(daily_events(spark, sf)).select("series", "t", F.round("phi", 6).alias("phi"), F.round("e", 4).alias("e"))
 
 
-#: Days of a block of a decayed sum, and blocks before it that still count.
-BLOCK, BLOCKS = 128, 8
+#: Days of a block of a decayed sum, and the share of a value that is left when it no longer counts.
+BLOCK, NOTHING = 128, 1e-17
 
 
 def decayed_sum(df: DataFrame, x: str, decay: float, out: str, strict: bool = False) -> DataFrame:
     """``df`` with ``out``: the sum of decay^(t - u) x_u over u up to t (before t, if strict), by series.
 
-    Weights are taken from the beginning of each block, so no power grows with t; the totals of ``BLOCKS`` blocks before
-    are carried in, beyond which a decay of 0.97 or less leaves nothing that a double could hold beside the rest.
+    Weights are taken from the beginning of each block, so no power grows with t; the totals of as many blocks before are
+    carried in as hold values of which more than NOTHING is left. ``decay`` lies between 0 and 1.
     """
+    if not 0 < decay < 1:
+        raise ValueError(f"a decay of {decay} doesn't fade")
+    blocks = math.ceil(math.log(NOTHING) / math.log(decay) / BLOCK) + 1
     own = Window.partitionBy("series", "__b").orderBy("t").rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
     before = lambda m: F.sum("__x").over(by_series().orderBy("__b").rangeBetween(-m, -m))
     b = df.withColumn("__b", F.floor(F.col("t") / BLOCK)).withColumn("__x", F.col(x) * F.pow(F.lit(decay), -(F.col("t") - F.col("__b") * BLOCK)))
-    carried = sum((F.coalesce(before(m), F.lit(0.0)) * decay ** (m * BLOCK) for m in range(1, BLOCKS + 1)), F.lit(0.0))
+    carried = sum((F.coalesce(before(m), F.lit(0.0)) * decay ** (m * BLOCK) for m in range(1, blocks + 1)), F.lit(0.0))
     b = b.withColumns({"__own": F.coalesce(F.sum("__x").over(own), F.lit(0.0)), "__far": carried})
     return b.withColumn(out, (F.col("__own") + F.col("__far")) * F.pow(F.lit(decay), F.col("t") - F.col("__b") * BLOCK)).drop("__b", "__x", "__own", "__far")
 

@@ -5,6 +5,9 @@ has in all. A period is complete when its newest version has arrived whole. A so
 unbroken run of complete periods, from the first period of all sources on; a version that has arrived in part takes it
 back to the day before, and the periods behind it are open again until the version is whole.
 
+What gold says of a source's week is a bundle with a hash; when a restated day or a moved watermark changes it, a new
+version supersedes the last one, and both stay on record.
+
 Each micro-batch writes its rows, the progress by source, period and version (that of the batch before, plus its own),
 the watermarks that follow, and gold of the periods that it touches. All of these lie in folders named by the batch or
 are overwritten by period, so a batch that is tried again leaves the same tables. Only progress, a row a version, is
@@ -24,6 +27,7 @@ from tidemark.sources.tables import money, table
 DELIVERY = "source string, period date, version int, declared long, value long"
 _PROGRESS = "source string, period date, version int, arrived long, declared long"
 _MARKS = "source string, watermark date, rewound boolean, reopened int"
+_INSIGHTS = "source string, week date, version int, n long, value long, final_days int, watermark date, bundle string, previous string"
 
 
 def newest(progress: DataFrame) -> DataFrame:
@@ -66,7 +70,8 @@ class Ledger:
         marks = watermarks(progress).join(before, "source", "left").crossJoin(start)
         reopened = F.when(back, F.datediff("before", F.coalesce("watermark", "none"))).otherwise(0)
         marks.select("source", "watermark", back.alias("rewound"), reopened.alias("reopened")).write.mode("overwrite").parquet(self.path("marks", epoch))
-        self._gold(newest(progress), self.read("progress", _PROGRESS, epoch).join(own.select("period").distinct(), "period", "left_semi"))
+        self._gold(newest(progress), own)
+        self._insights(epoch)
 
     def _gold(self, versions: DataFrame, touched: DataFrame) -> None:
         """Periods that the batch touches, computed again from the rows of their newest versions."""
@@ -75,6 +80,20 @@ class Ledger:
         gold = rows.groupBy("source", "period").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")).repartition("period")
         gold.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(self.path("gold"))
 
+    def _insights(self, epoch: int) -> None:
+        """A source's week as a bundle with a hash of what it says; a bundle that says something else is a new version, which
+        names the one that it supersedes. The table has each week's newest version, the log has those of each batch."""
+        g = self.gold(epoch).join(self.marks(epoch).select("source", "watermark"), "source")
+        g = g.groupBy("source", F.trunc("period", "week").alias("week")).agg(F.sum("n").alias("n"), F.sum("value").alias("value"), F.count_if("final").cast("int").alias("final_days"), F.max("watermark").alias("watermark"))
+        bundle = F.sha2(F.concat_ws("|", "source", F.col("week").cast("string"), "n", "value", "final_days"), 256)
+        before = self.read("insights", _INSIGHTS, epoch - 1)
+        old = before.select("source", "week", F.col("version").alias("v"), F.col("bundle").alias("said"))
+        g = g.withColumn("bundle", bundle).join(old, ["source", "week"], "left")
+        new = g.where(~F.col("bundle").eqNullSafe(F.col("said"))).select("source", "week", (F.coalesce("v", F.lit(0)) + 1).alias("version"), "n", "value", "final_days", "watermark", "bundle", F.col("said").alias("previous"))
+        new.write.mode("overwrite").parquet(self.path("log", epoch))
+        new = self.read("log", _INSIGHTS, epoch)
+        before.join(new.select("source", "week"), ["source", "week"], "left_anti").unionByName(new).write.mode("overwrite").parquet(self.path("insights", epoch))
+
     def run(self, landing: str) -> int:
         """Take in all files that are new in ``landing``; the last micro-batch's number."""
         stream = self.spark.readStream.schema(DELIVERY).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(landing)
@@ -87,6 +106,10 @@ class Ledger:
     def marks(self, epoch: int) -> DataFrame:
         return self.read("marks", _MARKS, epoch)
 
+    def chain(self) -> DataFrame:
+        """All versions of all bundles, and the batch of each."""
+        return self.spark.read.schema(f"{_INSIGHTS}, epoch int").parquet(self.path("log"))
+
     def gold(self, epoch: int) -> DataFrame:
         """source, period, n, value, final: whether the period lies at or before its source's watermark."""
         gold = self.spark.read.schema("source string, n long, value long, period date").parquet(self.path("gold"))
@@ -145,3 +168,14 @@ def watermark_gold(spark: SparkSession, sf: str) -> DataFrame:
     """Gold by source and day after the same runs, as restated, and which days are final."""
     ledger, epochs = three_runs(spark, sf)
     return ledger.gold(epochs[-1])
+
+
+@query("insight_chain", f"""{_SQL}, gd as (select r, source, period, ar.n, ar.value, coalesce(period <= watermark, false) as final from nw join ar using (r, source, period, version) join wm using (r, source)),
+  wk as (select r, source, date_trunc('week', period)::date as week, sum(n)::bigint as n, sum(value)::bigint as value, count(*) filter (final)::int as final_days from gd group by all),
+  hs as (select *, sha256(concat_ws('|', source, week, n, value, final_days)) as bundle from wk), lg as (select *, lag(bundle) over (partition by source, week order by r) as previous from hs)
+  select r::int as run, source, week, row_number() over (partition by source, week order by r)::int as version, n, value, final_days, bundle, previous from lg where bundle is distinct from previous""")
+def insight_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Each source's weeks as they were told after each run of the same stream, every version with the one it supersedes."""
+    ledger, epochs = three_runs(spark, sf)
+    run = sum((F.when(F.col("epoch") > e, 1).otherwise(0) for e in epochs), F.lit(1))
+    return ledger.chain().select(run.alias("run"), "source", "week", "version", "n", "value", "final_days", "bundle", "previous")
