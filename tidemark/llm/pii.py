@@ -3,7 +3,9 @@
 Spans are given as kind:start:end in code points, end exclusive, and are found with JVM expressions only: the
 pieces between matches give the positions. Patterns are possessive, so no text makes them backtrack or recurse
 deeply. Where a pattern begins with a run of characters, a match may only start at the run's start or where the
-last match ended, as any later start would be preceded by an earlier one.
+last match ended, as any later start would be preceded by an earlier one. Places are running sums, taken in blocks of as
+many matches as there are blocks, and context is cut from a block's own text, so a text of very many matches takes little
+more than its length.
 
 Base kinds are email, ip, card (12 to 19 digits, Luhn) and phone (9 to 15 digits). The method adds iban (mod-97),
 secret (a long hexadecimal word, or one that begins like a known provider's key) and account (8 to 18 digits in a row
@@ -20,6 +22,8 @@ columns of the input named like a result give way to it; an empty table gives an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +36,7 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
-SECRET = r"(?<![A-Za-z0-9+/_])(?:[A-Fa-f0-9]{32,128}|(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36,255}|sk-[A-Za-z0-9_-]{20,200})(?![A-Za-z0-9+/_])"
+SECRET = r"(?<![A-Za-z0-9+/_])(?:[A-Fa-f0-9]{32,}|(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9+/_])"
 ACCOUNT = r"(?<![A-Za-z0-9.+-])[0-9]{8,18}(?![A-Za-z0-9.-])"
 #: Score of a span without context, in thousandths.
 PRIOR = {"email": 900, "ip": 600, "card": 800, "phone": 700, "iban": 700, "secret": 400, "account": 300}
@@ -93,58 +97,112 @@ def _confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(text: Column, kind: str, pattern: str, needs: Column) -> Column:
-    """array<struct<start, kind rank, kind, end, score>> of the confirmed spans; ``needs`` is false where there can be none."""
+def _blocks(values: str) -> Column:
+    """The numbers of the blocks of an array that isn't empty; blocks have about as many values as there are blocks."""
+    return F.sequence(F.lit(0), ((F.size(values) - 1) / _block_size(values)).cast("int"))
+
+
+def _block_size(values: str) -> Column:
+    return F.ceil(F.sqrt(F.size(values))).cast("int")
+
+
+def _block(values: str, b: Column) -> Column:
+    return F.slice(values, b * _block_size(values) + 1, _block_size(values))
+
+
+def _before(df: DataFrame, made: dict[str, tuple[str, Callable[[Column, Column], Column]]]) -> DataFrame:
+    """``df`` with, under each name, for each number of an array what a function makes of 0 and all numbers before it.
+
+    Folds run over the blocks, then over their results, and then within each block from where it begins.
+    """
+    none = F.array().cast("array<int>")
+    run = lambda values, start, f: F.aggregate(values, F.struct(start.alias("at"), none.alias("out")), lambda a, x: F.struct(f(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+    some = lambda v, x: F.when(F.size(v) > 0, x).otherwise(none)
+    totals = lambda v, f: some(v, F.transform(_blocks(v), lambda b: F.aggregate(_block(v, b), F.lit(0), f)))
+    inside = lambda k, v, f: some(v, F.flatten(F.transform(_blocks(v), lambda b: run(_block(v, b), F.get(f"{k}_o", b), f))))
+    df = df.withColumns({f"{k}_t": totals(v, f) for k, (v, f) in made.items()})
+    df = df.withColumns({f"{k}_o": run(F.col(f"{k}_t"), F.lit(0), f) for k, (_, f) in made.items()})
+    return df.withColumns({k: inside(k, v, f) for k, (v, f) in made.items()})
+
+
+def _scored(values: str, text: Column, kind: str) -> Column:
+    """start, rank, kind, end, score of each of the placed matches; what stands before them is cut from a block's own text."""
     rank = (*KINDS, *ADDED).index(kind)
-    empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,score:int>>")
-    between = lambda pieces, found: F.aggregate(
-        F.arrays_zip(F.slice(F.transform(pieces, F.length), 1, F.size(found)).alias("gap"), found.alias("m")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("m")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    near = lambda x: F.substring(text, F.greatest(x["start"] - NEAR, F.lit(0)) + 1, F.least(x["start"], F.lit(NEAR)))
     prior = lambda m: F.when(m.rlike(r"^(?:AKIA|ASIA|gh[opsu]_|sk-)"), MARKED).otherwise(PRIOR[kind]) if kind == "secret" else F.lit(PRIOR[kind])
     context = lambda said: F.when(said.rlike(NEARBY[kind]), CONTEXT).otherwise(0) - F.when(said.rlike(AGAINST[kind]), CONTEXT).otherwise(0)
-    score = lambda x: F.greatest(F.lit(0), F.least(F.lit(1000), prior(x["m"]) + let(near(x), context)))
-    scored = lambda found: F.transform(
-        F.filter(between(F.split(text, pattern), found), lambda x: _confirmed(kind, x["m"])),
-        lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["end"].alias("end"), score(x).alias("score")),
-    )
-    return F.when(needs, let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, scored(found)).otherwise(empty))).otherwise(empty)
 
+    def scored(block: Column) -> Column:
+        first = F.greatest(F.element_at(block, 1)["start"] - NEAR, F.lit(0))
+        own = F.struct(first.alias("at"), F.substring(text, first + 1, F.element_at(block, -1)["start"] - first).alias("said"))
+        near = lambda o, x: F.substring(o["said"], F.greatest(x["start"] - NEAR - o["at"], F.lit(0)) + 1, F.least(x["start"] - o["at"], F.lit(NEAR)))
+        score = lambda o, x: F.greatest(F.lit(0), F.least(F.lit(1000), prior(x["m"]) + let(near(o, x), context)))
+        return let(own, lambda o: F.transform(block, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["end"].alias("end"), score(o, x).alias("score"))))
+
+    return F.when(F.size(values) > 0, F.flatten(F.transform(_blocks(values), lambda b: scored(_block(values, b))))).otherwise(F.array().cast(_SPANS))
+
+
+_SPANS = "array<struct<start:int,rank:int,kind:string,end:int,score:int>>"
+
+
+def _alone(df: DataFrame, spans: str, taken: str) -> DataFrame:
+    """``df`` with those of ``spans`` in __alone that overlap none of ``taken``: both in one order, the furthest end of what is
+    taken so far on the one side, and the nearest start of what is taken later on the other."""
+    marked = lambda a, t: F.transform(a, lambda s: F.struct(s["start"].alias("start"), F.lit(t).alias("taken"), s["end"].alias("end"), s.alias("span")))
+    far = F.lit(2**31 - 1)  # starts are held as distances from a number that no place reaches
+    both = F.when(F.size(spans) > 0, F.array_sort(F.concat(marked(taken, True), marked(spans, False))))
+    df = df.withColumn("__both", both).withColumn("__both", F.coalesce("__both", F.slice(marked(spans, False), 1, 0)))
+    df = df.withColumns({"__ends": F.transform("__both", lambda s: F.when(s["taken"], s["end"]).otherwise(0)), "__starts": F.reverse(F.transform("__both", lambda s: F.when(s["taken"], far - s["start"]).otherwise(0)))})
+    df = _before(df, {"__reach": ("__ends", lambda a, b: F.greatest(a, b)), "__next": ("__starts", lambda a, b: F.greatest(a, b))})
+    at = F.arrays_zip(F.col("__both").alias("s"), F.col("__reach").alias("r"), F.reverse("__next").alias("n"))
+    free = F.filter(at, lambda z: ~z["s"]["taken"] & (z["r"] <= z["s"]["start"]) & (far - z["n"] >= z["s"]["end"]))
+    return df.withColumn("__alone", F.transform(free, lambda z: z["s"]["span"]))
+
+
+def find_spans(df: DataFrame, least: int = 0) -> DataFrame:
+    """``df`` (of names without two leading underscores but __row) with __spans: all spans of its ``__t``, which is never
+    null, in the order of start and kind, with scores in thousandths from ``least`` on.
 
-def find_spans(text: Column, least: int = 0) -> Column:
-    """All spans of a text that isn't null, in the order of start and kind, with scores in thousandths from ``least`` on."""
+    A step a projection: each is evaluated once, and the analyzer meets no expression of many levels.
+    """
+    text = F.col("__t")
     number = text.rlike("[0-9][0-9 -]{10}")
-    of = {
-        "email": _spans(text, "email", EMAIL, F.contains(text, F.lit("@"))),
-        "ip": _spans(text, "ip", IP, text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]")),
-        "card": _spans(text, "card", CARD, number),
-        "phone": _spans(text, "phone", PHONE, text.rlike(r"\+[0-9]")),
-        "iban": _spans(text, "iban", IBAN, text.rlike("[A-Z]{2}[0-9]{2}")),
-        "secret": _spans(text, "secret", SECRET, text.rlike("[A-Fa-f0-9]{32}|A[KS]IA[A-Z0-9]|gh[opsu]_|sk-")),
-        "account": _spans(text, "account", ACCOUNT, text.rlike("[0-9]{8}") & text.rlike(NEARBY["account"])),
+    kinds = {
+        "email": (EMAIL, F.contains(text, F.lit("@"))),
+        "ip": (IP, text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]")),
+        "card": (CARD, number),
+        "phone": (PHONE, text.rlike(r"\+[0-9]")),
+        "iban": (IBAN, text.rlike("[A-Z]{2}[0-9]{2}")),
+        "secret": (SECRET, text.rlike("[A-Fa-f0-9]{32}|A[KS]IA[A-Z0-9]|gh[opsu]_|sk-")),
+        "account": (ACCOUNT, text.rlike("[0-9]{8}") & text.rlike(NEARBY["account"])),
     }
-    sure = F.filter(F.concat(*[of[k] for k in (*KINDS, "iban", "secret")]), lambda s: (s["rank"] < len(KINDS)) | (s["score"] >= THRESHOLD))
-    alone = lambda taken: F.filter(of["account"], lambda s: (s["score"] >= THRESHOLD) & ~F.exists(taken, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])))
-    kept = let(sure, lambda taken: F.concat(taken, alone(taken)))
-    return F.array_sort(F.filter(kept, lambda s: s["score"] >= least) if least else kept)
+    own = df.columns
+    df = df.withColumns({f"__f_{k}": F.when(needs, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")) for k, (pattern, needs) in kinds.items()})
+    step = lambda k, pattern: F.zip_with(F.slice(F.split(text, pattern), 1, F.size(f"__f_{k}")), f"__f_{k}", lambda gap, m: F.length(gap) + F.length(m))
+    df = df.withColumns({f"__s_{k}": F.when(F.size(f"__f_{k}") > 0, step(k, pattern)).otherwise(F.array().cast("array<int>")) for k, (pattern, _) in kinds.items()})
+    df = _before(df, {f"__b_{k}": (f"__s_{k}", lambda a, x: a + x) for k in kinds})
+    place = lambda z: F.struct((z["at"] + z["step"] - F.length(z["m"])).alias("start"), (z["at"] + z["step"]).alias("end"), z["m"].alias("m"))
+    df = df.withColumns({f"__p_{k}": F.transform(F.arrays_zip(F.col(f"__b_{k}").alias("at"), F.col(f"__s_{k}").alias("step"), F.col(f"__f_{k}").alias("m")), place) for k in kinds})
+    confirmed = lambda k: F.filter(f"__p_{k}", lambda x: _confirmed(k, x["m"]))
+    df = df.withColumns({f"__p_{k}": confirmed(k) for k in kinds})
+    df = df.withColumns({f"__x_{k}": _scored(f"__p_{k}", text, k) for k in kinds})
+    sure = F.filter(F.concat(*[F.col(f"__x_{k}") for k in (*KINDS, "iban", "secret")]), lambda s: (s["rank"] < len(KINDS)) | (s["score"] >= THRESHOLD))
+    df = df.withColumns({"__sure": sure, "__accounts": F.filter("__x_account", lambda s: s["score"] >= THRESHOLD)})
+    kept = F.concat("__sure", "__alone")
+    df = _alone(df, "__accounts", "__sure").withColumn("__spans", F.array_sort(F.filter(kept, lambda s: s["score"] >= least) if least else kept))
+    # one row each; a caller's filter on what is made of the spans stops here, and isn't rewritten into all the steps above
+    return df.select(*[f"`{c}`" for c in own], F.explode(F.array("__spans")).alias("__spans"))
 
 
 def with_spans(df: DataFrame, text: str = "text", least: int = 0) -> DataFrame:
     """``df`` and pii, its spans with scores of ``least`` thousandths or more."""
-    return unboxed(boxed(df).withColumn("__s", find_spans(F.coalesce(F.col(f"__row.`{text}`"), F.lit("")), least)), F.col("__s").alias("pii"))
+    return unboxed(find_spans(boxed(df).withColumn("__t", F.coalesce(F.col(f"__row.`{text}`"), F.lit(""))), least), F.col("__spans").alias("pii"))
 
 
 def redact(df: DataFrame, text: str = "text", least: int = 0) -> DataFrame:
     """``df`` with each span of its text replaced by its kind in angle brackets; of overlapping ones the first."""
-    box = boxed(df).withColumn("__t", F.coalesce(F.col(f"__row.`{text}`"), F.lit("")))
+    box = find_spans(boxed(df).withColumn("__t", F.coalesce(F.col(f"__row.`{text}`"), F.lit(""))), least)
     cut = F.aggregate(
-        find_spans(F.col("__t"), least),
+        "__spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, s: F.when(
             s["start"] >= a["at"],
@@ -160,7 +218,7 @@ def _joined(spans: Column) -> Column:
 
 
 def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", find_spans(F.coalesce(F.col("text"), F.lit(""))).alias("pii"))
+    docs = find_spans(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("__t"))).withColumnRenamed("__spans", "pii")
     count = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("pii", lambda s: s["rank"] < len(KINDS))
     return docs.select(
