@@ -260,3 +260,16 @@ def test_bits_never_exceed_edits(spark):
             assert not near or (a, b) in kept
             dropped += (a, b) not in kept
     assert dropped > 100
+
+
+def test_windows_longer_than_a_piece(spark):
+    """Decontamination by windows of 100 words, over several pieces."""
+    from tidemark.llm.decontamination import decontaminate
+
+    rng = random.Random(9)
+    item = [f"i{rng.randint(0, 10**6)}" for _ in range(130)]
+    filler = [f"f{k}" for k in range(90)]
+    texts = {0: filler + item + filler, 1: filler + item[:99] + filler, 2: item[30:], 3: filler}
+    docs = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_hit"] for r in decontaminate(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"), window=100).collect()}
+    assert got == {0: 130, 1: 0, 2: 100, 3: 0}

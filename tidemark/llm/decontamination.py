@@ -38,7 +38,7 @@ WINDOW = 10
 SHINGLE = 5
 #: Bits of the bitmap, a power of two.
 BITS = 1 << 22
-#: Words whose windows begin in one piece.
+#: Words whose windows begin in one piece, or a window's, if that is longer.
 PIECE = 64
 _HITS = "n_words long, hits array<struct<pos:int,s:int,h:long>>, pieces array<struct<piece:int,words:array<string>>>"
 _WINDOWS = "item_id string, win string, len int, place int, s int, h long"
@@ -64,7 +64,7 @@ def _item_windows(window: int, shingle: int):
     return run
 
 
-def _scan(bits: bytes, sizes: list[int], window: int):
+def _scan(bits: bytes, sizes: list[int], window: int, piece: int):
     """One row a document: what ``hits`` says below."""
     hit_type = pa.list_(pa.struct([("pos", pa.int32()), ("s", pa.int32()), ("h", pa.int64())]))
     piece_type = pa.list_(pa.struct([("piece", pa.int32()), ("words", pa.list_(pa.string()))]))
@@ -89,9 +89,9 @@ def _scan(bits: bytes, sizes: list[int], window: int):
                 a, b = np.searchsorted(text, [d, d + 1])
                 hits[d] = [{"pos": int(p) - first, "s": int(s), "h": int(x)} for p, s, x in zip(pos[a:b], size[a:b], h[a:b], strict=True)]
                 low, high = np.maximum(pos[a:b] - window, first) - first, pos[a:b] - first
-                for k in np.unique(np.concatenate([low // PIECE, high // PIECE])).tolist():  # a window is shorter than a piece
-                    begin = first + k * PIECE
-                    said = [w.word(j).decode("utf-8", "replace") for j in range(begin, min(begin + PIECE + window, last))]
+                for k in np.unique(np.concatenate([low // piece, high // piece])).tolist():  # a window is shorter than a piece
+                    begin = first + k * piece
+                    said = [w.word(j).decode("utf-8", "replace") for j in range(begin, min(begin + piece + window, last))]
                     pieces[d].append({"piece": k, "words": said})
             kept = [batch.column(c) for c in batch.schema.names if c != "text"]
             names = [c for c in batch.schema.names if c != "text"]
@@ -100,7 +100,7 @@ def _scan(bits: bytes, sizes: list[int], window: int):
     return run
 
 
-def _hits(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+def _hits(docs: DataFrame, items: DataFrame, window: int, piece: int) -> DataFrame:
     """A row for each document: its other columns, n_words, hits (shingles that may be an item's) and pieces of words around them."""
     marks = items.select((F.col("h").bitwiseAND(F.lit(BITS - 1))).alias("b")).distinct().toPandas()["b"].to_numpy()  # BITS rows at most
     known = np.zeros(BITS, dtype=bool)
@@ -109,7 +109,7 @@ def _hits(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     schema = T.StructType([f for f in docs.schema.fields if f.name != "text"])
     made = T._parse_datatype_string(_HITS)
     schema = T.StructType([*schema.fields, *made.fields])
-    return docs.mapInArrow(_scan(np.packbits(known).tobytes(), sizes, window), schema)
+    return docs.mapInArrow(_scan(np.packbits(known).tobytes(), sizes, window, piece), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -117,11 +117,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     docs: text and any others; benchmark: item_id, text.
     """
-    if window > PIECE:
-        raise ValueError(f"a window of {window} words is longer than a piece of {PIECE}")
+    size = max(PIECE, window)
     raw = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = materialize(raw.mapInPandas(_item_windows(window, shingle), _WINDOWS), "item-windows")
-    base = materialize(_hits(docs, items, window).withColumn("__rid", F.monotonically_increasing_id()), "document-hits", rebalance=True)
+    base = materialize(_hits(docs, items, window, size).withColumn("__rid", F.monotonically_increasing_id()), "document-hits", rebalance=True)
     hits = base.select("__rid", "n_words", F.explode("hits").alias("x")).select("__rid", "n_words", "x.*")
     pieces = base.select("__rid", F.explode("pieces").alias("x")).select("__rid", "x.*")
     shingles = items.select("win", "len", "place", "s", "h").distinct()
@@ -130,8 +129,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     prefix = materialize(shingles.join(seen, ["s", "h"], "left").withColumn("__r", F.row_number().over(rarest)).where("__r = 1 and n > 0").select("win", "len", "place", "s", "h"), "prefixes")
     start = F.col("pos") - F.col("place")
     bounded = hits.join(prefix, ["s", "h"]).withColumn("start", start).where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n_words")))
-    held = bounded.withColumn("piece", F.floor(F.col("start") / PIECE).cast("int")).join(pieces, ["__rid", "piece"])
-    there = F.array_join(F.slice("words", F.col("start") - F.col("piece") * PIECE + 1, F.col("len")), " ")
+    held = bounded.withColumn("piece", F.floor(F.col("start") / size).cast("int")).join(pieces, ["__rid", "piece"])
+    there = F.array_join(F.slice("words", F.col("start") - F.col("piece") * size + 1, F.col("len")), " ")
     true = held.where(there == F.col("win")).select("__rid", "start", "len", "win")
     runs = F.array_sort(F.collect_set(F.struct("start", "len")))
     covered = F.aggregate(
