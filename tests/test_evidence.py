@@ -89,8 +89,8 @@ def test_masks(spark):
 def test_rates_hold_for_orders_after_the_last_one(spark, tmp_path):
     from tidemark.operators.ingestion import asof_fx
 
-    spark.sql("select 1L as o_orderkey, 10.0D as o_totalprice, timestamp_ntz'1996-03-01 00:00:00' as o_orderdate union all select 2L, 10.0D, timestamp_ntz'2005-03-01 00:00:00'").write.parquet(f"{tmp_path}/orders.parquet")
-    assert sorted((r["o_orderkey"], r["inr"]) for r in asof_fx(spark, str(tmp_path)).collect()) == [(1, 366.0), (2, 447.0)]
+    spark.sql("select 1L as o_orderkey, 10.0D as o_totalprice, timestamp_ntz'1996-03-01 00:00:00' as o_orderdate union all select 2L, 10.0D, timestamp_ntz'2005-03-01 00:00:00' union all select 3L, 10.0D, timestamp_ntz'1990-03-01 00:00:00'").write.parquet(f"{tmp_path}/orders.parquet")
+    assert sorted((r["o_orderkey"], r["inr"]) for r in asof_fx(spark, str(tmp_path)).collect()) == [(1, 366.0), (2, 447.0), (3, None)]
 
 
 def test_an_empty_source_streams_nothing(spark, tmp_path):

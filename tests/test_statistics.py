@@ -196,7 +196,45 @@ def test_signals_come_from_the_data(spark):
     rows = six_signals(spark, "/root/testdata/sf0.01").collect()
     assert len(rows) == 340 and all(0 <= r[c] <= 1 for r in rows for c in ("c1", "c2", "c3", "c4", "c5", "c6"))
     assert all(len({r[c] for r in rows}) > 3 for c in ("c1", "c2", "c3", "c5")) and all((r["c5"] == 0) == (r["stories"] == 0) for r in rows)
-    assert all(r["c6"] == 1.0 for r in rows)
+    assert len({r["c6"] for r in rows}) > 1 and max(r["c5"] for r in rows) - min(r["c5"] for r in rows) > 0.3
+    assert sorted(map(str, rows)) == sorted(map(str, six_signals(spark, "/root/testdata/sf0.01").collect()))  # read again, not computed
+
+
+def test_a_claim_that_rounding_has_spoilt_fails(spark):
+    """c6 falls where a digit says something else than the bundle."""
+    from tidemark.operators.signals import borne_out, claim
+
+    def share(pct, impact):
+        bundle = F.array(F.struct(F.lit(pct * 100).alias("value"), F.lit("%").alias("unit")), F.struct(F.lit(impact).alias("value"), F.lit("").alias("unit")))
+        return spark.range(1).select(claim(F.lit(pct), F.lit(impact)).alias("said"), borne_out(claim(F.lit(pct), F.lit(impact)), bundle).alias("c6")).first()
+
+    assert tuple(share(0.124, 6080000.0)) == ("moved by 12.4% (60.8 lakh)", 1.0)
+    assert tuple(share(-0.124, -6080000.0)) == ("moved by -12.4% (-60.8 lakh)", 1.0)
+    assert share(0.00349, 6080000.0)["c6"] == 0.5 and share(0.124, 14000.0)["c6"] == 0.5 and share(0.00349, 14000.0)["c6"] == 0
+    assert spark.range(1).select(borne_out(F.lit("no figure"), F.array().cast("array<struct<value:double,unit:string>>"))).first()[0] == 1.0
+
+
+def test_evidence_needs_several_sources_and_more_than_usual(spark, tmp_path):
+    """c5 by hand: a story told twice by one source counts once; a month of fewer stories than usual counts for less."""
+    from tidemark.operators.signals import _evidence
+
+    from tidemark.functions.rng import uniform
+    from tidemark.operators.signals import MONTHS
+
+    ids = spark.range(40000).withColumnRenamed("id", "doc_id").select("doc_id", F.floor(5 * uniform("region", "doc_id")).alias("r"), F.floor(MONTHS * uniform("month", "doc_id")).alias("k")).where("r = 0")
+    here, later = ([r["doc_id"] for r in ids.where(F.col("k") == k).limit(3).collect()] for k in (0, 1))
+    rows = [(here[0], "a", "s1", 2000), (here[1], "a", "s1", 2000), (here[2], "b", "s2", 0), (later[0], "c", "s1", 2000)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "AFRICA")], "r_regionkey long, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    got = {r["k"]: (r["stories"], r["c5"]) for r in _evidence(spark, str(tmp_path)).collect()}
+    assert got == {0: (2, pytest.approx(1 - 0.8 * 0.95, abs=1e-6)), 1: (1, pytest.approx(0.2 / 2, abs=1e-6))}
+
+
+def test_calibration_sees_earlier_months_alone(spark):
+    from tidemark.operators.decisions import earlier
+
+    months = spark.createDataFrame([(f"2000-{m:02d}-01", r) for m in range(1, 11) for r in "ab"], "month string, region string")
+    assert sorted(r["month"] for r in earlier(months).collect()) == [f"2000-{m:02d}-01" for m in range(1, 7)]
 
 
 def test_memory_is_found_and_removed():

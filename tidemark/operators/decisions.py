@@ -12,7 +12,7 @@ from tidemark.functions import stats
 from tidemark.functions.rng import uniform, uniform_sql
 from tidemark.operators.confidence import GATE, softmin, tier
 from tidemark.operators.series import decayed_sum, z_scores
-from tidemark.operators.signals import ALPHA, SIGNALS, SIGNALS_SQL, claim, six_signals
+from tidemark.operators.signals import ALPHA, CLAIM_SQL, SIGNALS, SIGNALS_SQL, claim, six_signals
 from tidemark.registry import query
 from tidemark.session import written
 from tidemark.sources.tables import FACTS, daily_events, sales, table
@@ -20,11 +20,12 @@ from tidemark.sources.tables import FACTS, daily_events, sales, table
 
 _SOFT = f"case when least({', '.join(SIGNALS)}) <= 0 then 0 else pow(({' + '.join(f'pow({c}, -4)' for c in SIGNALS)}) / 6, -0.25) end"
 _FAILED = "concat_ws(',', " + ", ".join(f"case when {c} < {GATE} then '{c}' end" for c in SIGNALS) + ")"
-#: Bins of the raw confidence that is calibrated.
-BINS = 20
+#: Bins of the raw confidence that is calibrated, and the share of months, the earlier ones, whose outcomes calibrate it.
+BINS, EARLIER = 20, 0.6
 _BELIEF = f"""{SIGNALS_SQL}, r as (select *, round({_SOFT}, 6) as raw, {_FAILED} as failed from s),
   rb as (select *, least(floor(raw * {BINS}), {BINS - 1})::int as bin from r),
-  bn as (select bin, count(*) as n, sum(held::int) as y from rb where held is not null group by bin),
+  mo as (select month from (select month, row_number() over (order by month) as i, count(*) over () as n from (select distinct month from rb)) where i <= floor({EARLIER} * n)),
+  bn as (select bin, count(*) as n, sum(held::int) as y from rb where held is not null and month in (select month from mo) group by bin),
   pr as (select a.bin as lo, b.bin as hi, sum(c.y) / sum(c.n) as m from bn a join bn b on a.bin <= b.bin join bn c on c.bin between a.bin and b.bin group by all),
   lw as (select i.bin, lo, min(m) as m from bn i join pr on lo <= i.bin and hi >= i.bin group by all),
   im as (select bin, round(max(m), 6) as probability from lw group by bin),
@@ -50,12 +51,19 @@ def isotonic(pairs: DataFrame, score: str = "raw", outcome: str = "held", bins:
     return least.groupBy("bin", "n").agg(F.round(F.max("m"), 6).alias("probability"))
 
 
+def earlier(rows: DataFrame, share: float = EARLIER) -> DataFrame:
+    """month: the first ``share`` of the months, so that what is calibrated on them is applied to months it hasn't seen."""
+    m = rows.select("month").distinct()
+    ordered = m.withColumns({"i": F.row_number().over(Window.orderBy("month")), "n": F.count(F.lit(1)).over(Window.partitionBy())})  # a row a month
+    return ordered.where(F.col("i") <= F.floor(share * F.col("n"))).select("month")
+
+
 def beliefs(spark: SparkSession, sf: str) -> DataFrame:
     """Signals, raw, failed, probability, verdict of each movement: a calibrated tier, or an abstention that names every signal below its gate."""
     x = [F.col(c) for c in SIGNALS]
     failed = F.concat_ws(",", *[F.when(c < GATE, F.lit(n)) for c, n in zip(x, SIGNALS, strict=True)])
     r = written(six_signals(spark, sf).withColumns({"raw": F.round(softmin(*x), 6), "failed": failed}), "raw-beliefs")
-    curve = isotonic(r).select("bin", "probability")
+    curve = isotonic(r.join(earlier(r), "month", "left_semi")).select("bin", "probability")
     r = r.withColumn("bin", F.least(F.floor(F.col("raw") * BINS), F.lit(BINS - 1)).cast("int")).join(curve, "bin", "left")
     r = r.withColumn("probability", F.coalesce("probability", "raw"))
     return r.withColumn("verdict", F.when(F.col("failed") != "", "abstain").otherwise(tier(F.col("probability"))))
@@ -65,7 +73,8 @@ def beliefs(spark: SparkSession, sf: str) -> DataFrame:
 def calibration_curve(spark: SparkSession, sf: str) -> DataFrame:
     """From raw confidence to the share of movements that held, rising."""
     x = [F.col(c) for c in SIGNALS]
-    return isotonic(six_signals(spark, sf).withColumn("raw", F.round(softmin(*x), 6)))
+    s = six_signals(spark, sf).withColumn("raw", F.round(softmin(*x), 6))
+    return isotonic(s.join(earlier(s), "month", "left_semi"))
 
 
 @query("decide_abstain", f"{_BELIEF} select region, month, raw, failed, probability, verdict from d")
@@ -106,11 +115,11 @@ _SAID = {
 }
 
 
-@query("narrative_template", f"{_BELIEF}, c as (select *, 'moved by ' || printf('%.2f', floor(pct * 10000 + 0.5) / 100) || '%' as claim from d), n as ({' union all '.join(f'select region, month, verdict, {chr(39)}{k}{chr(39)} as persona, {v} as told from c' for k, v in _SAID.items())}) select region, month, persona, case when verdict = 'abstain' then 'No claim about ' || region || ' in ' || month || ': the data cannot support one.' else told end as said from n")
+@query("narrative_template", f"{_BELIEF}, c as (select *, {CLAIM_SQL} as claim from d), n as ({' union all '.join(f'select region, month, verdict, {chr(39)}{k}{chr(39)} as persona, {v} as told from c' for k, v in _SAID.items())}) select region, month, persona, case when verdict = 'abstain' then 'No claim about ' || region || ' in ' || month || ': the data cannot support one.' else told end as said from n")
 def narrative_template(spark: SparkSession, sf: str) -> DataFrame:
     """A sentence for each persona from the bundle alone; an abstention says so and tells no number."""
     d = beliefs(spark, sf)
-    values = {"region": F.col("region"), "month": F.col("month").cast("string"), "claim": claim(F.col("pct")), "lead": F.col("lead"), "p": chance(F.col("p")), "stories": F.col("stories").cast("string"), "tier": F.col("verdict")}
+    values = {"region": F.col("region"), "month": F.col("month").cast("string"), "claim": claim(F.col("pct"), F.col("impact")), "lead": F.col("lead"), "p": chance(F.col("p")), "stories": F.col("stories").cast("string"), "tier": F.col("verdict")}
 
     def filled(template: str) -> Column:
         pieces = re.split(r"\{(\w+)\}", template)

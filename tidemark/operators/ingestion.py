@@ -191,9 +191,9 @@ def reconcile(spark: SparkSession, sf: str) -> DataFrame:
 _FX = [("1995-01-01", 31.4), ("1996-02-15", 36.6), ("1997-07-01", 35.8), ("1999-01-10", 42.5), ("2000-06-01", 44.7)]
 
 
-@query("asof_fx", "with fx as (select d::date as d, rate from (values " + ", ".join(str(x) for x in _FX) + ") t(d, rate)) select o_orderkey, rate, round(o_totalprice * rate, 4) as inr from (select o_orderkey, o_totalprice, cast(o_orderdate as date) as d from orders) o asof join fx on o.d >= fx.d")
+@query("asof_fx", "with fx as (select d::date as d, rate from (values " + ", ".join(str(x) for x in _FX) + ") t(d, rate)) select o_orderkey, rate, round(o_totalprice * rate, 4) as inr from (select o_orderkey, o_totalprice, cast(o_orderdate as date) as d from orders) o asof left join fx on o.d >= fx.d")
 def asof_fx(spark: SparkSession, sf: str) -> DataFrame:
-    """The last rate at or before each order's day.
+    """The last rate at or before each order's day; an order before the first rate has none.
 
     Rates become ranges, whose days are the equi key: a range join without a scan of all rates for each order.
     """
@@ -202,7 +202,7 @@ def asof_fx(spark: SparkSession, sf: str) -> DataFrame:
     last = o.agg(F.max("day").alias("last"))  # one row
     until = F.coalesce(F.lead("d").over(Window.orderBy("d")), F.date_add("last", 1))
     days = fx.crossJoin(last).withColumn("until", until).where("d < until").withColumn("day", F.explode(F.sequence("d", F.date_sub("until", 1)))).select("day", "rate")
-    return o.join(days, "day").select("o_orderkey", "rate", F.round(F.col("o_totalprice") * F.col("rate"), 4).alias("inr"))
+    return o.join(days, "day", "left").select("o_orderkey", "rate", F.round(F.col("o_totalprice") * F.col("rate"), 4).alias("inr"))
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], on: str, value: str) -> DataFrame:

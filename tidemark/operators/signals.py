@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.rng import uniform, uniform_sql
 from tidemark.operators.evidence import numbers, numbers_sql, unmatched, unmatched_sql
-from tidemark.session import written
+from tidemark.session import work_dir, written
 from tidemark.sources.tables import FACTS, fulfilment, sales, table
 
 SIGNALS = tuple(f"c{k}" for k in range(1, 7))
@@ -83,25 +83,51 @@ def _data(spark: SparkSession, sf: str, cube: DataFrame) -> DataFrame:
 
 
 def _evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """region, k, stories, c5: independent stories that each may hold, copies counted once, those dated after the month left out.
+    """region, k, stories, c5: what independent sources say in a month, each once and with its fullest story, times how dense
+    stories are in that month against the year before. A month without stories has no row.
 
-    Documents carry neither region nor day; their ids place them, evenly, as a corpus with such fields would be.
+    Documents carry neither region nor day; draws keyed by their ids place them, as a corpus with such fields would be.
     """
-    i = F.col("doc_id")
-    p = F.round(0.2 + 0.4 * F.least(F.lit(1.0), F.coalesce("n_chars", F.lit(0)) / 2000.0), 6)
-    d = table(spark, sf, "documents").where((i * 7) % 31 < 28).select((i % 5).alias("r_regionkey"), (F.floor(i / 5) % MONTHS).cast("int").alias("k"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("story"), p.alias("p"))
-    stories = d.groupBy("r_regionkey", "k", "story").agg(F.max("p").alias("p"))
-    c5 = F.round(1 - F.exp(F.sum(F.log(1 - F.col("p")))), 6)
-    g = stories.groupBy("r_regionkey", "k").agg(F.count(F.lit(1)).alias("stories"), c5.alias("c5"))
-    return g.join(table(spark, sf, "region"), "r_regionkey").select(F.col("r_name").alias("region"), "k", "stories", "c5")
+    p = F.round(0.05 + 0.15 * F.least(F.lit(1.0), F.coalesce("n_chars", F.lit(0)) / 2000.0), 6)
+    place = (F.floor(5 * uniform("region", "doc_id")).alias("r_regionkey"), F.floor(MONTHS * uniform("month", "doc_id")).cast("int").alias("k"))
+    d = table(spark, sf, "documents").select(*place, F.coalesce("source", F.lit("")).alias("source"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("story"), p.alias("p"))
+    told = written(d.groupBy("r_regionkey", "k", "source", "story").agg(F.max("p").alias("p")), "stories")
+    stories = told.groupBy("r_regionkey", "k").agg(F.count_distinct("story").alias("stories"))
+    sources = told.groupBy("r_regionkey", "k", "source").agg(F.max("p").alias("p")).groupBy("r_regionkey", "k").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("any_of"))
+    usual = F.avg("stories").over(Window.partitionBy("r_regionkey").orderBy("k").rangeBetween(-12, -1))
+    g = sources.join(stories, ["r_regionkey", "k"]).withColumn("density", F.least(F.lit(1.0), F.col("stories") / F.coalesce(usual, F.col("stories"))))
+    c5 = F.round(F.col("any_of") * F.col("density"), 6)
+    return g.join(table(spark, sf, "region"), "r_regionkey").select(F.col("r_name").alias("region"), "k", "stories", c5.alias("c5"))
 
 
-def claim(pct: Column) -> Column:
-    """The claim that is told: a signed share in percent."""
-    return F.concat(F.lit("moved by "), F.format_string("%.2f", F.floor(pct * 10000 + 0.5) / 100), F.lit("%"))
+def claim(pct: Column, impact: Column) -> Column:
+    """The claim that is told: a signed share in percent and what it amounts to in lakh, to one digit each."""
+    one = lambda x: F.format_string("%.1f", F.floor(x * 10 + 0.5) / 10)
+    return F.concat(F.lit("moved by "), one(pct * 100), F.lit("% ("), one(impact / 100000), F.lit(" lakh)"))
+
+
+def borne_out(told: Column, bundle: Column) -> Column:
+    """The share of a text's numbers that the bundle's (value, unit) bear out; a text without numbers says nothing wrong."""
+    said = numbers(told)
+    return F.when(F.size(said) == 0, 1.0).otherwise(1 - F.size(unmatched(said, bundle)) / F.size(said))
+
+
+#: Where the signals of an application's inputs were written.
+_WRITTEN: dict[tuple, str] = {}
+_INPUTS = ("lineitem", "orders", "customer", "part", "supplier", "nation", "region", "documents")
 
 
 def six_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``compute_signals``: written once for an application and its input files, and read by all that ask for them."""
+    key = (spark.sparkContext.applicationId, sf, *(f for t in _INPUTS for f in sorted(table(spark, sf, t).inputFiles())))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.get(key, "/nowhere"))
+    if key not in _WRITTEN or not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        _WRITTEN[key] = work_dir(spark, "signals")
+        compute_signals(spark, sf).write.parquet(_WRITTEN[key])
+    return spark.read.parquet(_WRITTEN[key])
+
+
+def compute_signals(spark: SparkSession, sf: str) -> DataFrame:
     """region, month, impact, pct, z, p, lead, reconciled, stories, held, c1 to c6; held: whether the next month moved the same way, null if there is none."""
     cube = written(monthly_cube(spark, sf), "cube")
     m = _gap(cube, ("region",))
@@ -117,8 +143,8 @@ def six_signals(spark: SparkSession, sf: str) -> DataFrame:
     held = F.signum("gap") == F.signum(F.lead("gap").over(own))
     m = m.withColumns({"pct": F.round(F.col("gap") / F.nullif(F.col("before"), F.lit(0)), 8), "impact": F.round(F.col("gap") / 120000, 6), "held": held})
     m = m.join(_attribution(cube), ["region", "k"]).join(_data(spark, sf, cube), ["region", "k"]).join(_evidence(spark, sf), ["region", "k"], "left")
-    told = numbers(claim(F.col("pct")))
-    right = 1 - F.size(unmatched(told, F.array(F.struct((F.col("pct") * 100).alias("value"), F.lit("%").alias("unit"))))) / F.size(told)
+    bundle = F.array(F.struct((F.col("pct") * 100).alias("value"), F.lit("%").alias("unit")), F.struct(F.col("impact").alias("value"), F.lit("").alias("unit")))
+    right = borne_out(claim(F.col("pct"), F.col("impact")), bundle)  # a digit may round away what a number says
     month = F.make_date(F.floor(F.col("k") / 12).cast("int") + ORIGIN, (F.col("k") % 12 + 1).cast("int"), F.lit(1))
     return m.select(
         "region", month.alias("month"), "impact", "pct", "z", "p", "lead", "reconciled", F.coalesce("stories", F.lit(0)).alias("stories"), "held",
@@ -126,7 +152,8 @@ def six_signals(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_SAID = "'moved by ' || printf('%.2f', floor(pct * 10000 + 0.5) / 100) || '%'"
+#: The claim in SQL.
+CLAIM_SQL = "'moved by ' || printf('%.1f', floor(pct * 100 * 10 + 0.5) / 10) || '% (' || printf('%.1f', floor(impact / 100000 * 10 + 0.5) / 10) || ' lakh)'"
 #: The same for a SQL engine, as s.
 SIGNALS_SQL = f"""{FACTS}, cb0 as (select region, category, segment, (year(d) - {ORIGIN}) * 12 + month(d) - 1 as k, sum(net_e4)::bigint as v, sum(units)::bigint as units from sales group by all),
 ax as (select * from (select distinct region, category, segment from cb0) cross join (select distinct k from cb0)),
@@ -151,12 +178,15 @@ atr as (select ld.region, ld.k, any_value(lead_) as lead_, round(count(*) filter
 dy as (select region, (year(d) - {ORIGIN}) * 12 + month(d) - 1 as k, count(distinct d) as days, any_value(day(last_day(d))) as len from sales group by all),
 od as (select (year(d) - {ORIGIN}) * 12 + month(d) - 1 as k, sum(ordered)::bigint as ordered from fulfilment group by all),
 rc as (select k, coalesce(abs(ordered - units) <= 0.05 * units, false) as reconciled from (select k, sum(units)::bigint as units from cb group by k) left join od using (k)),
-ev as (select r_name as region, k, count(*) as stories, round(1 - exp(sum(ln(1 - p))), 6) as c5 from (select doc_id % 5 as rk, ((doc_id // 5) % {MONTHS})::int as k, coalesce(text, '') as story, max(round(0.2 + 0.4 * least(1.0, coalesce(n_chars, 0) / 2000.0::double), 6)) as p
-  from documents where (doc_id * 7) % 31 < 28 group by all) join region on r_regionkey = rk group by all),
+td as materialized (select floor(5 * {uniform_sql('region', 'doc_id')})::bigint as rk, floor({MONTHS} * {uniform_sql('month', 'doc_id')})::int as k, coalesce(source, '') as source, coalesce(text, '') as story, max(round(0.05 + 0.15 * least(1.0, coalesce(n_chars, 0) / 2000.0::double), 6)) as p from documents group by all),
+so as (select rk, k, 1 - exp(sum(ln(1 - p))) as any_of from (select rk, k, source, max(p) as p from td group by all) group by all),
+st as (select rk, k, count(distinct story) as stories from td group by all),
+dn as (select so.rk, so.k, stories, any_of, least(1.0, stories / coalesce(avg(stories) over (partition by so.rk order by so.k range between 12 preceding and 1 preceding), stories)) as density from so join st on so.rk = st.rk and so.k = st.k),
+ev as (select r_name as region, k, stories, round(any_of * density, 6) as c5 from dn join region on r_regionkey = rk),
 s0 as (select m6.region, m6.k, round(gap / 120000, 6) as impact, round(gap / nullif(m6.before, 0), 8) as pct, z, p, lead_, reconciled, coalesce(stories, 0) as stories, held,
   round(greatest(0.0, 1 - p / {ALPHA}), 6) as c1, round(win * coverage, 9) as c2, round(greatest(0.0, 1 - 2 * coalesce(mape, 0.5)) * least(1.0, (i - 1) / 24.0::double), 6) as c3,
   case when reconciled then coalesce(round(days / len, 6), 0) else 0.0::double end as c4, coalesce(c5, 0) as c5
   from m6 join atr on m6.region = atr.region and m6.k = atr.k left join dy on dy.region = m6.region and dy.k = m6.k join rc on rc.k = m6.k left join ev on ev.region = m6.region and ev.k = m6.k),
-s1 as (select *, {numbers_sql(_SAID)} as told from s0),
+s1 as (select *, {numbers_sql(CLAIM_SQL)} as told from s0),
 s as (select region, make_date({ORIGIN} + k // 12, k % 12 + 1, 1) as month, impact, pct, z, p, lead_ as lead, reconciled, stories, held, c1, c2, c3, c4, c5,
-  round(1 - len({unmatched_sql('told', "[{'value': pct * 100, 'unit': '%'}]")}) / len(told), 6) as c6 from s1)"""
+  round(1 - len({unmatched_sql('told', "[{'value': pct * 100, 'unit': '%'}, {'value': impact, 'unit': ''}]")}) / len(told), 6) as c6 from s1)"""
