@@ -110,3 +110,25 @@ def test_a_late_row_takes_a_breach_back(spark, tmp_path):
         rows.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in EVENTS.split(", ")]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
     r = freshness_state(spark, str(tmp_path)).first()
     assert (r["red"], r["amber"], r["slots"], r["status"]) == (0, 3, 7, "green")
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Published 2024-01-02, effective from 5 March 2024.", "2024-03-05"), ("effective 2024-02-30", None), ("With effect from March 15, 2023 and later 1 May 2025", "2023-03-15"),
+        ("on 07/08/2022", "2022-08-07"), ("31/31/2022", None), ("no date", None), ("", None), (None, None), ("EFFECTIVE AS OF 1 January 1999", "1999-01-01"), ("effectively 2020-01-01 began", "2020-01-01"),
+    ],
+)
+def test_effective_dates_are_read_from_texts(spark, text, want):
+    got = spark.range(1).select(evidence.effective_date(F.lit(text).cast("string"))).first()[0]
+    assert (str(got) if got else None) == want
+
+
+def test_evidence_weighs_what_a_document_says(spark):
+    from tidemark.operators.decisions import evidence_weight, stances
+
+    docs = spark.createDataFrame([(1, "The license, the token: rights 1 2 3 4 5 6 7 8 9 10", "src0", 4000), (2, "nothing", "src3", 0), (3, None, None, None), (4, "the", "src5", 1000)], "doc_id long, text string, source string, n_chars long")
+    got = {r["doc_id"]: (r["conf"], r["source_tier"]) for r in evidence_weight(docs).collect()}
+    assert got == {1: (1.0, 0), 2: (0.0625, 3), 3: (0.25, 0), 4: (0.25 * 0.25 + 0.25 * 0.75 + 0.125, 1)}
+    said = spark.createDataFrame([("e", "sales rose, more gain"), ("e", "not good, no gain, never"), ("e", "nothing"), ("f", "all new")], "event string, text string")
+    assert {r["event"]: (r["n"], r["agreeing"], r["contradictory"]) for r in stances(said, F.col("event")).collect()} == {"e": (2, 1, True), "f": (1, 1, False)}

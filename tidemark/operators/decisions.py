@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import stats
-from tidemark.functions.rng import uniform, uniform_sql
 from tidemark.operators.confidence import GATE, softmin, tier
 from tidemark.operators.series import decayed_sum, z_scores
 from tidemark.operators.signals import ALPHA, CLAIM_SQL, SIGNALS, SIGNALS_SQL, claim, six_signals
@@ -138,18 +137,39 @@ def golden_path(spark: SparkSession, sf: str) -> DataFrame:
     return g.groupBy((F.col("p") <= ALPHA).alias("detected"), ((F.abs("z") >= 1.5) & (F.abs("pct") >= 0.1)).alias("material"), "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("evidence_conf", f"select doc_id, round(0.25 * {uniform_sql('rerank', 'doc_id')} + 0.25 * (1 - (doc_id % 4) / 4.0::double) + 0.25 * least(1.0, n_chars / 2000.0::double) + 0.25 * {uniform_sql('extract', 'doc_id')}, 6) as conf, (doc_id % 4)::int as source_tier from documents")
+#: What the evidence is asked for, ranks of sources, characters of a whole story, and figures of a well-sourced one.
+_ASKED, _TIERS, _WHOLE, _FIGURES = ("license", "token", "the", "rights"), 4, 2000.0, 10.0
+
+
+def evidence_weight(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, source, n_chars) with source_tier and conf: the share of the question's words that a document
+    holds, its source's tier, how much of a whole story it is, and how many figures can be extracted, equally.
+
+    Tiers come from a source's standing: the number that its name ends with, as a registry of sources would have it.
+    """
+    words = F.array_distinct(F.split(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+", " "), " "))
+    held = F.size(F.array_intersect(words, F.array(*map(F.lit, _ASKED)))) / float(len(_ASKED))
+    figures = F.least(F.lit(1.0), F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[0-9]+"), F.lit(0))) / _FIGURES)
+    tier = F.coalesce(F.nullif(F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0)) % _TIERS
+    whole = F.least(F.lit(1.0), F.coalesce("n_chars", F.lit(0)) / _WHOLE)
+    return docs.withColumn("source_tier", tier).withColumn("conf", F.round(0.25 * held + 0.25 * (1 - F.col("source_tier") / float(_TIERS)) + 0.25 * whole + 0.25 * figures, 6))
+
+
+_WORDS_SQL = "list_distinct(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'), ' '))"
+_WEIGHT = f"""t as (select *, (coalesce(nullif(regexp_extract(coalesce(source, ''), '([0-9]+)$', 1), '')::int, 0) % {_TIERS})::int as source_tier from documents),
+  ev as (select *, round(0.25 * len(list_intersect({_WORDS_SQL}, {list(_ASKED)})) / {float(len(_ASKED))}::double + 0.25 * (1 - source_tier / {float(_TIERS)}::double) + 0.25 * least(1.0, coalesce(n_chars, 0) / {_WHOLE}::double) + 0.25 * least(1.0, len(regexp_extract_all(coalesce(text, ''), '[0-9]+')) / {_FIGURES}::double), 6) as conf from t)"""
+
+
+@query("evidence_conf", f"with {_WEIGHT} select doc_id, conf, source_tier from ev")
 def evidence_conf(spark: SparkSession, sf: str) -> DataFrame:
-    """A document's weight: rank, source tier, entity link and extraction, equally."""
-    i = F.col("doc_id")
-    parts = 0.25 * uniform("rerank", "doc_id") + 0.25 * (1 - (i % 4) / 4.0) + 0.25 * F.least(F.lit(1.0), F.col("n_chars") / 2000.0) + 0.25 * uniform("extract", "doc_id")
-    return table(spark, sf, "documents").select("doc_id", F.round(parts, 6).alias("conf"), (i % 4).cast("int").alias("source_tier"))
+    """How much each document counts as evidence."""
+    return evidence_weight(table(spark, sf, "documents")).select("doc_id", "conf", "source_tier")
 
 
-@query("corroboration", f"with d as (select lang, md5(text) as story, max(round(0.6 * {uniform_sql('rerank', 'doc_id')}, 6)) as p from documents group by all), t as (select lang, round(1 - exp(sum(ln(1 - least(p, 1 - 1e-9)))), 8) as any_of, count(*) as stories from d where p >= 0.3 group by 1) select *, any_of >= 0.3 as sufficient from t")
+@query("corroboration", f"with {_WEIGHT}, d as (select lang, md5(text) as story, max(round(0.6 * conf, 6)) as p from ev group by all), t2 as (select lang, round(1 - exp(sum(ln(1 - least(p, 1 - 1e-9)))), 8) as any_of, count(*) as stories from d where p >= 0.3 group by 1) select *, any_of >= 0.3 as sufficient from t2")
 def corroboration(spark: SparkSession, sf: str) -> DataFrame:
     """Independent stories that each may hold, copies counted once; too little of it and the engine abstains."""
-    d = table(spark, sf, "documents").groupBy("lang", F.md5("text").alias("story")).agg(F.max(F.round(0.6 * uniform("rerank", "doc_id"), 6)).alias("p")).where("p >= 0.3")
+    d = evidence_weight(table(spark, sf, "documents")).groupBy("lang", F.md5("text").alias("story")).agg(F.max(F.round(0.6 * F.col("conf"), 6)).alias("p")).where("p >= 0.3")
     any_of = F.round(1 - F.exp(F.sum(F.log(1 - F.least(F.col("p"), F.lit(1 - 1e-9))))), 8)
     return d.groupBy("lang").agg(any_of.alias("any_of"), F.count(F.lit(1)).alias("stories")).withColumn("sufficient", F.col("any_of") >= 0.3)
 
@@ -185,14 +205,25 @@ def croston_tsb(spark: SparkSession, sf: str) -> DataFrame:
     return monthly.groupBy("sku").applyInPandas(stats.tsb, "sku long, chance double, size double, forecast double")
 
 
-@query("contradictions", f"with d as (select doc_id % 50 as event, {uniform_sql('stance', 'doc_id')} < 0.7 as agrees from documents) select event, count(*) as n, count(*) filter (agrees) as agreeing, round(count(*) filter (agrees) / count(*), 8) as agreement, count(*) filter (agrees) not in (0, count(*)) as contradictory from d group by 1")
-def contradictions(spark: SparkSession, sf: str) -> DataFrame:
-    """How far the documents of one event agree."""
-    d = table(spark, sf, "documents").select((F.col("doc_id") % 50).alias("event"), (uniform("stance", "doc_id") < 0.7).alias("agrees"))
-    n, yes = F.count(F.lit(1)), F.count_if(F.col("agrees"))
+#: Words that affirm and that deny; what a document says more of is its stance.
+_YES, _NO = ("up", "more", "rose", "gain", "increase", "all", "good", "better", "first", "new"), ("down", "less", "fell", "loss", "decrease", "not", "no", "never", "bad", "without")
+
+
+def stances(docs: DataFrame, event: Column) -> DataFrame:
+    """event, n, agreeing, agreement, contradictory: documents of an event by their stance; those without one don't count."""
+    words = F.split(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+", " "), " ")
+    said = lambda of: F.size(F.filter("w", lambda x: x.isin(*of)))
+    d = docs.select(event.alias("event"), words.alias("w")).select("event", said(_YES).alias("yes"), said(_NO).alias("no")).where("yes <> no")
+    n, yes = F.count(F.lit(1)), F.count_if(F.col("yes") > F.col("no"))
     return d.groupBy("event").agg(n.alias("n"), yes.alias("agreeing"), F.round(yes / n, 8).alias("agreement"), ((yes > 0) & (yes < n)).alias("contradictory"))
 
 
+@query("contradictions", f"with w as (select source as event, string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' ', 'g'), ' ') as w from documents), d as (select event, len(list_filter(w, lambda x: list_contains({list(_YES)}, x))) as y, len(list_filter(w, lambda x: list_contains({list(_NO)}, x))) as n from w) select event, count(*) as n, count(*) filter (y > d.n) as agreeing, round(count(*) filter (y > d.n) / count(*), 8) as agreement, count(*) filter (y > d.n) not in (0, count(*)) as contradictory from d where y <> d.n group by 1")
+def contradictions(spark: SparkSession, sf: str) -> DataFrame:
+    """How far the documents of one source agree, by what they say."""
+    return stances(table(spark, sf, "documents"), F.col("source"))
+
+
 @query("false_positive_rate", f"{FACTS}, z as (select series, t, (y - avg(y) over (partition by series)) / stddev(y) over (partition by series) as z from daily_events) select count(*) as n, count(*) filter (abs(z) > 3) as alarms, round(count(*) filter (abs(z) > 3) / count(*), 8) as rate from z where t between 5 and 20")
 def false_positive_rate(spark: SparkSession, sf: str) -> DataFrame:
     """Alarms in a period without events."""

@@ -250,6 +250,39 @@ def noisy_or(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy("event_type").agg(F.round(1 - F.exp(F.sum(F.log(1 - F.least(F.col("p"), F.lit(1 - 1e-9))))), 8).alias("p"))
 
 
+_MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_NAMED = "|".join(_MONTHS)
+_ANY_DATE = rf"[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}} (?:{_NAMED}) [0-9]{{4}}|(?:{_NAMED}) [0-9]{{1,2}}, [0-9]{{4}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}"
+
+
+def date_in(said: Column) -> Column:
+    """The day that one spelling of a date names (2024-03-05, 5 March 2024, March 5, 2024, 05/03/2024); null if there is none."""
+    part = lambda pattern, k: F.nullif(F.regexp_extract(said, pattern, k), F.lit("")).cast("int")
+    named = F.nullif(F.array_position(F.array(*map(F.lit, _MONTHS)), F.regexp_extract(said, f"({_NAMED})", 1)), F.lit(0)).cast("int")
+    of = lambda y, m, d: F.try_to_date(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")), "yyyy-MM-dd")
+    iso, slashed, spelt, turned = "^([0-9]{4})-([0-9]{2})-([0-9]{2})$", "^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$", "^([0-9]{1,2}) [A-Z][a-z]+ ([0-9]{4})$", "^[A-Z][a-z]+ ([0-9]{1,2}), ([0-9]{4})$"
+    return F.when(said.rlike(iso), of(part(iso, 1), part(iso, 2), part(iso, 3))).when(said.rlike(slashed), of(part(slashed, 3), part(slashed, 2), part(slashed, 1))).when(said.rlike(spelt), of(part(spelt, 2), named, part(spelt, 1))).when(said.rlike(turned), of(part(turned, 2), named, part(turned, 1)))
+
+
+def effective_date(text: Column) -> Column:
+    """The day on which what a text tells takes effect: the date behind 'effective' or 'with effect from', else its first date."""
+    marked = rf"(?i:effective|with effect)(?: (?:from|as of|on))? ({_ANY_DATE})"
+    said = F.coalesce(F.nullif(F.regexp_extract(text, marked, 1), F.lit("")), F.nullif(F.regexp_extract(text, f"({_ANY_DATE})", 1), F.lit("")))
+    return F.transform(F.array(said), date_in).getItem(0)  # found once, then read
+
+
+@query("effective_dates", "select o_orderkey, o_orderdate::date as effective, o_orderkey % 5 = 4 as unmarked from orders")
+def effective_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """Notices that orders give rise to, in five wordings, and the dates that are read back from them."""
+    day = F.to_date("o_orderdate")
+    spelt = lambda f: F.date_format(day, f)
+    k = F.col("o_orderkey") % 5
+    said = F.when(k == 0, F.concat(F.lit("Published 2031-01-01. New prices, effective "), spelt("yyyy-MM-dd"), F.lit("."))).when(k == 1, F.concat(F.lit("2031-01-01: with effect from "), spelt("d MMMM yyyy"), F.lit(" terms change.")))
+    said = said.when(k == 2, F.concat(F.lit("Rates are Effective as of "), spelt("MMMM d, yyyy"))).when(k == 3, F.concat(F.lit("seen 12/12/2031, effective on "), spelt("dd/MM/yyyy"))).otherwise(F.concat(F.lit("On "), spelt("d MMMM yyyy"), F.lit(" it was ordered, order 1998-99.")))
+    read = F.transform(F.array(said), effective_date).getItem(0)
+    return table(spark, sf, "orders").select("o_orderkey", read.alias("effective"), (k == 4).alias("unmarked"))
+
+
 _SIGNED = r"(?:fell|down|dropped|declined|decreased)?(?: by)? ?-?[0-9]+(?:\.[0-9]+)?(?: ?(?:%|pp\b|lakh\b|crore\b))?"
 _DOWN = "-|fell|down|dropped|declined|decreased"
 
