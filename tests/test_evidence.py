@@ -132,3 +132,24 @@ def test_evidence_weighs_what_a_document_says(spark):
     assert got == {1: (1.0, 0), 2: (0.0625, 3), 3: (0.25, 0), 4: (0.25 * 0.25 + 0.25 * 0.75 + 0.125, 1)}
     said = spark.createDataFrame([("e", "sales rose, more gain"), ("e", "not good, no gain, never"), ("e", "nothing"), ("f", "all new")], "event string, text string")
     assert {r["event"]: (r["n"], r["agreeing"], r["contradictory"]) for r in stances(said, F.col("event")).collect()} == {"e": (2, 1, True), "f": (1, 1, False)}
+
+
+def test_names_are_linked_however_they_are_spelt(spark):
+    """All pairs by brute force, over random names with edits anywhere."""
+    import random
+
+    rng = random.Random(5)
+    names = {"".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 18))) for _ in range(120)}
+
+    def spoilt(x):
+        x = list(x)
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randint(0, len(x))
+            x[k : k + rng.randint(0, 1)] = rng.choice(["", "z", "q"])
+        return "".join(x)
+
+    other = {spoilt(x) for x in names} | {"", "ab", "ba"}
+    left, right = spark.createDataFrame([(x,) for x in names], "a string"), spark.createDataFrame([(x,) for x in other], "b string")
+    for least in (0.6, 0.75, 0.9):
+        pairs = left.crossJoin(right).withColumn("score", F.round(1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"), F.lit(1)), 6)).where(F.col("score") >= least)
+        assert sorted(map(tuple, evidence.similar_names(left, right, least).collect())) == sorted(map(tuple, pairs.collect()))

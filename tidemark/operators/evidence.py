@@ -329,22 +329,46 @@ def verify_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return c.withColumn("lost", lost).select("id", F.size(numbers(F.get("said", F.lit(0)))).alias("n_numbers"), F.get("lost", F.lit(0)).alias("unmatched"), F.array_position("lost", 0).cast("int").alias("draft"))
 
 
-_FEED = "p_name || '  ' || upper(replace(p_brand, '#', ' no '))"
+#: A feed that spells products in its own way: a letter is missing, brands are in capitals, spaces are doubled.
+_FEED = "substr(p_name, 1, 1) || substr(p_name, 3) || '  ' || upper(replace(p_brand, '#', ' no '))"
+#: Least similarity of a link.
+LINKED = 0.7
 
 
-@query("fuzzy_link", f"with b as (select p_name as first, {_FEED} as name, min(p_partkey) as other from part group by all), n as (select distinct p_name, p_brand, p_name || ' ' || p_brand as name from part), s as (select n.p_name, n.p_brand, other, round(1 - levenshtein(lower(n.name), lower(b.name))::double / greatest(length(n.name), length(b.name)), 6) as score from n join b on n.p_name = b.first), k as (select p_name, p_brand, arg_max(other, (score, -other)) as linked, max(score) as score from s group by all) select p_partkey, linked, score, score >= 0.75 as sure from part join k using (p_name, p_brand)")
+def similar_names(left: DataFrame, right: DataFrame, least: float = LINKED) -> DataFrame:
+    """a, b, score of all pairs of names whose edit similarity is ``least`` or more. left: a; right: b; distinct, in lower case.
+
+    An edit changes two of a name's pairs of letters at most, so similar names share one of the rarest of these: of 2 k + 1 of
+    each, where k edits are the most that its length and ``least`` allow. Names of other lengths are left out by the join.
+    """
+    pairs = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(2))))
+    sides = left.select(F.lit(0).alias("side"), F.col("a").alias("name")).union(right.select(F.lit(1), "b"))
+    each = written(sides.select("side", "name", F.length("name").alias("n"), F.explode(pairs(F.col("name"))).alias("g")), "letter-pairs")
+    df = each.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    rank = F.row_number().over(Window.partitionBy("side", "name").orderBy("df", "g"))
+    most = F.floor(F.col("n") / least * (1 - least) + 1e-9)  # the other name may be longer
+    rare = written(each.join(df, "g").withColumn("rank", rank).where(F.col("rank") <= 2 * most + 1).select("side", "name", "n", "g"), "rare-pairs")
+    one, other = (rare.where(F.col("side") == k).select("g", F.col("name").alias(x), F.col("n").alias(f"n{x}")) for k, x in enumerate("ab"))
+    near = F.abs(F.col("na") - F.col("nb")) <= (1 - least) * F.greatest("na", "nb") + 1e-9
+    met = one.join(other, "g").where(near).select("a", "b").distinct()
+    # names so short that all their pairs of letters may change share none of them
+    short = lambda df, x: df.where(F.length(x) <= 4)
+    met = met.union(short(left.select("a"), "a").join(short(right.select("b"), "b"), F.abs(F.length("a") - F.length("b")) <= 2)).distinct()
+    score = F.round(1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"), F.lit(1)), 6)
+    return met.withColumn("score", score).where(F.col("score") >= least)
+
+
+@query("fuzzy_link", f"with b as (select lower({_FEED}) as b, min(p_partkey) as other from part group by all), n as (select distinct lower(p_name || ' ' || p_brand) as a from part), s as (select a, other, round(1 - levenshtein(a, b)::double / greatest(length(a), length(b)), 6) as score from n, b), k as (select a, arg_max(other, (score, -other)) as linked, max(score) as score from s where score >= {LINKED} group by all) select p_partkey, linked, score, coalesce(score >= 0.75, false) as sure from part left join k on a = lower(p_name || ' ' || p_brand)")
 def fuzzy_link(spark: SparkSession, sf: str) -> DataFrame:
-    """The counterpart of each product in a feed that spells names in its own way, by edit distance.
+    """The counterpart of each product in a feed that spells names in its own way, by edit distance; null where none is near.
 
-    Names are compared, not rows: both sides are distinct names, blocked by the product's first words, and rows join back.
+    Distinct names are compared, not rows, and none is left out for the way it is spelt; rows join back.
     """
-    p = table(spark, sf, "part")
-    feed = p.groupBy("p_name", F.expr(_FEED).alias("name_b")).agg(F.min("p_partkey").alias("other"))
-    names = p.select("p_name", "p_brand", F.concat_ws(" ", "p_name", "p_brand").alias("name")).distinct()
-    score = F.round(1 - F.levenshtein(F.lower("name"), F.lower("name_b")) / F.greatest(F.length("name"), F.length("name_b")), 6)
-    s = names.join(feed, "p_name").select("p_name", "p_brand", "other", score.alias("s"))
-    best = s.groupBy("p_name", "p_brand").agg(F.max_by("other", F.struct("s", -F.col("other"))).alias("linked"), F.max("s").alias("score"))
-    return p.join(best, ["p_name", "p_brand"]).select("p_partkey", "linked", "score", (F.col("score") >= 0.75).alias("sure"))
+    p = table(spark, sf, "part").withColumn("a", F.lower(F.concat_ws(" ", "p_name", "p_brand")))
+    feed = written(p.groupBy(F.lower(F.expr(_FEED)).alias("b")).agg(F.min("p_partkey").alias("other")), "feed")
+    s = similar_names(p.select("a").distinct(), feed).join(feed, "b")
+    best = s.groupBy("a").agg(F.max_by("other", F.struct("score", -F.col("other"))).alias("linked"), F.max("score").alias("score"))
+    return p.join(best, "a", "left").select("p_partkey", "linked", "score", F.coalesce(F.col("score") >= 0.75, F.lit(False)).alias("sure"))
 
 
 @query("cite_or_drop", "with h as (select event_id, case when event_id % 3 = 0 then []::bigint[] when event_id % 3 = 1 then [event_id % 1500] else [event_id % 800, event_id % 1900] end as cited from events), k as (select event_id, unnest(cited) as doc_id from h) select event_id, count(*) as citations from k where doc_id in (select doc_id from documents) group by 1")
