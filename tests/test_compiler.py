@@ -64,7 +64,7 @@ def test_audit_has_every_request(spark, sf):
                 compile_measure(spark, sf, kpi, [c.dimensions[0]], session, log=log)
             except Denied:
                 pass
-        rows = log.flush().collect()  # appended, never rewritten
+        rows = log.read().collect()  # appended, never rewritten
         assert len(rows) == (n + 1) * len(CONTRACTS)
     assert all(r["outcome"] == "denied" and r["reason"] for r in rows if r["role"] == "guest")
     assert all(len(r["plan_sha256"]) == 64 and r["request"].startswith(r["kpi"]) for r in rows if r["outcome"] == "allowed")

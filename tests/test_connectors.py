@@ -67,3 +67,17 @@ def test_landing_wakes_only_dependent_measures(spark, sf, tmp_path):
     assert sorted(woken) == ["errors", "net_revenue"]
     on_landing(event_stream(spark, sf), str(tmp_path / "state"), handle).awaitTermination()
     assert len(woken) == 2  # the same files again are no news
+
+
+def test_a_run_is_on_record_stage_by_stage(spark, tmp_path):
+    """Rows, time, bytes and cost of each stage; what fails is told, and what comes after it gets no rows."""
+    from tidemark.operators.ingestion import run_stages
+
+    def broken(df):
+        raise ValueError("no")
+
+    stages = [("load", lambda _: spark.range(1000)), ("halve", lambda df: df.where("id % 2 = 0")), ("publish", broken)]
+    rows = run_stages(spark, stages, f"file://{tmp_path}/runs").orderBy("k").collect()
+    assert [(r["stage"], r["rows_in"], r["rows_out"], r["status"]) for r in rows] == [("load", 1000, 1000, "ok"), ("halve", 1000, 500, "ok"), ("publish", 500, 0, "failed: ValueError")]
+    assert all(r["ms"] > 0 and r["bytes"] > 0 and r["gb_seconds"] > 0 for r in rows[:2]) and rows[2]["bytes"] == 0
+    assert run_stages(spark, stages[:1], f"file://{tmp_path}/runs").count() == 4  # appended

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -147,8 +150,7 @@ def late_recompute(spark: SparkSession, sf: str) -> DataFrame:
 @query("run_ledger", """with b as (select count(*) as n from events), s as (select count(*) as n from (select distinct event_id from events where value between 0 and 300)), g as (select count(*) as n from (select distinct event_type, cast(ts as date) from events where value between 0 and 300))
     select 'bronze' as stage, b.n as rows_in, b.n as rows_out, 'ok' as status from b union all select 'silver', b.n, s.n, 'ok' from b, s union all select 'gold', s.n, g.n, 'ok' from s, g union all select 'publish', g.n, 0, 'failed: ValueError' from g""")
 def run_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """Stages of a run, each written, with rows in and out and how it ended; a stage that fails is on record too."""
-    path = work_dir(spark, "runs")
+    """Stages of a run with rows in and out and how each ended; a stage that fails is on record too."""
 
     def publish(df: DataFrame) -> DataFrame:
         raise ValueError("no target is declared")
@@ -159,17 +161,31 @@ def run_ledger(spark: SparkSession, sf: str) -> DataFrame:
         ("gold", lambda df: df.groupBy("event_type", F.to_date("ts").alias("d")).agg(F.sum("value").alias("v"))),
         ("publish", publish),
     ]
+    return run_stages(spark, stages, work_dir(spark, "runs")).select("stage", "rows_in", "rows_out", "status")
+
+
+_RUN = "k int, stage string, rows_in long, rows_out long, status string, ms long, bytes long, gb_seconds double"
+
+
+def run_stages(spark: SparkSession, stages: list[tuple[str, Callable[[DataFrame | None], DataFrame]]], path: str) -> DataFrame:
+    """The ledger at ``path`` after the stages, each of which gets what its predecessor wrote: rows, status, milliseconds, bytes
+    written, and what it costs in GB of these times seconds. A row is written when its stage ends, well or not."""
     df, n = None, None
     for k, (name, stage) in enumerate(stages):
+        began, size = time.perf_counter(), 0
         try:
             df = written(stage(df), f"run-{name}")
             out, status = df.count(), "ok"
+            for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+                at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                size += at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
         except ValueError as e:
             out, status = 0, f"failed: {type(e).__name__}"
-        row = [(k, name, out if n is None else n, out, status)]
-        spark.createDataFrame(row, "k int, stage string, rows_in long, rows_out long, status string").write.mode("append").parquet(path)
+        ms = int(1000 * (time.perf_counter() - began))
+        row = [(k, name, out if n is None else n, out, status, ms, size, round(size / 1e9 * ms / 1000, 9))]
+        spark.createDataFrame(row, _RUN).write.mode("append").parquet(path)
         n = out
-    return spark.read.schema("k int, stage string, rows_in long, rows_out long, status string").parquet(path).drop("k")
+    return spark.read.schema(_RUN).parquet(path)
 
 
 @query("freshness_status", "select event_type, max(ts) as last_ts, case when date_diff('second', max(ts), timestamp '2024-01-31 00:00:00') / 3600.0 <= 0.5 then 'green' when date_diff('second', max(ts), timestamp '2024-01-31 00:00:00') / 3600.0 <= 1 then 'amber' else 'red' end as status from events group by 1")

@@ -32,16 +32,16 @@ class AuditLog:
     SCHEMA = "n int, user string, role string, kpi string, outcome string, reason string, request string, plan_sha256 string"
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
-        self.spark, self.path, self.rows = spark, path or work_dir(spark, "audit"), []
+        self.spark, self.path, self.n = spark, path or work_dir(spark, "audit"), 0
 
     def note(self, session: Session, kpi: str, outcome: str, reason: str, request: str) -> None:
-        self.rows.append((len(self.rows), session.user, session.role, kpi, outcome, reason, request, hashlib.sha256(request.encode()).hexdigest()))
+        """Write a row at once: what was asked for stays on record though the driver dies before it is answered."""
+        row = (self.n, session.user, session.role, kpi, outcome, reason, request, hashlib.sha256(request.encode()).hexdigest())
+        self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("append").partitionBy("outcome").parquet(self.path)
+        self.n += 1
 
-    def flush(self) -> DataFrame:
-        """Append what was noted since, and read the whole log."""
-        if self.rows:
-            self.spark.createDataFrame(self.rows, self.SCHEMA).write.mode("append").partitionBy("outcome").parquet(self.path)
-            self.rows = []
+    def read(self) -> DataFrame:
+        """The whole log."""
         return self.spark.read.schema(self.SCHEMA).parquet(self.path)
 
 
