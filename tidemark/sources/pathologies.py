@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.rng import uniform
+from tidemark.operators.evidence import pii_mask
 from tidemark.registry import query
+from tidemark.session import written
 from tidemark.sources.tables import table
 
 Transform = Callable[[DataFrame], DataFrame]
@@ -213,6 +215,103 @@ def find_low_coverage(df: DataFrame) -> DataFrame:
     return low.select(F.when(F.col("k") >= 5, F.col("k")).otherwise(0).alias("found"))
 
 
+def weekly_cadence(df: DataFrame) -> DataFrame:
+    """One member comes in one batch a week, on its Monday."""
+    monday = F.date_format(F.trunc("d", "week"), "yyyyMMdd")
+    return df.withColumn("batch_id", F.when(F.col("event_type") == "signup", monday).otherwise(F.col("batch_id")))
+
+
+def weekly_grain(df: DataFrame) -> DataFrame:
+    """One member comes as a total a week."""
+    week = df.where("event_type = 'view'").groupBy(F.trunc("d", "week").alias("d"), "event_type").agg(F.min("event_id").alias("event_id"), F.sum("value").alias("value"), F.min("batch_id").alias("batch_id"), F.min("ts").alias("ts"))
+    return df.where("event_type <> 'view'").unionByName(week.select(*df.columns))
+
+
+def misspelt_members(df: DataFrame) -> DataFrame:
+    return df.withColumn("event_type", F.when(uniform("spelt", "event_id") < 0.02, F.concat(F.substring("event_type", 1, 2), F.substring(F.col("event_type"), F.lit(4), F.lit(50)))).otherwise(F.col("event_type")))
+
+
+def sparse_launch(df: DataFrame) -> DataFrame:
+    """A new member in the last days, like another one."""
+    return df.unionByName(df.where((F.col("event_type") == "click") & (F.col("d") >= _day("2024-01-25"))).withColumn("event_type", F.lit("launched")))
+
+
+def collinear_drivers(df: DataFrame) -> DataFrame:
+    """A member whose every day is another one's, but for a factor."""
+    return df.where("event_type <> 'view'").unionByName(df.where("event_type = 'click'").withColumns({"event_type": F.lit("view"), "value": F.col("value") * 1.7}))
+
+
+def reversed_mix(df: DataFrame) -> DataFrame:
+    """From the middle on every member's values fall, but the dear one sells five times as often: the mean of all rises."""
+    late = F.col("d") >= _day("2024-01-16")
+    fall = df.withColumn("value", F.when(late, F.col("value") * 0.9).otherwise(F.col("value")) * F.when(F.col("event_type") == "purchase", 20).otherwise(1))
+    return fall.withColumn("k", F.explode(F.when(late & (F.col("event_type") == "purchase"), F.sequence(F.lit(1), F.lit(5))).otherwise(F.array(F.lit(1))))).drop("k")
+
+
+def find_slow_cadence(df: DataFrame) -> DataFrame:
+    """Members whose batches hold several days."""
+    b = df.groupBy("event_type", "batch_id").agg(F.count_distinct("d").alias("days"))
+    return _count(b.groupBy("event_type").agg(F.median("days").alias("days")).where("days > 3"))
+
+
+def find_coarse_grain(df: DataFrame) -> DataFrame:
+    """Members with rows on Mondays alone, over two weeks or more."""
+    w = df.groupBy("event_type").agg(F.bool_and(F.weekday("d") == 0).alias("mondays"), F.count_distinct("d").alias("n"))
+    return _count(w.where("mondays and n >= 3"))
+
+
+def find_misspelt(df: DataFrame) -> DataFrame:
+    """Rare members that are an edit or two away from a frequent one."""
+    n = df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    total = n.agg(F.sum("n").alias("total"))  # one row
+    often, rare = n.crossJoin(total).where("n > 0.05 * total").select(F.col("event_type").alias("known")), n.crossJoin(total).where("n <= 0.05 * total").select("event_type")
+    return _count(rare.join(often, F.levenshtein("event_type", "known").between(1, 2)).select("event_type").distinct())
+
+
+def find_launch(df: DataFrame) -> DataFrame:
+    """Members that begin in the feed's last third."""
+    m = df.groupBy("event_type").agg(F.min("d").alias("first"))
+    return _count(m.crossJoin(df.agg(F.min("d").alias("low"), F.max("d").alias("high"))).where("datediff(first, low) > 2 * datediff(high, low) / 3"))
+
+
+def find_collinear(df: DataFrame) -> DataFrame:
+    """Pairs of members whose daily totals move as one."""
+    t = df.groupBy("event_type", "d").agg(F.sum("value").alias("v"))
+    pairs = t.join(t.select("d", F.col("event_type").alias("other"), F.col("v").alias("w")), "d").where("event_type < other")  # a few members
+    return _count(pairs.groupBy("event_type", "other").agg(F.corr("v", "w").alias("r")).where("r > 0.98"))
+
+
+def find_reversal(df: DataFrame) -> DataFrame:
+    """1 if every member's mean moved against the mean of all between the halves."""
+    late = F.col("d") >= _day("2024-01-16")
+    step = F.avg(F.when(late, F.col("value"))) - F.avg(F.when(~late, F.col("value")))
+    members = df.groupBy("event_type").agg(step.alias("own"))
+    return members.crossJoin(df.agg(step.alias("whole"))).agg(F.bool_and(F.signum("own") * F.signum("whole") < 0).cast("long").alias("found"))
+
+
+def stories(spark: SparkSession, sf: str) -> DataFrame:
+    """A clean corpus: doc_id, source, text; each text once, personal data masked."""
+    d = table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("t")).agg(F.min_by(F.struct("doc_id", "source", "text"), "doc_id").alias("x")).select("x.*")
+    return d.withColumn("text", pii_mask(F.col("text")))
+
+
+def syndicated(df: DataFrame) -> DataFrame:
+    return df.unionByName(df.where(uniform("copy", "doc_id") < 0.05).withColumns({"source": F.lit("agency"), "doc_id": F.col("doc_id") + 10_000_000}))
+
+
+def personal_data(df: DataFrame) -> DataFrame:
+    said = F.concat("text", F.lit(" write to jo.doe@example.org or call +49 170 5557713"))
+    return df.withColumn("text", F.when(uniform("pii", "doc_id") < 0.05, said).otherwise(F.col("text")))
+
+
+def find_syndicated(df: DataFrame) -> DataFrame:
+    return _count(df.groupBy(F.sha2("text", 256)).agg(F.count_distinct("source").alias("n")).where("n > 1"))
+
+
+def find_personal(df: DataFrame) -> DataFrame:
+    return _count(df.where(pii_mask(F.col("text")) != F.col("text")))
+
+
 CATALOGUE: dict[str, tuple[Transform, Transform]] = {
     "duplicate_batch": (duplicate_batch, find_duplicate_batches),
     "copied_rows": (copied_rows, find_copied_rows),
@@ -233,14 +332,23 @@ CATALOGUE: dict[str, tuple[Transform, Transform]] = {
     "intermittent": (intermittent, find_intermittent),
     "moved_member": (moved_member, find_moved),
     "partial_coverage": (partial_coverage, find_low_coverage),
+    "weekly_cadence": (weekly_cadence, find_slow_cadence),
+    "weekly_grain": (weekly_grain, find_coarse_grain),
+    "misspelt_members": (misspelt_members, find_misspelt),
+    "sparse_launch": (sparse_launch, find_launch),
+    "collinear_drivers": (collinear_drivers, find_collinear),
+    "reversed_mix": (reversed_mix, find_reversal),
 }
+#: Those of a corpus.
+TEXTS: dict[str, tuple[Transform, Transform]] = {"syndicated": (syndicated, find_syndicated), "personal_data": (personal_data, find_personal)}
 
 
 @query("pathology_report")
 def pathology_report(spark: SparkSession, sf: str) -> DataFrame:
     """What each detector finds in the clean feed and in the damaged one."""
-    clean, out = feed(spark, sf), None
-    for name, (inject, find) in CATALOGUE.items():
+    out, events, texts = None, feed(spark, sf), written(stories(spark, sf), "stories")
+    for name, (inject, find) in {**CATALOGUE, **TEXTS}.items():
+        clean = texts if name in TEXTS else events
         for kind, df in (("clean", clean), ("damaged", inject(clean))):
             row = find(df).select(F.lit(name).alias("defect"), F.lit(kind).alias("feed"), F.col("found").cast("long").alias("found"))
             out = row if out is None else out.unionByName(row)
