@@ -232,10 +232,17 @@ def prior_update(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("category", F.round(F.expr("(50000 / pow(2000, 2) + m / (se * se)) / (1 / pow(2000, 2) + 1 / (se * se))"), 3).alias("mean"), F.round(F.expr("sqrt(1 / (1 / pow(2000, 2) + 1 / (se * se)))"), 4).alias("sd"))
 
 
-@query("semantic_cache", "with r as (select event_id, md5(event_type || '|' || user_id || '|' || cast(ts as date)) as key from events) select key, min(event_id) as computed_by, count(*) - 1 as hits from r group by key")
+#: From this day on a changed contract is in force.
+_CHANGED = "2024-01-16"
+
+
+@query("semantic_cache", f"with r as (select event_id, md5(concat_ws('|', event_type, user_id, date_trunc('week', ts)::date - 1, case when ts::date >= date '{_CHANGED}' then 2 else 1 end)) as key from events) select key, min(event_id) as computed_by, count(*) - 1 as hits from r group by key")
 def semantic_cache(spark: SparkSession, sf: str) -> DataFrame:
-    """Requests with one intent and watermark are computed once and served again."""
-    key = F.md5(F.concat_ws("|", "event_type", F.col("user_id").cast("string"), F.to_date("ts").cast("string")))
+    """Requests of one intent, data watermark (the last whole week) and contract version are computed once and served again;
+    a watermark that moves or a contract that changes makes a new key."""
+    week = F.date_sub(F.to_date(F.date_trunc("week", "ts")), 1)
+    version = F.when(F.to_date("ts") >= F.lit(_CHANGED).cast("date"), 2).otherwise(1)
+    key = F.md5(F.concat_ws("|", "event_type", F.col("user_id").cast("string"), week.cast("string"), version.cast("string")))
     return table(spark, sf, "events").groupBy(key.alias("key")).agg(F.min("event_id").alias("computed_by"), (F.count(F.lit(1)) - 1).alias("hits"))
 
 
