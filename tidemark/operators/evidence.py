@@ -330,9 +330,10 @@ def verify_numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: A feed that spells products in its own way: a letter is missing, brands are in capitals, spaces are doubled.
-_FEED = "substr(p_name, 1, 1) || substr(p_name, 3) || '  ' || upper(replace(p_brand, '#', ' no '))"
-#: Least similarity of a link.
-LINKED = 0.7
+_FEED = "substr(p_name, 1, 1) || substr(p_name, 3) || '  ' || upper(replace(p_brand, '#', '-'))"
+#: Least similarity of a link, and names in one form: lower case, a space for all that is no letter or digit.
+LINKED = 0.8
+_PLAIN = "regexp_replace(lower({0}), '[^a-z0-9]+', ' '{1})"
 
 
 def similar_names(left: DataFrame, right: DataFrame, least: float = LINKED) -> DataFrame:
@@ -358,17 +359,17 @@ def similar_names(left: DataFrame, right: DataFrame, least: float = LINKED) -> D
     return met.withColumn("score", score).where(F.col("score") >= least)
 
 
-@query("fuzzy_link", f"with b as (select lower({_FEED}) as b, min(p_partkey) as other from part group by all), n as (select distinct lower(p_name || ' ' || p_brand) as a from part), s as (select a, other, round(1 - levenshtein(a, b)::double / greatest(length(a), length(b)), 6) as score from n, b), k as (select a, arg_max(other, (score, -other)) as linked, max(score) as score from s where score >= {LINKED} group by all) select p_partkey, linked, score, coalesce(score >= 0.75, false) as sure from part left join k on a = lower(p_name || ' ' || p_brand)")
+@query("fuzzy_link", f"with p as (select *, {_PLAIN.format("p_name || ' ' || p_brand", ", 'g'")} as a from part), b as (select {_PLAIN.format(_FEED, ", 'g'")} as b, min(p_partkey) as other from part group by all), n as (select distinct a from p), s as (select a, other, round(1 - levenshtein(a, b)::double / greatest(length(a), length(b)), 6) as score from n, b), k as (select a, arg_max(other, (score, -other)) as linked, max(score) as score from s where score >= {LINKED} group by all) select p_partkey, linked, score, coalesce(score >= 0.9, false) as sure from p left join k using (a)")
 def fuzzy_link(spark: SparkSession, sf: str) -> DataFrame:
     """The counterpart of each product in a feed that spells names in its own way, by edit distance; null where none is near.
 
     Distinct names are compared, not rows, and none is left out for the way it is spelt; rows join back.
     """
-    p = table(spark, sf, "part").withColumn("a", F.lower(F.concat_ws(" ", "p_name", "p_brand")))
-    feed = written(p.groupBy(F.lower(F.expr(_FEED)).alias("b")).agg(F.min("p_partkey").alias("other")), "feed")
+    p = table(spark, sf, "part").withColumn("a", F.expr(_PLAIN.format("p_name || ' ' || p_brand", "")))
+    feed = written(p.groupBy(F.expr(_PLAIN.format(_FEED, "")).alias("b")).agg(F.min("p_partkey").alias("other")), "feed")
     s = similar_names(p.select("a").distinct(), feed).join(feed, "b")
     best = s.groupBy("a").agg(F.max_by("other", F.struct("score", -F.col("other"))).alias("linked"), F.max("score").alias("score"))
-    return p.join(best, "a", "left").select("p_partkey", "linked", "score", F.coalesce(F.col("score") >= 0.75, F.lit(False)).alias("sure"))
+    return p.join(best, "a", "left").select("p_partkey", "linked", "score", F.coalesce(F.col("score") >= 0.9, F.lit(False)).alias("sure"))
 
 
 @query("cite_or_drop", "with h as (select event_id, case when event_id % 3 = 0 then []::bigint[] when event_id % 3 = 1 then [event_id % 1500] else [event_id % 800, event_id % 1900] end as cited from events), k as (select event_id, unnest(cited) as doc_id from h) select event_id, count(*) as citations from k where doc_id in (select doc_id from documents) group by 1")
