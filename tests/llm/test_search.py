@@ -233,10 +233,7 @@ def test_vectors_recall_at_the_limit(spark):
 
 def test_bits_never_exceed_edits(spark):
     """Pairs that the bitmaps drop have more edits than allowed; of unlike pairs they drop nearly all."""
-    import pyarrow as pa
-
     from tidemark.llm import nearcopies as N
-    from tidemark.llm import tokens
 
     rng = random.Random(7)
     base = [f"w{rng.randint(0, 400)}" for _ in range(150)]
@@ -245,14 +242,12 @@ def test_bits_never_exceed_edits(spark):
         for _ in range(3):
             texts.append([w if rng.random() > share else f"v{rng.randint(0, 10**6)}" for w in base][: rng.randint(120, 150)])
     texts += [["x"] * 50, ["x"] * 45 + ["y"] * 5, ["x"] * 30, []]
-    w = tokens.split(pa.array([" ".join(t) for t in texts]))
-    bits = N.word_sets(w)
-    rows = [(i, len(t), [int(b) for b in bits[i]]) for i, t in enumerate(texts)]
+    ids = {}
+    seqs = [np.array([ids.setdefault(x, len(ids)) for x in t], dtype=np.int32) for t in texts]
+    rows = [(i, len(t), [int(b) for b in N.word_set(N.label(t))]) for i, t in enumerate(seqs)]
     df = spark.createDataFrame(rows, "i int, n int, w array<long>")
     side = lambda x: df.select(F.col("i").alias(x), F.col("n").alias(f"n{x}"), F.col("w").alias(f"w{x}"))
     kept = {(r["a"], r["b"]) for r in side("a").join(side("b"), F.col("a") < F.col("b")).where(N._may_be_near("a", "b")).collect()}
-    ids = {}
-    seqs = [np.array([ids.setdefault(x, len(ids)) for x in t], dtype=np.int32) for t in texts]
     for a in range(len(texts)):
         for b in range(a + 1, len(texts)):
             longest = max(len(seqs[a]), len(seqs[b]), 1)

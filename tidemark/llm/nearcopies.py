@@ -11,9 +11,9 @@ classes of larger entries (a passage that many texts share) are paired where the
 common. That loses no pair: similar texts share all but a fifth of the longer one's words, so in any order of words
 the first fifth of one and of the other, and one word more, meet. Linked classes are joined by connected components.
 
-Each text has a bitmap of its words, labelled with how often they occurred before. A bit that one text has and the other
-lacks stands for a word more of the one, and so for an edit: pairs with more such bits than edits allowed are dropped in
-the joins that make them, before any word is read.
+The texts of such entries get bitmaps of their words, labelled with how often they occurred before. A bit that one text
+has and the other lacks stands for a word more of the one, and so for an edit: pairs with more such bits than edits allowed
+are dropped in the join that makes them, before they are aligned.
 
 Very long pairs are first aligned at the runs of ``RUN`` words that are once in each of them and in one order in both,
 with exact alignments between these, which bounds their edits from above. Where the bound is small enough the pair is
@@ -84,15 +84,6 @@ def _labels(h: np.ndarray, of: np.ndarray) -> np.ndarray:
     return label
 
 
-def word_sets(w: tokens.Words) -> np.ndarray:
-    """The bitmap of the labelled words of each text, a text a row."""
-    of = w.of
-    place = tokens.scramble(w.hash + _labels(w.hash, of) * np.uint64(tokens.GOLDEN)) % np.uint64(64 * SET_WORDS)
-    bits = np.zeros((len(w.first) - 1, 64 * SET_WORDS), dtype=bool)
-    bits[of, place.astype(np.int64)] = True
-    return np.packbits(bits, axis=1, bitorder="little").view("<i8")
-
-
 def sketch(w: tokens.Words) -> tuple[np.ndarray, np.ndarray]:
     """Entries of the sketches of the texts that have words, one text a row, and which texts those are."""
     values, first = _shingles(w)
@@ -129,8 +120,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.zeros(batch.num_rows + 1, dtype=np.int32)
         sizes[texts + 1] = TABLES
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(entries.reshape(-1).view(np.int64)))
-        sets = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * SET_WORDS), pa.array(word_sets(w).ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t1"), batch.column("t2"), pa.array(w.counts.astype(np.int32)), lists, sets], ["doc_id", "t1", "t2", "n_words", "entries", "bits"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t1"), batch.column("t2"), pa.array(w.counts.astype(np.int32)), lists], ["doc_id", "t1", "t2", "n_words", "entries"])
 
 
 def _members(classes: DataFrame) -> DataFrame:
@@ -156,42 +146,58 @@ def _candidates(members: DataFrame) -> DataFrame:
     return star.union(chain).distinct()
 
 
+def _similar_lengths(na: str, nb: str) -> Column:
+    longest = F.greatest(na, nb)
+    return longest - F.least(na, nb) <= F.floor(longest * (1 - SIMILARITY) + 1e-9)
+
+
 def _may_be_near(one: str, other: str) -> Column:
     """By numbers of words (n...) and bitmaps (w...) alone: whether a pair can have so few edits as it must."""
     na, nb, a, b = (F.col(c + x) for c in "nw" for x in (one, other))
-    longest = F.greatest(na, nb)
-    most = F.floor(longest * (1 - SIMILARITY) + 1e-9)
-    lacks = lambda x, y: reduce(lambda s, k: s + F.bit_count(F.get(x, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(k))))), range(1, SET_WORDS), F.bit_count(F.get(x, F.lit(0)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(0))))))
-    return (longest - F.least(na, nb) <= most) & (lacks(a, b) <= most) & (lacks(b, a) <= most)
+    most = F.floor(F.greatest(na, nb) * (1 - SIMILARITY) + 1e-9)
+    lacks = lambda x, y: reduce(lambda s, t: s + t, [F.bit_count(F.get(x, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(k))))) for k in range(SET_WORDS)])
+    return _similar_lengths(f"n{one}", f"n{other}") & (lacks(a, b) <= most) & (lacks(b, a) <= most)
 
 
-def _by_rare_words(words: DataFrame, sets: DataFrame) -> DataFrame:
-    """cid, root, n_words, words; cid, bits -> a, b: classes of unlike roots that share one of their rarest words and may be near.
+def _by_rare_words(words: DataFrame) -> DataFrame:
+    """cid, root, n_words, words -> a, b: classes of unlike roots that share one of their rarest words and may be near.
 
     Words are labelled with how often they occurred before, and ordered by the number of roots that have them.
     """
-    each = materialize(words.mapInArrow(_labelled, "cid long, root long, n_words int, words array<long>").select("cid", "root", "n_words", F.explode("words").alias("word")), "labelled")
+    labelled = materialize(words.mapInArrow(_labelled, "cid long, root long, n_words int, words array<long>, bits array<long>"), "labelled")
+    each = labelled.select("cid", "root", "n_words", F.explode("words").alias("word"))
     spread = materialize(each.select("word", "root").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("roots")), "spread")
     rank = F.row_number().over(Window.partitionBy("cid").orderBy("roots", "word"))
     rarest = each.join(spread, "word").withColumn("rank", rank).where(F.col("rank") <= F.floor(F.col("n_words") * (1 - SIMILARITY) + 1e-9) + 1)
-    rarest = materialize(rarest.where("roots > 1").select("cid", "root", "n_words", "word").join(sets, "cid"), "rarest")
+    rarest = rarest.where("roots > 1").groupBy("cid").agg(F.collect_list("word").alias("rare"))  # a fifth of a text's words
+    rarest = materialize(rarest.join(labelled.select("cid", "root", "n_words", "bits"), "cid"), "rarest").withColumn("word", F.explode("rare"))
     one, other = (rarest.select("word", F.col("cid").alias(x), F.col("root").alias(f"r{x}"), F.col("n_words").alias(f"n{x}"), F.col("bits").alias(f"w{x}")) for x in "ab")
     return one.join(other, "word").where("a < b and ra <> rb").where(_may_be_near("a", "b")).select("a", "b").distinct()
 
 
+def label(words: np.ndarray) -> np.ndarray:
+    """The 31-bit hashes of a text's words, each with how often it occurred before, in another order."""
+    w = np.sort(words.astype(np.int64), kind="stable")
+    index = np.arange(len(w))
+    new = np.r_[True, w[1:] != w[:-1]] if len(w) else np.zeros(0, dtype=bool)
+    return w << 32 | (index - np.maximum.accumulate(np.where(new, index, 0)))
+
+
+def word_set(labelled: np.ndarray) -> np.ndarray:
+    """The bitmap of a text's labelled words."""
+    bits = np.zeros(64 * SET_WORDS, dtype=bool)
+    bits[(tokens.scramble(labelled.view(np.uint64)) % np.uint64(len(bits))).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lists = []
-        for x in batch.column("words"):
-            w = x.values.to_numpy().astype(np.int64)
-            order = np.argsort(w, kind="stable")
-            index = np.arange(len(w))
-            new = np.r_[True, w[order][1:] != w[order][:-1]] if len(w) else np.zeros(0, dtype=bool)
-            label = index - np.maximum.accumulate(np.where(new, index, 0))
-            lists.append(pa.array(w[order] << 32 | label, pa.int64()))
+        lists = [label(x.values.to_numpy()) for x in batch.column("words")]
         first = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
-        out = pa.ListArray.from_arrays(pa.array(first), pa.concat_arrays(lists) if lists else pa.array([], pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("root"), batch.column("n_words"), out], ["cid", "root", "n_words", "words"])
+        words = pa.ListArray.from_arrays(pa.array(first), pa.array(np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64)))
+        sets = np.array([word_set(x) for x in lists], dtype=np.int64).ravel()
+        bits = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * SET_WORDS), pa.array(sets))
+        yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("root"), batch.column("n_words"), words, bits], ["cid", "root", "n_words", "words", "bits"])
 
 
 def _word_lists(bits: bytes):
@@ -373,18 +379,18 @@ def _unsettled(members: DataFrame, links: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """u, v, similarity: classes whose texts are near copies; those that share an entry are linked or joined by links.
 
-    docs: text, t1, t2; classes: cid, t1, t2, n_words, entries, bits, for each distinct text.
+    docs: text, t1, t2; classes: cid, t1, t2, n_words, entries, for each distinct text.
     """
     members = _members(classes)
-    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n_words").alias(f"n{x}"), F.col("bits").alias(f"w{x}"))
-    alike = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(_may_be_near("a", "b")).select("a", "b")
+    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n_words").alias(f"n{x}"))
+    alike = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(_similar_lengths("na", "nb")).select("a", "b")
     pairs = materialize(alike(_candidates(members)), "pairs")
     links = _near(docs, classes, pairs)
     rest = _unsettled(members, links)
     one, other = (rest.where(F.col("n") <= FEW).select("entry", F.col("cid").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
     few = alike(one.join(other, "entry").where("a < b and ra <> rb").select("a", "b").distinct())
     hot = materialize(rest.where(F.col("n") > FEW).select("cid", "root").distinct().join(classes.select("cid", "t1", "t2", "n_words"), "cid"), "hot")
-    many = _by_rare_words(_words_of(docs, hot.select("cid", "t1", "t2")).join(hot.select("cid", "root", "n_words"), "cid").select("cid", "root", "n_words", "words"), classes.select("cid", "bits"))
+    many = _by_rare_words(_words_of(docs, hot.select("cid", "t1", "t2")).join(hot.select("cid", "root", "n_words"), "cid").select("cid", "root", "n_words", "words"))
     more = materialize(few.union(many).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     return links.union(_near(docs, classes, more))
 
@@ -394,8 +400,8 @@ def near_copies(df: DataFrame, ident: str = "doc_id", text: str = "text") -> Dat
     docs = df.select(F.col(f"`{ident}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     docs = docs.select("doc_id", "text", *text_key(F.col("text")))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    base = materialize(docs.mapInArrow(_sketches, f"doc_id {kind}, t1 long, t2 long, n_words int, entries array<long>, bits array<long>"), "sketches")
-    classes = base.groupBy("t1", "t2").agg(F.first("n_words").alias("n_words"), F.first("entries").alias("entries"), F.first("bits").alias("bits"))
+    base = materialize(docs.mapInArrow(_sketches, f"doc_id {kind}, t1 long, t2 long, n_words int, entries array<long>"), "sketches")
+    classes = base.groupBy("t1", "t2").agg(F.first("n_words").alias("n_words"), F.first("entries").alias("entries"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     roots = components(near_links(docs, classes).select("u", "v"))
     named = classes.select("cid", "t1", "t2").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("t1", "t2", F.coalesce("root", "cid").alias("root"))
