@@ -244,8 +244,11 @@ def entailment_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("adaptation_route", f"{FACTS}, s as (select sku, count(distinct d) as n_days, count(distinct region) as regions, stddev(units) / avg(units) as cv from sales group by 1), l as (select date_diff('day', min(d), max(d)) + 1 as len from sales) select sku, case when n_days < 28 then 'pooled_launch' when n_days / len < 0.02 then 'croston_tsb' when regions < 2 then 'correlated_kpis' when cv > 0.6 then 'poisson_bands' else 'mstl' end as operator from s, l")
 def adaptation_route(spark: SparkSession, sf: str) -> DataFrame:
-    """Which baseline a product's data can bear."""
-    s = sales(spark, sf).groupBy("sku").agg(F.count_distinct("d").alias("n"), F.count_distinct("region").alias("regions"), (F.stddev("units") / F.avg("units")).alias("cv"))
-    s = s.crossJoin(sales(spark, sf).agg((F.datediff(F.max("d"), F.min("d")) + 1).alias("len")))  # one row
+    """Which baseline a product's data can bear: one pass over the sales, whose days and regions are sets by product."""
+    days, regions = F.size(F.collect_set("d")), F.size(F.collect_set("region"))
+    lines = sales(spark, sf).select("sku", "d", "region", "units").repartition("sku")  # lines travel as they are, not as sets of one line each
+    s = lines.groupBy("sku").agg(days.alias("n"), regions.alias("regions"), (F.stddev("units") / F.avg("units")).alias("cv"), F.min("d").alias("first"), F.max("d").alias("last"))
+    s = written(s, "products")
+    s = s.crossJoin(s.agg((F.datediff(F.max("last"), F.min("first")) + 1).alias("len")))  # one row
     operator = F.when(F.col("n") < 28, "pooled_launch").when(F.col("n") / F.col("len") < 0.02, "croston_tsb").when(F.col("regions") < 2, "correlated_kpis").when(F.col("cv") > 0.6, "poisson_bands").otherwise("mstl")
     return s.select("sku", operator.alias("operator"))
