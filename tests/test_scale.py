@@ -18,3 +18,14 @@ def counted(monkeypatch, module, name):
 def test_route_reads_sales_once(spark, sf, monkeypatch):
     calls = counted(monkeypatch, decisions, "sales")
     assert decisions.adaptation_route(spark, sf).count() and len(calls) == 1
+
+
+def test_lines_are_joined_by_order_and_by_product_alone(spark, sf):
+    def joins(node, above=0):
+        above += node.nodeName() == "Join"
+        children = [node.children().apply(k) for k in range(node.children().size())]
+        if not children:
+            return [above] if "l_orderkey" in node.toString() else []
+        return [n for c in children for n in joins(c, above)]
+
+    assert joins(tables.sales(spark, sf)._jdf.queryExecution().optimizedPlan()) == [2]
