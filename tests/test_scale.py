@@ -29,3 +29,8 @@ def test_lines_are_joined_by_order_and_by_product_alone(spark, sf):
         return [n for c in children for n in joins(c, above)]
 
     assert joins(tables.sales(spark, sf)._jdf.queryExecution().optimizedPlan()) == [2]
+
+
+def test_sources_are_projected_from_one_pass(spark, sf, monkeypatch):
+    sold, sent = counted(monkeypatch, kpi, "sales"), counted(monkeypatch, kpi, "fulfilment")
+    assert kpi.project_sources(spark, sf).count() == 11 and len(sold) == len(sent) == 1
