@@ -34,3 +34,15 @@ def test_lines_are_joined_by_order_and_by_product_alone(spark, sf):
 def test_sources_are_projected_from_one_pass(spark, sf, monkeypatch):
     sold, sent = counted(monkeypatch, kpi, "sales"), counted(monkeypatch, kpi, "fulfilment")
     assert kpi.project_sources(spark, sf).count() == 11 and len(sold) == len(sent) == 1
+
+
+def test_products_are_smoothed_in_batches(spark, sf, monkeypatch):
+    assert "InPandas" not in decisions.croston_tsb(spark, sf)._jdf.queryExecution().toString()
+    monkeypatch.setattr(stats, "CELLS", 64)  # several products at once, and one alone
+    rng = np.random.default_rng(3)
+    months = [sorted(rng.choice(np.arange(-5, 40), rng.integers(1, 30), replace=False).tolist()) for _ in range(60)]
+    units = [[float(x) for x in rng.integers(0, 90, len(m))] for m in months]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(months, pa.list_(pa.int32())), pa.array(units)], ["sku", "t", "units"])
+    got = [r for b in stats.tsb_batches(iter([batch, batch.slice(7, 20), batch.slice(0, 0)])) for r in b.to_pylist()]
+    want = [stats.tsb(pd.DataFrame({"sku": k, "t": m, "units": u})).iloc[0].to_dict() for k, (m, u) in enumerate(zip(months, units, strict=True))]
+    assert got == want + want[7:27]

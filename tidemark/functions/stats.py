@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 
 def mahalanobis(frame: pd.DataFrame) -> pd.DataFrame:
@@ -218,3 +221,32 @@ def tsb(frame: pd.DataFrame) -> pd.DataFrame:
         else:
             chance -= CHANCE * chance
     return pd.DataFrame({"sku": [frame["sku"].iloc[0]], "chance": [round(chance, 6)], "size": [round(size, 6)], "forecast": [round(chance * size, 6)]})
+
+
+#: Cells (products by months) that are smoothed at once.
+CELLS = 1 << 20
+
+
+def tsb_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``tsb`` of many products, each a row: sku, t (months in order) and units of these months; the same numbers."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        every = batch.column("t")
+        ends, values = every.offsets.to_numpy(), every.values.to_numpy()
+        first, last = values[ends[:-1]].astype(np.int64), values[ends[1:] - 1].astype(np.int64)
+        step = max(1, CELLS // int((last - first).max(initial=0) + 1))
+        for k in range(0, batch.num_rows, step):
+            part, low, span = batch.slice(k, step), first[k : k + step], (last - first)[k : k + step] + 1
+            months, units = part.column("t"), part.column("units")
+            n = np.diff(months.offsets.to_numpy())
+            row, t, u = np.repeat(np.arange(len(n)), n), months.flatten().to_numpy(), units.flatten().to_numpy()
+            sold, amount = np.zeros((int(span.max()), len(n)), bool), np.zeros((int(span.max()), len(n)))
+            sold[t - low[row], row], amount[t - low[row], row] = True, u
+            chance, size = n / span, np.bincount(row, u, len(n)) / n
+            for m in range(len(sold)):
+                there, now = span > m, sold[m]
+                chance = np.where(now, chance + CHANCE * (1 - chance), np.where(there, chance - CHANCE * chance, chance))
+                size = np.where(now, size + SIZE * (amount[m] - size), size)
+            columns = [[round(x, 6) for x in c.tolist()] for c in (chance, size, chance * size)]
+            yield pa.RecordBatch.from_arrays([part.column("sku"), *map(pa.array, columns)], ["sku", "chance", "size", "forecast"])

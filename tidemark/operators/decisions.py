@@ -201,8 +201,18 @@ def adstock_halflife(spark: SparkSession, sf: str) -> DataFrame:
 @query("croston_tsb")
 def croston_tsb(spark: SparkSession, sf: str) -> DataFrame:
     """Forecasts of intermittent demand by product: size and chance of a sale, smoothed apart."""
-    monthly = sales(spark, sf).groupBy("sku", F.months_between(F.trunc("d", "month"), F.lit("1995-01-01").cast("date")).cast("int").alias("t")).agg(F.sum("units").alias("units"))
-    return monthly.groupBy("sku").applyInPandas(stats.tsb, "sku long, chance double, size double, forecast double")
+    month = F.months_between(F.trunc("d", "month"), F.lit("1995-01-01").cast("date")).cast("int").alias("t")
+    return smoothed(sales(spark, sf).groupBy("sku", month).agg(F.sum("units").alias("units")))
+
+
+def smoothed(monthly: DataFrame) -> DataFrame:
+    """sku, chance, size, forecast of each product. monthly: sku, t (month), units; a row a month with sales.
+
+    A product is one row with as many values as months, and an Arrow batch of products is smoothed at once.
+    """
+    series = monthly.groupBy("sku").agg(F.sort_array(F.collect_list(F.struct("t", "units"))).alias("s"))
+    series = series.select("sku", F.col("s.t").alias("t"), F.transform("s.units", lambda u: u.cast("double")).alias("units"))
+    return series.mapInArrow(stats.tsb_batches, "sku long, chance double, size double, forecast double")
 
 
 #: Words that affirm and that deny; what a document says more of is its stance.
