@@ -46,3 +46,12 @@ def test_products_are_smoothed_in_batches(spark, sf, monkeypatch):
     got = [r for b in stats.tsb_batches(iter([batch, batch.slice(7, 20), batch.slice(0, 0)])) for r in b.to_pylist()]
     want = [stats.tsb(pd.DataFrame({"sku": k, "t": m, "units": u})).iloc[0].to_dict() for k, (m, u) in enumerate(zip(months, units, strict=True))]
     assert got == want + want[7:27]
+
+
+def test_forecasts_read_sales_twice(spark, sf, monkeypatch):
+    calls = counted(monkeypatch, decisions, "sales"), counted(monkeypatch, baselines, "sales")
+    rows = baselines.adapted_forecast(spark, sf).collect()
+    assert sum(map(len, calls)) == 2  # routes and months
+    smooth = {r["sku"]: round(r["forecast"], 4) for r in decisions.croston_tsb(spark, sf).collect()}
+    sparse = [r for r in rows if r["operator"] == "croston_tsb"]
+    assert all(abs(r["forecast"] - smooth[r["sku"]]) < 1e-9 for r in sparse)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import discover_periods
-from tidemark.operators.decisions import adaptation_route, croston_tsb
+from tidemark.operators.decisions import adaptation_route, smoothed
 from tidemark.registry import query
 from tidemark.session import written
 from tidemark.sources.tables import FACTS, sales
@@ -160,26 +160,32 @@ def pooled_launch(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("adapted_forecast")
 def adapted_forecast(spark: SparkSession, sf: str) -> DataFrame:
-    """Units of every product's next month, each by the operator that its data can bear: sku, operator, forecast, low, high."""
+    """Units of every product's next month, each by the operator that its data can bear: sku, operator, forecast, low, high.
+
+    Months without sales are only filled in for products whose series is fitted; sums over all months need none.
+    """
     route = written(adaptation_route(spark, sf), "routes")
     month = F.months_between(F.trunc("d", "month"), F.lit("1995-01-01").cast("date")).cast("int")
-    m = written(sales(spark, sf).groupBy("sku", month.alias("t")).agg(F.sum("units").alias("u")), "months")
-    ends = m.agg(F.min("t").alias("low"), F.max("t").alias("high"))  # one row
-    full = m.select("sku").distinct().crossJoin(ends).select("sku", F.explode(F.sequence("low", "high")).alias("t")).join(m, ["sku", "t"], "left").fillna(0, ["u"])
-    full = written(full.join(route, "sku"), "full-months")
-    of = lambda *names: full.where(F.col("operator").isin(*names))
+    m = written(sales(spark, sf).groupBy("sku", month.alias("t")).agg(F.coalesce(F.sum("units"), F.lit(0)).alias("u")), "months")
+    ends = m.agg(F.min("t").alias("first"), F.max("t").alias("last"))  # one row
+    routed = m.join(route, "sku")
+    exact = F.col("u").cast("decimal(18,0)")
+    sums = routed.groupBy("sku", "operator").agg(F.sum("u").alias("s"), F.sum(exact * exact).alias("q"), F.count_if(F.col("u") > 0).alias("n"), F.sum(F.when(F.col("u") > 0, F.col("u"))).alias("sold"))
+    sums = written(sums.crossJoin(ends.select((F.col("last") - F.col("first") + 1).alias("months"))).withColumn("mean", F.col("s") / F.col("months")), "product-sums")
+    of = lambda *names: sums.where(F.col("operator").isin(*names))
     bands = lambda df, mid, sd: df.select("sku", "operator", F.round(mid, 4).alias("forecast"), F.round(F.greatest(F.lit(0.0), mid - BAND * sd), 4).alias("low"), F.round(mid + BAND * sd, 4).alias("high"))
-    sparse = croston_tsb(spark, sf).join(route.where("operator = 'croston_tsb'"), "sku")
-    counts = of("poisson_bands").groupBy("sku", "operator").agg(F.avg("u").alias("mid"), F.var_samp("u").alias("v"))
-    launch = of("pooled_launch")
+    sparse = smoothed(routed.where("operator = 'croston_tsb'").select("sku", "t", F.col("u").alias("units"))).withColumn("operator", F.lit("croston_tsb"))
+    # the variance of whole numbers, from their exact sums
+    spread = (F.col("months") * F.col("q") - F.col("s").cast("decimal(18,0)") * F.col("s").cast("decimal(18,0)")).cast("double") / F.nullif(F.col("months") * (F.col("months") - 1), F.lit(0)).cast("double")
+    counts = of("poisson_bands").select("sku", "operator", F.col("mean").alias("mid"), spread.alias("v"))
     # all products are the pool; a product's own speed is its mean against theirs
-    pool = full.groupBy("sku").agg(F.avg("u").alias("mean")).agg(F.expr("percentile(mean, 0.5)").alias("mid"), F.expr("percentile(mean, 0.1)").alias("p10"), F.expr("percentile(mean, 0.9)").alias("p90"))
-    own = launch.where("u > 0").groupBy("sku", "operator").agg(F.count(F.lit(1)).alias("n"), F.avg("u").alias("mean")).crossJoin(pool)
+    pool = sums.agg(F.expr("percentile(mean, 0.5)").alias("mid"), F.expr("percentile(mean, 0.1)").alias("p10"), F.expr("percentile(mean, 0.9)").alias("p90"))
+    own = of("pooled_launch").where("n > 0").select("sku", "operator", "n", (F.col("sold") / F.col("n")).alias("mean")).crossJoin(pool)
     speed = (F.col("n") * F.col("mean") / F.nullif("mid", F.lit(0.0)) + PRIOR) / (F.col("n") + PRIOR)
     own = own.withColumn("v", speed).withColumn("wide", F.col("v") * (1 + 1 / F.sqrt("n")))
     mid = F.col("mid") * F.col("v")
     young = own.select("sku", "operator", F.round(mid, 4).alias("forecast"), F.round(F.greatest(F.lit(0.0), mid - (F.col("mid") - F.col("p10")) * F.col("wide")), 4).alias("low"), F.round(mid + (F.col("p90") - F.col("mid")) * F.col("wide"), 4).alias("high"))
-    rich = of("mstl", "correlated_kpis")
+    rich = of("mstl", "correlated_kpis").select("sku").crossJoin(ends).select("sku", F.explode(F.sequence("first", "last")).alias("t")).join(m, ["sku", "t"], "left").fillna(0, ["u"])
     fitted = fit_baselines(rich.select(F.col("sku").cast("string").alias("series"), "t", F.col("u").cast("double").alias("y"), F.lit(0).alias("event")), 6)
     fitted = fitted.join(route.withColumn("series", F.col("sku").cast("string")), "series")
     by_fit = fitted.select("sku", "operator", *[F.round(F.greatest(F.lit(0.0), F.col(c)), 4).alias(n) for c, n in (("next", "forecast"), ("low", "low"), ("high", "high"))])
