@@ -1,11 +1,13 @@
 """What keeps queries in proportion to their input: passes over the facts, rows that travel, and batches in place of groups."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 
 from tidemark.functions import stats
-from tidemark.operators import baselines, decisions, kpi
+from tidemark.operators import baselines, decisions, evidence, kpi
 from tidemark.sources import tables
 
 
@@ -55,3 +57,20 @@ def test_forecasts_read_sales_twice(spark, sf, monkeypatch):
     smooth = {r["sku"]: round(r["forecast"], 4) for r in decisions.croston_tsb(spark, sf).collect()}
     sparse = [r for r in rows if r["operator"] == "croston_tsb"]
     assert all(abs(r["forecast"] - smooth[r["sku"]]) < 1e-9 for r in sparse)
+
+
+def test_a_pair_of_blocks_is_held_at_a_time():
+    """Forty pairs in one Arrow batch: what is held beside it is a pair's products, not forty blocks' as Python objects."""
+    rng = np.random.default_rng(4)
+    q, v = rng.normal(size=(50, 8)), np.round(rng.normal(size=(3000, 8)), 1)
+    v[1500:] = v[:1500]  # ties
+    row = {"qids": list(range(50)), "qm": q.tobytes(), "ids": rng.permutation(3000).tolist(), "m": v.tobytes(), "width": 8}
+    batch = pa.RecordBatch.from_pylist([row] * 40, pa.schema([("qids", pa.list_(pa.int64())), ("qm", pa.binary()), ("ids", pa.list_(pa.int64())), ("m", pa.binary()), ("width", pa.int32())]))
+    out = evidence._best(5)(iter([batch]))
+    tracemalloc.start()
+    got = next(out).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    sim, ids = np.round(q @ v.T, 6), np.array(row["ids"])
+    want = [(a, int(ids[i])) for a in range(50) for i in sorted((i for i in range(3000) if ids[i] != a), key=lambda i: (-sim[a, i], ids[i]))[:5]]
+    assert [(r["query_id"], r["vec_id"]) for r in got] == want and peak < 6 * sim.nbytes

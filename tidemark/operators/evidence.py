@@ -161,7 +161,7 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Query vectors and vectors that meet in one matrix product.
-QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
+QUERY_BLOCK, VECTOR_BLOCK = 512, 1024
 
 
 def _blocks(most: int):
@@ -182,15 +182,20 @@ def _blocks(most: int):
 def _best(top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                q, v = (np.frombuffer(r[c]).reshape(-1, r["width"]) for c in ("qm", "m"))
-                ids, asked = np.array(r["ids"]), np.array(r["qids"])
+            for k in range(batch.num_rows):  # one pair of blocks at a time, whose matrices are read in place
+                row = {c: batch.column(c)[k] for c in ("qids", "qm", "ids", "m", "width")}
+                q, v = (np.frombuffer(row[c].as_buffer()).reshape(-1, row["width"].as_py()) for c in ("qm", "m"))
+                ids, asked = (row[c].values.to_numpy() for c in ("ids", "qids"))
                 sim = np.round(q @ v.T, 6)
                 sim[asked[:, None] == ids[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(ids, sim.shape), -sim), axis=1)[:, :top]
-                best = np.take_along_axis(sim, order, axis=1)
-                there = np.isfinite(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, order.shape[1]).reshape(order.shape)[there]), pa.array(ids[order][there]), pa.array(best[there])], ["query_id", "vec_id", "sim"])
+                # only what reaches a query's last place is put in order, ties with it included
+                last = np.partition(sim, -top, axis=1)[:, -top] if top < len(ids) else np.full(len(asked), -np.inf)
+                at, of = np.nonzero((sim >= last[:, None]) & np.isfinite(sim))
+                order = np.lexsort((ids[of], -sim[at, of], at))
+                at, of = at[order], of[order]
+                kept = np.arange(len(at)) - np.searchsorted(at, at) < top
+                at, of = at[kept], of[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(asked[at]), pa.array(ids[of]), pa.array(sim[at, of])], ["query_id", "vec_id", "sim"])
 
     return run
 
