@@ -74,3 +74,17 @@ def test_a_pair_of_blocks_is_held_at_a_time():
     sim, ids = np.round(q @ v.T, 6), np.array(row["ids"])
     want = [(a, int(ids[i])) for a in range(50) for i in sorted((i for i in range(3000) if ids[i] != a), key=lambda i: (-sim[a, i], ids[i]))[:5]]
     assert [(r["query_id"], r["vec_id"]) for r in got] == want and peak < 6 * sim.nbytes
+
+
+def test_shingles_travel_as_hashes_and_lone_ones_stay(spark, monkeypatch):
+    """Written sets are numbers, and of shingles that one document has none is ranked."""
+    kept, real = {}, evidence.written
+    monkeypatch.setattr(evidence, "written", lambda df, label: kept.update({label: real(df, label)}) or kept[label])
+    texts = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(6)] + [" ".join(["same"] * 3 + [f"v{k}x{i}" for i in range(40)] + ["one", "two", "three", "four", "five", "six"]) for k in range(6)]
+    texts += [texts[0] + " more", "a b c d e f g h", "a b c d e f g i"]
+    got = {r["doc_id"]: r["class_id"] for r in evidence.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: 0 if k == 12 else k for k in range(15)}
+    assert kept["shingles"].schema["s"].dataType.simpleString() == "array<bigint>"
+    ranked = kept["shingles"]
+    pairs = {(r["doc_id"], r["other"]) for r in evidence._by_rare_shingles(ranked, 0.6).collect()}
+    assert pairs == {(12, 0), (14, 13)}

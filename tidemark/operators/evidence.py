@@ -60,8 +60,8 @@ def shingles_query(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def minhash_bands(docs: DataFrame, hashes: int = 64, rows: int = 4) -> DataFrame:
-    """doc_id, band: the bands of minima of each document. docs: doc_id, s (shingles)."""
-    each = docs.select("doc_id", F.explode(F.transform("s", lambda x: F.xxhash64(x))).alias("h"))
+    """doc_id, band: the bands of minima of each document. docs: doc_id, s (hashes of shingles)."""
+    each = docs.select("doc_id", F.explode("s").alias("h"))
     # minima combine before the exchange, so a document's shingles never travel
     minima = each.groupBy("doc_id").agg(*[F.min(F.xxhash64(F.lit(k), "h")).alias(f"m{k}") for k in range(hashes)])
     signed = minima.select("doc_id", F.array(*[F.col(f"m{k}") for k in range(hashes)]).alias("m"))
@@ -71,10 +71,12 @@ def minhash_bands(docs: DataFrame, hashes: int = 64, rows: int = 4) -> DataFrame
 
 def _by_rare_shingles(docs: DataFrame, similarity: float) -> DataFrame:
     """doc_id, other: documents that share one of their rarest shingles, enough of them that no similar pair is lost."""
-    each = docs.select("doc_id", F.size("s").alias("n"), F.explode(F.transform("s", lambda x: F.xxhash64(x))).alias("h"))
-    spread = each.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "h"))
-    rare = written(each.join(spread, "h").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).where("df > 1").select("doc_id", "n", "h"), "rare-shingles")
+    each = docs.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("h"))
+    spread = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = Window.partitionBy("doc_id")
+    # shingles of one document come first and link nothing, so they are counted and don't travel
+    rank = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "h"))
+    rare = written(each.join(spread, "h").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).select("doc_id", "n", "h"), "rare-shingles")
     other = rare.select("h", F.col("doc_id").alias("other"), F.col("n").alias("m"))
     return rare.join(other, "h").where("doc_id > other").where((F.col("m") >= F.col("n") * similarity - 1e-9) & (F.col("n") >= F.col("m") * similarity - 1e-9)).select("doc_id", "other").distinct()
 
@@ -84,9 +86,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     docs: doc_id (distinct), text. Equal texts are one class from the start. Members of a band meet its first one; in bands
     whose members aren't all linked by that, those with a rare shingle in common are compared too, which loses no pair.
+    Shingles travel as their 64-bit hashes, a quarter of their words' size; two of one text are taken for one where these meet.
     """
     text = written(docs.groupBy(F.sha2("text", 256).alias("t")).agg(F.min("doc_id").alias("first_id"), F.first("text").alias("text")), "texts")
-    sets = written(text.select(F.col("first_id").alias("doc_id"), shingles(F.col("text")).alias("s")), "shingles")
+    hashes = F.array_distinct(F.transform(shingles(F.col("text")), lambda x: F.xxhash64(x)))
+    sets = written(text.select(F.col("first_id").alias("doc_id"), hashes.alias("s")), "shingles")
     members = written(minhash_bands(sets), "bands")
     first = members.groupBy("band").agg(F.min("doc_id").alias("other"), F.count(F.lit(1)).alias("n")).where("n > 1")
     stars = written(members.join(first, "band").where("doc_id <> other").select("doc_id", "other").distinct(), "stars")
@@ -101,8 +105,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     roots = components(links)
     rooted = members.join(roots, F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     open_bands = rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
-    rest = members.join(open_bands, "band").select("doc_id").distinct()
+    rest = written(members.join(open_bands, "band").select("doc_id").distinct(), "open-texts")
     more = _by_rare_shingles(sets.join(rest, "doc_id", "left_semi"), similarity).join(stars, ["doc_id", "other"], "left_anti")
+    more = written(more, "more-pairs")  # with a size that the planner knows: few pairs are sent to the sets, not the sets to them
     links = written(links.union(similar(more)), "all-similar")
     roots = components(links)
     degree = links.select("u").union(links.select("v")).groupBy(F.col("u").alias("first_id")).agg(F.count(F.lit(1)).alias("links"))
