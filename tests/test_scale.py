@@ -7,7 +7,7 @@ import pandas as pd
 import pyarrow as pa
 
 from tidemark.functions import stats
-from tidemark.operators import baselines, decisions, evidence, kpi
+from tidemark.operators import baselines, decisions, evidence, kpi, retrieval
 from tidemark.sources import tables
 
 
@@ -88,3 +88,11 @@ def test_shingles_travel_as_hashes_and_lone_ones_stay(spark, monkeypatch):
     ranked = kept["shingles"]
     pairs = {(r["doc_id"], r["other"]) for r in evidence._by_rare_shingles(ranked, 0.6).collect()}
     assert pairs == {(12, 0), (14, 13)}
+
+
+def test_index_is_ordered_within_files_alone(spark, monkeypatch):
+    """No table of postings is exchanged by range, which would send each posting once more."""
+    plans, real = {}, retrieval.written
+    monkeypatch.setattr(retrieval, "written", lambda df, label: plans.update({label: df._jdf.queryExecution().toString()}) or real(df, label))
+    retrieval.Index.build(spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string"))
+    assert {"blocks", "forward"} <= set(plans) and not any("rangepartitioning" in p for p in plans.values())

@@ -60,9 +60,9 @@ class Index:
         placed = placed.join(sizes, ["term", "level"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
         ends = (F.max("impact").alias("top"), F.count(F.lit(1)).alias("n"))
         blocks = placed.groupBy("term", "level", "part").agg(*ends, F.collect_list(F.struct("doc_id", "impact")).alias("postings"))
-        # in the order of terms, so a reader can leave out files and row groups
+        # in the order of terms within a file, so a reader can leave out row groups; an order of all files would send every posting once more
         forward = scored.groupBy("doc_id").agg(F.collect_list(F.struct("term", "impact")).alias("postings"))
-        return cls(written(blocks.sort("term", "level", "part"), "blocks"), written(forward.sort("doc_id"), "forward"))
+        return cls(written(blocks.sortWithinPartitions("term", "level", "part"), "blocks"), written(forward.sortWithinPartitions("doc_id"), "forward"))
 
 
 def _exact(index: Index, asked: DataFrame, candidates: DataFrame) -> DataFrame:
