@@ -257,6 +257,28 @@ def test_bits_never_exceed_edits(spark):
     assert dropped > 100
 
 
+def test_long_variants_of_one_text_meet_once_if_at_all(spark):
+    """Texts of 800 words, alike by three quarters, are told apart by their bitmaps; near ones among them still meet."""
+    from tidemark.llm import nearcopies as N
+
+    rng = np.random.default_rng(5)
+    base = np.arange(800, dtype=np.int64)
+    texts = []
+    for _ in range(40):
+        t = base.copy()
+        at = rng.choice(800, 120, replace=False)
+        t[at] = rng.integers(10**4, 10**7, len(at))
+        texts.append(t)
+    near = texts[0].copy()
+    near[:100] = np.arange(5000, 5100)
+    texts.append(near)
+    rows = [(i, i, len(t), t.tolist()) for i, t in enumerate(texts)]
+    met = {(r["a"], r["b"]) for r in N._by_rare_words(spark.createDataFrame(rows, "cid long, root long, n_words int, words array<int>")).collect()}
+    assert (0, 40) in met and len(met) < 0.2 * 40 * 39 / 2
+    for a, b in ((a, b) for a in range(41) for b in range(a + 1, 41)):
+        assert (a, b) in met or N.edits_within([(texts[a], texts[b])], np.array([160]))[0] < 0
+
+
 def test_windows_longer_than_a_piece(spark):
     """Decontamination by windows of 100 words, over several pieces."""
     from tidemark.llm.decontamination import decontaminate

@@ -11,9 +11,10 @@ classes of larger entries (a passage that many texts share) are paired where the
 common. That loses no pair: similar texts share all but a fifth of the longer one's words, so in any order of words
 the first fifth of one and of the other, and one word more, meet. Linked classes are joined by connected components.
 
-The texts of such entries get bitmaps of their words, labelled with how often they occurred before. A bit that one text
-has and the other lacks stands for a word more of the one, and so for an edit: pairs with more such bits than edits allowed
-are dropped in the join that makes them, before they are aligned.
+The texts of such entries get bitmaps of their words, labelled with how often they occurred before; a bit says whether an
+odd number of words fell on it. Words that both texts have cancel out, so a bit that differs stands for a word that only one
+of them has, and those bound the edits from below: pairs that this bound leaves too far apart are dropped in the join that
+makes them, before they are aligned. Words are ordered by cells of a table of counts, a bounded one that all tasks know.
 
 Very long pairs are first aligned at the runs of ``RUN`` words that are once in each of them and in one order in both,
 with exact alignments between these, which bounds their edits from above. Where the bound is small enough the pair is
@@ -56,6 +57,8 @@ CHAIN = 1024
 FEW = 32
 #: 64-bit words of the bitmap of a text's labelled words.
 SET_WORDS = 32
+#: Cells of the counts that order words, a power of two, and how many words of both a pair's next common one is sought among.
+CELLS, AFTER = 1 << 18, 24
 _SEEDS = tokens.scramble(np.arange(1, TABLES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -152,27 +155,31 @@ def _similar_lengths(na: str, nb: str) -> Column:
 
 
 def _may_be_near(one: str, other: str) -> Column:
-    """By numbers of words (n...) and bitmaps (w...) alone: whether a pair can have so few edits as it must."""
+    """By numbers of words (n...) and bitmaps (w...) alone: whether a pair can have so few edits as it must.
+
+    Words of one text alone, less those by which it is longer, are half of all that only one text has.
+    """
     na, nb, a, b = (F.col(c + x) for c in "nw" for x in (one, other))
     most = F.floor(F.greatest(na, nb) * (1 - SIMILARITY) + 1e-9)
-    lacks = lambda x, y: reduce(lambda s, t: s + t, [F.bit_count(F.get(x, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(k))))) for k in range(SET_WORDS)])
-    return _similar_lengths(f"n{one}", f"n{other}") & (lacks(a, b) <= most) & (lacks(b, a) <= most)
+    odd = reduce(lambda s, t: s + t, [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(SET_WORDS)])
+    return _similar_lengths(f"n{one}", f"n{other}") & (odd + F.abs(na - nb) <= 2 * most)
 
 
 def _by_rare_words(words: DataFrame) -> DataFrame:
     """cid, root, n_words, words -> a, b: classes of unlike roots that share one of their rarest words and may be near.
 
-    Words are labelled with how often they occurred before, and ordered by the number of roots that have them.
+    Words are labelled with how often they occurred before, and ordered by the number of roots that have a word of their
+    cell. Of common words that follow each other within ``AFTER`` words of both texts the last one alone gives the pair.
     """
-    labelled = materialize(words.mapInArrow(_labelled, "cid long, root long, n_words int, words array<long>, bits array<long>"), "labelled")
-    each = labelled.select("cid", "root", "n_words", F.explode("words").alias("word"))
-    spread = materialize(each.select("word", "root").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("roots")), "spread")
-    rank = F.row_number().over(Window.partitionBy("cid").orderBy("roots", "word"))
-    rarest = each.join(spread, "word").withColumn("rank", rank).where(F.col("rank") <= F.floor(F.col("n_words") * (1 - SIMILARITY) + 1e-9) + 1)
-    rarest = rarest.where("roots > 1").groupBy("cid").agg(F.collect_list("word").alias("rare"))  # a fifth of a text's words
-    rarest = materialize(rarest.join(labelled.select("cid", "root", "n_words", "bits"), "cid"), "rarest").withColumn("word", F.explode("rare"))
-    one, other = (rarest.select("word", F.col("cid").alias(x), F.col("root").alias(f"r{x}"), F.col("n_words").alias(f"n{x}"), F.col("bits").alias(f"w{x}")) for x in "ab")
-    return one.join(other, "word").where("a < b and ra <> rb").where(_may_be_near("a", "b")).select("a", "b").distinct()
+    cells = words.mapInArrow(_cells, "cell int, root long").distinct().groupBy("cell").agg(F.count(F.lit(1)).alias("roots")).toPandas()  # CELLS rows at most
+    roots = np.zeros(CELLS, dtype=np.int32)
+    roots[cells["cell"].to_numpy()] = np.minimum(cells["roots"].to_numpy(), np.iinfo(np.int32).max)
+    rarest = materialize(words.mapInArrow(_rarest(roots), "cid long, root long, n_words int, rare array<long>, bits array<long>"), "rarest")
+    rarest = rarest.select("*", F.posexplode("rare").alias("rank", "word"))
+    after = F.slice("rare", F.col("rank") + 2, F.lit(AFTER))
+    one, other = (rarest.select("word", F.col("cid").alias(x), F.col("root").alias(f"r{x}"), F.col("n_words").alias(f"n{x}"), F.col("bits").alias(f"w{x}"), after.alias(f"after_{x}")) for x in "ab")
+    met = one.join(other, "word").where("a < b and ra <> rb").where(_may_be_near("a", "b") & ~F.arrays_overlap("after_a", "after_b"))
+    return met.select("a", "b").distinct()
 
 
 def label(words: np.ndarray) -> np.ndarray:
@@ -184,20 +191,43 @@ def label(words: np.ndarray) -> np.ndarray:
 
 
 def word_set(labelled: np.ndarray) -> np.ndarray:
-    """The bitmap of a text's labelled words."""
-    bits = np.zeros(64 * SET_WORDS, dtype=bool)
-    bits[(tokens.scramble(labelled.view(np.uint64)) % np.uint64(len(bits))).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").view("<i8")
+    """The bitmap of a text's labelled words: whether an odd number of them has each bit."""
+    n = 64 * SET_WORDS
+    odd = np.bincount((tokens.scramble(labelled.view(np.uint64)) % np.uint64(n)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
+def _cell(labelled: np.ndarray) -> np.ndarray:
+    return (tokens.scramble(labelled.view(np.uint64)) >> np.uint64(32) & np.uint64(CELLS - 1)).astype(np.int32)
+
+
+def rare_words(labelled: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """Of a text's labelled words the rarest fifth and one more, without those that a single root has."""
+    n = roots[_cell(labelled)]
+    order = np.lexsort((labelled, n))[: int(np.floor(len(labelled) * (1 - SIMILARITY) + 1e-9)) + 1]
+    return labelled[order[n[order] > 1]]
 
 
-def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lists = [label(x.values.to_numpy()) for x in batch.column("words")]
-        first = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
-        words = pa.ListArray.from_arrays(pa.array(first), pa.array(np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64)))
-        sets = np.array([word_set(x) for x in lists], dtype=np.int64).ravel()
-        bits = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * SET_WORDS), pa.array(sets))
-        yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("root"), batch.column("n_words"), words, bits], ["cid", "root", "n_words", "words", "bits"])
+        lists = [_cell(label(x.values.to_numpy())) for x in batch.column("words")]
+        root = np.repeat(batch.column("root").to_numpy(), [len(x) for x in lists])
+        rows = pa.table({"cell": np.concatenate(lists) if lists else np.zeros(0, dtype=np.int32), "root": root})
+        yield from rows.group_by(["cell", "root"]).aggregate([]).to_batches()
+
+
+def _rarest(roots: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labelled = [label(x.values.to_numpy()) for x in batch.column("words")]
+            rare = [rare_words(x, roots) for x in labelled]
+            first = np.r_[0, np.cumsum([len(x) for x in rare])].astype(np.int32)
+            words = pa.ListArray.from_arrays(pa.array(first), pa.array(np.concatenate(rare) if rare else np.zeros(0, dtype=np.int64)))
+            sets = np.array([word_set(x) for x in labelled], dtype=np.int64).ravel()
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * SET_WORDS), pa.array(sets))
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("root"), batch.column("n_words"), words, bits], ["cid", "root", "n_words", "rare", "bits"])
+
+    return run
 
 
 def _word_lists(bits: bytes):
@@ -364,7 +394,8 @@ def _near(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """u, v, similarity: those of ``pairs`` (a, b) that are near copies."""
     wanted = classes.join(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "cid").select("cid", "t1", "t2")
     words = _words_of(docs, wanted)
-    full = pairs.join(words.select(F.col("cid").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("cid").alias("b"), F.col("words").alias("wb")), "b")
+    wa, wb = (words.select(F.col("cid").alias(x), F.col("words").alias(f"w{x}"), F.size("words").alias(f"n{x}")) for x in "ab")
+    full = pairs.join(wa, "a").join(wb, "b").where(_similar_lengths("na", "nb")).select("a", "b", "wa", "wb")
     return materialize(full.mapInArrow(_aligned, "u long, v long, similarity double"), "near")
 
 
@@ -382,13 +413,12 @@ def near_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     docs: text, t1, t2; classes: cid, t1, t2, n_words, entries, for each distinct text.
     """
     members = _members(classes)
-    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n_words").alias(f"n{x}"))
-    alike = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(_similar_lengths("na", "nb")).select("a", "b")
-    pairs = materialize(alike(_candidates(members)), "pairs")
+    pairs = materialize(_candidates(members), "pairs")
     links = _near(docs, classes, pairs)
     rest = _unsettled(members, links)
-    one, other = (rest.where(F.col("n") <= FEW).select("entry", F.col("cid").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-    few = alike(one.join(other, "entry").where("a < b and ra <> rb").select("a", "b").distinct())
+    sized = rest.where(F.col("n") <= FEW).join(classes.select("cid", "n_words"), "cid")
+    one, other = (sized.select("entry", F.col("cid").alias(x), F.col("root").alias(f"r{x}"), F.col("n_words").alias(f"n{x}")) for x in "ab")
+    few = one.join(other, "entry").where("a < b and ra <> rb").where(_similar_lengths("na", "nb")).select("a", "b").distinct()
     hot = materialize(rest.where(F.col("n") > FEW).select("cid", "root").distinct().join(classes.select("cid", "t1", "t2", "n_words"), "cid"), "hot")
     many = _by_rare_words(_words_of(docs, hot.select("cid", "t1", "t2")).join(hot.select("cid", "root", "n_words"), "cid").select("cid", "root", "n_words", "words"))
     more = materialize(few.union(many).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
