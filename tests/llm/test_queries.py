@@ -334,6 +334,30 @@ def test_bytes_of_a_passage_in_many_texts(spark, monkeypatch):
     assert got == sorted(brute.suffix_dedup(docs))
 
 
+def test_only_strings_that_agree_around_their_anchor_are_merged(monkeypatch):
+    """Texts with one phrase and other surroundings aren't merged; those with a window of 400 bytes in common are, wherever it lies."""
+    import pyarrow as pa
+
+    from tidemark.llm import bytespans, bwt
+
+    rng = np.random.default_rng(15)
+    letters = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    piece, texts = letters(bytespans.PIECE), []
+    for left in (0, 45, 46, 100, 200, 367, 368):  # two texts with one common window, that begins so many bytes before the piece
+        head, tail = letters(left), letters(368 - left)
+        texts += [(letters(368 - left) + head + piece + tail + letters(left), 368) for _ in range(2)]
+    texts += [(letters(368) + piece + letters(368), 368) for _ in range(30)]
+    merged = []
+    repeated = bwt.repeated
+    monkeypatch.setattr(bwt, "repeated", lambda strings, *rest: merged.extend(strings) or repeated(strings, *rest))
+    place = pa.array([[{"doc_id": i, "t1": 0, "start": 0}] for i in range(len(texts))], pa.list_(pa.struct([("doc_id", pa.int64()), ("t1", pa.int64()), ("start", pa.int32())])))
+    same = pa.array(np.full(len(texts), -1))
+    bucket = pa.table({"key": same, "group": same, "data": pa.array([t for t, _ in texts], pa.binary()), "anchor": pa.array([p for _, p in texts], pa.int32()), "places": place})
+    got = {(r["doc_id"], r["low"], r["high"]) for r in bytespans._repeats(pa.int64())(bucket).to_pylist()}
+    want = {(2 * k + i, 368 - left, 768 - left) for k, left in enumerate((0, 45, 46, 100, 200, 367, 368)) for i in range(2)}
+    assert got == want and len(merged) == 14
+
+
 def test_hot_windows(spark, monkeypatch):
     """Windows of which each text has one, compared in two steps."""
     from tidemark.llm import substrings, tokens
