@@ -334,6 +334,34 @@ def test_bytes_of_a_passage_in_many_texts(spark, monkeypatch):
     assert got == sorted(brute.suffix_dedup(docs))
 
 
+def test_strings_that_share_no_window_are_left_alone(spark):
+    """Strings that meet at an anchor, none of which has a repeated window: nothing is removed, and no task breaks off."""
+    from tidemark.llm import bwt, bytespans
+
+    rng = np.random.default_rng(17)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = letters(399)
+    texts = [letters(100) + c + passage + c + letters(100) for c in "ABC"]
+    got = bwt.repeated([t.encode() for t in texts], np.ones(3, dtype=np.int64), 400, 1 << 18)
+    assert [len(x) for x in got] == [202] * 3 and not np.concatenate(got).any()
+    rows = bytespans.remove_repeated_bytes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in rows) == [(d, 601, 0, 0) for d in range(3)]
+
+
+def test_bytes_of_a_passage_of_57_words_stay_below_400(spark, monkeypatch):
+    """The law counts bytes, not words: 57 words of 399 bytes in 70 texts stay, with a byte more they go from all 70."""
+    from tidemark.llm import bytespans
+
+    monkeypatch.setattr(bytespans, "CHUNK", 1500)
+    rng = np.random.default_rng(16)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = "".join(letters(6) + " " for _ in range(57))
+    around = lambda i, middle: letters(150) + chr(33 + i) + middle + chr(33 + i) + letters(150)
+    docs = [(i, around(i, passage)) for i in range(70)] + [(70 + i, around(i, passage[::-1] + "x")) for i in range(70)]
+    got = bytespans.remove_repeated_bytes(spark.createDataFrame(docs, "doc_id long, text string").repartition(7)).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got} == {d: (len(t), 400, 1) if d >= 70 else (701, 0, 0) for d, t in docs}
+
+
 def test_only_strings_that_agree_around_their_anchor_are_merged(monkeypatch):
     """Texts with one phrase and other surroundings aren't merged; those with a window of 400 bytes in common are, wherever it lies."""
     import pyarrow as pa
