@@ -72,3 +72,53 @@ def test_rerank_prefers_texts_that_say_the_question(spark):
     rows = R.rerank(fused, asked, docs).orderBy("rk").collect()
     assert [r["doc_id"] for r in rows] == [1, 2, 3, 4]
     assert rows[0]["score"] == pytest.approx(0.5 * 2 / 3 + 0.5, abs=1e-6) and rows[3]["score"] == pytest.approx(0.5 / 3, abs=1e-6)
+
+
+def shuffled(spark):
+    """Bytes that the session has written for exchanges."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    rows = sc.statusStore().executorList(False)
+    return sum(rows.apply(k).totalShuffleWrite() for k in range(rows.size()))
+
+
+def test_no_posting_is_sent_for_an_index_and_one_once_for_all_questions(spark, corpus):
+    docs, _ = corpus
+    docs = [(d, t) for d, t in docs if d < 2000]
+    postings = sum(len(set(t.split())) for _, t in docs)
+    table, at = spark.createDataFrame(docs, "doc_id long, text string"), shuffled(spark)
+    index = R.Index.build(table)
+    built = shuffled(spark) - at
+    best, _ = R.search(index, spark.createDataFrame(docs[:300], "q long, text string"), 3)
+    assert best.count() == 900 and built < 2 * postings
+    assert shuffled(spark) - at - built < 80 * postings
+
+
+def test_odd_documents_equal_sql(spark, tmp_path, monkeypatch):
+    """Repeated rows, ids of several texts, null ids, and shards that end in their midst; questions in parts."""
+    import duckdb
+
+    from tidemark.catalog import ORACLES
+
+    monkeypatch.setattr(R, "SHARD", 40)
+    monkeypatch.setattr(R, "ASKED", 8)
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice("abcdefghij") * rng.randint(1, 2) for _ in range(rng.randint(1, 12)))
+    docs = [(k, text()) for k in range(150)] + [(k % 5, text()) for k in range(40)] + [(7, "a b"), (7, "a a"), (7, "a b"), (None, "a c"), (None, "c c"), (None, "b"), (200, ""), (201, None), (202, "A-bÉc K x"), (202, "...")]
+    asked = [(k, text()) for k in range(30)] + [(50, None), (51, "k"), (52, "a a a b c"), (53, "nowhere")]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(asked, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    c = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        c.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    key = lambda r: (r[0], r[1])
+    want = sorted(c.sql(f"select item_id, rk, doc_id, score from ({ORACLES['index_topk']})").fetchall(), key=key)
+    got = sorted(map(tuple, R.index_topk(spark, str(tmp_path)).select("item_id", "rk", "doc_id", "score").collect()), key=key)
+    assert got == want and any(r[2] is None for r in got)
+
+
+def test_an_index_of_nothing_finds_nothing(spark):
+    for docs in ([], [(1, None), (2, "")]):
+        index = R.Index.build(spark.createDataFrame(docs, "doc_id long, text string"))
+        best, reads = R.search(index, spark.createDataFrame([(1, "a b"), (2, None)], "q long, text string"))
+        assert best.collect() == [] and reads.collect() == []
