@@ -153,3 +153,17 @@ def test_names_are_linked_however_they_are_spelt(spark):
     for least in (0.6, 0.75, 0.9):
         pairs = left.crossJoin(right).withColumn("score", F.round(1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"), F.lit(1)), 6)).where(F.col("score") >= least)
         assert sorted(map(tuple, evidence.similar_names(left, right, least).collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def test_short_names_that_share_no_pair_of_letters_are_linked(spark):
+    """All names of up to five letters of two, against names of up to five that edits have made of others."""
+    from itertools import product
+
+    names = ["".join(x) for n in range(6) for x in product("ab", repeat=n)] + ["gbecf", "hggb", "abcdefghij"]
+    other = ["".join(x) for n in range(4) for x in product("bc", repeat=n)] + ["gedf", "zzggb", "acbcc", "axcxexgxij"]
+    left, right = spark.createDataFrame([(x,) for x in names], "a string"), spark.createDataFrame([(x,) for x in other], "b string")
+    score = F.round(1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"), F.lit(1)), 6)
+    pairs = [tuple(r) for r in left.crossJoin(right).withColumn("score", score).collect()]
+    assert ("gbecf", "gedf", 0.6) in pairs
+    for least in (0.4, 0.5, 0.6, 0.666667, 0.8):
+        assert sorted(map(tuple, evidence.similar_names(left, right, least).collect())) == sorted(p for p in pairs if p[2] >= least), least

@@ -364,20 +364,22 @@ def similar_names(left: DataFrame, right: DataFrame, least: float = LINKED) -> D
 
     An edit changes two of a name's pairs of letters at most, so similar names share one of the rarest of these: of 2 k + 1 of
     each, where k edits are the most that its length and ``least`` allow. Names of other lengths are left out by the join.
+    Names so short that their edits may change all pairs are compared by length alone: the longer one's n - 1 pairs are at most
+    twice its (1 - least) n edits, so n is 1 / (2 least - 1) at most, or any where ``least`` is a half or less.
     """
+    low = least - 5e-7  # scores are rounded
     pairs = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(2))))
     sides = left.select(F.lit(0).alias("side"), F.col("a").alias("name")).union(right.select(F.lit(1), "b"))
     each = written(sides.select("side", "name", F.length("name").alias("n"), F.explode(pairs(F.col("name"))).alias("g")), "letter-pairs")
     df = each.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     rank = F.row_number().over(Window.partitionBy("side", "name").orderBy("df", "g"))
-    most = F.floor(F.col("n") / least * (1 - least) + 1e-9)  # the other name may be longer
+    most = F.floor(F.col("n") / low * (1 - low) + 1e-9)  # the other name may be longer
     rare = written(each.join(df, "g").withColumn("rank", rank).where(F.col("rank") <= 2 * most + 1).select("side", "name", "n", "g"), "rare-pairs")
     one, other = (rare.where(F.col("side") == k).select("g", F.col("name").alias(x), F.col("n").alias(f"n{x}")) for k, x in enumerate("ab"))
-    near = F.abs(F.col("na") - F.col("nb")) <= (1 - least) * F.greatest("na", "nb") + 1e-9
-    met = one.join(other, "g").where(near).select("a", "b").distinct()
-    # names so short that all their pairs of letters may change share none of them
-    short = lambda df, x: df.where(F.length(x) <= 4)
-    met = met.union(short(left.select("a"), "a").join(short(right.select("b"), "b"), F.abs(F.length("a") - F.length("b")) <= 2)).distinct()
+    near = lambda a, b: F.abs(a - b) <= (1 - low) * F.greatest(a, b) + 1e-9
+    met = one.join(other, "g").where(near(F.col("na"), F.col("nb"))).select("a", "b")
+    short = lambda df, x: df.select(x).where(F.length(x) <= (1 / (2 * low - 1) + 1e-9 if low > 0.5 else float("inf")))
+    met = met.union(short(left, "a").join(short(right, "b"), near(F.length("a"), F.length("b")))).distinct()
     score = F.round(1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"), F.lit(1)), 6)
     return met.withColumn("score", score).where(F.col("score") >= least)
 
